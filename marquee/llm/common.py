@@ -11,6 +11,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -47,6 +48,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """The columns an operator reads, under its own names; a null text is empty."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
@@ -56,7 +61,7 @@ def slices(batches, columns=("doc_id", "text")):
     """Arrow batches as lists of Python values, some CHUNK_CHARS of text at a time."""
     for batch in batches:
         start, chars = 0, 0
-        sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
+        sizes = pc.binary_length(batch.column("text")).to_pylist()
         for end, n in enumerate(sizes, 1):
             chars += n or 0
             if chars >= CHUNK_CHARS or end == len(sizes):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.llm.common import documents
+from marquee.llm.common import documents, labels
 from marquee.llm.exact_dedup import exact_dedup
 from marquee.llm.mixing import mix
 from marquee.llm.packing import pack
+from marquee.llm.quality_model import importance_resample
+from marquee.llm.quality_rules import quality_rules
 from marquee.llm.token_counts import token_counts
 
 
@@ -15,10 +17,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -27,7 +37,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_token_counts, op8_packing, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_packing, op9_mixing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
