@@ -25,10 +25,13 @@ from marquee.llm.common import WordHashes, join_hashes, materialise, slices, tex
 BITS, BLOCKS = 20, 64
 #: Labelled rows that are used at most (those with the smallest keyed hashes).
 LABELLED = 100_000
-#: A factor counts from this many standard deviations and this log ratio on.
-DEVIATIONS, LEAST = 3.0, 1.2
+#: A factor counts from this many standard deviations and this log ratio on.  Pairs, which
+#: come in bulk with every copied passage, need far more evidence than words.
+DEVIATIONS, PAIR_DEVIATIONS, LEAST = 3.5, 20.0, 2.0
 #: Temperature of the log weights under the Gumbel noise; share of unseen good documents given up.
 TEMPERATURE, LOSS = 0.25, 0.003
+#: A calibrated cut is never above this: a document as likely under target as under raw text is drawn but by one chance in 10,000.
+HIGHEST_CUT = -2.25
 #: One in so many labelled rows is held out of the models.
 UNSEEN = 4
 SEED = 17
@@ -91,7 +94,8 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int) -
     """log(target / raw) of every bucket, 0 where chance explains the difference."""
     expected = raw * (n_target / max(n_raw, 1))
     log = np.log((target + 0.5) / (expected + 0.5))
-    sure = np.abs(target - expected) / np.sqrt(np.maximum(expected, target) + 1) >= DEVIATIONS
+    least = np.repeat([DEVIATIONS, PAIR_DEVIATIONS], len(raw) // 2)
+    sure = np.abs(target - expected) / np.sqrt(np.maximum(expected, target) + 1) >= least
     return np.where(sure & (np.abs(log) >= LEAST), log, 0.0).astype(np.float32)
 
 
@@ -157,7 +161,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     scored = materialise(scored.withColumn("perturbed", F.col("log_weight") / TEMPERATURE + gumbel(seed)))
     if k is None:
         cut = scored.filter("unseen").agg(F.percentile("perturbed", F.lit(loss))).first()[0]
-        cut = -math.inf if cut is None else cut
+        cut = -math.inf if cut is None else min(cut, HIGHEST_CUT)
     else:
         cut = kth_largest(scored, k)
     return scored.select("doc_id", "log_weight", "perturbed", (F.col("perturbed") >= F.lit(cut)).alias("kept"))

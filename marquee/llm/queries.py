@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.llm.common import documents, labels
+from marquee.llm.common import documents, labels, shared_dir
 from marquee.llm.exact_dedup import exact_dedup
 from marquee.llm.mixing import mix
 from marquee.llm.packing import pack
+from marquee.llm.pii import pseudonymise
 from marquee.llm.quality_model import importance_resample
 from marquee.llm.quality_rules import quality_rules
 from marquee.llm.token_counts import token_counts
+from marquee.llm.training_order import training_pieces, write_training_order
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}"
+    write_training_order(documents(spark, sf_dir), folder)
+    return training_pieces(spark, folder)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -37,7 +47,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_packing, op9_mixing)}
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_training_order, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_packing, op9_mixing, op10_pii_surrogates)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
