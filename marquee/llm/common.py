@@ -114,6 +114,3 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         out, at = join_hashes(out[:n], spans[size][at : at + n]), at + size
     return out
 
-
-def signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
