@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from marquee.llm.common import documents, labels, shared_dir
 from marquee.llm.exact_dedup import exact_dedup
 from marquee.llm.mixing import mix
+from marquee.llm.ngram_join import near_duplicates
 from marquee.llm.packing import pack
 from marquee.llm.pii import pseudonymise
 from marquee.llm.quality_model import importance_resample
 from marquee.llm.quality_rules import quality_rules
+from marquee.llm.repeated_passages import remove_repeats
 from marquee.llm.token_counts import token_counts
 from marquee.llm.training_order import training_pieces, write_training_order
 
@@ -21,12 +23,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}"
     write_training_order(documents(spark, sf_dir), folder)
     return training_pieces(spark, folder)
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -51,7 +61,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_training_order, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_packing, op9_mixing, op10_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_training_order, op4_repeated_passages, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_packing, op9_mixing, op10_pii_surrogates)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
