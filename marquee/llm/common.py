@@ -20,7 +20,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Words whose hashes one Python worker remembers at most.
 WORD_CACHE = 400_000
 #: Characters of text that a Python stage handles at once.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 
 
 def materialise(df: DataFrame) -> DataFrame:

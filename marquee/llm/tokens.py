@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from array import array
@@ -28,19 +29,25 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def _layout(path: str) -> tuple[dict[str, int], bool]:
+    """From the file alone, so that a worker that merges by ranks never loads the tokenizer: its added tokens; if it cuts as PIECES does."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    kind = made["pre_tokenizer"] or {}
+    plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not made["normalizer"]
+    return {t["content"]: t["id"] for t in made["added_tokens"]}, bool(plain)
+
+
 @lru_cache(maxsize=4)
 def specials(path: str) -> tuple[dict[str, int], re.Pattern | None]:
     """Strings that the tokenizer takes whole wherever they stand in a text."""
-    found = {t.content: i for i, t in tokenizer(path).get_added_tokens_decoder().items()}
+    found = _layout(path)[0]
     return found, re.compile("(" + "|".join(map(re.escape, sorted(found, key=len, reverse=True))) + ")") if found else None
 
 
 def is_byte_level(path: str) -> bool:
-    import json
-
-    made = json.loads(tokenizer(path).to_str())
-    kind = made["pre_tokenizer"] or {}
-    return kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not made["normalizer"]
+    return _layout(path)[1]
 
 
 @lru_cache(maxsize=4)

@@ -30,7 +30,7 @@ from marquee.llm import tokens
 from marquee.llm.common import mix, slices, texts
 
 #: Ids of a sequence; bytes of text that a shard stands for; the id that ends a document; the key of the order.
-LENGTH, SHARD_BYTES, END, KEY = 2048, 24 << 20, 1, 20_240_229
+LENGTH, SHARD_BYTES, END, KEY = 2048, 8 << 20, 1, 20_240_229
 ROUNDS = 6
 
 _INDEX = "place long, pieces array<struct<doc_id: long, start: long, length: long, offset: long, ids_crc32: long>>"
@@ -111,7 +111,7 @@ def write_training_order(docs: DataFrame, folder: str, id_col: str = "doc_id", t
                     at, start = at + n, start + n
                     if at == length:
                         close()
-                if len(ready) >= 1024:
+                if len(ready) >= 256:
                     yield flush()
         if at:
             close()
