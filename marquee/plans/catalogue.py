@@ -1,4 +1,684 @@
-"""Named queries of the catalogue over the driver's tables."""
+"""Named queries of the catalogue over the driver's tables, each beside its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import os
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from marquee.functions import dates, text
+from marquee.operators import calendar, classify, control, listings as ops, merge, store
+from marquee.plans.listings_view import LISTINGS_SQL, listings
+from marquee.sources import landing
+from marquee.schema import CITY_BLACKLIST, NOISE_TAGS, STATUS, TRIBUTE_WORDS, WEEKDAYS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+COLUMNS = "id, title, image, date, city, venue, price, status, category, artist, is_tribute, is_famous, updated_at"
+AS_OF = "2026-01-01"
+WEEK_OF = "1996-03-06"
+
+
+def query(sql: str | None = None, view: bool = True):
+    """Registers a function under its name; its SQL starts behind the listings view unless ``view`` is off."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = (LISTINGS_SQL + sql) if view else sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(spark: SparkSession, sql: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {sql}")
+
+
+def _cols(df: DataFrame, names: str = COLUMNS) -> DataFrame:
+    return df.select(*names.split(", "))
+
+
+# SQL of expressions that several queries share.
+
+_BL = r"[\s\x{000B}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
+def norm_sql(c: str) -> str:
+    out = f"lower({c})"
+    for noise in (_BL, "【.*?】", r"\[.*?\]", r"\(.*?\)", "[0-9]{4}", "演唱会|巡回|站|世界|live|tour|concert"):
+        out = f"regexp_replace({out}, '{noise}', '', 'g')"
+    return out
+
+
+def start_sql(c: str) -> str:
+    return f"replace(regexp_extract({c}, '([0-9]{{4}}[.\\-][0-9]{{2}}[.\\-][0-9]{{2}})', 1), '-', '.')"
+
+
+def list_sql(terms) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+
+
+def any_sql(c: str, terms) -> str:
+    return f"len(list_filter({list_sql(terms)}, lambda t: contains({c}, t))) > 0"
+
+
+_D = r"([0-9]{4})[-./]([0-9]{1,2})[-./]([0-9]{1,2})"
+_T = r"([0-9]{2}):([0-9]{2})"
+_KEY = "coalesce(nullif(split_part(date, ' ', 1), ''), '9999.99.99')"
+#: Listings as events, after the listings view.
+EVENTS_SQL = f""", P AS (
+  SELECT *, regexp_extract(date, '{_D}', 1) AS y, regexp_extract(date, '{_D}', 2) AS m, regexp_extract(date, '{_D}', 3) AS dd,
+         regexp_extract(date, '{_T}', 1) AS hh, regexp_extract(date, '{_T}', 2) AS mi FROM L),
+E AS (
+  SELECT id, title, artist, y = '' AS is_fallback,
+    CASE WHEN y = '' THEN TIMESTAMP '{AS_OF} 00:00:00'
+      ELSE make_date(CAST(y AS INT), 1, 1) + to_months(CAST(m AS INT) - 1) + to_days(CAST(dd AS INT) - 1) END
+    + to_minutes(CASE WHEN hh = '' THEN 1170 ELSE CAST(hh AS INT) * 60 + CAST(mi AS INT) END) AS start
+  FROM P)
+"""
+#: Keyed primary (src 0) and secondary (src 1) rows and the pairs that match.
+PAIRS_SQL = f""", N AS (SELECT *, {start_sql("date")} AS sd, {norm_sql("title")} AS nt FROM L),
+PAIRS AS (
+  SELECT a.id AS id_a, b.id AS id_b, a.ord AS ord_a, b.ord AS ord_b, a.artist AS artist_a, b.artist AS artist_b, a.title AS title_a
+  FROM N a JOIN N b ON a.sd = b.sd AND a.sd <> '' AND a.src = 0 AND b.src = 1
+  WHERE (contains(a.city, b.city) OR contains(b.city, a.city))
+    AND CASE WHEN a.artist <> '' AND b.artist <> '' THEN a.artist = b.artist
+      WHEN length(a.nt) < 2 OR length(b.nt) < 2 THEN contains(a.title, b.title) OR contains(b.title, a.title)
+      ELSE contains(a.nt, b.nt) OR contains(b.nt, a.nt) END)
+"""
+
+
+# --- scans, filters, order, pages -------------------------------------------------------
+
+
+@query(f"SELECT {COLUMNS} FROM L ORDER BY date")
+def scan_all(spark, sf_dir):
+    return _cols(listings(spark, sf_dir)).orderBy("date")
+
+
+@query(f"SELECT {COLUMNS} FROM L WHERE date LIKE '1996-03%' OR date LIKE '1996.03%'")
+def scan_month(spark, sf_dir):
+    return _cols(ops.scan_month(listings(spark, sf_dir), "1996-03")).orderBy("date")
+
+
+@query("SELECT count(*) AS n FROM L")
+def count_all(spark, sf_dir):
+    return listings(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, title, date FROM (SELECT CASE WHEN ord % 17 = 0 THEN '' ELSE id END AS id, title, CASE WHEN ord % 19 <> 0 THEN date END AS date FROM L) WHERE id <> '' AND title <> '' AND date <> ''")
+def validate_required(spark, sf_dir):
+    rows = listings(spark, sf_dir).withColumns({"id": F.when(F.col("ord") % 17 == 0, "").otherwise(F.col("id")), "date": F.when(F.col("ord") % 19 != 0, F.col("date"))})
+    return store.valid_upload(rows)[0].select("id", "title", "date")
+
+
+@query("SELECT id, city FROM L WHERE contains(city, 'NATION_1')")
+def filter_city_contains(spark, sf_dir):
+    return listings(spark, sf_dir).filter(ops.city_contains("NATION_1")).select("id", "city")
+
+
+_CUT = "SELECT id, split_part(title, ' NATION', 1) AS title, venue, city, artist FROM L"
+
+
+def _untold(spark, sf_dir):
+    return listings(spark, sf_dir).withColumn("title", F.split_part("title", F.lit(" NATION"), F.lit(1)))
+
+
+@query(f"SELECT id, title FROM ({_CUT}) WHERE contains(lower(title), 'nation_2') OR contains(lower(venue), 'nation_2') OR contains(lower(city), 'nation_2') OR contains(lower(artist), 'nation_2')")
+def search_api(spark, sf_dir):
+    return _untold(spark, sf_dir).filter(ops.search("nation_2")).select("id", "title")
+
+
+@query(f"SELECT id, venue FROM ({_CUT}) WHERE contains(lower(title), 'hall 7') OR contains(lower(venue), 'hall 7') OR contains(lower(artist), 'hall 7')")
+def search_client(spark, sf_dir):
+    return _untold(spark, sf_dir).filter(ops.search("HALL 7", ("title", "venue", "artist"))).select("id", "venue")
+
+
+@query("SELECT id, city, artist FROM L WHERE city = 'NATION_1' AND artist = 'BUILDING' AND (contains(lower(title), 'tour') OR contains(lower(venue), 'tour') OR contains(lower(artist), 'tour'))")
+def facet_filter(spark, sf_dir):
+    return listings(spark, sf_dir).filter(ops.facet("NATION_1", "BUILDING", "Tour")).select("id", "city", "artist")
+
+
+@query("SELECT code, name FROM (VALUES ('CN', 'a'), ('HK', 'b'), (NULL, 'c'), ('', 'd')) t(code, name) WHERE code IS DISTINCT FROM 'CN'", view=False)
+def filter_not_equal_nullsafe(spark, sf_dir):
+    return values(spark, "('CN', 'a'), ('HK', 'b'), (NULL, 'c'), ('', 'd') AS t(code, name)").filter(~F.col("code").eqNullSafe("CN"))
+
+
+_SPOTS = "SELECT id, CASE ord % 4 WHEN 0 THEN city || '伦敦' WHEN 1 THEN '迪拜' ELSE city END AS city FROM L"
+
+
+@query(f"SELECT id, city FROM ({_SPOTS}) WHERE NOT ({any_sql('city', CITY_BLACKLIST)})")
+def blacklist_filter(spark, sf_dir):
+    spots = listings(spark, sf_dir).withColumn("city", F.when(F.col("ord") % 4 == 0, F.concat("city", F.lit("伦敦"))).when(F.col("ord") % 4 == 1, "迪拜").otherwise(F.col("city")))
+    return ops.not_blacklisted(spots).select("id", "city")
+
+
+@query(f"SELECT id, title, date, {_KEY} AS sort_key FROM L ORDER BY {_KEY}, date, id")
+def sorted_listing(spark, sf_dir):
+    return ops.in_order(listings(spark, sf_dir).select("id", "title", "date", ops.sort_key().alias("sort_key")))
+
+
+@query(f"SELECT {COLUMNS} FROM L WHERE (date LIKE '1996-03%' OR date LIKE '1996.03%') AND (contains(lower(title), 'tour') OR contains(lower(venue), 'tour') OR contains(lower(city), 'tour') OR contains(lower(artist), 'tour')) ORDER BY {_KEY}, date, id LIMIT 5 OFFSET 5")
+def page_n(spark, sf_dir):
+    found = ops.scan_month(listings(spark, sf_dir), "1996-03").filter(ops.search("Tour"))
+    return ops.page(_cols(found), 2, 5)
+
+
+@query("SELECT true AS success, count(*) AS total, 2 AS page, 5 AS page_size, CAST(ceil(count(*) / 5.0) AS BIGINT) AS total_pages FROM L WHERE date LIKE '1996-03%' OR date LIKE '1996.03%'")
+def page_envelope(spark, sf_dir):
+    return ops.envelope(ops.scan_month(listings(spark, sf_dir), "1996-03"), 2, 5)
+
+
+@query("SELECT s_nationkey, s_suppkey, s_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier) WHERE r <= 2", view=False)
+def topk_per_location(spark, sf_dir):
+    w = Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
+    return table(spark, sf_dir, "supplier").withColumn("r", F.row_number().over(w)).filter("r <= 2").select("s_nationkey", "s_suppkey", "s_acctbal")
+
+
+@query("SELECT id, city FROM L WHERE city = 'NATION_3' ORDER BY ord % 2, ord LIMIT 1")
+def priority_lookup(spark, sf_dir):
+    return listings(spark, sf_dir).filter("city = 'NATION_3'").orderBy(F.col("ord") % 2, "ord").limit(1).select("id", "city")
+
+
+# --- facets and other aggregates ----------------------------------------------------------
+
+
+@query("SELECT city, count(*) AS n, min(ord) AS first_ord FROM L GROUP BY city")
+def city_stats(spark, sf_dir):
+    return ops.counts(listings(spark, sf_dir), "city")
+
+
+@query("SELECT artist, count(*) AS n, min(ord) AS first_ord FROM L WHERE artist <> '' AND artist <> 'Unknown' GROUP BY artist")
+def artist_stats(spark, sf_dir):
+    return ops.counts(ops.named_artists(listings(spark, sf_dir)), "artist")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE city = 'NATION_1') AS in_city, count(*) FILTER (WHERE artist = 'BUILDING') AS of_artist FROM L")
+def facet_totals(spark, sf_dir):
+    return listings(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.count_if(ops.facet(city="NATION_1")).alias("in_city"), F.count_if(ops.facet(artist="BUILDING")).alias("of_artist"))
+
+
+# --- store ---------------------------------------------------------------------------------
+
+
+@query("SELECT id, city, artist, is_tribute, coalesce(nullif(status, ''), 'Unknown') AS status, coalesce(nullif(category, ''), 'Concert') AS category, price, coalesce(is_famous, true) AS is_famous, updated_at FROM L")
+def apply_defaults(spark, sf_dir):
+    return store.with_defaults(listings(spark, sf_dir)).select("id", "city", "artist", "is_tribute", "status", "category", "price", "is_famous", "updated_at")
+
+
+@query("SELECT id, user_id, event_id FROM (SELECT event_type AS id, user_id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1", view=False)
+def dedup_keep_first(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("id"), "user_id", "event_id")
+    return store.keep_first(rows, ["user_id", "id"], "event_id")
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1", view=False)
+def dedup_keep_last(spark, sf_dir):
+    return store.keep_last(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id"], "event_id")
+
+
+_INCOMING = "SELECT 'u' || CAST(ord % 500 AS VARCHAR) AS id, ord, title, city, status FROM L WHERE src = 1"
+_EXISTING = "SELECT 'u' || CAST(ord % 700 AS VARCHAR) AS id, ord, title, city, status FROM L WHERE src = 0"
+
+
+@query(
+    f""", I AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS r FROM ({_INCOMING})) WHERE r = 1),
+X AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS r FROM ({_EXISTING})) WHERE r = 1)
+SELECT id, title, city, coalesce(nullif(status, ''), 'Unknown') AS status FROM I
+UNION ALL SELECT id, title, city, status FROM X WHERE id NOT IN (SELECT id FROM I)"""
+)
+def upsert_keep_last(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    name = lambda n: F.concat(F.lit("u"), (F.col("ord") % n).cast("string"))
+    old = store.keep_last(rows.filter("src = 0").withColumn("id", name(700)), ["id"])
+    return store.upsert(old, rows.filter("src = 1").withColumn("id", name(500))).select("id", "title", "city", "status")
+
+
+@query("SELECT id, title, coalesce(nullif(status, ''), 'Unknown') AS status FROM L WHERE src = 2")
+def replace_mode(spark, sf_dir):
+    empty = listings(spark, sf_dir).limit(0)
+    return store.upsert(empty, listings(spark, sf_dir).filter("src = 2")).select("id", "title", "status")
+
+
+@query("SELECT 'completed' AS status, 100 AS progress, 10 AS total, 3 AS current, 'done' AS message, CAST(1700000000000 AS BIGINT) AS \"lastUpdated\"", view=False)
+def status_merge(spark, sf_dir):
+    current = spark.createDataFrame([("running", 30, 10, 3, "x", 1, None)], STATUS).drop("result")
+    patch = spark.createDataFrame([("completed", 100, "done")], "status string, progress int, message string")
+    return control.merge_status(current, patch, 1_700_000_000_000)
+
+
+# --- text ------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents", view=False)
+def normalize_title(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_title(F.col("text")).alias("norm"))
+
+
+@query(f"SELECT id, {start_sql('date')} AS start_date FROM L")
+def start_date(spark, sf_dir):
+    return listings(spark, sf_dir).select("id", text.start_date(F.col("date")).alias("start_date"))
+
+
+@query("SELECT id, CASE WHEN starts_with(id, 'mt_') OR starts_with(id, 'mtglobal_') THEN '摩天轮' ELSE '大麦' END AS label FROM L")
+def source_label(spark, sf_dir):
+    return listings(spark, sf_dir).select("id", text.source_label(F.col("id")).alias("label"))
+
+
+@query(
+    """SELECT id, CASE WHEN artist <> '' AND artist NOT IN ('Unknown', '群星') AND starts_with(title, '【' || artist || '】')
+        THEN substr(title, length('【' || artist || '】') + 1) ELSE title END AS card, regexp_replace(title, '^【.*?】', '') AS short FROM L"""
+)
+def display_title(spark, sf_dir):
+    return listings(spark, sf_dir).select("id", text.card_title(F.col("title"), F.col("artist")).alias("card"), text.short_title(F.col("title")).alias("short"))
+
+
+@query(
+    """SELECT id, coalesce(nullif(artist, ''), '群星') AS artist, coalesce(nullif(venue, ''), '待定') AS venue,
+        CASE WHEN starts_with(id, 'mt') THEN '' ELSE 'https://detail.example/item?id=' || id END AS url FROM L"""
+)
+def detail_view(spark, sf_dir):
+    url = F.when(F.col("id").startswith("mt"), "").otherwise(F.concat(F.lit("https://detail.example/item?id="), "id"))
+    return listings(spark, sf_dir).select("id", text.or_else("artist", "群星").alias("artist"), text.or_else("venue", "待定").alias("venue"), url.alias("url"))
+
+
+@query(
+    """SELECT id, regexp_extract(c, '_m_h5_tk=([^;]+)', 1) AS token FROM
+      (SELECT id, regexp_extract('curl -b "a=1; _m_h5_tk=abc' || CAST(ord AS VARCHAR) || '_17; x=2" http://x', '(?:-b|--cookie)\\s+[''"]([^''"]+)[''"]', 1) AS c FROM L)"""
+)
+def regex_extract_token(spark, sf_dir):
+    body = F.concat(F.lit('curl -b "a=1; _m_h5_tk=abc'), F.col("ord").cast("string"), F.lit('_17; x=2" http://x'))
+    cookie = F.regexp_extract(body, r"""(?:-b|--cookie)\s+['"]([^'"]+)['"]""", 1)
+    return listings(spark, sf_dir).select("id", F.regexp_extract(cookie, "_m_h5_tk=([^;]+)", 1).alias("token"))
+
+
+@query("SELECT id, md5(concat_ws('&', 'token', CAST(updated_at AS VARCHAR), '12574478', '{\"q\":\"' || city || '\"}')) AS sign FROM L")
+def md5_sign(spark, sf_dir):
+    body = F.concat(F.lit('{"q":"'), "city", F.lit('"}'))
+    return listings(spark, sf_dir).select("id", F.md5(F.concat_ws("&", F.lit("token"), F.col("updated_at").cast("string"), F.lit("12574478"), body)).alias("sign"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", view=False)
+def json_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+# --- classification ----------------------------------------------------------------------------
+
+_TAGS = "SELECT id, CASE ord % 5 WHEN 0 THEN '' WHEN 1 THEN '热销榜' WHEN 2 THEN artist || '演出' ELSE artist END AS tag FROM L"
+
+
+@query(f"SELECT id, tag, tag <> '' AND NOT ({any_sql('tag', NOISE_TAGS)}) AS valid FROM ({_TAGS})")
+def tag_validity(spark, sf_dir):
+    tag = F.when(F.col("ord") % 5 == 0, "").when(F.col("ord") % 5 == 1, "热销榜").when(F.col("ord") % 5 == 2, F.concat("artist", F.lit("演出"))).otherwise(F.col("artist"))
+    return listings(spark, sf_dir).select("id", tag.alias("tag")).withColumn("valid", classify.valid_tag(F.col("tag")))
+
+
+_TRIB = "SELECT id, ord, artist, is_tribute, CASE ord % 6 WHEN 0 THEN '致敬' || title WHEN 1 THEN title || '烛光' ELSE title END AS title FROM L"
+
+
+def _tributes(spark, sf_dir):
+    title = F.when(F.col("ord") % 6 == 0, F.concat(F.lit("致敬"), "title")).when(F.col("ord") % 6 == 1, F.concat("title", F.lit("烛光"))).otherwise(F.col("title"))
+    return listings(spark, sf_dir).withColumn("title", title)
+
+
+@query(f"SELECT id, {any_sql('title', TRIBUTE_WORDS)} AS tribute FROM ({_TRIB})")
+def classify_tribute(spark, sf_dir):
+    return _tributes(spark, sf_dir).select("id", classify.is_tribute(F.col("title")).alias("tribute"))
+
+
+@query(
+    f""", R AS (SELECT *, CASE WHEN {any_sql('title', TRIBUTE_WORDS)} THEN 'tribute' WHEN artist <> '' AND artist NOT IN ('群星', 'Unknown') AND NOT ({any_sql('artist', TRIBUTE_WORDS)}) THEN 'official' ELSE 'extract' END AS route FROM ({_TRIB}))
+SELECT id, route, CASE WHEN route = 'official' AND NOT starts_with(title, '【') THEN '【' || artist || '】' || title ELSE title END AS title,
+  CASE WHEN route = 'tribute' THEN 'Unknown' ELSE artist END AS artist, route = 'tribute' OR is_tribute AS is_tribute FROM R"""
+)
+def artist_routing(spark, sf_dir):
+    return classify.route(_tributes(spark, sf_dir)).select("id", "route", "title", "artist", "is_tribute")
+
+
+@query("SELECT id, CASE WHEN a IN ('歌手', '音乐会') THEN 'Unknown' ELSE a END AS artist FROM (SELECT id, CASE ord % 4 WHEN 0 THEN '歌手' WHEN 1 THEN '音乐会' ELSE artist END AS a FROM L)")
+def fix_invalid_artist(spark, sf_dir):
+    artist = F.when(F.col("ord") % 4 == 0, "歌手").when(F.col("ord") % 4 == 1, "音乐会").otherwise(F.col("artist"))
+    return classify.fix_invalid_artists(listings(spark, sf_dir).withColumn("artist", artist)).select("id", "artist")
+
+
+@query(
+    """, X AS (SELECT title, CASE WHEN k % 3 = 0 THEN '' ELSE 'S' || CAST(k % 5 AS VARCHAR) END AS a, k % 4 = 0 AS t, CASE WHEN k % 2 = 0 THEN k % 6 <> 0 END AS f
+  FROM (SELECT title, min(ord) AS k FROM L WHERE ord % 2 = 0 GROUP BY title)),
+J AS (SELECT L.*, X.title IS NOT NULL AS hit, CASE WHEN t OR NOT coalesce(f, true) THEN 'Unknown' ELSE coalesce(nullif(a, ''), 'Unknown') END AS na, t, coalesce(f, true) AS f FROM L LEFT JOIN X ON L.title = X.title)
+SELECT id, CASE WHEN hit AND na <> 'Unknown' AND NOT starts_with(title, '【') THEN '【' || na || '】' || title ELSE title END AS title,
+  CASE WHEN hit THEN na ELSE artist END AS artist, CASE WHEN hit THEN t ELSE is_tribute END AS is_tribute, CASE WHEN hit THEN f ELSE is_famous END AS is_famous FROM J"""
+)
+def apply_extraction(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    k = F.col("k")
+    found = rows.filter("ord % 2 = 0").groupBy("title").agg(F.min("ord").alias("k")).select("title", F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("S"), (k % 5).cast("string"))).alias("artist"), (k % 4 == 0).alias("is_tribute"), F.when(k % 2 == 0, k % 6 != 0).alias("is_famous"))
+    return classify.apply_extraction(rows, found).select("id", "title", "artist", "is_tribute", "is_famous")
+
+
+# --- sources -------------------------------------------------------------------------------------
+
+
+def _trees(spark, sf_dir):
+    """Each region as a tree: nation nodes (groups) with supplier nodes (listings)."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    leaf = F.struct(F.lit("7587").alias("type"), F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("cityName"), F.when(F.col("s_suppkey") % 4 == 0, F.lit("")).otherwise(F.lit("Star")).alias("showTag")).alias("data"))
+    nations = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", leaf.alias("leaf")))).alias("x"))
+    nations = nations.select("n_regionkey", "n_nationkey", F.struct(F.lit("g").alias("type"), F.transform("x", lambda x: x["leaf"]).alias("nodes")).alias("node"))
+    regions = nations.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.to_json("node").alias("node")))).alias("x"))
+    body = F.concat(F.lit('{"nodes":['), F.array_join(F.transform("x", lambda x: x["node"]), ","), F.lit("]}"))
+    return regions.select(F.col("n_regionkey").alias("tree_id"), body.alias("body"))
+
+
+_LEAVES = "supplier JOIN nation ON s_nationkey = n_nationkey"
+
+
+@query(f"SELECT CAST(n_regionkey AS INTEGER) AS tree_id, CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM {_LEAVES}", view=False)
+def tree_flatten(spark, sf_dir):
+    nodes = landing.listing_nodes(landing.flatten_tree(spark, _trees(spark, sf_dir)))
+    return nodes.orderBy("tree_id", "path").select(F.col("tree_id").cast("int").alias("tree_id"), F.try_variant_get("data", "$.id", "string").alias("id"), F.try_variant_get("data", "$.name", "string").alias("name"))
+
+
+@query(f"SELECT CAST(s_suppkey AS VARCHAR) AS id FROM {_LEAVES} WHERE contains(s_name, '7')", view=False)
+def tree_keyword_scan(spark, sf_dir):
+    nodes = landing.listing_nodes(landing.flatten_tree(spark, _trees(spark, sf_dir)))
+    return nodes.filter(F.contains(F.to_json("data"), F.lit('"name":"')) & F.contains(F.try_variant_get("data", "$.name", "string"), F.lit("7"))).select(F.try_variant_get("data", "$.id", "string").alias("id"))
+
+
+@query(
+    f"""SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS title, n_name AS city, '' AS venue, '' AS date, 'Pending' AS price, 'Unknown' AS status, 'Concert' AS category,
+      CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'Star' END AS artist, s_suppkey % 4 <> 0 AS is_famous FROM {_LEAVES}""",
+    view=False,
+)
+def project_source_a(spark, sf_dir):
+    nodes = landing.listing_nodes(landing.flatten_tree(spark, _trees(spark, sf_dir)))
+    return landing.project_a(nodes).drop("image")
+
+
+@query(
+    """SELECT 'mt_' || CAST(ord AS VARCHAR) AS id, title, '' AS image, date, coalesce(nullif(city, ''), 'X') AS city, venue,
+      CASE WHEN ord % 9 = 0 THEN '价格待定' ELSE '￥' || price || CASE WHEN ord % 2 = 0 THEN '起' ELSE '' END END AS price,
+      coalesce(nullif(status, ''), '销售中') AS status, '演唱会' AS category, CASE WHEN ord % 3 = 0 THEN artist ELSE '' END AS artist FROM L"""
+)
+def project_source_b(spark, sf_dir):
+    k = F.col("ord")
+    tag = lambda kind, name: F.struct(F.lit(kind).alias("tagType"), name.alias("tagName"))
+    items = listings(spark, sf_dir).select(
+        k.cast("string").alias("showId"), F.col("title").alias("showName"), F.col("date").alias("showDate"), F.col("city").alias("showCity"), F.lit("X").alias("cityName"), F.col("venue").alias("venueName"), F.col("status").alias("showStatusDisplayName"),
+        F.when(k % 9 != 0, F.struct(F.lit("￥").alias("prefix"), F.col("price").alias("yuanNum"), F.when(k % 2 == 0, "起").alias("suffix"))).alias("priceInfo"),
+        F.when(k % 3 == 0, F.array(tag("GENRE", F.lit("Pop")), tag("ARTIST", F.col("artist")))).alias("tags"),
+    )
+    return landing.project_b(items)
+
+
+@query(
+    """SELECT 'mtglobal_' || CAST(ord AS VARCHAR) AS id, title, image,
+      coalesce(nullif(regexp_extract(replace(split_part(date, ' - ', 1), '/', '.'), '([0-9]{4}\\.[0-9]{2}\\.[0-9]{2})', 1), ''), replace(split_part(date, ' - ', 1), '/', '.')) AS date,
+      coalesce(nullif(city, ''), 'Z') AS city, venue, coalesce(nullif(price, ''), 'Pending') AS price,
+      CASE WHEN status = 'O' THEN '销售中' ELSE coalesce(nullif(status, ''), 'Unknown') END AS status, '演唱会' AS category, '' AS artist FROM L"""
+)
+def project_source_c(spark, sf_dir):
+    items = listings(spark, sf_dir).select(
+        F.col("ord").cast("string").alias("id"), "title", F.col("venue").alias("venueName"), F.col("city").alias("location"), F.lit("Z").alias("locationName"), F.col("date").alias("showDate"), F.col("image").alias("imgUrl"), F.col("price").alias("salePrice"), F.when(F.col("status") == "O", "ONSALE").otherwise(F.col("status")).alias("status")
+    )
+    return landing.project_c(items)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS \"cityId\", n_name AS \"cityName\", CASE WHEN n_nationkey < 5 THEN 'hot' ELSE 'group' END AS place FROM nation", view=False)
+def nested_city_list(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").withColumn("c", F.struct(F.col("n_nationkey").cast("string").alias("cityId"), F.col("n_name").alias("cityName"), F.lit("").alias("url")))
+    regions = n.filter("n_nationkey >= 5").groupBy("n_regionkey").agg(F.struct(F.collect_list("c").alias("sites")).alias("g"))
+    bodies = n.filter("n_nationkey < 5").agg(F.collect_list("c").alias("hotCities")).join(regions.agg(F.collect_list("g").alias("groups")))
+    return landing.city_list(bodies.withColumn("hotCity", F.col("hotCities"))).select("cityId", "cityName", "place")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", view=False)
+def jsonp_parse(spark, sf_dir):
+    body = F.concat(F.lit(" cb("), "props", F.lit(");"))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(landing.unwrap_jsonp(body), "$.k", "long").alias("k"))
+
+
+# --- merge -----------------------------------------------------------------------------------------
+
+
+def _sources(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    return [rows.filter(F.col("src") == k).drop("src") for k in range(3)]
+
+
+@query(PAIRS_SQL + "SELECT id_a, id_b FROM PAIRS")
+def dup_pairs(spark, sf_dir):
+    a, b, _ = _sources(spark, sf_dir)
+    return merge.duplicate_pairs(a, b).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+
+
+@query(PAIRS_SQL + "SELECT id_b AS id, arg_min(id_a, ord_a) AS match_id FROM PAIRS GROUP BY id_b")
+def first_match(spark, sf_dir):
+    a, b, _ = _sources(spark, sf_dir)
+    return merge.first_match(a, b)
+
+
+@query(PAIRS_SQL + "SELECT id, title FROM L WHERE src = 1 AND id NOT IN (SELECT id_b FROM PAIRS)")
+def new_rows_anti(spark, sf_dir):
+    a, b, _ = _sources(spark, sf_dir)
+    return merge.new_rows(a, b).select("id", "title")
+
+
+@query(
+    PAIRS_SQL
+    + """, B AS (SELECT id_a AS id, title_a AS t, arg_min(artist_b, ord_b) AS artist FROM PAIRS WHERE artist_a = '' AND artist_b NOT IN ('', 'Unknown', '群星', '待定', '歌手', '音乐会') GROUP BY id_a, title_a)
+SELECT id, artist, CASE WHEN contains(t, artist) THEN t ELSE '【' || artist || '】' || regexp_replace(t, '^【.*?】', '') END AS title FROM B"""
+)
+def enrich_artist(spark, sf_dir):
+    a, b, _ = _sources(spark, sf_dir)
+    return merge.enrich_artist(a, b)
+
+
+@query()
+def merge_full(spark, sf_dir):
+    a, b, _ = _sources(spark, sf_dir)
+    return merge.merge(a, b).select("id", "title", "artist", "side", "ord", "action")
+
+
+@query()
+def merge_sources(spark, sf_dir):
+    a, b, c = _sources(spark, sf_dir)
+    return merge.merge_all(a.limit(0), [a, b, c]).select("id", "title", "artist", "side", "ord", "action")
+
+
+@query()
+def merge_summary(spark, sf_dir):
+    a, b, _ = _sources(spark, sf_dir)
+    return merge.summary(merge.merge(a, b), a.count())
+
+
+# --- calendar --------------------------------------------------------------------------------------
+
+
+def _events(spark, sf_dir):
+    return calendar.events(listings(spark, sf_dir), AS_OF)
+
+
+@query(EVENTS_SQL + "SELECT id, title, strftime(start, '%Y-%m-%d %H:%M') AS start, strftime(start + to_minutes(180), '%Y-%m-%d %H:%M') AS \"end\", false AS all_day, is_fallback FROM E")
+def events_transform(spark, sf_dir):
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    return _events(spark, sf_dir).select("id", "title", shown("start"), shown("end"), "all_day", "is_fallback")
+
+
+@query(EVENTS_SQL + f"SELECT id, title FROM E WHERE CAST(start AS DATE) = DATE '{WEEK_OF}'")
+def events_on_day(spark, sf_dir):
+    return _events(spark, sf_dir).filter(F.to_date("start") == F.lit(WEEK_OF).cast("date")).select("id", "title")
+
+
+@query(EVENTS_SQL + "SELECT DISTINCT strftime(start, '%Y-%m-%d') AS day FROM E")
+def distinct_event_dates(spark, sf_dir):
+    return calendar.days_with_events(_events(spark, sf_dir)).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+_WEEK = f"(SELECT CAST(range AS DATE) AS day FROM range(TIMESTAMP '1996-03-04', TIMESTAMP '1996-03-11', INTERVAL 1 DAY))"
+
+
+@query(EVENTS_SQL + f"SELECT DISTINCT CAST(hour(start) AS INTEGER) AS hour FROM E WHERE CAST(start AS DATE) IN (SELECT day FROM {_WEEK})")
+def week_active_hours(spark, sf_dir):
+    return calendar.active_hours(_events(spark, sf_dir), calendar.week(spark, WEEK_OF))
+
+
+@query(
+    EVENTS_SQL
+    + f""", W AS (SELECT * FROM {_WEEK}), H AS (SELECT DISTINCT CAST(hour(start) AS INTEGER) AS hour FROM E WHERE CAST(start AS DATE) IN (SELECT day FROM W)),
+C AS (SELECT CAST(start AS DATE) AS day, CAST(hour(start) AS INTEGER) AS hour, count(*) AS n FROM E GROUP BY ALL)
+SELECT strftime(W.day, '%Y-%m-%d') AS day, H.hour, coalesce(n, 0) AS n FROM W CROSS JOIN H LEFT JOIN C ON C.day = W.day AND C.hour = H.hour"""
+)
+def calendar_grid(spark, sf_dir):
+    return calendar.grid(_events(spark, sf_dir), calendar.week(spark, WEEK_OF)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+_MONTH = "(SELECT CAST(range AS DATE) AS day FROM range(TIMESTAMP '1996-02-26', TIMESTAMP '1996-04-01', INTERVAL 1 DAY))"
+
+
+@query(f"SELECT strftime(day, '%Y-%m-%d') AS day, month(day) <> 3 OR year(day) <> 1996 AS off_range FROM {_MONTH}", view=False)
+def month_grid(spark, sf_dir):
+    return calendar.month_grid(spark, WEEK_OF).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query(EVENTS_SQL + f"SELECT strftime(m.day, '%Y-%m-%d') AS day, m.day IN (SELECT CAST(start AS DATE) FROM E) AS has_event FROM {_MONTH} m")
+def day_has_event(spark, sf_dir):
+    days, hit = calendar.month_grid(spark, WEEK_OF).select("day"), calendar.days_with_events(_events(spark, sf_dir)).withColumn("x", F.lit(True))
+    return days.join(hit, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("x", F.lit(False)).alias("has_event"))
+
+
+@query(EVENTS_SQL + "SELECT CAST(m AS INTEGER) AS month, m IN (SELECT month(start) FROM E WHERE year(start) = 1996) AS has_event FROM range(1, 13) t(m)")
+def month_has_event(spark, sf_dir):
+    hit = _events(spark, sf_dir).filter(F.year("start") == 1996).select(F.month("start").alias("month")).distinct().withColumn("x", F.lit(True))
+    months = spark.range(1, 13).select(F.col("id").cast("int").alias("month"))
+    return months.join(hit, "month", "left").select("month", F.coalesce("x", F.lit(False)).alias("has_event"))
+
+
+_YEAR = "(SELECT CAST(range AS DATE) AS day FROM range(TIMESTAMP '2026-01-01', TIMESTAMP '2027-01-01', INTERVAL 1 DAY))"
+
+
+def _special_sql() -> str:
+    from marquee.schema import HOLIDAYS
+
+    rows = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in HOLIDAYS)
+    return f"SELECT y.day, h.type, h.name FROM {_YEAR} y LEFT JOIN (VALUES {rows}) h(a, b, type, name) ON y.day BETWEEN CAST(a AS DATE) AND CAST(b AS DATE)"
+
+
+def _year(spark):
+    return spark.sql("SELECT explode(sequence(DATE '2026-01-01', DATE '2026-12-31')) AS day")
+
+
+@query(f"SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(type, CASE WHEN dayofweek(day) IN (0, 6) THEN 'holiday' ELSE 'workday' END) AS type, name, type IS NOT NULL AS is_special FROM ({_special_sql()})", view=False)
+def holiday_status(spark, sf_dir):
+    return calendar.day_status(_year(spark), calendar.holidays(spark)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query(f"SELECT strftime(day, '%Y-%m-%d') AS day, type, coalesce(name, '') AS name FROM ({_special_sql()}) WHERE type IS NOT NULL", view=False)
+def holiday_info(spark, sf_dir):
+    return calendar.day_status(_year(spark), calendar.holidays(spark)).filter("is_special").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "type", F.coalesce("name", F.lit("")).alias("name"))
+
+
+@query(f"SELECT strftime(day, '%Y-%m-%d') AS day FROM {_WEEK}", view=False)
+def week_days(spark, sf_dir):
+    return calendar.week(spark, WEEK_OF).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query(
+    f"""SELECT strftime(day, '%Y-%m-%d') AS day, year(day) || '年' || month(day) || '月' || day(day) || '日 ' || {list_sql(WEEKDAYS)}[dayofweek(day) + 1] AS label,
+      strftime(day, '%Y年%m月%d日') AS padded, strftime(day, '%Y-%m') AS month FROM {_YEAR}""",
+    view=False,
+)
+def date_labels(spark, sf_dir):
+    return _year(spark).select(F.date_format("day", "yyyy-MM-dd").alias("day"), dates.long_label(F.col("day")).alias("label"), F.date_format("day", "yyyy年MM月dd日").alias("padded"), F.date_format("day", "yyyy-MM").alias("month"))
+
+
+_f = lambda e, n: f"strftime({e}, '%Y-%m-%d') AS {n}"
+
+
+@query(
+    "SELECT " + ", ".join([_f("day", "day"), _f("day + INTERVAL 1 MONTH", "next_month"), _f("day - INTERVAL 1 MONTH", "prev_month"), _f("day + 7", "next_week"), _f("day - 7", "prev_week"), _f("day + 1", "next_day"), _f("day - 1", "prev_day"), _f("make_date(2026, 2, 1) + (day(day) - 1)::INTEGER", "month_set")]) + f" FROM {_YEAR}",
+    view=False,
+)
+def calendar_nav(spark, sf_dir):
+    moved = calendar.navigation(_year(spark).withColumn("month_index", F.lit(1)))
+    return moved.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) for c in moved.columns])
+
+
+# --- control ---------------------------------------------------------------------------------------
+
+_JOBS = "('running', 240000), ('running', 360000), ('completed', 3600000), ('completed', 18000000), ('error', 1000)"
+
+
+@query(
+    f"""SELECT status, age_ms, CASE WHEN status = 'running' AND age_ms <= 300000 THEN 'conflict' WHEN status = 'completed' AND age_ms < 14400000 THEN 'skip' ELSE 'run' END AS decision,
+      CAST(CASE WHEN status = 'completed' AND age_ms < 14400000 THEN ceil((14400000 - age_ms) / 60000.0) ELSE 0 END AS BIGINT) AS minutes_left FROM (VALUES {_JOBS}) t(status, age_ms)""",
+    view=False,
+)
+def sync_gate(spark, sf_dir):
+    return control.gate(values(spark, f"{_JOBS} AS t(status, age_ms)"))
+
+
+@query("SELECT ord, CAST(floor((ord % 101) * 0.55::DOUBLE + (ord % 71) * 0.25::DOUBLE + (ord % 51) * 0.2::DOUBLE) AS BIGINT) AS total, CAST(floor((ord % 101) * 0.9::DOUBLE) AS BIGINT) AS rescaled FROM L")
+def weighted_progress(spark, sf_dir):
+    k = F.col("ord")
+    return listings(spark, sf_dir).select("ord", control.progress(k % 101, k % 71, k % 51).alias("total"), F.floor((k % 101) * 0.9).cast("long").alias("rescaled"))
+
+
+@query("SELECT n AS attempt, CAST(least(2000 * 2 ** n, 16000) AS BIGINT) AS a, CAST(least(800 * 2 ** n, 6000) AS BIGINT) AS bc FROM range(5) t(n)", view=False)
+def backoff_schedule(spark, sf_dir):
+    n = F.col("attempt")
+    return spark.range(5).select(F.col("id").alias("attempt")).select("attempt", control.backoff(n, "a").alias("a"), control.backoff(n, "bc").alias("bc"))
+
+
+@query("SELECT user_id, event_id, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 5.0) AS BIGINT) AS batch FROM events", view=False)
+def batch_ids(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", "event_id", control.batch_id(Window.partitionBy("user_id").orderBy("event_id"), 5).alias("batch"))
+
+
+@query(
+    """, S AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 'idle' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'error' END AS status FROM events)
+SELECT user_id, event_id, before, status FROM (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM S) WHERE before IS NOT NULL AND before <> status"""
+)
+def status_transitions(spark, sf_dir):
+    status = F.when(F.col("event_type") == "view", "idle").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "completed").otherwise("error")
+    log = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.col("ts").alias("at"), status.alias("status"))
+    return control.transitions(log, "user_id").select("user_id", F.col("seq").alias("event_id"), "before", "status")
+
+
+_RESULTS = "(0, 'A', 'A task timed out'), (1, 'B', 'HTTP 500'), (2, 'C', 'C task timed out'), (3, 'D', NULL)"
+
+
+@query("SELECT '超时: A、C | 失败: B' AS message", view=False)
+def source_outcomes(spark, sf_dir):
+    return control.outcomes(values(spark, f"{_RESULTS} AS t(ord, name, error)"))
+
+
+@query("SELECT event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY event_type", view=False)
+def map_merge_last_wins(spark, sf_dir):
+    """Maps of batches merged so that the last batch wins, as rows: one aggregate instead of a growing map."""
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key")).agg(F.max_by("value", "event_id").alias("value"))
+
+
+# --- streaming -------------------------------------------------------------------------------------
+
+
+@query("SELECT id, title, city, coalesce(nullif(status, ''), 'Unknown') AS status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS r FROM (SELECT 'u' || CAST(ord % 300 AS VARCHAR) AS id, ord, title, city, status FROM L)) WHERE r = 1")
+def stream_upsert_equals_batch(spark, sf_dir):
+    """The table after streaming uploads in four files, which equals one keep-last upsert of all rows."""
+    from marquee.streaming.uploads import uploads, upsert_stream
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="marquee-uploads-")
+    folder = os.path.join(shared, f"uploads-{os.urandom(6).hex()}")
+    rows = listings(spark, sf_dir).withColumn("id", F.concat(F.lit("u"), (F.col("ord") % 300).cast("string"))).drop("src").withColumnRenamed("updated_at", "updatedAt")
+    rows.repartitionByRange(4, "ord").sortWithinPartitions("ord").write.json(f"{folder}/in")
+    catalogue = store.Catalogue(spark, f"{folder}/table")
+    upsert_stream(uploads(spark, f"{folder}/in"), catalogue, f"{folder}/progress").awaitTermination()
+    return catalogue.read().select("id", "title", "city", "status")
