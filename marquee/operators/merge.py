@@ -3,14 +3,14 @@
 Every match needs equal, non-empty start dates, so the start date is an exact join key;
 city and title conditions stay as residual predicates.  The merge itself depends on the
 order of rows and on its own enrichments, so it runs as a scan of each start date's
-rows; only keys and the four compared columns go into Python.
+rows, of which only the compared columns become Python values.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions.text import has, normalize_title, start_date
@@ -73,7 +73,6 @@ def enrich_artist(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 _BLANKS = re.compile(r"[\s   -     　﻿]+")
 _BRACKETS = re.compile(r"【.*?】|\[.*?\]|\(.*?\)")
 _WORDS = re.compile(r"演唱会|巡回|站|世界|live|tour|concert")
-_DECISION = "start_date string, side int, ord long, action string, artist string, title string"
 
 
 def plain_title(title: str) -> str:
@@ -93,12 +92,11 @@ def _same(a: dict, b: dict) -> bool:
     return a[left] in b[right] or b[right] in a[left]
 
 
-def scan_day(day: pd.DataFrame) -> pd.DataFrame:
-    """Merges the rows of one start date in order; one decision for each row."""
-    rows = day.sort_values(["side", "ord"], kind="stable").to_dict("records")
+def scan_day(rows: list[dict]) -> None:
+    """Merges the rows of one start date, given in order: sets action, artist and title of each."""
     kept: list[dict] = []
     for row in rows:
-        row |= {"city": row["city"] or "", "artist": row["artist"] or "", "plain": plain_title(row["title"]), "action": "kept"}
+        row |= {"city": row["city"] or "", "artist": row["artist"] or "", "plain": plain_title(row["title"])}
         match = next((k for k in kept if _same(k, row)), None) if row["side"] else None
         if match is None:
             row["action"] = "new" if row["side"] else "kept"
@@ -106,32 +104,61 @@ def scan_day(day: pd.DataFrame) -> pd.DataFrame:
             continue
         row["action"] = "absorbed"
         if (not match["artist"] or match["artist"] in EMPTY_ARTISTS) and row["artist"] and row["artist"] not in EMPTY_ARTISTS:
-            match["artist"] = row["artist"]
-            match["enriched"] = match.get("enriched", 0) + 1
+            match["artist"], match["changed"] = row["artist"], True
             if row["artist"] not in match["title"]:
                 match["title"] = f"【{row['artist']}】" + re.sub("^【.*?】", "", match["title"])
                 match["plain"] = plain_title(match["title"])
-    out = pd.DataFrame(rows)
-    out["action"] = [f"{r['action']}+enriched" if r.get("enriched") else r["action"] for r in rows]
-    return out[["start_date", "side", "ord", "action", "artist", "title"]]
+
+
+def _decided(days: pa.Table) -> pa.Table:
+    rows = days.select(["start_date", "side", "title", "city", "artist"]).to_pylist()
+    first = 0
+    for k in range(1, len(rows) + 1):
+        if k == len(rows) or rows[k]["start_date"] != rows[first]["start_date"]:
+            if rows[first]["start_date"]:
+                scan_day(rows[first:k])
+            else:
+                for row in rows[first:k]:
+                    row["action"] = "new" if row["side"] else "kept"
+            first = k
+    new = lambda c: [r[c] if r.get("changed") else old for r, old in zip(rows, days.column(c).to_pylist(), strict=True)]
+    for c in ("artist", "title"):
+        days = days.set_column(days.column_names.index(c), c, pa.array(new(c), pa.string()))
+    actions = [r["action"] + "+enriched" * ("changed" in r) for r in rows]
+    days = days.append_column("action", pa.array(actions, pa.string()))
+    return days.filter(pa.array([a != "absorbed" for a in actions])).drop_columns(["start_date"])
+
+
+def _scan(batches):
+    """Days as they stream by in order; a day that goes on in the next batch waits for its end."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        dates = rows.column("start_date").to_pylist()
+        cut = len(dates)
+        while cut and dates[-1] and dates[cut - 1] == dates[-1]:
+            cut -= 1
+        if cut:
+            yield from _decided(rows.slice(0, cut)).to_batches()
+        held = rows.slice(cut)
+    if held is not None and held.num_rows:
+        yield from _decided(held).to_batches()
 
 
 def merge(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """The primary list with the secondary rows that are new, in order (side, ord), and ``action``.
 
-    Rows need ``ord``, unique in each list.  Undated rows match nothing and are all kept.
-    One shuffle by start date decides; one by (side, ord) brings the decisions to the rows.
+    Rows need ``ord``, unique in each list.  Undated rows match nothing and are all kept; they
+    are dealt by ``ord``.  One shuffle brings each start date together; its rows stream by
+    sorted, and only one date's are held.
     """
     both = primary.withColumn("side", F.lit(0)).unionByName(secondary.withColumn("side", F.lit(1)))
     both = both.withColumn("start_date", start_date(F.col("date")))
-    undated = both.filter("start_date = ''").withColumn("action", F.when(F.col("side") == 0, "kept").otherwise("new")).drop("start_date")
-    dated = both.filter("start_date <> ''")
-    decided = dated.select("start_date", "side", "ord", "title", "city", "artist").groupBy("start_date").applyInPandas(scan_day, _DECISION)
-    decided = decided.filter("action <> 'absorbed'").select("side", "ord", "action", F.col("artist").alias("_artist"), F.col("title").alias("_title"))
-    rows = dated.drop("start_date").join(decided, ["side", "ord"])
-    changed = F.col("action").endswith("+enriched")
-    rows = rows.withColumns({"artist": F.when(changed, F.col("_artist")).otherwise(F.col("artist")), "title": F.when(changed, F.col("_title")).otherwise(F.col("title"))})
-    return rows.drop("_artist", "_title").unionByName(undated)
+    key = F.when(F.col("start_date") == "", F.col("ord").cast("string")).otherwise(F.col("start_date"))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name != "start_date")
+    sorted_ = both.repartition(key).sortWithinPartitions("start_date", "side", "ord")
+    return sorted_.mapInArrow(_scan, f"{columns}, action string")
 
 
 def as_list(merged: DataFrame) -> DataFrame:
