@@ -191,6 +191,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     drawn = names.join(known, ["type", "value"]).select("mention", render(F.col("type"), F.col("mention"), F.col("surrogate")).alias("new"))
     own = each.join(drawn, "mention").groupBy("digest")
     own = own.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("_new")).withColumnRenamed("digest", "_digest")
+    own = materialise(own)  # so that Spark can split the join's tasks of texts with very many copies
     joined = docs.join(own, F.md5(text) == F.col("_digest"), "left")
     rewritten = F.array_join(F.zip_with(F.split(F.col(text_col), MENTION, -1), F.col("_new"), lambda piece, new: F.concat(piece, F.coalesce(new, F.lit("")))), "")
     return joined.withColumns(
