@@ -8,6 +8,7 @@ the regular expressions below.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As materialise, but a compressed table, for what holds texts; it stays until the folder is cleared."""
+    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     context = spark.sparkContext

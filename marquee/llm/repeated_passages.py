@@ -23,7 +23,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from marquee.llm.common import WordHashes, materialise, slices, texts, window_hashes
+from marquee.llm.common import WordHashes, materialise, slices, texts, window_hashes, written
 
 WINDOW, ANCHOR = 50, 15
 #: Phrases of an automaton.
@@ -83,9 +83,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = table.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc").alias("first"))
     ranked = table.drop("anchors").join(firsts, "sha", "left")
     heads = table.join(firsts.select("sha", F.col("first").alias("doc")), ["sha", "doc"], "left_semi")
-    each = heads.select("doc", "h", F.explode("anchors").alias("a")).distinct()
+    each = heads.select("doc", F.explode("anchors").alias("a"))
     recurring = each.groupBy("a").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y").select("a")
-    lists = each.join(recurring, "a").groupBy("doc", "h").agg(F.collect_list("a").alias("confirmed"))
+    lists = each.join(materialise(recurring), "a").groupBy("doc").agg(F.collect_list("a").alias("confirmed"))
 
     def locate(batches):
         hashes, shard, phrases = WordHashes(), [], 0
@@ -116,11 +116,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if shard:
             yield flush()
 
-    streamed = held.select("doc", "text", "h").join(lists, ["doc", "h"]).mapInArrow(locate, "doc long, h long, words string, starts array<int>, windows array<long>")
-    streamed = materialise(streamed.filter(F.size("windows") > 0))
-    windows = streamed.select("doc", "h", F.explode(F.arrays_zip("starts", "windows")).alias("w")).select("doc", "h", F.col("w.starts").alias("start"), F.col("w.windows").alias("window"))
+    streamed = held.select("doc", "text", "h").join(lists, "doc").mapInArrow(locate, "doc long, h long, words string, starts array<int>, windows array<long>")
+    streamed = written(streamed.filter(F.size("windows") > 0))
+    # One number for the text and the place in it keeps these many rows small.
+    place = lambda start: (F.col("h").bitwiseAND((1 << 31) - 1) * (1 << 32)) + start
+    windows = streamed.select("doc", "h", F.explode(F.arrays_zip("starts", "windows")).alias("w")).select("doc", place(F.col("w.starts")).alias("place"), F.col("w.windows").alias("window"))
     owners = windows.groupBy("window").agg(F.min("doc").alias("owner"), F.max("doc").alias("y")).filter("owner <> y").select("window", "owner")
-    gone = windows.join(owners, "window").filter("owner < doc").groupBy("doc", "h").agg(F.collect_set("start").alias("gone"))
+    # Both sides of this join come straight from a shuffle, so Spark splits the tasks of windows that very many texts share.
+    later = windows.join(materialise(owners), "window").filter("owner < doc")
+    gone = later.groupBy("doc", F.shiftright("place", 32).alias("text_key")).agg(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("gone"))
 
     def cut(batches):
         for batch in batches:
@@ -137,7 +141,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_pydict({"doc": pa.array(cols[0], pa.int64()), "h": pa.array(cols[1], pa.int64()), "n_removed": pa.array(cols[2], pa.int64()), "kept": pa.array(cols[3], pa.string()), "kept_text": pa.array(cols[4], pa.string())})
 
-    changed = streamed.select("doc", "h", "words").dropDuplicates(["doc", "h"]).join(gone, ["doc", "h"])
+    changed = streamed.select("doc", "h", "words", F.col("h").bitwiseAND((1 << 31) - 1).alias("text_key")).dropDuplicates(["doc", "h"]).join(gone, ["doc", "text_key"])
     changed = changed.mapInArrow(cut, "doc long, h long, n_removed long, kept string, kept_text string")
     copy = F.coalesce(F.col("first") < F.col("doc"), F.lit(False))
     return ranked.join(changed, ["doc", "h"], "left").select(
