@@ -9,7 +9,7 @@
     one frequent passage or word brings nobody together; sets that share a key are joined in a
     star, in the task first and then across tasks.
 3.  The candidate components are cut into blocks of bounded bytes by size.  Each pair of
-    blocks whose sizes allow a link is a tile.  In a tile hashed bitmaps and their bit counts
+    blocks whose sizes allow a link, and that is not one component already, is a tile.  In a tile hashed bitmaps and their bit counts
     bound every overlap from above; pairs that may link are settled by intersecting the
     sorted arrays, unless the tile has connected them already.
 4.  The components of the links are the result.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from marquee.llm.common import WordHashes, materialise, mix, slices, texts, window_hashes
-from marquee.llm.components import components
+from marquee.llm.components import components, contract
 
 #: Words of a shingle; linked are sets with 100 * intersection >= PERCENT * union.
 WIDTH, PERCENT = 5, 80
@@ -227,7 +227,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             _, _, a, b = _stars(np.concatenate(found.pop(bucket)), np.concatenate(ids.pop(bucket)))
             yield _edges(*_distinct(a, b))
 
-    shared = held.mapInArrow(candidates, packed).repartition(buckets, "bucket").mapInArrow(meet, "a long, b long").distinct()
+    def shared_keys(batches):
+        return contract(meet(batches))
+
+    shared = held.mapInArrow(candidates, packed).repartition(buckets, "bucket").mapInArrow(shared_keys, "a long, b long")
     named = table.filter("digest IS NOT NULL AND doc_id IS NOT NULL").join(classes, "digest").select("doc_id", "class_id", "n_shingles").distinct()
     named = materialise(named)
     to = lambda c: named.select(F.col("doc_id").alias(c), F.col("class_id").alias(f"_{c}"))
@@ -239,18 +242,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = F.col("n_shingles") * 8 + F.lit(block_bytes // BLOCK_SETS)
     block = F.floor(F.coalesce(F.sum(weight).over(by_size), F.lit(0)) / block_bytes)
     sized = materialise(sized.withColumn("block", block))
-    spans = sized.groupBy("near", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    x, y = spans.alias("x"), spans.alias("y")
-    tiles = x.join(y, (F.col("x.near") == F.col("y.near")) & (F.col("x.block") <= F.col("y.block")) & (100 * F.col("x.high") >= percent * F.col("y.low")))
-    tiles = tiles.select(F.col("x.near").alias("near"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    sides = tiles.select("near", F.col("i").alias("block"), "i", "j").unionByName(tiles.filter("i <> j").select("near", F.col("j").alias("block"), "i", "j"))
-    seats = sized.join(sides, ["near", "block"]).groupBy("doc_id").agg(F.collect_list(F.struct("near", "i", "j", "block")).alias("seats"))
 
     def load(batches):
         hashes = WordHashes()
         for ids, rows, where in slices(batches, ("doc_id", "text", "seats")):
             sets = [shingles(t, hashes, width).tobytes() for t in rows]
-            flat = [(s["near"], s["i"], s["j"], s["block"], k) for k, seats_ in enumerate(where) for s in seats_]
+            flat = [(s["near"], s["i"], s["j"], s["block"], k) for k, seats in enumerate(where) for s in seats]
             for at in range(0, len(flat), 2000):
                 part = flat[at : at + 2000]
                 yield pa.RecordBatch.from_pydict({"near": pa.array([p[0] for p in part], pa.int64()), "i": pa.array([p[1] for p in part], pa.int64()), "j": pa.array([p[2] for p in part], pa.int64()), "block": pa.array([p[3] for p in part], pa.int64()), "doc_id": pa.array([ids[p[4]] for p in part], pa.int64()), "own": pa.array([sets[p[4]] for p in part], pa.binary())})
@@ -259,9 +256,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("own")]
         return pa.table({k: pa.array(v, pa.int64()) for k, v in zip("ab", settle(group.column("doc_id").to_pylist(), sets, group.column("block").to_numpy(), percent), strict=True)})
 
-    rows = held.join(seats, "doc_id").mapInArrow(load, "near long, i long, j long, block long, doc_id long, own binary")
-    links = rows.groupBy("near", "i", "j").applyInArrow(link, "a long, b long")
-    found = components(links)
+    def links(tiles: DataFrame) -> DataFrame:
+        """The links of tiles (near, i, j)."""
+        sides = tiles.select("near", F.col("i").alias("block"), "i", "j").unionByName(tiles.filter("i <> j").select("near", F.col("j").alias("block"), "i", "j"))
+        seats = sized.join(sides, ["near", "block"]).groupBy("doc_id").agg(F.collect_list(F.struct("near", "i", "j", "block")).alias("seats"))
+        rows = held.join(seats, "doc_id").mapInArrow(load, "near long, i long, j long, block long, doc_id long, own binary")
+        return materialise(rows.groupBy("near", "i", "j").applyInArrow(link, "a long, b long"))
+
+    def tiles(ends: DataFrame, which) -> DataFrame:
+        """Pairs of blocks of a candidate component whose sizes allow links."""
+        x, y = ends.alias("x"), ends.alias("y")
+        fit = (F.col("x.near") == F.col("y.near")) & (F.col("x.block") <= F.col("y.block")) & (100 * F.col("x.high") >= percent * F.col("y.low"))
+        return x.join(y, fit & which).select(F.col("x.near").alias("near"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+
+    # Blocks with themselves and with the next come first; they mostly connect what there is to connect.
+    ends = sized.groupBy("near", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    near_tiles = F.col("y.block") - F.col("x.block") <= 1
+    first = links(tiles(ends, near_tiles))
+    found = components(first)
+    # Then the pairs of blocks further apart, but for those that are one component already.
+    large = sized.join(ends.filter("block >= 2").select("near").distinct(), "near", "left_semi")
+    named_blocks = large.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
+    ends = named_blocks.groupBy("near", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.min("component").alias("from"), F.max("component").alias("to"))
+    open_ = ~((F.col("x.from") == F.col("x.to")) & (F.col("y.from") == F.col("y.to")) & (F.col("x.from") == F.col("y.from")))
+    far = materialise(tiles(materialise(ends), ~near_tiles & open_))
+    if not far.isEmpty():
+        found = components(first.unionByName(links(far)))
     final = classes.join(found, F.col("class_id") == F.col("node"), "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     joined = table.join(final, "digest", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
