@@ -70,8 +70,7 @@ def enrich_artist(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     return best.select("id", "artist", enriched_title(F.col("title"), F.col("artist")).alias("title"))
 
 
-_BLANKS = re.compile(r"[\s   -     　﻿]+")
-_BRACKETS = re.compile(r"【.*?】|\[.*?\]|\(.*?\)")
+_BLANKS = re.compile("[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 _WORDS = re.compile(r"演唱会|巡回|站|世界|live|tour|concert")
 
 
