@@ -12,7 +12,7 @@ from marquee.functions import dates, text
 from marquee.operators import calendar, classify, control, listings as ops, merge, store
 from marquee.plans.listings_view import LISTINGS_SQL, listings
 from marquee.sources import landing
-from marquee.schema import CITY_BLACKLIST, NOISE_TAGS, STATUS, TRIBUTE_WORDS, WEEKDAYS
+from marquee.schema import CITY_BLACKLIST, EMPTY_ARTISTS, NOISE_TAGS, STATUS, TRIBUTE_WORDS, WEEKDAYS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,6 +96,56 @@ PAIRS AS (
 """
 
 
+_EMPTY = list_sql(("", *EMPTY_ARTISTS))
+_NEW_TITLE = "CASE WHEN contains(x.title, artist) THEN x.title ELSE '【' || artist || '】' || regexp_replace(x.title, '^【.*?】', '') END"
+_FIELDS = ("id", "side", "ord", "title", "nt", "city", "date", "artist")
+
+
+def _struct(**changed: str) -> str:
+    return "{" + ", ".join(f"'{f}': {changed.get(f, 'x.' + f)}" for f in (*_FIELDS, "enriched")) + "}"
+
+
+def merge_sql(n: int, source: str) -> str:
+    """CTEs that merge a source (id, title, artist, city, date, side, ord) into M{n}, with action.
+
+    One step for each secondary row of a date; the state is the date's list so far.
+    """
+    own = _struct(**{f: f for f in _FIELDS}, enriched="false")
+    renamed = _struct(title=_NEW_TITLE, nt=norm_sql(f"({_NEW_TITLE})"), artist="artist", enriched="true")
+    return f""", N{n} AS (SELECT *, {start_sql("date")} AS sd, {norm_sql("title")} AS nt FROM ({source})),
+S{n} AS (SELECT *, row_number() OVER (PARTITION BY sd ORDER BY ord) AS step FROM N{n} WHERE side = 1 AND sd <> ''),
+R{n}(sd, k, m) AS (
+  SELECT sd, 0::BIGINT, coalesce(list({own} ORDER BY ord) FILTER (side = 0), []) FROM N{n} WHERE sd <> '' GROUP BY sd
+  UNION ALL
+  SELECT sd, step, CASE WHEN hit IS NULL THEN list_append(m, {own})
+    WHEN list_contains({_EMPTY}, m[hit].artist) AND NOT list_contains({_EMPTY}, artist)
+      THEN list_transform(m, lambda x, i: CASE WHEN i = hit THEN {renamed} ELSE x END)
+    ELSE m END
+  FROM (
+    SELECT R.m, S.*, list_filter(range(1, len(R.m) + 1), lambda i:
+        (contains(R.m[i].city, S.city) OR contains(S.city, R.m[i].city))
+        AND CASE WHEN R.m[i].artist <> '' AND S.artist <> '' THEN R.m[i].artist = S.artist
+          WHEN length(R.m[i].nt) < 2 OR length(S.nt) < 2 THEN contains(R.m[i].title, S.title) OR contains(S.title, R.m[i].title)
+          ELSE contains(R.m[i].nt, S.nt) OR contains(S.nt, R.m[i].nt) END)[1] AS hit
+    FROM R{n} AS R JOIN S{n} AS S ON R.sd = S.sd AND S.step = R.k + 1)),
+M{n} AS (
+  SELECT x.id, x.title, x.artist, x.city, x.date, x.side, x.ord,
+    CASE WHEN x.side = 0 THEN 'kept' ELSE 'new' END || CASE WHEN x.enriched THEN '+enriched' ELSE '' END AS action
+  FROM (SELECT unnest(m) AS x FROM (SELECT sd, arg_max(m, k) AS m FROM R{n} GROUP BY sd))
+  UNION ALL SELECT id, title, artist, city, date, side, ord, CASE WHEN side = 0 THEN 'kept' ELSE 'new' END FROM N{n} WHERE sd = '')
+"""
+
+
+def _after(n: int) -> str:
+    """M{n} as the primary list of the next merge with source n + 1."""
+    rest = f"SELECT id, title, artist, city, date, 1, ord FROM L WHERE src = {n + 1}"
+    return f"SELECT id, title, artist, city, date, 0 AS side, CAST(side AS BIGINT) * {n << 52} + ord AS ord FROM M{n} UNION ALL {rest}"
+
+
+MERGE_SQL = LISTINGS_SQL.replace("WITH L0", "WITH RECURSIVE L0", 1) + merge_sql(1, "SELECT id, title, artist, city, date, src AS side, ord FROM L WHERE src < 2")
+MERGE_ALL_SQL = MERGE_SQL + merge_sql(2, _after(1)) + merge_sql(3, f"SELECT id, title, artist, city, date, 1 AS side, CAST(side AS BIGINT) * {2 << 52} + ord AS ord FROM M2")
+
+
 # --- scans, filters, order, pages -------------------------------------------------------
 
 
@@ -482,19 +532,24 @@ def enrich_artist(spark, sf_dir):
     return merge.enrich_artist(a, b)
 
 
-@query()
+@query(MERGE_SQL + "SELECT id, title, artist, side, ord, action FROM M1", view=False)
 def merge_full(spark, sf_dir):
     a, b, _ = _sources(spark, sf_dir)
     return merge.merge(a, b).select("id", "title", "artist", "side", "ord", "action")
 
 
-@query()
+@query(MERGE_ALL_SQL + "SELECT id, title, artist, side, ord, action FROM M3", view=False)
 def merge_sources(spark, sf_dir):
     a, b, c = _sources(spark, sf_dir)
     return merge.merge_all(a.limit(0), [a, b, c]).select("id", "title", "artist", "side", "ord", "action")
 
 
-@query()
+@query(
+    MERGE_SQL
+    + """SELECT count(*) FILTER (WHERE starts_with(action, 'new')) AS n_new, count(*) FILTER (WHERE ends_with(action, '+enriched')) AS n_enriched,
+      count(*) AS total_combined, count(*) - count(*) FILTER (WHERE side = 0) AS total_new FROM M1""",
+    view=False,
+)
 def merge_summary(spark, sf_dir):
     a, b, _ = _sources(spark, sf_dir)
     return merge.summary(merge.merge(a, b), a.count())
