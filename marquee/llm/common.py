@@ -11,7 +11,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F

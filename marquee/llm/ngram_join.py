@@ -2,12 +2,11 @@
 
 1.  Each text becomes the sorted array of its distinct shingle hashes.  Equal arrays are one
     class, represented by its smallest doc_id.
-2.  Candidates.  Sets within the threshold differ in at most D shingles, D from their sizes.
-    In every size band hash space is cut into D + 1 + slack parts; by the pigeonhole
-    principle two linked sets agree in a part that is not empty, unless both have more empty parts
-    than the slack, and such sets share one further key.  A part's content is the key, so
-    one frequent passage or word brings nobody together; sets that share a key are joined in a
-    star, in the task first and then across tasks.
+2.  Candidates.  All shingles have one order, rare ones first by counts in hashed buckets
+    over the whole corpus.  Linked sets share one of their first shingles, a fifth of a set or
+    less; a passage or phrase that very many texts share comes late in the order and
+    brings nobody together who has enough words of their own.  Sets that share a key are joined in
+    a star, in the task first and then across tasks.
 3.  The candidate components are cut into blocks of bounded bytes by size.  Each pair of
     blocks whose sizes allow a link, and that is not one component already, is a tile.  In a tile hashed bitmaps and their bit counts
     bound every overlap from above; pairs that may link are settled by intersecting the
@@ -19,14 +18,14 @@ No step is approximate but for equal 64-bit hashes of different shingles.
 
 from __future__ import annotations
 
-import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marquee.llm.common import WordHashes, materialise, mix, slices, texts, window_hashes
+from marquee.llm.common import WordHashes, materialise, slices, texts, window_hashes
 from marquee.llm.components import components, contract
 
 #: Words of a shingle; linked are sets with 100 * intersection >= PERCENT * union.
@@ -35,6 +34,9 @@ WIDTH, PERCENT = 5, 80
 BLOCK_BYTES, BLOCK_SETS, SEEN = 6 << 20, 4096, 300_000
 #: Words of a bitmap for each 64 shingles of the largest set in a tile.
 BITMAP = 4
+#: log2 of the buckets in which occurrences of shingles are counted, and blocks in which the counts are added up.
+BITS, BLOCKS = 20, 64
+_BUCKET = np.uint64((1 << BITS) - 1)
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -53,57 +55,24 @@ def digest(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-class Bands:
-    """Size bands and, for each, the parts of hash space.
+def common(counts: np.ndarray) -> np.ndarray:
+    """A place in the order of shingles for each bucket: the more often its shingles occur, the later."""
+    return np.minimum(counts, (1 << 32) - 1).astype(np.uint64)
 
-    Linked sizes differ by at most a factor of 100 / percent, so their bands are equal or
-    neighbours: tile t takes the sets of the bands t and t - 1.
-    """
-
-    def __init__(self, percent: int):
-        self.percent, self.log = percent, math.log(100 / (percent - 0.1))
-
-    def band(self, n: np.ndarray) -> np.ndarray:
-        return np.floor(np.log(n) / self.log).astype(np.int64)
-
-    def parts(self, tile: int) -> tuple[int, int]:
-        """Parts of a tile, and how many of them a set may have empty before it counts as sparse."""
-        low, high = math.exp((tile - 1) * self.log), math.exp((tile + 1) * self.log)
-        differ = int(2 * math.floor(high + 1) * (100 - self.percent) / (100 + self.percent))
-        slack = 2
-        while True:
-            k = differ + 1 + slack
-            empty = k * math.exp(-low / k)
-            if slack >= empty + 4 * math.sqrt(empty) or slack > differ + 8:
-                return k, slack
-            slack += 1
 
+def keys(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of some sets, and the place of each key's set among them.
 
-def keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of some sets, and the place of each key's set among them."""
+    In one order of all shingles, rare ones first, two sets of which the larger has n and that
+    share ceil(percent * n / 100) shingles at least have one in common among the first
+    size - ceil(percent * size / 100) + 1 of each.
+    """
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    of = bands.band(sizes)
-    mixed = mix(flat + np.uint64(0x1F83D9ABFB41BD6B))
-    out_keys, out_owner = [], []
-    for step in (0, 1):
-        table = {t: bands.parts(t) for t in set((of + step).tolist())}
-        k = np.array([table[t][0] for t in (of + step).tolist()], np.uint64)
-        slack = np.array([table[t][1] for t in (of + step).tolist()])
-        part = ((flat >> np.uint64(32)) * k[owner]) >> np.uint64(32)
-        new = np.empty(len(flat), bool)
-        new[0] = True
-        new[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
-        starts = np.flatnonzero(new)
-        whose = owner[starts]
-        tile = (of + step)[whose].astype(np.uint64)
-        out_keys.append(mix(np.add.reduceat(mixed, starts) ^ mix((tile << np.uint64(32)) + part[starts])))
-        out_owner.append(whose)
-        full = np.bincount(whose, minlength=len(sets))
-        sparse = np.flatnonzero(k.astype(np.int64) - full > slack)
-        out_keys.append(mix((of + step)[sparse].astype(np.uint64) + np.uint64(0x510E527FADE682D1)))
-        out_owner.append(sparse)
-    return np.concatenate(out_keys), np.concatenate(out_owner)
+    order = np.lexsort((flat, counts[(flat & _BUCKET).astype(np.int64)], owner))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = place < (sizes + (-percent * sizes) // 100 + 1)[owner]
+    return flat[order][first], owner[first]
 
 
 def _stars(found: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,22 +141,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id should repeat its text; a row without doc_id takes the component of its set, if
     rows with a doc_id have it, or else null.  An empty table gives no row; extra columns are ignored.
     """
-    spark, bands = docs.sparkSession, Bands(percent)
+    spark = docs.sparkSession
     held = texts(docs, id_col, text_col)
-    schema = "doc_id long, n_shingles long, digest binary"
+    fewest = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))  # smaller sets link with equal ones only
 
     def describe(batches):
-        hashes = WordHashes()
+        """A row for each text, then the task's counts of shingles, each class counted once."""
+        hashes, seen, counts = WordHashes(), set(), np.zeros(1 << BITS, np.uint32)
         for ids, rows in slices(batches):
             sets = [shingles(t, hashes, width) for t in rows]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([digest(s) if len(s) else None for s in sets], pa.binary())})
-
-    table = materialise(held.mapInArrow(describe, schema))
+            names = [digest(s) if len(s) else None for s in sets]
+            for s, name in zip(sets, names, strict=True):
+                if len(s) >= fewest and name not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(name)
+                    np.add.at(counts, (s & _BUCKET).astype(np.int64), 1)
+            nothing = [None] * len(ids)
+            yield _described(ids, [len(s) for s in sets], names, nothing, nothing)
+        blocks = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, BLOCKS)] if seen else []
+        nothing = [None] * len(blocks)
+        yield _described(nothing, nothing, nothing, range(len(blocks)), blocks)
+
+    described = materialise(held.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, block int, counts binary"))
+    table = described.filter("block IS NULL").drop("block", "counts")
+    added = described.filter("block IS NOT NULL").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(_added, "block int, counts binary").collect()
+    counts = np.zeros(1 << BITS, np.uint64)
+    for row in added:  # 2 ** BITS sums in all
+        counts[row.block * len(counts) // BLOCKS : (row.block + 1) * len(counts) // BLOCKS] = np.frombuffer(zlib.decompress(row.counts), np.uint64)
+    ranks = spark.sparkContext.broadcast(common(counts))
     classes = table.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     classes = materialise(classes)
 
-    fewest = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))  # smaller sets link with equal ones only
-    buckets = max(8, 2 * spark.sparkContext.defaultParallelism, int((table.agg(F.sum("n_shingles")).first()[0] or 0) // 4_000_000))
+    buckets = max(8, 2 * spark.sparkContext.defaultParallelism, int((table.agg(F.sum("n_shingles")).first()[0] or 0) // 8_000_000))
     packed = "bucket int, keys binary, ids binary, a binary, b binary"
 
     def candidates(batches):
@@ -204,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sets.append(s)
                 own.append(doc)
             if sets:
-                found, owner = keys(sets, bands)
+                found, owner = keys(sets, ranks.value, percent)
                 found, hub, a, b = _stars(found, np.array(own, np.int64)[owner])
                 where = (found % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
@@ -287,5 +273,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def _described(ids, sizes, names, block, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(names, pa.binary()), "block": pa.array(block, pa.int32()), "counts": pa.array(counts, pa.binary())})
+
+
+def _added(batches):
+    """Sums of the counts of each block, as they stream by."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = sums.setdefault(row["block"], np.zeros((1 << BITS) // BLOCKS, np.uint64))
+            own += np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
+    yield pa.RecordBatch.from_pydict({"block": pa.array(sums, pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())})
+
+
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])

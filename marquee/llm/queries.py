@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from marquee.llm.common import documents, labels, shared_dir
 from marquee.llm.exact_dedup import exact_dedup

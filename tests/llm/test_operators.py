@@ -146,7 +146,7 @@ def test_ngram_join_many_edited_copies(spark):
 
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_linked_sets_share_a_key(percent):
-    r, bands = random.Random(percent), ngram_join.Bands(percent)
+    r, counts = random.Random(percent), np.random.default_rng(percent).integers(0, 50, 1 << ngram_join.BITS).astype(np.uint64)
     for n in (4, 6, 7, 10, 17, 20, 40, 85, 100, 300, 1000):
         for _ in range(20):
             a = {r.getrandbits(64) for _ in range(n)}
@@ -158,7 +158,7 @@ def test_linked_sets_share_a_key(percent):
                     break
                 b = c
             sets = [np.array(sorted(s), np.uint64) for s in (a, b)]
-            found, owner = ngram_join.keys(sets, bands)
+            found, owner = ngram_join.keys(sets, counts, percent)
             assert a == b or set(found[owner == 0]) & set(found[owner == 1])
 
 
