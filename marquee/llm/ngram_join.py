@@ -2,16 +2,17 @@
 
 1.  Each text becomes the sorted array of its distinct shingle hashes.  Equal arrays are one
     class, represented by its smallest doc_id.
-2.  Candidates.  All shingles have one order, rare ones first by counts in hashed buckets
-    over the whole corpus.  Linked sets share one of their first shingles, a fifth of a set or
-    less; a passage or phrase that very many texts share comes late in the order and
-    brings nobody together who has enough words of their own.  Sets that share a key are joined in
-    a star, in the task first and then across tasks.
-3.  The candidate components are cut into blocks of bounded bytes by size.  Each pair of
+2.  Repeated shingles.  All shingles meet in buckets by hash, where it shows which of them
+    another class has too.  A class with fewer of those than a link takes has no link and
+    is done; a shared passage alone leaves it so.
+3.  Candidates.  The shingles of the others have one order, rare ones first by counts in
+    hashed buckets.  Linked sets share one of their first shingles, a fifth of a set or less.
+    Sets that share a key are joined in a star, in the task first and then across tasks.
+4.  The candidate components are cut into blocks of bounded bytes by size.  Each pair of
     blocks whose sizes allow a link, and that is not one component already, is a tile.  In a tile hashed bitmaps and their bit counts
     bound every overlap from above; pairs that may link are settled by intersecting the
     sorted arrays, unless the tile has connected them already.
-4.  The components of the links are the result.
+5.  The components of the links are the result.
 
 No step is approximate but for equal 64-bit hashes of different shingles.
 """
@@ -25,13 +26,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marquee.llm.common import WordHashes, materialise, slices, texts, window_hashes
+from marquee.llm.common import WordHashes, materialise, slices, texts, window_hashes, written
 from marquee.llm.components import components, contract
 
 #: Words of a shingle; linked are sets with 100 * intersection >= PERCENT * union.
 WIDTH, PERCENT = 5, 80
 #: Bytes of shingle hashes and number of sets in a block, and classes that a task remembers to skip their copies.
 BLOCK_BYTES, BLOCK_SETS, SEEN = 6 << 20, 4096, 300_000
+#: Characters of text for each bucket of shingles that a task compares.
+BUCKET_CHARS = 24_000_000
 #: Words of a bitmap for each 64 shingles of the largest set in a tile.
 BITMAP = 4
 #: log2 of the buckets in which occurrences of shingles are counted, and blocks in which the counts are added up.
@@ -144,54 +147,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     held = texts(docs, id_col, text_col)
     fewest = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))  # smaller sets link with equal ones only
+    least = 2 * spark.sparkContext.defaultParallelism
+    buckets = max(8, least, int(held.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS)
 
     def describe(batches):
-        """A row for each text, then the task's counts of shingles, each class counted once."""
-        hashes, seen, counts = WordHashes(), set(), np.zeros(1 << BITS, np.uint32)
+        """The shingles of each class of a chunk of texts by bucket, and with the first of them a row for each text."""
+        hashes, seen = WordHashes(), set()
         for ids, rows in slices(batches):
             sets = [shingles(t, hashes, width) for t in rows]
             names = [digest(s) if len(s) else None for s in sets]
+            new: dict[bytes, np.ndarray] = {}
             for s, name in zip(sets, names, strict=True):
                 if len(s) >= fewest and name not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(name)
-                    np.add.at(counts, (s & _BUCKET).astype(np.int64), 1)
-            nothing = [None] * len(ids)
-            yield _described(ids, [len(s) for s in sets], names, nothing, nothing)
-        blocks = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, BLOCKS)] if seen else []
-        nothing = [None] * len(blocks)
-        yield _described(nothing, nothing, nothing, range(len(blocks)), blocks)
-
-    described = materialise(held.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, block int, counts binary"))
-    table = described.filter("block IS NULL").drop("block", "counts")
-    added = described.filter("block IS NOT NULL").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(_added, "block int, counts binary").collect()
+                    new[name] = s
+            yield _dealt(new, buckets, ids, [len(s) for s in sets], names)
+
+    kinds = "bucket int, keys binary, owners binary, lengths binary, ids array<long>, sizes array<long>, names array<binary>"
+    described = materialise(held.mapInArrow(describe, kinds).repartition(buckets, "bucket").mapInArrow(_repeated, "doc_id long, n_shingles long, digest binary, owner long, repeated long"))
+    table = described.filter("repeated IS NULL").drop("owner", "repeated")
+    classes = described.filter("repeated IS NULL AND digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n_shingles"), F.max("owner").alias("owner"))
+    classes = materialise(classes)
+    repeated = described.filter("repeated IS NOT NULL").groupBy("owner").agg(F.sum("repeated").alias("repeated"))
+    able = classes.join(repeated, "owner").filter(F.col("repeated") * 100 >= F.col("n_shingles") * percent)
+    able = materialise(able.select(F.col("class_id").alias("doc_id"), "n_shingles"))
+    held = written(held.join(able, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]))
+
+    def count(batches):
+        """The task's counts of shingles."""
+        hashes, counts = WordHashes(), np.zeros(1 << BITS, np.uint32)
+        for _, rows in slices(batches):
+            for text in rows:
+                np.add.at(counts, (shingles(text, hashes, width) & _BUCKET).astype(np.int64), 1)
+        blocks = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, BLOCKS)] if counts.any() else []
+        yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(blocks)), pa.int32()), "counts": pa.array(blocks, pa.binary())})
+
     counts = np.zeros(1 << BITS, np.uint64)
-    for row in added:  # 2 ** BITS sums in all
+    for row in held.mapInArrow(count, "block int, counts binary").repartition(BLOCKS, "block").mapInArrow(_added, "block int, counts binary").collect():  # 2 ** BITS sums in all
         counts[row.block * len(counts) // BLOCKS : (row.block + 1) * len(counts) // BLOCKS] = np.frombuffer(zlib.decompress(row.counts), np.uint64)
     ranks = spark.sparkContext.broadcast(common(counts))
-    classes = table.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    classes = materialise(classes)
-
-    buckets = max(8, 2 * spark.sparkContext.defaultParallelism, int((table.agg(F.sum("n_shingles")).first()[0] or 0) // 8_000_000))
+    buckets = max(8, least, int(able.agg(F.sum("n_shingles")).first()[0] or 0) // 8_000_000)
     packed = "bucket int, keys binary, ids binary, a binary, b binary"
 
     def candidates(batches):
-        hashes, seen = WordHashes(), set()
+        hashes = WordHashes()
         for ids, rows in slices(batches):
-            sets, own = [], []
-            for doc, text in zip(ids, rows, strict=True):
-                s = shingles(text, hashes, width)
-                if doc is None or len(s) < fewest or (name := digest(s)) in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(name)
-                sets.append(s)
-                own.append(doc)
+            sets = [shingles(text, hashes, width) for text in rows]
             if sets:
                 found, owner = keys(sets, ranks.value, percent)
-                found, hub, a, b = _stars(found, np.array(own, np.int64)[owner])
+                found, hub, a, b = _stars(found, np.array(ids, np.int64)[owner])
                 where = (found % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 found, hub, ends = found[order], hub[order], np.searchsorted(where[order], np.arange(buckets + 1))
@@ -217,14 +223,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return contract(meet(batches))
 
     shared = held.mapInArrow(candidates, packed).repartition(buckets, "bucket").mapInArrow(shared_keys, "a long, b long")
-    named = table.filter("digest IS NOT NULL AND doc_id IS NOT NULL").join(classes, "digest").select("doc_id", "class_id", "n_shingles").distinct()
-    named = materialise(named)
-    to = lambda c: named.select(F.col("doc_id").alias(c), F.col("class_id").alias(f"_{c}"))
-    between = shared.join(to("a"), "a").join(to("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    near = components(between).withColumnsRenamed({"node": "doc_id", "component": "near"})
+    near = components(shared).withColumnsRenamed({"node": "doc_id", "component": "near"})
 
     by_size = Window.partitionBy("near").orderBy("n_shingles", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sized = near.join(named.filter("doc_id = class_id").select("doc_id", "n_shingles"), "doc_id")
+    sized = near.join(able, "doc_id")
     weight = F.col("n_shingles") * 8 + F.lit(block_bytes // BLOCK_SETS)
     block = F.floor(F.coalesce(F.sum(weight).over(by_size), F.lit(0)) / block_bytes)
     sized = materialise(sized.withColumn("block", block))
@@ -273,8 +275,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _described(ids, sizes, names, block, counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(names, pa.binary()), "block": pa.array(block, pa.int32()), "counts": pa.array(counts, pa.binary())})
+def _dealt(sets: dict[bytes, np.ndarray], buckets: int, ids: list, sizes: list, names: list) -> pa.RecordBatch:
+    """A row for each bucket with 32 bits of each shingle, and of each set there its name's first 8 bytes and its number of shingles."""
+    flat = np.concatenate([np.empty(0, np.uint64), *sets.values()])
+    owner = np.repeat(np.array([int.from_bytes(n[:8], "little", signed=True) for n in sets], np.int64), [len(s) for s in sets.values()])
+    where = (flat % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    ends = np.searchsorted(where[order], np.arange(buckets + 1))
+    short, owner = (flat >> np.uint64(32)).astype(np.uint32)[order], owner[order]
+    rows: list[list] = [[], [], []]
+    for x, y in zip(ends[:-1], ends[1:], strict=True):
+        at = np.flatnonzero(np.concatenate([[y > x], owner[x + 1 : y] != owner[x : y - 1]]))
+        rows[0].append(short[x:y].tobytes())
+        rows[1].append(owner[x:y][at].tobytes())
+        rows[2].append(np.diff(at, append=y - x).astype(np.uint32).tobytes())
+    first = zlib.crc32(repr(ids[:1]).encode()) % buckets
+    told = lambda values: [values if i == first else None for i in range(buckets)]
+    columns = {"bucket": pa.array(range(buckets), pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in zip(("keys", "owners", "lengths"), rows, strict=True)}
+    columns |= {"ids": pa.array(told(ids), pa.list_(pa.int64())), "sizes": pa.array(told(sizes), pa.list_(pa.int64())), "names": pa.array(told(names), pa.list_(pa.binary()))}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _repeated(batches):
+    """The rows of texts as they come, and for each set how many of a bucket's shingles another set has too."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["ids"] is not None:
+                owners = [None if n is None else int.from_bytes(n[:8], "little", signed=True) for n in row["names"]]
+                yield _told(row["ids"], row["sizes"], row["names"], owners, [None] * len(owners))
+            if row["keys"]:
+                owners = np.repeat(np.frombuffer(row["owners"], np.int64), np.frombuffer(row["lengths"], np.uint32))
+                held.setdefault(row["bucket"], []).append((np.frombuffer(row["keys"], np.uint32), owners))
+    for bucket in list(held):
+        parts = held.pop(bucket)
+        found, owners = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        del parts
+        order = np.lexsort((owners, found))
+        found, owners = found[order], owners[order]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (owners[1:] != owners[:-1])
+        found, owners = found[new], owners[new]
+        same = found[1:] == found[:-1]
+        again = np.zeros(len(found), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        names, n = np.unique(owners[again], return_counts=True)
+        nothing = [None] * len(names)
+        yield _told(nothing, nothing, nothing, names, n)
+
+
+def _told(ids, sizes, names, owners, repeated) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(names, pa.binary()), "owner": pa.array(owners, pa.int64()), "repeated": pa.array(repeated, pa.int64())})
 
 
 def _added(batches):
