@@ -293,7 +293,8 @@ def _dealt(sets: dict[bytes, np.ndarray], buckets: int, ids: list, sizes: list,
     told = lambda values: [values if i == first else None for i in range(buckets)]
     columns = {"bucket": pa.array(range(buckets), pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in zip(("keys", "owners", "lengths"), rows, strict=True)}
     columns |= {"ids": pa.array(told(ids), pa.list_(pa.int64())), "sizes": pa.array(told(sizes), pa.list_(pa.int64())), "names": pa.array(told(names), pa.list_(pa.binary()))}
-    return pa.RecordBatch.from_pydict(columns)
+    some = np.flatnonzero((ends[1:] > ends[:-1]) | (np.arange(buckets) == first))
+    return pa.RecordBatch.from_pydict(columns).take(pa.array(some))
 
 
 def _repeated(batches):
@@ -305,24 +306,25 @@ def _repeated(batches):
                 owners = [None if n is None else int.from_bytes(n[:8], "little", signed=True) for n in row["names"]]
                 yield _told(row["ids"], row["sizes"], row["names"], owners, [None] * len(owners))
             if row["keys"]:
-                owners = np.repeat(np.frombuffer(row["owners"], np.int64), np.frombuffer(row["lengths"], np.uint32))
-                held.setdefault(row["bucket"], []).append((np.frombuffer(row["keys"], np.uint32), owners))
+                held.setdefault(row["bucket"], []).append([np.frombuffer(row[k], t) for k, t in (("keys", np.uint32), ("owners", np.int64), ("lengths", np.uint32))])
     for bucket in list(held):
         parts = held.pop(bucket)
-        found, owners = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        del parts
-        order = np.lexsort((owners, found))
-        found, owners = found[order], owners[order]
-        new = np.ones(len(found), bool)
-        new[1:] = (found[1:] != found[:-1]) | (owners[1:] != owners[:-1])
-        found, owners = found[new], owners[new]
-        same = found[1:] == found[:-1]
-        again = np.zeros(len(found), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        names, n = np.unique(owners[again], return_counts=True)
-        nothing = [None] * len(names)
-        yield _told(nothing, nothing, nothing, names, n)
+        for top in range(8):  # an eighth of the shingles at a time, to sort in little memory
+            mine = [keys >> np.uint32(29) == top for keys, _, _ in parts]
+            found = np.concatenate([keys[m] for (keys, _, _), m in zip(parts, mine, strict=True)])
+            owners = np.concatenate([np.repeat(own, n)[m] for (_, own, n), m in zip(parts, mine, strict=True)])
+            order = np.lexsort((owners, found))
+            found, owners = found[order], owners[order]
+            new = np.ones(len(found), bool)
+            new[1:] = (found[1:] != found[:-1]) | (owners[1:] != owners[:-1])
+            found, owners = found[new], owners[new]
+            same = found[1:] == found[:-1]
+            again = np.zeros(len(found), bool)
+            again[1:] |= same
+            again[:-1] |= same
+            names, n = np.unique(owners[again], return_counts=True)
+            nothing = [None] * len(names)
+            yield _told(nothing, nothing, nothing, names, n)
 
 
 def _told(ids, sizes, names, owners, repeated) -> pa.RecordBatch:
