@@ -281,14 +281,20 @@ def _dealt(sets: dict[bytes, np.ndarray], buckets: int, ids: list, sizes: list,
     owner = np.repeat(np.array([int.from_bytes(n[:8], "little", signed=True) for n in sets], np.int64), [len(s) for s in sets.values()])
     where = (flat % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(where, kind="stable")
-    ends = np.searchsorted(where[order], np.arange(buckets + 1))
+    where = where[order]
+    ends = np.searchsorted(where, np.arange(buckets + 1))
     short, owner = (flat >> np.uint64(32)).astype(np.uint32)[order], owner[order]
+    # Runs of one set in one bucket; a bucket without shingles has none.
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (where[1:] != where[:-1])
+    starts = np.flatnonzero(new)
+    lengths = np.diff(starts, append=len(owner)).astype(np.uint32)
+    names_, cuts = owner[starts], np.searchsorted(starts, ends)
     rows: list[list] = [[], [], []]
-    for x, y in zip(ends[:-1], ends[1:], strict=True):
-        at = np.flatnonzero(np.concatenate([[y > x], owner[x + 1 : y] != owner[x : y - 1]]))
+    for x, y, a, b in zip(ends[:-1], ends[1:], cuts[:-1], cuts[1:], strict=True):
         rows[0].append(short[x:y].tobytes())
-        rows[1].append(owner[x:y][at].tobytes())
-        rows[2].append(np.diff(at, append=y - x).astype(np.uint32).tobytes())
+        rows[1].append(names_[a:b].tobytes())
+        rows[2].append(lengths[a:b].tobytes())
     first = zlib.crc32(repr(ids[:1]).encode()) % buckets
     told = lambda values: [values if i == first else None for i in range(buckets)]
     columns = {"bucket": pa.array(range(buckets), pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in zip(("keys", "owners", "lengths"), rows, strict=True)}

@@ -144,6 +144,19 @@ def test_ngram_join_many_edited_copies(spark):
     assert got == brute_components(out, 4, 85)
 
 
+def test_ngram_join_of_one_short_text(spark):
+    buckets = max(8, 2 * spark.sparkContext.defaultParallelism)
+    texts = (prose(random.Random(k), 16) for k in range(1000))
+    text = next(t for t in texts if (ngram_join.shingles(t, ngram_join.WordHashes(), 4) % np.uint64(buckets)).all())
+    out = [tuple(r) for r in ngram_join.near_duplicates(frame(spark, [(3, text, "s")], 1), width=4, percent=85).collect()]
+    assert out == [(3, 13, 3, 3)]
+    sets = {bytes([k] * 16): np.array(own, np.uint64) for k, own in enumerate(([5, 13, 21], [13, 2], [8 * 7 + 2]), 1)}
+    dealt = ngram_join._dealt(sets, 8, [1, 2, 3], [3, 2, 1], list(sets)).to_pylist()
+    name = lambda k: int.from_bytes(bytes([k] * 8), "little", signed=True)
+    got = {r["bucket"]: list(zip(np.frombuffer(r["owners"], np.int64).tolist(), np.frombuffer(r["lengths"], np.uint32).tolist(), strict=True)) for r in dealt if r["keys"]}
+    assert got == {5: [(name(1), 3), (name(2), 1)], 2: [(name(2), 1), (name(3), 1)]}
+
+
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_linked_sets_share_a_key(percent):
     r, counts = random.Random(percent), np.random.default_rng(percent).integers(0, 50, 1 << ngram_join.BITS).astype(np.uint64)
