@@ -304,7 +304,10 @@ def _dealt(sets: dict[bytes, np.ndarray], buckets: int, ids: list, sizes: list,
 
 
 def _repeated(batches):
-    """The rows of texts as they come, and for each set how many of a bucket's shingles another set has too."""
+    """The rows of texts as they come, and for each set how many of a bucket's shingles another set has too.
+
+    Shingles of two sets that agree in 32 bits of a bucket pass for equal, so a count may be too large but never too small.
+    """
     held: dict[int, list] = {}
     for batch in batches:
         for row in batch.to_pylist():
@@ -315,6 +318,12 @@ def _repeated(batches):
                 held.setdefault(row["bucket"], []).append([np.frombuffer(row[k], t) for k, t in (("keys", np.uint32), ("owners", np.int64), ("lengths", np.uint32))])
     for bucket in list(held):
         parts = held.pop(bucket)
+        # A set that several tasks have dealt counts once; what is equal within a set then are different shingles.
+        runs = np.concatenate([own for _, own, _ in parts])
+        first = np.zeros(len(runs), bool)
+        first[np.unique(runs, return_index=True)[1]] = True
+        firsts = np.split(first, np.cumsum([len(own) for _, own, _ in parts])[:-1])
+        parts = [(keys[np.repeat(f, n)], own[f], n[f]) for (keys, own, n), f in zip(parts, firsts, strict=True)]
         for top in range(8):  # an eighth of the shingles at a time, to sort in little memory
             mine = [keys >> np.uint32(29) == top for keys, _, _ in parts]
             found = np.concatenate([keys[m] for (keys, _, _), m in zip(parts, mine, strict=True)])
@@ -322,12 +331,10 @@ def _repeated(batches):
             order = np.lexsort((owners, found))
             found, owners = found[order], owners[order]
             new = np.ones(len(found), bool)
-            new[1:] = (found[1:] != found[:-1]) | (owners[1:] != owners[:-1])
-            found, owners = found[new], owners[new]
-            same = found[1:] == found[:-1]
-            again = np.zeros(len(found), bool)
-            again[1:] |= same
-            again[:-1] |= same
+            new[1:] = found[1:] != found[:-1]
+            starts = np.flatnonzero(new)
+            lengths = np.diff(starts, append=len(found))
+            again = np.repeat(owners[starts] != owners[starts + lengths - 1], lengths)
             names, n = np.unique(owners[again], return_counts=True)
             nothing = [None] * len(names)
             yield _told(nothing, nothing, nothing, names, n)

@@ -157,6 +157,18 @@ def test_ngram_join_of_one_short_text(spark):
     assert got == {5: [(name(1), 3), (name(2), 1)], 2: [(name(2), 1), (name(3), 1)]}
 
 
+def test_shingles_that_collide_in_a_set_all_count():
+    low = [8 * k + 3 for k in range(4)]  # equal in the bucket and in the upper 32 bits
+    sets = {bytes([1] * 16): np.array(low[:3], np.uint64), bytes([2] * 16): np.array(low, np.uint64), bytes([3] * 16): np.array([(1 << 40) + 3, (1 << 40) + 11], np.uint64)}
+    parts = [ngram_join._dealt(own, 8, [k], [len(own)], list(own)[:1]) for k, own in enumerate((sets, dict(list(sets.items())[1:])))]
+    counts = collections.Counter()
+    for batch in ngram_join._repeated(parts):
+        for row in batch.to_pylist():
+            if row["repeated"] is not None:
+                counts[row["owner"]] += row["repeated"]
+    assert counts == {int.from_bytes(bytes([k] * 8), "little", signed=True): n for k, n in ((1, 3), (2, 4))}
+
+
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_linked_sets_share_a_key(percent):
     r, counts = random.Random(percent), np.random.default_rng(percent).integers(0, 50, 1 << ngram_join.BITS).astype(np.uint64)
