@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.llm.common import SPACE, labels, shared_dir
+from marquee.llm.common import keyed, labels, shared_dir
 from marquee.llm.exact_dedup import exact_dedup
 from marquee.llm.mixing import mix_documents
 from marquee.llm.ngram_join import near_duplicates
@@ -19,26 +19,31 @@ from marquee.llm.packing import pack
 from marquee.llm.quality_model import importance_resample
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with one of the ids (doc_id); rows without an id where ids has a null."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose row keys are in ``kept``."""
+    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are drawn by importance resampling towards good labelled text."""
-    return _only(docs, importance_resample(docs, labels(spark, sf_dir)).filter("kept"))
+    rows = keyed(docs)
+    return _only(rows, importance_resample(rows, labels(spark, sf_dir), row_col="_row").filter("kept"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space the longest, then the one with the smallest doc_id; of repeated rows one."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_text", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, ""), 256))
-    return marked.join(kept, marked["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (F.col("_text") == F.col("_sha")), "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    rows = keyed(docs)
+    return _only(rows, exact_dedup(rows, row_col="_row").filter("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by near-equal sets of five-word shingles the document with the smallest doc_id."""
-    return _only(docs, near_duplicates(docs).filter("doc_id <=> component_id").distinct())
+    rows = keyed(docs)
+    # Rows are linked, with or without an id; of a component the smallest id stays, a row without one only if none has one.
+    groups = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("best")
+    return _only(rows, groups.join(ids, "_row").groupBy("component_id").agg(best).select("best._row"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

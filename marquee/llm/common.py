@@ -40,6 +40,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """The rows with a key of their own, ``_row``, in a table, so that every reader finds the same keys."""
+    return written(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     context = spark.sparkContext

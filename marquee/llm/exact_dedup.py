@@ -35,16 +35,17 @@ def misra_gries(capacity: int):
     return summarise
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal are texts that are identical without white space; the row with the most code
     points stays, then the smallest doc_id.  Null texts count as empty; empty texts are
     equal to each other.  A null doc_id loses ties; of rows alike in all of this any one,
     and only one, is kept.  An empty table gives an empty result.  Extra columns are ignored.
+    With ``row_col``, a key of the rows, each row also has it.
     """
-    base = texts(docs, id_col, text_col).select(
-        F.monotonically_increasing_id().alias("row"),
+    base = texts(docs, id_col, text_col, *([row_col] if row_col else [])).select(
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         "doc_id",
         F.length("text").alias("n_chars"),
         F.sha2(F.regexp_replace("text", SPACE, ""), 256).alias("text_sha256"),
@@ -73,4 +74,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("group_size").cast("long").alias("group_size"),
         (F.col("row") == F.col("best.row")).alias("kept"),
         "text_sha256",
+        *([F.col("row").alias(row_col)] if row_col else []),
     )

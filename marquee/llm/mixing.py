@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marquee.llm.common import WORD, materialise
+from marquee.llm.common import WORD, keyed, materialise
 
 #: Weights of the sources in the order of their names, repeating; the most copies of a document.
 WEIGHTS, MOST = (1, 2, 3), 3
@@ -49,16 +49,17 @@ def offset(seed: str):
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, most: int = MOST, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, source, copies.
 
     Size is the number of words; a null text has none.  A null source is a source of its
     own, last in order.  Sources without words have target 0.  Documents are ordered by
     size, then doc_id (null last), then input order, so repeated rows are drawn one by
     one.  An empty table gives no row; extra columns are ignored.  Reruns agree.
+    With ``row_col``, a key of the rows in input order, each row also has it.
     """
     base = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     own = Window.partitionBy("source", "size", "block").orderBy(F.col("doc_id").asc_nulls_last(), "row")
     placed = base.withColumn("block", block).withColumn("place", F.row_number().over(own))
     ranked = placed.join(before, same(placed, before, "source", "size", "block")).select(
-        placed["doc_id"], placed["source"], placed["size"], (F.col("before") + F.col("place")).alias("rank")
+        placed["row"], placed["doc_id"], placed["source"], placed["size"], (F.col("before") + F.col("place")).alias("rank")
     )
     joined = ranked.join(sources, ranked["source"].eqNullSafe(sources["source"])).select(ranked["*"], "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
@@ -93,12 +94,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         joined.withColumn("rate", rate)
         .withColumn("shift", offset(seed))
         .withColumn("copies", copies)
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", *([F.col("row").alias(row_col)] if row_col else []))
     )
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed documents themselves, each row as often as it is taken; ``id_col`` must be unique."""
-    drawn = mix(docs, id_col, **options).filter("copies > 0").select(F.col("doc_id").alias("_drawn"), F.col("copies").alias("_copies"))
-    joined = docs.join(drawn, docs[id_col].cast("long").eqNullSafe(drawn["_drawn"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """The mixed documents themselves, each row as often as it is taken, whatever its id."""
+    rows = keyed(docs)
+    drawn = mix(rows, id_col, row_col="_row", **options).filter("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    joined = rows.join(drawn, "_row")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

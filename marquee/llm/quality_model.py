@@ -136,32 +136,34 @@ def kth_largest(scores: DataFrame, k: int, column: str = "perturbed") -> float:
     return low
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, loss: float = LOSS, labelled: int = LABELLED, seed: int = SEED) -> DataFrame:
+def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, loss: float = LOSS, labelled: int = LABELLED, seed: int = SEED, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, log_weight, perturbed, kept.
 
     ``labels`` has doc_id, quality and toxic; good is quality 1 and not toxic, by the worst
     of repeated labels; a null quality is no label, a null toxic is 0.  The raw model counts
     every document.  Null and empty texts have weight 1.  Without labelled good documents
     every factor is 1 and, unless ``k`` is given, all are kept.  Repeated rows get the same
-    noise and decision; an empty table gives none; extra columns are ignored.
+    noise and decision; an empty table gives none; extra columns are ignored.  With
+    ``row_col``, a key of the rows, each row also has it.
     """
     sample = materialise(_labelled(labels, labelled))
-    known = texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id", "left")
+    more = [row_col] if row_col else []
+    known = texts(docs, id_col, text_col, *more).join(F.broadcast(sample), "doc_id", "left")
     good = F.coalesce(F.col("good"), F.lit(False))
     ratios = docs.sparkSession.sparkContext.broadcast(fit(known.select("text", (good & F.col("fit")).alias("fit"))))
 
     def weigh(batches):
         words, log = WordHashes(), ratios.value
-        for ids, rows, unseen in slices(batches, ("doc_id", "text", "unseen")):
+        for ids, rows, unseen, *keys in slices(batches, ("doc_id", "text", "unseen", *more)):
             weights = [float(log[buckets(text, words)].sum()) for text in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in rows], pa.int64()), pa.array(unseen, pa.bool_()), pa.array(weights, pa.float64())], ["doc_id", "n_chars", "unseen", "log_weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in rows], pa.int64()), pa.array(unseen, pa.bool_()), pa.array(weights, pa.float64()), *(pa.array(k, pa.int64()) for k in keys)], ["doc_id", "n_chars", "unseen", "log_weight", *more])
 
-    unseen = known.select("doc_id", "text", (good & ~F.col("fit")).alias("unseen"))
-    scored = unseen.mapInArrow(weigh, "doc_id long, n_chars long, unseen boolean, log_weight double")
+    unseen = known.select("doc_id", "text", (good & ~F.col("fit")).alias("unseen"), *more)
+    scored = unseen.mapInArrow(weigh, "doc_id long, n_chars long, unseen boolean, log_weight double" + "".join(f", {c} long" for c in more))
     scored = materialise(scored.withColumn("perturbed", F.col("log_weight") / TEMPERATURE + gumbel(seed)))
     if k is None:
         cut = scored.filter("unseen").agg(F.percentile("perturbed", F.lit(loss))).first()[0]
         cut = -math.inf if cut is None else min(cut, HIGHEST_CUT)
     else:
         cut = kth_largest(scored, k)
-    return scored.select("doc_id", "log_weight", "perturbed", (F.col("perturbed") >= F.lit(cut)).alias("kept"))
+    return scored.select("doc_id", "log_weight", "perturbed", (F.col("perturbed") >= F.lit(cut)).alias("kept"), *more)

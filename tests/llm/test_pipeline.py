@@ -71,6 +71,26 @@ def test_empty(spark, folder):
         assert stage(spark, docs, folder).count() == 0
 
 
+def test_null_and_repeated_ids_with_different_texts(spark, folder):
+    r = random.Random(12)
+    prose = lambda n: [f"w{r.randrange(600)}" for _ in range(n)]
+    base, texts = prose(60), [" ".join(prose(40)) for _ in range(12)]
+    toxic = [" ".join(["vile", "nasty", *prose(40)]) for _ in range(6)]
+    own = lambda rows: spark.createDataFrame([(d, t, "en", "s0", 0) for d, t in rows], SCHEMA).repartition(3)
+    texts_of = lambda df: sorted(x.text for x in df.collect() if x.text)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").unionByName(own([(None if k % 2 else 9000, t) for k, t in enumerate(texts + toxic)]))
+    good = set(texts_of(cp.quality_classifier(spark, docs, folder)))
+    assert not good & set(toxic) and len(good & set(texts)) > 9
+    exact = cp.exact_copies(spark, own([(None, s.join(t)) for t in (base, base[::-1]) for s in (" ", "  ", "   ")]), folder)
+    assert texts_of(exact) == sorted("   ".join(t) for t in (base, base[::-1]))
+    edited = [" ".join([*base[:k], "edit", *base[k + 1 :]]) for k in (0, 59)]
+    near = cp.near_copies(spark, own([(None, edited[0]), (7, " ".join(base)), (7, edited[1]), (7, texts[0]), (None, texts[1]), (None, texts[2])]), folder)
+    left = texts_of(near)
+    assert len(left) == 4 and set(texts[:3]) < set(left) and edited[0] not in left
+    mixed = collections.Counter(texts_of(cp.mixing(spark, own([(d, t) for d in (None, 7) for t in texts]), folder)))
+    assert sum(mixed.values()) == 24 and max(mixed.values()) <= 6
+
+
 def test_missing_subpackage_is_guarded_in_the_entry_alone():
     root = Path(cp.__file__).parent
     for file in (root / "corpus_pipeline.py", *(root / "marquee" / "llm").glob("*.py")):
