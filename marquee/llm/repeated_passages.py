@@ -49,6 +49,8 @@ def occurrences(shard: list[tuple], anchor: int) -> list[np.ndarray]:
         for p in places:
             phrase = b" %b " % b" ".join(words[p : p + anchor])
             automaton.add_word(phrase.decode(), len(phrase.decode()))
+    if not len(automaton):
+        return [np.empty(0, np.int64) for _ in shard]
     automaton.make_automaton()
     out = []
     for words, *_ in shard:
@@ -81,11 +83,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     table = materialise(held.select("doc", "text", "h").mapInArrow(describe, "doc long, h long, n_words long, sha string, anchors array<long>"))
     firsts = table.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc").alias("first"))
-    ranked = table.drop("anchors").join(firsts, "sha", "left")
+    ranked = table.drop("anchors", "h").join(firsts, "sha", "left")
     heads = table.join(firsts.select("sha", F.col("first").alias("doc")), ["sha", "doc"], "left_semi")
-    each = heads.select("doc", F.explode("anchors").alias("a"))
+    # Many texts may have one doc: lists are by text (texts of a doc whose hashes collide share one), and doc only says which is smaller.
+    each = heads.select("doc", "h", F.explode("anchors").alias("a"))
     recurring = each.groupBy("a").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y").select("a")
-    lists = each.join(materialise(recurring), "a").groupBy("doc").agg(F.collect_list("a").alias("confirmed"))
+    lists = each.join(materialise(recurring), "a").groupBy("doc", "h").agg(F.collect_set("a").alias("confirmed"))
 
     def locate(batches):
         hashes, shard, phrases = WordHashes(), [], 0
@@ -93,22 +96,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def flush():
             found = occurrences(shard, anchor)
             rows = []
-            for (words, _, at, h, doc, key), places in zip(shard, found, strict=True):
+            for (words, _, at, h, doc), places in zip(shard, found, strict=True):
                 located = np.zeros(len(words) + 1, bool)
                 located[places] = True
                 starts = np.flatnonzero(located[at])
-                rows.append((doc, key, b" ".join(words).decode(), starts.astype(np.int32), window_hashes(h, window)[starts].view(np.int64)))
+                whole = b" ".join(words)
+                rows.append((doc, hashlib.sha256(whole).hexdigest(), whole.decode(), starts.astype(np.int32), window_hashes(h, window)[starts].view(np.int64)))
             shard.clear()
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_pydict({"doc": pa.array(cols[0], pa.int64()), "h": pa.array(cols[1], pa.int64()), "words": pa.array(cols[2], pa.string()), "starts": pa.array(cols[3], pa.list_(pa.int32())), "windows": pa.array(cols[4], pa.list_(pa.int64()))})
+            return pa.RecordBatch.from_pydict({"doc": pa.array(cols[0], pa.int64()), "sha": pa.array(cols[1], pa.string()), "words": pa.array(cols[2], pa.string()), "starts": pa.array(cols[3], pa.list_(pa.int32())), "windows": pa.array(cols[4], pa.list_(pa.int64()))})
 
-        for ids, rows, keys, confirmed in slices(batches, ("doc", "text", "h", "confirmed")):
-            for doc, text, key, own in zip(ids, rows, keys, confirmed, strict=True):
+        for ids, rows, confirmed in slices(batches, ("doc", "text", "confirmed")):
+            for doc, text, own in zip(ids, rows, confirmed, strict=True):
                 words = text.encode().split()
                 h = hashes.of(words)
                 at, hash_ = anchors(h, window, anchor)
                 chosen = np.unique(at[np.isin(hash_, np.array(own, np.int64).view(np.uint64))])
-                shard.append((words, chosen, at, h, doc, key))
+                shard.append((words, chosen, at, h, doc))
                 phrases += len(chosen)
                 if phrases >= shard_phrases:
                     yield flush()
@@ -116,15 +120,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if shard:
             yield flush()
 
-    streamed = held.select("doc", "text", "h").join(lists, "doc").mapInArrow(locate, "doc long, h long, words string, starts array<int>, windows array<long>")
-    streamed = written(streamed.filter(F.size("windows") > 0))
-    # One number for the text and the place in it keeps these many rows small.
-    place = lambda start: (F.col("h").bitwiseAND((1 << 31) - 1) * (1 << 32)) + start
-    windows = streamed.select("doc", "h", F.explode(F.arrays_zip("starts", "windows")).alias("w")).select("doc", place(F.col("w.starts")).alias("place"), F.col("w.windows").alias("window"))
+    streamed = held.select("doc", "text", "h").join(lists, ["doc", "h"]).mapInArrow(locate, "doc long, sha string, words string, starts array<int>, windows array<long>")
+    # Written with the rows, the number of a text stays its own.
+    streamed = written(streamed.filter(F.size("windows") > 0).withColumn("t", F.monotonically_increasing_id()))
+    windows = streamed.select("doc", "t", F.explode(F.arrays_zip("starts", "windows")).alias("w")).select("doc", "t", F.col("w.starts").alias("start"), F.col("w.windows").alias("window"))
     owners = windows.groupBy("window").agg(F.min("doc").alias("owner"), F.max("doc").alias("y")).filter("owner <> y").select("window", "owner")
     # Both sides of this join come straight from a shuffle, so Spark splits the tasks of windows that very many texts share.
     later = windows.join(materialise(owners), "window").filter("owner < doc")
-    gone = later.groupBy("doc", F.shiftright("place", 32).alias("text_key")).agg(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("gone"))
+    gone = later.groupBy("t").agg(F.collect_set("start").alias("gone"))
 
     def cut(batches):
         for batch in batches:
@@ -137,14 +140,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 np.add.at(edge, starts + window, -1)
                 dropped = np.cumsum(edge)[:-1] > 0
                 kept = " ".join(w for w, d in zip(words, dropped.tolist(), strict=True) if not d)
-                out.append((row["doc"], row["h"], int(dropped.sum()), hashlib.sha256(kept.encode()).hexdigest(), kept))
+                out.append((row["doc"], row["sha"], int(dropped.sum()), hashlib.sha256(kept.encode()).hexdigest(), kept))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(cols[0], pa.int64()), "h": pa.array(cols[1], pa.int64()), "n_removed": pa.array(cols[2], pa.int64()), "kept": pa.array(cols[3], pa.string()), "kept_text": pa.array(cols[4], pa.string())})
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(cols[0], pa.int64()), "sha": pa.array(cols[1], pa.string()), "n_removed": pa.array(cols[2], pa.int64()), "kept": pa.array(cols[3], pa.string()), "kept_text": pa.array(cols[4], pa.string())})
 
-    changed = streamed.select("doc", "h", "words", F.col("h").bitwiseAND((1 << 31) - 1).alias("text_key")).dropDuplicates(["doc", "h"]).join(gone, ["doc", "text_key"])
-    changed = changed.mapInArrow(cut, "doc long, h long, n_removed long, kept string, kept_text string")
+    one = streamed.groupBy("doc", "sha").agg(F.min("t").alias("t")).select("t")  # of repeated rows
+    changed = streamed.select("doc", "sha", "words", "t").join(gone.join(one, "t"), "t")
+    changed = changed.mapInArrow(cut, "doc long, sha string, n_removed long, kept string, kept_text string")
     copy = F.coalesce(F.col("first") < F.col("doc"), F.lit(False))
-    return ranked.join(changed, ["doc", "h"], "left").select(
+    return ranked.join(changed, ["doc", "sha"], "left").select(
         F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"),
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),

@@ -252,6 +252,16 @@ def test_repeated_passages(docs, rows, window, anchor, shard):
     assert collections.Counter(tuple(r)[:4] for r in got.collect()) == brute_repeats(rows, window)
 
 
+def test_repeated_passages_of_null_and_repeated_ids(spark):
+    r = random.Random(6)
+    shared = prose(r, 60)
+    own = [(None if k % 2 else 9, " ".join([prose(r, 30), *([shared] if k < 6 else []), prose(r, 40)]), "s") for k in range(60)]
+    out = [(1, shared, "s"), *own, *own[:3], (9, own[0][1].replace(" ", "  "), "s")]
+    got = repeated_passages.remove_repeats(frame(spark, out), shard_phrases=1)
+    assert collections.Counter(tuple(x)[:4] for x in got.collect()) == brute_repeats(out, 50)
+    assert [x.tolist() for x in repeated_passages.occurrences([([b"a"] * 20, [])], 15)] == [[]]
+
+
 # 5 ------------------------------------------------------------------------------------------
 
 
