@@ -1,12 +1,16 @@
 """Quality by importance resampling of hashed n-grams.
 
 Two generative models, of the target text (labelled good and not toxic) and of all raw
-text, give each hashed word and word pair the probability that a document contains it.
-A document's importance weight is the product of target / raw over what it contains; a
-factor stays 1 where the two counts do not differ beyond chance, so rare words add no
-noise.  Log weights get keyed Gumbel noise and the k largest are drawn: Gumbel top-k
-sampling without replacement.  k is given, or is the number of documents at or above the
-``loss`` quantile of good documents that the models have not seen.
+text, give each hashed feature the probability that a document has it.  Features are the
+words, punctuation runs and word pairs of a document, and three of its shape: how often a
+token repeats the one before, the share of its most frequent token, and how many of its
+tokens are distinct.  A document's importance weight is the product of target / raw over
+its features.  Counts are smoothed, and each log ratio is shrunk towards 0 by how much of
+it chance explains (positive-part James-Stein), so rare features add little noise.
+
+Log weights get keyed Gumbel noise and the k largest are drawn: Gumbel top-k sampling
+without replacement.  k is given, or is the number of documents that reach the ``loss``
+quantile of the labelled good ones, each of which is scored with its own counts left out.
 """
 
 from __future__ import annotations
@@ -17,56 +21,72 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from marquee.llm.common import WordHashes, join_hashes, materialise, slices, texts
 
-#: log2 of the buckets, half of them for words and half for pairs; blocks in which counts are added up.
+#: log2 of the buckets, half of them for words and shapes and half for pairs; blocks in which counts are added up.
 BITS, BLOCKS = 20, 64
 #: Labelled rows that are used at most (those with the smallest keyed hashes).
 LABELLED = 100_000
-#: A factor counts from this many standard deviations and this log ratio on.  Pairs, which
-#: come in bulk with every copied passage, need far more evidence than words.
-DEVIATIONS, PAIR_DEVIATIONS, LEAST = 3.5, 20.0, 2.0
-#: Temperature of the log weights under the Gumbel noise; share of unseen good documents given up.
+#: A count is added to both sides of a ratio.
+SMOOTH = 0.5
+#: Deviations at and below which a log ratio shrinks to 0.  Pairs, which come in bulk with
+#: every copied passage, need more evidence than words.
+DEVIATIONS, PAIR_DEVIATIONS = 1.5, 20.0
+#: Temperature of the log weights under the Gumbel noise; share of good documents given up.
 TEMPERATURE, LOSS = 0.25, 0.003
-#: A calibrated cut is never above this: a document as likely under target as under raw text is drawn but by one chance in 10,000.
-HIGHEST_CUT = -2.25
-#: One in so many labelled rows is held out of the models.
-UNSEEN = 4
 SEED = 17
 
 _TOKENS = re.compile(rb"[0-9a-z\x80-\xff]+|[!-/:-@\[-`{-~]+").findall
+_CUT = np.uint64(65 - BITS)
+
+
+def tokens_of(text: str) -> list[bytes]:
+    return _TOKENS(text.lower().encode())
+
+
+def shape(n: int, repeats: int, most: int, distinct: int) -> list[bytes]:
+    """Names of the features of a document's shape, all in tenths; what is distinct depends on the length."""
+    return [b"\0run %d" % -(-10 * repeats // max(n - 1, 1)), b"\0top %d" % (10 * most // n), b"\0distinct %d of %d" % (10 * distinct // n, (n.bit_length() - 1) // 2)]
 
 
 def buckets(text: str, words: WordHashes) -> np.ndarray:
-    """The distinct buckets of a text's lower-cased words and punctuation runs, and of their pairs."""
-    h = words.of(_TOKENS(text.lower().encode()))
-    cut = np.uint64(65 - BITS)
-    both = [(h >> cut), (join_hashes(h[:-1], h[1:]) >> cut) + np.uint64(1 << (BITS - 1))] if len(h) > 1 else [h >> cut]
-    return np.unique(np.concatenate(both).astype(np.int64))
+    """The distinct buckets of a text; one without tokens has none."""
+    h = words.of(tokens_of(text))
+    if not len(h):
+        return np.empty(0, np.int64)
+    counts = np.unique(h, return_counts=True)[1]
+    named = shape(len(h), int((h[1:] == h[:-1]).sum()), int(counts.max()), len(counts))
+    single = np.concatenate([h, np.array([xxhash.xxh3_64_intdigest(x) for x in named], np.uint64)]) >> _CUT
+    both = (join_hashes(h[:-1], h[1:]) >> _CUT) + np.uint64(1 << (BITS - 1))
+    return np.unique(np.concatenate([single, both]).astype(np.int64))
 
 
 def _labelled(labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, good, fit of at most ``most`` rows: a bounded sample."""
+    """doc_id, good of at most ``most`` rows: a bounded sample."""
     one = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     one = one.agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
-    return one.withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).orderBy("h", "doc_id").limit(most).select("doc_id", "good", (F.pmod("h", F.lit(UNSEEN)) != 0).alias("fit"))
+    return one.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most)
 
 
 def _count(batches):
+    """The task's counts of documents by bucket, of all rows and of the good ones."""
     words, n = WordHashes(), 1 << BITS
-    counts = {k: np.zeros(n, np.int32) for k in ("raw", "target")}
-    total = {"raw": 0, "target": 0}
-    for rows, fits in slices(batches, ("text", "fit")):
-        for text, fit in zip(rows, fits, strict=True):
+    raw, target = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    n_raw = n_target = 0
+    for rows, goods in slices(batches, ("text", "good")):
+        for text, good in zip(rows, goods, strict=True):
             own = buckets(text, words)
-            for k in ("raw", "target") if fit else ("raw",):
-                counts[k][own] += 1
-                total[k] += 1
-    if total["raw"]:
-        for block, (raw, target) in enumerate(zip(*(np.split(counts[k], BLOCKS) for k in ("raw", "target")), strict=True)):
-            yield _counts([block], [zlib.compress(raw.tobytes(), 1)], [zlib.compress(target.tobytes(), 1)], [total["raw"]], [total["target"]])
+            raw[own] += 1
+            n_raw += 1
+            if good:
+                target[own] += 1
+                n_target += 1
+    if n_raw:
+        for block, (r, t) in enumerate(zip(np.split(raw, BLOCKS), np.split(target, BLOCKS), strict=True)):
+            yield _counts([block], [zlib.compress(r.tobytes(), 1)], [zlib.compress(t.tobytes(), 1)], [n_raw], [n_target])
 
 
 def _counts(block, raw, target, n_raw, n_target):
@@ -91,23 +111,30 @@ _COUNTS = "block int, raw binary, target binary, n_raw long, n_target long"
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int) -> np.ndarray:
-    """log(target / raw) of every bucket, 0 where chance explains the difference."""
+    """log(target / raw) of every bucket, shrunk by the square of its deviations from what chance gives."""
     expected = raw * (n_target / max(n_raw, 1))
-    log = np.log((target + 0.5) / (expected + 0.5))
+    log = np.log((target + SMOOTH) / (expected + SMOOTH))
+    deviations = np.abs(target - expected) / np.sqrt(np.maximum(expected, target) + 1)
     least = np.repeat([DEVIATIONS, PAIR_DEVIATIONS], len(raw) // 2)
-    sure = np.abs(target - expected) / np.sqrt(np.maximum(expected, target) + 1) >= least
-    return np.where(sure & (np.abs(log) >= LEAST), log, 0.0).astype(np.float32)
+    return (log * np.maximum(0, 1 - (least / np.maximum(deviations, least)) ** 2)).astype(np.float32)
+
 
+def fit(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The log ratios, and those that a good document's own features have without it.
 
-def fit(known: DataFrame) -> np.ndarray:
-    """The log ratios: counts over all of ``known`` (text, fit), of which only 2 ** BITS sums reach the driver."""
-    rows = known.select("text", "fit").mapInArrow(_count, _COUNTS).repartition(BLOCKS, "block").mapInArrow(_add, _COUNTS).collect()
+    Counts are taken over all of ``known`` (text, good), of which only 2 ** BITS sums reach the driver.
+    """
+    rows = known.select("text", "good").mapInArrow(_count, _COUNTS).repartition(BLOCKS, "block").mapInArrow(_add, _COUNTS).collect()
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     size = (1 << BITS) // BLOCKS
     for r in rows:
         at = slice(r.block * size, (r.block + 1) * size)
         raw[at], target[at] = (np.frombuffer(zlib.decompress(x), np.int64) for x in (r.raw, r.target))
-    return log_ratios(raw, target, *(next(((r.n_raw, r.n_target) for r in rows), (0, 0))))
+    n_raw, n_target = next(((r.n_raw, r.n_target) for r in rows), (0, 0))
+    if not n_target:
+        return (np.zeros(1 << BITS, np.float32),) * 2
+    less = lambda x: np.maximum(x - 1, 0)
+    return log_ratios(raw, target, n_raw, n_target), log_ratios(less(raw), less(target), n_raw - 1, n_target - 1)
 
 
 def gumbel(seed: int):
@@ -140,30 +167,29 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     """One row per input row: doc_id, log_weight, perturbed, kept.
 
     ``labels`` has doc_id, quality and toxic; good is quality 1 and not toxic, by the worst
-    of repeated labels; a null quality is no label, a null toxic is 0.  The raw model counts
-    every document.  Null and empty texts have weight 1.  Without labelled good documents
-    every factor is 1 and, unless ``k`` is given, all are kept.  Repeated rows get the same
-    noise and decision; an empty table gives none; extra columns are ignored.  With
-    ``row_col``, a key of the rows, each row also has it.
+    of repeated labels; a null quality is no label, a null toxic is 0.  At most ``labelled``
+    of them are used; the raw model counts every document.  Null and empty texts have weight
+    1.  Without labelled good documents every factor is 1 and, unless ``k`` is given, all are
+    kept.  Repeated rows get the same noise and decision, so ties at the k-th score are all
+    kept; an empty table gives none; extra columns are ignored.  With ``row_col``, a key of
+    the rows, each row also has it.
     """
     sample = materialise(_labelled(labels, labelled))
     more = [row_col] if row_col else []
     known = texts(docs, id_col, text_col, *more).join(F.broadcast(sample), "doc_id", "left")
-    good = F.coalesce(F.col("good"), F.lit(False))
-    ratios = docs.sparkSession.sparkContext.broadcast(fit(known.select("text", (good & F.col("fit")).alias("fit"))))
+    known = known.select("doc_id", "text", F.coalesce(F.col("good"), F.lit(False)).alias("good"), *more)
+    ratios = docs.sparkSession.sparkContext.broadcast(fit(known))
 
     def weigh(batches):
-        words, log = WordHashes(), ratios.value
-        for ids, rows, unseen, *keys in slices(batches, ("doc_id", "text", "unseen", *more)):
-            weights = [float(log[buckets(text, words)].sum()) for text in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in rows], pa.int64()), pa.array(unseen, pa.bool_()), pa.array(weights, pa.float64()), *(pa.array(k, pa.int64()) for k in keys)], ["doc_id", "n_chars", "unseen", "log_weight", *more])
+        words, (whole, without) = WordHashes(), ratios.value
+        for ids, rows, good, *keys in slices(batches, ("doc_id", "text", "good", *more)):
+            weights = [float((without if g else whole)[buckets(t, words)].sum(dtype=np.float64)) for t, g in zip(rows, good, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in rows], pa.int64()), pa.array(good, pa.bool_()), pa.array(weights, pa.float64()), *(pa.array(x, pa.int64()) for x in keys)], ["doc_id", "n_chars", "good", "log_weight", *more])
 
-    unseen = known.select("doc_id", "text", (good & ~F.col("fit")).alias("unseen"), *more)
-    scored = unseen.mapInArrow(weigh, "doc_id long, n_chars long, unseen boolean, log_weight double" + "".join(f", {c} long" for c in more))
+    scored = known.mapInArrow(weigh, "doc_id long, n_chars long, good boolean, log_weight double" + "".join(f", {c} long" for c in more))
     scored = materialise(scored.withColumn("perturbed", F.col("log_weight") / TEMPERATURE + gumbel(seed)))
     if k is None:
-        cut = scored.filter("unseen").agg(F.percentile("perturbed", F.lit(loss))).first()[0]
-        cut = -math.inf if cut is None else min(cut, HIGHEST_CUT)
-    else:
-        cut = kth_largest(scored, k)
+        least = scored.filter("good").agg(F.percentile("perturbed", F.lit(loss))).first()[0]
+        k = scored.count() if least is None else scored.filter(F.col("perturbed") >= least).count()
+    cut = kth_largest(scored, k)
     return scored.select("doc_id", "log_weight", "perturbed", (F.col("perturbed") >= F.lit(cut)).alias("kept"), *more)

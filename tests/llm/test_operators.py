@@ -284,6 +284,47 @@ def test_quality_classifier_held_out(spark):
     assert sum(bad) / len(bad) < 0.1 and sum(good) / len(good) > 0.98
 
 
+def test_importance_weights_against_brute_force(spark, rows):
+    r = random.Random(13)
+    rows = [*rows, *((1000 + k, prose(r, 40, 60) + " vile word" * (k % 3 == 0), "s") for k in range(90))]
+    known = [(d, 1, 0) for d in (0, 1, 2, 3, 4, 5, 20, 22)] + [(6, 0, 0), (7, 1, 1)] + [(1000 + k, 1, 0) for k in range(90) if k % 3]
+    good = {d for d, q, x in known if q and not x}
+
+    def named(t):
+        seq = quality_model.tokens_of(t)
+        if not seq:
+            return set()
+        times = collections.Counter(seq)
+        how = quality_model.shape(len(seq), sum(a == b for a, b in zip(seq, seq[1:])), max(times.values()), len(times))  # noqa: B905
+        return {*((w,) for w in seq), *zip(seq, seq[1:]), *((x,) for x in how)}  # noqa: B905
+
+    sets = [named(t or "") for _, t, _ in rows]
+    raw = collections.Counter(f for s in sets for f in s)
+    target = collections.Counter(f for (d, *_), s in zip(rows, sets, strict=True) if d in good for f in s)
+    n_target = sum(d in good for d, *_ in rows)
+    want = collections.Counter()
+    for (d, *_), s in zip(rows, sets, strict=True):
+        own, total = int(d in good), 0.0
+        for f in s:
+            e = (raw[f] - own) * (n_target - own) / (len(rows) - own)
+            c = target[f] - own
+            z = abs(c - e) / math.sqrt(max(c, e) + 1)
+            least = quality_model.DEVIATIONS if len(f) == 1 else quality_model.PAIR_DEVIATIONS
+            total += math.log((c + 0.5) / (e + 0.5)) * max(0, 1 - (least / max(z, least)) ** 2)
+        want[(d, round(total, 3))] += 1
+    out = quality_model.importance_resample(frame(spark, rows), labels(spark, known))
+    assert any(w < -1 for _, w in want)
+    assert collections.Counter((x.doc_id, round(x.log_weight, 3) + 0.0) for x in out.collect()) == want
+
+
+def test_junk_that_repeats_words_goes(spark):
+    r = random.Random(12)
+    rows = [(k, " ".join(w for i in range(4) for w in [f"x{r.randrange(9999)}"] * 30) if k % 10 == 0 else prose(r, 90), "s") for k in range(1200)]
+    known = [(k, int(k % 10 > 0), 0) for k in range(0, 1200, 2)]
+    out = {x.doc_id: x.kept for x in quality_model.importance_resample(frame(spark, rows), labels(spark, known)).collect()}
+    assert sum(out[k] for k in range(0, 1200, 10)) <= 6 and sum(out[k] for k in range(1200) if k % 10) > 1060
+
+
 def test_gumbel_top_k_is_exact(spark, docs, rows):
     out = quality_model.importance_resample(docs, labels(spark), k=10).collect()
     best = sorted((x.perturbed for x in out), reverse=True)
@@ -366,6 +407,53 @@ def test_thresholds_keep_their_risk(spark):
     assert 1 - sum(good) / len(good) <= quality_rules.RISK and sum(bad) / len(bad) < 0.05
 
 
+def test_rules_keep_their_risk_over_many_draws():
+    """A sequence whose later steps lose too much: how often any of those is certified."""
+    r = np.random.default_rng(7)
+    n, risks = 600, np.array([0.002, 0.008, 0.015, 0.021, 0.024, 0.03, 0.04, 0.06])
+    wrong = [quality_rules.certified(n, np.cumsum(np.histogram(r.random(n), [0, *risks])[0]).tolist(), 0.05) > 3 for _ in range(2000)]
+    assert np.mean(wrong) <= 0.05
+    assert quality_rules.certified(217, [0, 1], 0.05 / 4) == 1 and quality_rules.certified(216, [0], 0.05 / 4) == 0
+    big = quality_rules.EXACT * 2
+    assert quality_rules.binomial_tail(int(0.019 * big), big, 0.02) < 1e-6 and quality_rules.binomial_tail(int(0.021 * big), big, 0.02) == 1
+
+
+def test_thresholds_against_brute_force(spark):
+    r = random.Random(9)
+    rows, known = [], []
+    for k in range(3200):
+        bad = r.random() < 0.2
+        rows.append((k, prose(r, 60) + " #" * (r.randrange(3, 9) if bad else r.randrange(3)) + "!" * r.randrange(4), "s"))
+        known.append((k, int(not bad), 0))
+    docs = spark.createDataFrame([(d, t, "en" if d % 2 else "de") for d, t, _ in rows], "doc_id long, text string, stratum string")
+    table = quality_rules.measured(docs)
+    got = {x.stratum: x for x in quality_rules.thresholds(table, labels(spark, known)).collect()}
+    tuned = {x.doc_id for x in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(quality_rules.OF)) < quality_rules.TUNE).alias("t")).collect() if x.t}
+    for stratum in ("en", "de"):
+        own = [(d, quality_rules.signals(t)[1], known[d][1]) for d, t, _ in rows if (d % 2 == 1) == (stratum == "en")]
+        good, bad, held = ([s for d, s, q in own if q and d in tuned], [s for d, s, q in own if not q and d in tuned], [s for d, s, q in own if q and d not in tuned])
+        steps = []
+        for rule in range(len(quality_rules.RULES)):
+            column, caught = sorted(s[rule] for s in good), 0
+            for level in range(quality_rules.LEVELS):
+                share = 1 - quality_rules.RISK / 2 * level / (quality_rules.LEVELS - 1)
+                cut = column[max(0, math.ceil(share * len(column)) - 1)]
+                above = [s[rule] for s in bad if s[rule] > cut]
+                if len(above) > caught:
+                    caught = len(above)
+                    steps.append((level, -caught, rule, cut + (min(above) - cut) / 2))
+        steps.sort()
+        passed, cutoffs = 0, [math.inf] * len(quality_rules.RULES)
+        for _, _, rule, cut in steps:
+            now = [min(c, cut) if k == rule else c for k, c in enumerate(cutoffs)]
+            lost = sum(any(x > c for x, c in zip(s, now, strict=True)) for s in held)
+            if sum(math.comb(len(held), i) * 0.02**i * 0.98 ** (len(held) - i) for i in range(lost + 1)) > quality_rules.CONFIDENCE / 2:
+                break
+            passed, cutoffs = passed + 1, now
+        assert passed and (got[stratum].n, got[stratum].certified) == (len(held), passed)
+        assert np.allclose(got[stratum].cutoffs, cutoffs)
+
+
 def test_binomial_tail():
     for n, k, p in ((10, 3, 0.2), (50, 0, 0.02), (7, 7, 0.5)):
         assert math.isclose(quality_rules.binomial_tail(k, n, p), sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
