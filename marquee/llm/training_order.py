@@ -24,14 +24,18 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from marquee.llm import tokens
 from marquee.llm.common import mix, slices, texts
 
-#: Ids of a sequence; bytes of text that a shard stands for; the id that ends a document; the key of the order.
-LENGTH, SHARD_BYTES, END, KEY = 2048, 8 << 20, 1, 20_240_229
+#: Ids of a sequence; bytes of text that a shard stands for (its file is read whole); the id that ends a document; the key of the order.
+LENGTH, SHARD_BYTES, END, KEY = 2048, 16 << 20, 1, 20_240_229
 ROUNDS = 6
+#: Sequences that a task sends on together.
+TOGETHER = 128
+#: Shards whose first slots are counted together.
+SHARD_BLOCK = 4096
 
 _INDEX = "place long, pieces array<struct<doc_id: long, start: long, length: long, offset: long, ids_crc32: long>>"
 
@@ -63,7 +67,9 @@ def write_training_order(docs: DataFrame, folder: str, id_col: str = "doc_id", t
 
     Null and empty texts are documents of the end id alone; repeated rows are written each;
     a null doc_id stays null in the index; an empty table writes no shard; extra columns
-    are ignored.  Texts of any length run on from sequence to sequence.
+    are ignored.  Texts of any length run on from sequence to sequence.  The input must be
+    the same in both of its reads: a task with more sequences than were counted for it, or
+    one that was not counted at all, fails rather than write two records to one place.
     """
     path = path or tokens.default_path()
     kind = id_type(path)
@@ -75,7 +81,8 @@ def write_training_order(docs: DataFrame, folder: str, id_col: str = "doc_id", t
     shards = max(1, -(-(total or 0) // shard_bytes))
 
     def cut(batches):
-        encoder, first = tokens.Encoder(path), TaskContext.get().partitionId() * span
+        encoder, task = tokens.Encoder(path), TaskContext.get().partitionId()
+        first = task * span
         ids, pieces, at, made = np.empty(length, kind), [], 0, 0
         ready: list[tuple[bytes, list]] = []
 
@@ -91,7 +98,7 @@ def write_training_order(docs: DataFrame, folder: str, id_col: str = "doc_id", t
             nonlocal made
             numbers = np.arange(first + made, first + made + len(ready))
             made += len(ready)
-            if made > span:
+            if made > span or task > (tasks or 0):
                 raise RuntimeError("a task has more sequences than its texts have bytes for: the input changed between two reads")
             places = feistel(numbers, size, key)
             lines = [json.dumps({"place": int(p), "pieces": own}, separators=(",", ":")) for p, (_, own) in zip(places, ready, strict=True)]
@@ -111,48 +118,67 @@ def write_training_order(docs: DataFrame, folder: str, id_col: str = "doc_id", t
                     at, start = at + n, start + n
                     if at == length:
                         close()
-                if len(ready) >= 256:
+                if len(ready) >= TOGETHER:
                     yield flush()
         if at:
             close()
         if ready:
             yield flush()
 
-    rows = held.mapInArrow(cut, "shard long, place long, ids binary, index string").repartition(shards, "shard")
+    rows = held.mapInArrow(cut, "shard long, place long, ids binary, index string").repartitionById(shards, F.col("shard").cast("int"))
     both = F.explode(F.array(F.struct(F.lit("ids").alias("kind"), F.col("ids").cast("string").alias("value")), F.struct(F.lit("index").alias("kind"), F.col("index").alias("value"))))
     placed = rows.select("shard", "place", both.alias("x")).select("x.kind", "shard", "place", "x.value")
     placed.sortWithinPartitions("kind", "shard", "place").select("kind", "shard", "value").write.mode("overwrite").partitionBy("kind", "shard").text(folder)
 
 
-def read_index(spark: SparkSession, folder: str, length: int = LENGTH, width: int = 2) -> DataFrame:
-    """slot, shard, record (place in the shard), byte_offset, pieces of every record."""
+def _width(path: str | None) -> int:
+    return id_type(path or tokens.default_path()).itemsize
+
+
+def read_index(spark: SparkSession, folder: str, length: int = LENGTH, path: str | None = None) -> DataFrame:
+    """slot, shard, record (place in the shard), byte_offset, pieces of every record.
+
+    ``length`` and ``path`` (the tokenizer) are those that the shards were written with.
+    Pieces with a null doc_id are those of documents without one.  Without any shard
+    Spark's error for a missing path is raised.
+    """
+    stride = length * _width(path) + 1
     index = spark.read.schema(f"{_INDEX}, shard long").option("basePath", folder).json(f"{folder}/kind=index")
-    counts = index.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    counts = index.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.expr(f"shard div {SHARD_BLOCK}"))
+    up_to = lambda w, *by: F.coalesce(F.sum("n").over(w.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).select("block", up_to(Window, "block").alias("base"))  # a row for each SHARD_BLOCK shards
+    inside = counts.select("shard", "block", up_to(Window.partitionBy("block"), "shard").alias("first"))
+    before = inside.join(blocks, "block").select(F.col("shard").alias("_shard"), (F.col("first") + F.col("base")).alias("first"))
     ranked = index.withColumn("record", F.row_number().over(Window.partitionBy("shard").orderBy("place")).cast("long") - 1)
     joined = ranked.join(before, ranked["shard"] == before["_shard"])
-    return joined.select((F.col("first") + F.col("record")).alias("slot"), "shard", "record", (F.col("record") * (length * width + 1)).alias("byte_offset"), "pieces")
+    return joined.select((F.col("first") + F.col("record")).alias("slot"), "shard", "record", (F.col("record") * stride).alias("byte_offset"), "pieces")
 
 
-def read_records(spark: SparkSession, folder: str, length: int = LENGTH, width: int = 2) -> DataFrame:
-    """shard, record, ids (binary) of every record, cut from the files by the stride."""
-    stride = length * width + 1
-    files = spark.read.format("binaryFile").option("basePath", folder).load(f"{folder}/kind=ids").select("shard", "content")
+def _cut(data: Column, size: Column) -> Column:
+    """Binary data in parts of ``size`` bytes."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.length(data) / size).cast("int") - 1), lambda i: F.substring(data, i * size + 1, size))
 
-    def cut(batches):
-        for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                view = memoryview(content.as_buffer())
-                for start in range(0, len(view) // stride, 1024):
-                    at = range(start, min(start + 1024, len(view) // stride))
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(at), pa.int64()), "record": pa.array(at, pa.int64()), "ids": pa.array([view[i * stride : i * stride + stride - 1] for i in at], pa.binary())})
 
-    return files.withColumn("shard", F.col("shard").cast("long")).mapInArrow(cut, "shard long, record long, ids binary")
+def read_records(spark: SparkSession, folder: str, length: int = LENGTH, path: str | None = None) -> DataFrame:
+    """shard, record, ids (binary) of every record, cut from the files by the stride.
+
+    A file of n records is cut into parts of about the square root of n records and these into
+    records, as each cut copies what it cuts from.  Nothing leaves the JVM.  Arguments as for read_index.
+    """
+    stride = length * _width(path) + 1
+    files = spark.read.format("binaryFile").option("basePath", folder).load(f"{folder}/kind=ids").filter(F.length("content") > 0)
+    part = F.ceil(F.sqrt(F.length("content") / stride)).cast("int")
+    parts = files.select(F.col("shard").cast("long").alias("shard"), part.alias("each"), F.posexplode(_cut(F.col("content"), part * stride)).alias("part", "data"))
+    records = parts.select("shard", "each", "part", F.posexplode(_cut(F.col("data"), F.lit(stride))).alias("at", "data"))
+    return records.select("shard", (F.col("part").cast("long") * F.col("each") + F.col("at")).alias("record"), F.substring("data", 1, stride - 1).alias("ids"))
 
 
-def training_pieces(spark: SparkSession, folder: str, length: int = LENGTH, width: int = 2) -> DataFrame:
-    """One row per piece of a document, from the files: doc_id, start, length, ids_crc32, slot, offset, shard, byte_offset, record_crc32."""
-    index = read_index(spark, folder, length, width)
-    sums = read_records(spark, folder, length, width).select("shard", "record", F.crc32("ids").alias("record_crc32"))
+def training_pieces(spark: SparkSession, folder: str, length: int = LENGTH, path: str | None = None) -> DataFrame:
+    """One row per piece of a document, from the files: doc_id, start, length, ids_crc32, slot, offset, shard, byte_offset, record_crc32.
+
+    Arguments, null ids and missing shards as for read_index.
+    """
+    index = read_index(spark, folder, length, path)
+    sums = read_records(spark, folder, length, path).select("shard", "record", F.crc32("ids").alias("record_crc32"))
     rows = index.join(sums, ["shard", "record"])
     return rows.select(F.explode("pieces").alias("p"), "slot", "shard", "byte_offset", "record_crc32").select("p.doc_id", "p.start", "p.length", "p.ids_crc32", "slot", "p.offset", "shard", "byte_offset", "record_crc32")
