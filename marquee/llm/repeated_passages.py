@@ -2,15 +2,19 @@
 
 A window is ``window`` consecutive words.  What recurs is found and removed in four steps:
 
-1.  Anchors.  Of each window the phrase of ``ANCHOR`` words with the smallest hash is its anchor, so
-    equal windows have equal anchors; about one phrase in eighteen is one.  Texts that are
-    equal word by word are represented by their smallest doc_id from here on.
-2.  Confirmed passages.  Anchors of two texts or more recur; each text gets its own list.
-3.  Automata.  The phrases of a shard of texts are compiled into one Aho-Corasick automaton and
-    the shard's texts are streamed through it, which finds every occurrence word for word.
-    A shard has a bounded number of phrases, so memory stays bounded however many recur.
-4.  Windows on an occurrence are compared as wholes by 64-bit hashes: the smallest
-    document of each is its owner, and the words of every later window go.
+1.  Confirmed passages.  Of each window the phrase of ``anchor`` words with the smallest hash is
+    its anchor, so equal windows have equal anchors; about one phrase in eighteen is one.
+    Anchors of two documents or more recur.  Texts that are equal word by word are
+    represented by their smallest doc_id from here on.
+2.  Automata.  The recurring phrases are dealt to shards by the document that has them first,
+    so that a copied passage is in one shard, and each shard's phrases are compiled into
+    one Aho-Corasick automaton over words, of some SHARD_PHRASES phrases.
+3.  Occurrences.  Texts are cut into chunks of CHUNK window starts, and each chunk is streamed through the
+    automata of the shards that have any of its anchors; what is found there, word for
+    word, is all that is known of places.  A shard that very many chunks visit is
+    copied, one automaton for each SLICE chunks.
+4.  Windows whose anchor the automaton found are compared as wholes by 64-bit hashes: the
+    smallest document of each is its owner, and the words of every later window go.
 """
 
 from __future__ import annotations
@@ -26,12 +30,14 @@ from pyspark.sql import DataFrame, functions as F
 from marquee.llm.common import WordHashes, materialise, slices, texts, window_hashes, written
 
 WINDOW, ANCHOR = 50, 15
-#: Phrases of an automaton.
-SHARD_PHRASES = 5_000
+#: Window starts of a chunk; chunks of a document whose phrases go to one shard.
+CHUNK, TOGETHER = 512, 16
+#: Phrases of a shard, about; chunks that one copy of its automaton streams.
+SHARD_PHRASES, SLICE = 5_000, 1_024
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def anchors(words: np.ndarray, window: int, anchor: int) -> np.ndarray:
+def anchors(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each window the place and the hash of its anchor, the last of equal ones."""
     phrases = window_hashes(words, anchor)
     span = window - anchor + 1
@@ -42,26 +48,85 @@ def anchors(words: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return at, phrases[at]
 
 
-def occurrences(shard: list[tuple], anchor: int) -> list[np.ndarray]:
-    """Word places at which any phrase of the shard starts, for each of its texts."""
-    automaton = ahocorasick.Automaton()
-    for words, places, *_ in shard:
-        for p in places:
-            phrase = b" %b " % b" ".join(words[p : p + anchor])
-            automaton.add_word(phrase.decode(), len(phrase.decode()))
-    if not len(automaton):
-        return [np.empty(0, np.int64) for _ in shard]
-    automaton.make_automaton()
-    out = []
-    for words, *_ in shard:
-        text = f" {b' '.join(words).decode()} "
-        starts = np.cumsum([0] + [len(w.decode()) + 1 for w in words[:-1]])
-        found = np.fromiter((end - length + 1 for end, length in automaton.iter(text)), np.int64)
-        out.append(np.searchsorted(starts, found))
-    return out
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_phrases: int = SHARD_PHRASES) -> DataFrame:
+class Phrases:
+    """An Aho-Corasick automaton whose letters are words."""
+
+    def __init__(self, phrases: list[list[bytes]]):
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for phrase in phrases:
+            self.automaton.add_word(tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in phrase))
+        if phrases:
+            self.automaton.make_automaton()
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Word places at which any of the phrases starts."""
+        if not self.numbers or not words:
+            return np.empty(0, np.int64)
+        number = self.numbers.get
+        return np.fromiter((end - n + 1 for end, n in self.automaton.iter(tuple(number(w, 0) for w in words))), np.int64)
+
+
+def located(words: list[bytes], own: np.ndarray, phrases: Phrases, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows whose anchors the automaton finds; ``own`` has the words' hashes."""
+    found = np.zeros(len(words) + 1, bool)
+    found[phrases.places(words)] = True
+    starts = np.flatnonzero(found[anchors(own, window, anchor)[0]])
+    return starts, window_hashes(own, window)[starts]
+
+
+def stream(batches, window: int, anchor: int):
+    """Chunks ordered by shard and slice, those that give phrases first: (doc, h, start, windows) of each that has some."""
+    hashes, unit, given, waiting, phrases = WordHashes(), None, [], [], None
+    out: list[tuple] = []
+
+    def take(doc, h, first, words, own):
+        starts, hit = located(words, own, phrases, window, anchor)
+        if len(starts):
+            out.append((doc, h, (starts + first).astype(np.int32), hit.view(np.int64)))
+
+    def close():
+        """Compiles what a unit has given and streams the chunks that waited for it."""
+        nonlocal phrases
+        if phrases is None:
+            phrases = Phrases(given)
+            for x in waiting:
+                take(*x)
+            given.clear()
+            waiting.clear()
+
+    def batch_of():
+        cols = list(zip(*out, strict=True))
+        out.clear()
+        return pa.RecordBatch.from_pydict({"doc": pa.array(cols[0], pa.int64()), "h": pa.array(cols[1], pa.int64()), "starts": pa.array(cols[2], pa.list_(pa.int32())), "windows": pa.array(cols[3], pa.list_(pa.int64()))})
+
+    columns = ("shard", "slice", "doc", "h", "first", "mine", "streamed", "text")
+    for rows in slices(batches, columns):
+        for shard, part, doc, h, first, mine, streamed, text in zip(*rows, strict=True):
+            if (shard, part) != unit:
+                close()
+                unit, phrases = (shard, part), None
+            words = text.encode().split(b" ")
+            own = hashes.of(words)
+            if mine:
+                at, of = anchors(own, window, anchor)
+                _, once = np.unique(of, return_index=True)
+                wanted = np.isin(of[once], np.array(mine, np.int64).view(np.uint64))
+                given.extend(words[p : p + anchor] for p in at[once][wanted].tolist())
+            else:
+                close()
+            if streamed and phrases is None:
+                waiting.append((doc, h, first, words, own))
+            elif streamed:
+                take(doc, h, first, words, own)
+        if len(out) >= 500:
+            yield batch_of()
+    close()
+    if out:
+        yield batch_of()
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_phrases: int = SHARD_PHRASES, chunk: int = CHUNK, slice_: int = SLICE) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     A word goes if a window of the input that covers it also starts in a document with a
@@ -72,86 +137,91 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     none; extra columns are ignored.
     """
     last = F.lit((1 << 63) - 1)
-    held = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).withColumn("doc", F.coalesce("doc_id", last))
+    held = texts(docs, id_col, text_col).select(F.coalesce("doc_id", last).alias("doc"), F.xxhash64("text").alias("h"), "text")
 
     def describe(batches):
         hashes = WordHashes()
         for ids, rows, hs in slices(batches, ("doc", "text", "h")):
             split = [t.encode().split() for t in rows]
-            own = [np.unique(anchors(hashes.of(w), window, anchor)[1]).view(np.int64) for w in split]
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64()), "h": pa.array(hs, pa.int64()), "n_words": pa.array(map(len, split), pa.int64()), "sha": pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in split], pa.string()), "anchors": pa.array(own, pa.list_(pa.int64()))})
-
-    table = materialise(held.select("doc", "text", "h").mapInArrow(describe, "doc long, h long, n_words long, sha string, anchors array<long>"))
-    firsts = table.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc").alias("first"))
-    ranked = table.drop("anchors", "h").join(firsts, "sha", "left")
-    heads = table.join(firsts.select("sha", F.col("first").alias("doc")), ["sha", "doc"], "left_semi")
-    # Many texts may have one doc: lists are by text (texts of a doc whose hashes collide share one), and doc only says which is smaller.
-    each = heads.select("doc", "h", F.explode("anchors").alias("a"))
-    recurring = each.groupBy("a").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y").select("a")
-    lists = each.join(materialise(recurring), "a").groupBy("doc", "h").agg(F.collect_set("a").alias("confirmed"))
-
-    def locate(batches):
-        hashes, shard, phrases = WordHashes(), [], 0
-
-        def flush():
-            found = occurrences(shard, anchor)
-            rows = []
-            for (words, _, at, h, doc), places in zip(shard, found, strict=True):
-                located = np.zeros(len(words) + 1, bool)
-                located[places] = True
-                starts = np.flatnonzero(located[at])
-                whole = b" ".join(words)
-                rows.append((doc, hashlib.sha256(whole).hexdigest(), whole.decode(), starts.astype(np.int32), window_hashes(h, window)[starts].view(np.int64)))
-            shard.clear()
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_pydict({"doc": pa.array(cols[0], pa.int64()), "sha": pa.array(cols[1], pa.string()), "words": pa.array(cols[2], pa.string()), "starts": pa.array(cols[3], pa.list_(pa.int32())), "windows": pa.array(cols[4], pa.list_(pa.int64()))})
-
-        for ids, rows, confirmed in slices(batches, ("doc", "text", "confirmed")):
-            for doc, text, own in zip(ids, rows, confirmed, strict=True):
+            chunks, own = [], []
+            for words in split:
+                of = anchors(hashes.of(words), window, anchor)[1]
+                pairs = np.unique(np.stack([(np.arange(len(of)) // chunk).astype(np.uint64), of], 1), axis=0)
+                chunks.append(pairs[:, 0].astype(np.int32))
+                own.append(pairs[:, 1].copy().view(np.int64))
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64()), "h": pa.array(hs, pa.int64()), "n_words": pa.array(map(len, split), pa.int64()), "sha": pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in split], pa.string()), "chunk": pa.array(chunks, pa.list_(pa.int32())), "a": pa.array(own, pa.list_(pa.int64()))})
+
+    table = materialise(held.mapInArrow(describe, "doc long, h long, n_words long, sha string, chunk array<int>, a array<long>"))
+    # Texts are known by doc and h (those of a doc whose hashes collide would share their places); doc says which is smaller.
+    copies = table.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("largest")).filter("first <> largest")
+    copies = materialise(copies.select("sha", "first"))
+    ranked = materialise(table.join(copies, "sha", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc"), F.lit(False))).drop("first"))
+    each = ranked.filter("NOT copy").select("doc", "h", F.explode(F.arrays_zip("chunk", "a")).alias("x")).select("doc", "h", "x.chunk", "x.a")
+    recurring = each.groupBy("a").agg(F.min(F.struct("doc", "h", "chunk")).alias("of"), F.max("doc").alias("largest")).filter("of.doc <> largest").select("a", "of")
+    recurring = materialise(recurring)
+    shards = -(-recurring.count() // shard_phrases) or 1
+    shard = F.pmod(F.xxhash64("of.doc", "of.h", F.floor(F.col("of.chunk") / TOGETHER)), F.lit(shards)).alias("shard")
+    mine = F.when((F.col("of.doc") == F.col("doc")) & (F.col("of.h") == F.col("h")) & (F.col("of.chunk") == F.col("chunk")), F.col("a"))
+    visits = each.join(recurring, "a").select("doc", "h", "chunk", shard, mine.alias("mine"))
+    visits = materialise(visits.groupBy("doc", "h", "chunk", "shard").agg(F.collect_set("mine").alias("mine")))
+    parts = materialise(visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / slice_).cast("int").alias("slices")))
+    seats = visits.join(parts, "shard").groupBy("doc", "h").agg(F.collect_list(F.struct("chunk", "shard", "slices", "mine")).alias("seats"))
+
+    def deal(batches):
+        """Chunks of texts to slices of shards; what has phrases of a shard goes to all of its slices and is streamed in one."""
+        for ids, hs, rows, all_seats in slices(batches, ("doc", "h", "text", "seats")):
+            out: list[tuple] = []
+            for doc, h, text, own in zip(ids, hs, rows, all_seats, strict=True):
                 words = text.encode().split()
-                h = hashes.of(words)
-                at, hash_ = anchors(h, window, anchor)
-                chosen = np.unique(at[np.isin(hash_, np.array(own, np.int64).view(np.uint64))])
-                shard.append((words, chosen, at, h, doc))
-                phrases += len(chosen)
-                if phrases >= shard_phrases:
-                    yield flush()
-                    phrases = 0
-        if shard:
-            yield flush()
-
-    streamed = held.select("doc", "text", "h").join(lists, ["doc", "h"]).mapInArrow(locate, "doc long, sha string, words string, starts array<int>, windows array<long>")
-    # Written with the rows, the number of a text stays its own.
-    streamed = written(streamed.filter(F.size("windows") > 0).withColumn("t", F.monotonically_increasing_id()))
-    windows = streamed.select("doc", "t", F.explode(F.arrays_zip("starts", "windows")).alias("w")).select("doc", "t", F.col("w.starts").alias("start"), F.col("w.windows").alias("window"))
-    owners = windows.groupBy("window").agg(F.min("doc").alias("owner"), F.max("doc").alias("y")).filter("owner <> y").select("window", "owner")
+                for seat in own:
+                    first = seat["chunk"] * chunk
+                    piece = b" ".join(words[first : first + chunk + window - 1]).decode()
+                    home = (h + seat["chunk"]) % seat["slices"]
+                    for part in range(seat["slices"]) if seat["mine"] else (home,):
+                        out.append((seat["shard"], part, doc, h, first, seat["mine"], part == home, piece))
+                        if len(out) >= 1000:
+                            yield _seated(out)
+                            out = []
+            if out:
+                yield _seated(out)
+
+    dealt = held.join(seats, ["doc", "h"]).mapInArrow(deal, "shard long, slice int, doc long, h long, first int, mine array<long>, streamed boolean, text string")
+    ordered = dealt.repartition("shard", "slice").sortWithinPartitions("shard", "slice", F.size("mine") == 0)
+    found = written(ordered.mapInArrow(lambda batches: stream(batches, window, anchor), "doc long, h long, starts array<int>, windows array<long>"))
+    windows = found.select("doc", "h", F.explode(F.arrays_zip("starts", "windows")).alias("w")).select("doc", "h", F.col("w.starts").alias("start"), F.col("w.windows").alias("window"))
+    owners = windows.groupBy("window").agg(F.min("doc").alias("owner"), F.max("doc").alias("largest")).filter("owner <> largest").select("window", "owner")
     # Both sides of this join come straight from a shuffle, so Spark splits the tasks of windows that very many texts share.
     later = windows.join(materialise(owners), "window").filter("owner < doc")
-    gone = later.groupBy("t").agg(F.collect_set("start").alias("gone"))
+    gone = later.groupBy("doc", "h").agg(F.collect_set("start").alias("gone"))
 
     def cut(batches):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                words = row["words"].split(" ")
+                words = row["text"].encode().split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 starts = np.array(row["gone"])
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, starts + window, -1)
                 dropped = np.cumsum(edge)[:-1] > 0
-                kept = " ".join(w for w, d in zip(words, dropped.tolist(), strict=True) if not d)
-                out.append((row["doc"], row["sha"], int(dropped.sum()), hashlib.sha256(kept.encode()).hexdigest(), kept))
+                kept = b" ".join(w for w, d in zip(words, dropped.tolist(), strict=True) if not d)
+                out.append((row["doc"], row["h"], int(dropped.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(cols[0], pa.int64()), "sha": pa.array(cols[1], pa.string()), "n_removed": pa.array(cols[2], pa.int64()), "kept": pa.array(cols[3], pa.string()), "kept_text": pa.array(cols[4], pa.string())})
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(cols[0], pa.int64()), "h": pa.array(cols[1], pa.int64()), "n_removed": pa.array(cols[2], pa.int64()), "kept": pa.array(cols[3], pa.string()), "kept_text": pa.array(cols[4], pa.string())})
 
-    one = streamed.groupBy("doc", "sha").agg(F.min("t").alias("t")).select("t")  # of repeated rows
-    changed = streamed.select("doc", "sha", "words", "t").join(gone.join(one, "t"), "t")
-    changed = changed.mapInArrow(cut, "doc long, sha string, n_removed long, kept string, kept_text string")
-    copy = F.coalesce(F.col("first") < F.col("doc"), F.lit(False))
-    return ranked.join(changed, ["doc", "sha"], "left").select(
+    changed = held.join(gone, ["doc", "h"]).mapInArrow(cut, "doc long, h long, n_removed long, kept string, kept_text string")
+    changed = changed.groupBy("doc", "h").agg(F.first(F.struct("n_removed", "kept", "kept_text")).alias("x"))  # of repeated rows one
+    changed = written(changed.select("doc", "h", "x.*"))
+    return ranked.drop("chunk", "a").join(changed, ["doc", "h"], "left").select(
         F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"),
         "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(_NOTHING)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("copy"), F.lit(_NOTHING)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
     )
+
+
+def _seated(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.string())
+    names = ["shard", "slice", "doc", "h", "first", "mine", "streamed", "text"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
