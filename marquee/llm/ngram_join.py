@@ -1,15 +1,15 @@
 """N-gram Jaccard join: who is linked with whom through near-equal shingle sets.
 
 1.  Each text becomes the sorted array of its distinct shingle hashes.  Equal arrays are one
-    class, represented by its smallest doc_id.
+    class, known by the smallest 64-bit hash of its texts, so ids may be null or repeat.
 2.  Repeated shingles.  All shingles meet in buckets by hash, where it shows which of them
     another class has too.  A class with fewer of those than a link takes has no link and
     is done; a shared passage alone leaves it so.
 3.  Candidates.  The shingles of the others have one order, rare ones first by counts in
     hashed buckets.  Linked sets share one of their first shingles, a fifth of a set or less.
     Sets that share a key are joined in a star, in the task first and then across tasks.
-4.  The candidate components are cut into blocks of bounded bytes by size.  Each pair of
-    blocks whose sizes allow a link, and that is not one component already, is a tile.  In a tile hashed bitmaps and their bit counts
+4.  The candidate components are cut into blocks of about equal bytes by size, from counts
+    of each size, so that no task sees a component whole.  Each pair of blocks whose sizes allow a link, and that is not one component already, is a tile.  In a tile hashed bitmaps and their bit counts
     bound every overlap from above; pairs that may link are settled by intersecting the
     sorted arrays, unless the tile has connected them already.
 5.  The components of the links are the result.
@@ -140,12 +140,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are lower-cased in A-Z; a text shorter than ``width`` words is one shingle.  Null,
     empty and blank texts have no shingles and are linked with nothing: they are components
-    of their own.  class_id is the smallest doc_id with the same set.  Rows that repeat a
-    doc_id should repeat its text; a row without doc_id takes the component of its set, if
-    rows with a doc_id have it, or else null.  An empty table gives no row; extra columns are ignored.
+    of their own.  class_id is the smallest doc_id with the same set, component_id the
+    smallest of the component; both are null where no row has a doc_id.  Rows are linked by
+    their texts: those that repeat a doc_id with another text, or have none, are linked and
+    link like any.  An empty table gives no row; extra columns are ignored.
     """
     spark = docs.sparkSession
-    held = texts(docs, id_col, text_col)
+    held = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     fewest = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))  # smaller sets link with equal ones only
     least = 2 * spark.sparkContext.defaultParallelism
     buckets = max(8, least, int(held.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS)
@@ -153,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def describe(batches):
         """The shingles of each class of a chunk of texts by bucket, and with the first of them a row for each text."""
         hashes, seen = WordHashes(), set()
-        for ids, rows in slices(batches):
+        for ids, rows, texts_ in slices(batches, ("doc_id", "text", "h")):
             sets = [shingles(t, hashes, width) for t in rows]
             names = [digest(s) if len(s) else None for s in sets]
             new: dict[bytes, np.ndarray] = {}
@@ -163,29 +164,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         seen.clear()
                     seen.add(name)
                     new[name] = s
-            yield _dealt(new, buckets, ids, [len(s) for s in sets], names)
+            yield _dealt(new, buckets, ids, texts_, [len(s) for s in sets], names)
 
-    kinds = "bucket int, keys binary, owners binary, lengths binary, ids array<long>, sizes array<long>, names array<binary>"
-    described = materialise(held.mapInArrow(describe, kinds).repartition(buckets, "bucket").mapInArrow(_repeated, "doc_id long, n_shingles long, digest binary, owner long, repeated long"))
-    table = described.filter("repeated IS NULL").drop("owner", "repeated")
-    classes = described.filter("repeated IS NULL AND digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n_shingles"), F.max("owner").alias("owner"))
+    kinds = "bucket int, keys binary, owners binary, lengths binary, ids array<long>, texts array<long>, sizes array<long>, names array<binary>"
+    dealt = held.mapInArrow(describe, kinds).repartitionById(buckets, F.col("bucket"))  # a task has one bucket
+    described = materialise(dealt.mapInArrow(_repeated, "doc_id long, h long, n_shingles long, digest binary, owner long, repeated long"))
+    table = described.filter("repeated IS NULL").drop("h", "owner", "repeated")
+    classes = described.filter("repeated IS NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("h").alias("node"), F.max("n_shingles").alias("n_shingles"), F.max("owner").alias("owner"))
     classes = materialise(classes)
     repeated = described.filter("repeated IS NOT NULL").groupBy("owner").agg(F.sum("repeated").alias("repeated"))
     able = classes.join(repeated, "owner").filter(F.col("repeated") * 100 >= F.col("n_shingles") * percent)
-    able = materialise(able.select(F.col("class_id").alias("doc_id"), "n_shingles"))
-    held = written(held.join(able, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]))
+    able = materialise(able.select("node", "n_shingles"))
+    held = written(held.drop("doc_id").join(able, F.col("h") == F.col("node")).select("node", "text").dropDuplicates(["node"]))
 
     def count(batches):
         """The task's counts of shingles."""
         hashes, counts = WordHashes(), np.zeros(1 << BITS, np.uint32)
-        for _, rows in slices(batches):
+        for (rows,) in slices(batches, ("text",)):
             for text in rows:
                 np.add.at(counts, (shingles(text, hashes, width) & _BUCKET).astype(np.int64), 1)
         blocks = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, BLOCKS)] if counts.any() else []
         yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(blocks)), pa.int32()), "counts": pa.array(blocks, pa.binary())})
 
     counts = np.zeros(1 << BITS, np.uint64)
-    for row in held.mapInArrow(count, "block int, counts binary").repartition(BLOCKS, "block").mapInArrow(_added, "block int, counts binary").collect():  # 2 ** BITS sums in all
+    for row in held.mapInArrow(count, "block int, counts binary").repartitionById(BLOCKS, F.col("block")).mapInArrow(_added, "block int, counts binary").collect():  # 2 ** BITS sums in all
         counts[row.block * len(counts) // BLOCKS : (row.block + 1) * len(counts) // BLOCKS] = np.frombuffer(zlib.decompress(row.counts), np.uint64)
     ranks = spark.sparkContext.broadcast(common(counts))
     buckets = max(8, least, int(able.agg(F.sum("n_shingles")).first()[0] or 0) // 8_000_000)
@@ -193,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def candidates(batches):
         hashes = WordHashes()
-        for ids, rows in slices(batches):
+        for ids, rows in slices(batches, ("node", "text")):
             sets = [shingles(text, hashes, width) for text in rows]
             if sets:
                 found, owner = keys(sets, ranks.value, percent)
@@ -222,33 +224,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def shared_keys(batches):
         return contract(meet(batches))
 
-    shared = held.mapInArrow(candidates, packed).repartition(buckets, "bucket").mapInArrow(shared_keys, "a long, b long")
-    near = components(shared).withColumnsRenamed({"node": "doc_id", "component": "near"})
+    shared = held.mapInArrow(candidates, packed).repartitionById(buckets, F.col("bucket")).mapInArrow(shared_keys, "a long, b long")
+    near = components(shared).withColumnRenamed("component", "near")
 
-    by_size = Window.partitionBy("near").orderBy("n_shingles", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sized = near.join(able, "doc_id")
-    weight = F.col("n_shingles") * 8 + F.lit(block_bytes // BLOCK_SETS)
-    block = F.floor(F.coalesce(F.sum(weight).over(by_size), F.lit(0)) / block_bytes)
-    sized = materialise(sized.withColumn("block", block))
+    sized = materialise(near.join(able, "node"))
+    # Where the sets of each size of a component lie among its bytes, by size; sets of one size are dealt evenly to the blocks there.
+    weight = F.col("n") * (F.col("n_shingles") * 8 + block_bytes // BLOCK_SETS)
+    smaller = Window.partitionBy("near").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sized.groupBy("near", "n_shingles").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum(weight).over(smaller), F.lit(0)))
+    spans = materialise(sizes.select("near", "n_shingles", F.floor(F.col("start") / block_bytes).alias("low"), F.floor((F.col("start") + weight - 1) / block_bytes).alias("high")))
+    block = F.col("low") + F.pmod(F.xxhash64("node"), F.col("high") - F.col("low") + 1)
+    sized = materialise(sized.join(spans, ["near", "n_shingles"]).select("node", "near", "n_shingles", block.alias("block")))
 
     def load(batches):
         hashes = WordHashes()
-        for ids, rows, where in slices(batches, ("doc_id", "text", "seats")):
+        for ids, rows, where in slices(batches, ("node", "text", "seats")):
             sets = [shingles(t, hashes, width).tobytes() for t in rows]
             flat = [(s["near"], s["i"], s["j"], s["block"], k) for k, seats in enumerate(where) for s in seats]
             for at in range(0, len(flat), 2000):
                 part = flat[at : at + 2000]
-                yield pa.RecordBatch.from_pydict({"near": pa.array([p[0] for p in part], pa.int64()), "i": pa.array([p[1] for p in part], pa.int64()), "j": pa.array([p[2] for p in part], pa.int64()), "block": pa.array([p[3] for p in part], pa.int64()), "doc_id": pa.array([ids[p[4]] for p in part], pa.int64()), "own": pa.array([sets[p[4]] for p in part], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"near": pa.array([p[0] for p in part], pa.int64()), "i": pa.array([p[1] for p in part], pa.int64()), "j": pa.array([p[2] for p in part], pa.int64()), "block": pa.array([p[3] for p in part], pa.int64()), "node": pa.array([ids[p[4]] for p in part], pa.int64()), "own": pa.array([sets[p[4]] for p in part], pa.binary())})
 
     def link(group: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("own")]
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip("ab", settle(group.column("doc_id").to_pylist(), sets, group.column("block").to_numpy(), percent), strict=True)})
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip("ab", settle(group.column("node").to_pylist(), sets, group.column("block").to_numpy(), percent), strict=True)})
 
     def links(tiles: DataFrame) -> DataFrame:
         """The links of tiles (near, i, j)."""
         sides = tiles.select("near", F.col("i").alias("block"), "i", "j").unionByName(tiles.filter("i <> j").select("near", F.col("j").alias("block"), "i", "j"))
-        seats = sized.join(sides, ["near", "block"]).groupBy("doc_id").agg(F.collect_list(F.struct("near", "i", "j", "block")).alias("seats"))
-        rows = held.join(seats, "doc_id").mapInArrow(load, "near long, i long, j long, block long, doc_id long, own binary")
+        seats = sized.join(sides, ["near", "block"]).groupBy("node").agg(F.collect_list(F.struct("near", "i", "j", "block")).alias("seats"))
+        rows = held.join(seats, "node").mapInArrow(load, "near long, i long, j long, block long, node long, own binary")
         return materialise(rows.groupBy("near", "i", "j").applyInArrow(link, "a long, b long"))
 
     def tiles(ends: DataFrame, which) -> DataFrame:
@@ -261,21 +266,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = sized.groupBy("near", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     near_tiles = F.col("y.block") - F.col("x.block") <= 1
     first = links(tiles(ends, near_tiles))
-    found = components(first)
+    found = components(first)  # node, component
     # Then the pairs of blocks further apart, but for those that are one component already.
     large = sized.join(ends.filter("block >= 2").select("near").distinct(), "near", "left_semi")
-    named_blocks = large.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named_blocks = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = named_blocks.groupBy("near", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.min("component").alias("from"), F.max("component").alias("to"))
     open_ = ~((F.col("x.from") == F.col("x.to")) & (F.col("y.from") == F.col("y.to")) & (F.col("x.from") == F.col("y.from")))
     far = materialise(tiles(materialise(ends), ~near_tiles & open_))
     if not far.isEmpty():
         found = components(first.unionByName(links(far)))
-    final = classes.join(found, F.col("class_id") == F.col("node"), "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    joined = table.join(final, "digest", "left")
+    linked = materialise(classes.select("node", "class_id").join(found, "node"))
+    ids = linked.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    final = classes.join(linked.join(ids, "component").select("node", "component_id"), "node", "left").select("digest", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    joined = table.join(materialise(final), "digest", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _dealt(sets: dict[bytes, np.ndarray], buckets: int, ids: list, sizes: list, names: list) -> pa.RecordBatch:
+def _dealt(sets: dict[bytes, np.ndarray], buckets: int, ids: list, texts_: list, sizes: list, names: list) -> pa.RecordBatch:
     """A row for each bucket with 32 bits of each shingle, and of each set there its name's first 8 bytes and its number of shingles."""
     flat = np.concatenate([np.empty(0, np.uint64), *sets.values()])
     owner = np.repeat(np.array([int.from_bytes(n[:8], "little", signed=True) for n in sets], np.int64), [len(s) for s in sets.values()])
@@ -298,13 +305,13 @@ def _dealt(sets: dict[bytes, np.ndarray], buckets: int, ids: list, sizes: list,
     first = zlib.crc32(repr(ids[:1]).encode()) % buckets
     told = lambda values: [values if i == first else None for i in range(buckets)]
     columns = {"bucket": pa.array(range(buckets), pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in zip(("keys", "owners", "lengths"), rows, strict=True)}
-    columns |= {"ids": pa.array(told(ids), pa.list_(pa.int64())), "sizes": pa.array(told(sizes), pa.list_(pa.int64())), "names": pa.array(told(names), pa.list_(pa.binary()))}
+    columns |= {"ids": pa.array(told(ids), pa.list_(pa.int64())), "texts": pa.array(told(texts_), pa.list_(pa.int64())), "sizes": pa.array(told(sizes), pa.list_(pa.int64())), "names": pa.array(told(names), pa.list_(pa.binary()))}
     some = np.flatnonzero((ends[1:] > ends[:-1]) | (np.arange(buckets) == first))
     return pa.RecordBatch.from_pydict(columns).take(pa.array(some))
 
 
 def _repeated(batches):
-    """The rows of texts as they come, and for each set how many of a bucket's shingles another set has too.
+    """The rows of texts as they come, and for each set how many of a bucket's shingles another set has too; a task has one bucket.
 
     Shingles of two sets that agree in 32 bits of a bucket pass for equal, so a count may be too large but never too small.
     """
@@ -313,7 +320,7 @@ def _repeated(batches):
         for row in batch.to_pylist():
             if row["ids"] is not None:
                 owners = [None if n is None else int.from_bytes(n[:8], "little", signed=True) for n in row["names"]]
-                yield _told(row["ids"], row["sizes"], row["names"], owners, [None] * len(owners))
+                yield _told(row["ids"], row["texts"], row["sizes"], row["names"], owners, [None] * len(owners))
             if row["keys"]:
                 held.setdefault(row["bucket"], []).append([np.frombuffer(row[k], t) for k, t in (("keys", np.uint32), ("owners", np.int64), ("lengths", np.uint32))])
     for bucket in list(held):
@@ -337,11 +344,11 @@ def _repeated(batches):
             again = np.repeat(owners[starts] != owners[starts + lengths - 1], lengths)
             names, n = np.unique(owners[again], return_counts=True)
             nothing = [None] * len(names)
-            yield _told(nothing, nothing, nothing, names, n)
+            yield _told(nothing, nothing, nothing, nothing, names, n)
 
 
-def _told(ids, sizes, names, owners, repeated) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(names, pa.binary()), "owner": pa.array(owners, pa.int64()), "repeated": pa.array(repeated, pa.int64())})
+def _told(ids, texts_, sizes, names, owners, repeated) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "h": pa.array(texts_, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(names, pa.binary()), "owner": pa.array(owners, pa.int64()), "repeated": pa.array(repeated, pa.int64())})
 
 
 def _added(batches):
