@@ -7,6 +7,7 @@ the regular expressions below.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,38 +25,69 @@ CHUNK_CHARS = 4_000_000
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster names.
-
-    Only a session without ``spark.checkpoint.dir`` (tests) gets a folder of its own.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
+    """Cuts the lineage with a reliable checkpoint in the folder that the cluster names."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As materialise, but a compressed table, for what holds texts; it stays until the folder is cleared."""
-    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """As materialise, but a compressed table, for what holds texts; it stays until ``clear_scratch``."""
+    at = scratch(df.sparkSession, "table")
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """The rows with a key of their own, ``_row``, in a table, so that every reader finds the same keys."""
-    return written(df.withColumn("_row", F.monotonically_increasing_id()))
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with more underscores before it as long as a column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own in a table, so that every reader finds the same keys; and the name of that column."""
+    key = free_name(df, "_row")
+    return written(df.withColumn(key, F.monotonically_increasing_id())), key
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local session, where all is one machine, may leave it unset and gets a folder of its own.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="marquee-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/marquee-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in this application's own part of the shared folder."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any file system that Spark writes to."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that operators have written in this application; results not yet read are lost."""
+    delete_folder(spark, _scratch_root(spark))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

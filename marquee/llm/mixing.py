@@ -7,18 +7,18 @@ crosses.  As neighbours are of like size, the words taken stay near the target.
 
 The running sum needs a document's rank in its source, which no task may see whole: it
 is the sum of the counts of larger sizes, of earlier id blocks of its size, and of
-its place in its own block of at most BLOCK ids.
+its place in its own block of at most BLOCK ids (rows that repeat one id share a block).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marquee.llm.common import WORD, keyed, materialise
+from marquee.llm.common import WORD, free_name, keyed, materialise
 
 #: Weights of the sources in the order of their names, repeating; the most copies of a document.
 WEIGHTS, MOST = (1, 2, 3), 3
-BLOCK = 65_536
+BLOCK = 8_192
 SEED = "mix-7"
 #: Up to so many sources, their totals are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
@@ -73,8 +73,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         sources = F.broadcast(sources)
     down = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     larger = per_size.select("source", "size", F.coalesce(F.sum("n").over(down), F.lit(0)).alias("larger"))
-    block = F.expr(f"doc_id div {BLOCK}")
-    along = Window.partitionBy("source", "size").orderBy(F.col("block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    # Rows without an id come last, in blocks of their keys.
+    block = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.expr(f"coalesce(doc_id, row) div {BLOCK}").alias("at"))
+    along = Window.partitionBy("source", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = base.groupBy("source", "size", block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
     blocks = blocks.select("source", "size", "block", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("earlier"))
     same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
@@ -99,8 +100,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed documents themselves, each row as often as it is taken, whatever its id."""
-    rows = keyed(docs)
-    drawn = mix(rows, id_col, row_col="_row", **options).filter("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    joined = rows.join(drawn, "_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """The mixed documents themselves, each row as often as it is taken, with the input's columns.
+
+    Rows are drawn by a key of their own, so null, repeated and clashing ids and columns of
+    any name do no harm.  A document without words is taken like any other of its source; a
+    source without words is not taken.  An empty table gives none.
+    """
+    rows, key = keyed(docs)
+    copies, copy = free_name(docs, "_copies"), free_name(docs, "_copy")
+    drawn = mix(rows, id_col, row_col=key, **options).filter("copies > 0").select(F.col(key), F.col("copies").alias(copies))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+    return rows.join(drawn, key).withColumn(copy, each).select(*map(_quoted, docs.columns))
+
+
+def _quoted(column: str) -> str:
+    return f"`{column.replace('`', '``')}`"

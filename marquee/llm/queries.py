@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm.common import documents, labels, shared_dir
+from marquee.llm.common import documents, labels, scratch
 from marquee.llm.exact_dedup import exact_dedup
 from marquee.llm.mixing import mix
 from marquee.llm.ngram_join import near_duplicates
@@ -28,7 +26,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}"
+    folder = scratch(spark, "training-order")
     write_training_order(documents(spark, sf_dir), folder)
     return training_pieces(spark, folder)
 

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marquee.llm.common import WordHashes
 from marquee.llm import exact_dedup as x1, mixing, ngram_join, packing, pii, quality_model, quality_rules, repeated_passages, token_counts, tokens, training_order
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -144,6 +145,15 @@ def test_ngram_join_many_edited_copies(spark):
     assert got == brute_components(out, 4, 85)
 
 
+def test_ngram_join_of_null_and_repeated_ids(spark):
+    r = random.Random(15)
+    base, other = prose(r, 60).split(), prose(r, 60)
+    edit = lambda k: " ".join([*base[:k], f"e{k}", *base[k + 1 :]])
+    out = [(None, edit(0), "s"), (7, edit(59), "s"), (7, other, "s"), (None, other, "s"), (9, " ".join(base), "s"), (None, prose(r, 30), "s"), (None, None, "s")]
+    got = collections.Counter((x.doc_id, x.n_shingles, x.component_id, x.class_id) for x in ngram_join.near_duplicates(frame(spark, out), width=4, percent=85).collect())
+    assert got == collections.Counter([(None, 57, 7, None), (7, 57, 7, 7), (7, 57, 7, 7), (None, 57, 7, 7), (9, 57, 7, 9), (None, 27, None, None), (None, 0, None, None)])
+
+
 def test_ngram_join_of_one_short_text(spark):
     buckets = max(8, 2 * spark.sparkContext.defaultParallelism)
     texts = (prose(random.Random(k), 16) for k in range(1000))
@@ -151,7 +161,7 @@ def test_ngram_join_of_one_short_text(spark):
     out = [tuple(r) for r in ngram_join.near_duplicates(frame(spark, [(3, text, "s")], 1), width=4, percent=85).collect()]
     assert out == [(3, 13, 3, 3)]
     sets = {bytes([k] * 16): np.array(own, np.uint64) for k, own in enumerate(([5, 13, 21], [13, 2], [8 * 7 + 2]), 1)}
-    dealt = ngram_join._dealt(sets, 8, [1, 2, 3], [3, 2, 1], list(sets)).to_pylist()
+    dealt = ngram_join._dealt(sets, 8, [1, 2, 3], [4, 5, 6], [3, 2, 1], list(sets)).to_pylist()
     name = lambda k: int.from_bytes(bytes([k] * 8), "little", signed=True)
     got = {r["bucket"]: list(zip(np.frombuffer(r["owners"], np.int64).tolist(), np.frombuffer(r["lengths"], np.uint32).tolist(), strict=True)) for r in dealt if r["keys"]}
     assert got == {5: [(name(1), 3), (name(2), 1)], 2: [(name(2), 1), (name(3), 1)]}
@@ -160,7 +170,7 @@ def test_ngram_join_of_one_short_text(spark):
 def test_shingles_that_collide_in_a_set_all_count():
     low = [8 * k + 3 for k in range(4)]  # equal in the bucket and in the upper 32 bits
     sets = {bytes([1] * 16): np.array(low[:3], np.uint64), bytes([2] * 16): np.array(low, np.uint64), bytes([3] * 16): np.array([(1 << 40) + 3, (1 << 40) + 11], np.uint64)}
-    parts = [ngram_join._dealt(own, 8, [k], [len(own)], list(own)[:1]) for k, own in enumerate((sets, dict(list(sets.items())[1:])))]
+    parts = [ngram_join._dealt(own, 8, [k], [k], [len(own)], list(own)[:1]) for k, own in enumerate((sets, dict(list(sets.items())[1:])))]
     counts = collections.Counter()
     for batch in ngram_join._repeated(parts):
         for row in batch.to_pylist():
@@ -197,6 +207,7 @@ def ids_of(text):
 def test_training_order_round_trip(spark, docs, rows, tmp_path):
     training_order.write_training_order(docs, str(tmp_path / "o"), length=64, shard_bytes=20_000)
     records = {(r.shard, r.record): np.frombuffer(r.ids, "<u2") for r in training_order.read_records(spark, str(tmp_path / "o"), 64).collect()}
+    assert len(records) == len(set(records)) and not any("Arrow" in p for p in training_order.read_records(spark, str(tmp_path / "o"), 64)._jdf.queryExecution().toString().split())
     index = training_order.read_index(spark, str(tmp_path / "o"), 64).collect()
     assert sorted(r.slot for r in index) == list(range(len(index))) and len({r.shard for r in index}) > 1
     back = collections.defaultdict(list)
@@ -246,9 +257,9 @@ def brute_repeats(rows, window):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize(("window", "anchor", "shard"), [(50, 15, 5000), (50, 15, 3), (20, 6, 10)])
-def test_repeated_passages(docs, rows, window, anchor, shard):
-    got = repeated_passages.remove_repeats(docs, window=window, anchor=anchor, shard_phrases=shard)
+@pytest.mark.parametrize(("window", "anchor", "shard", "chunk", "part"), [(50, 15, 5000, 512, 1024), (50, 15, 3, 40, 2), (20, 6, 10, 64, 3)])
+def test_repeated_passages(docs, rows, window, anchor, shard, chunk, part):
+    got = repeated_passages.remove_repeats(docs, window=window, anchor=anchor, shard_phrases=shard, chunk=chunk, slice_=part)
     assert collections.Counter(tuple(r)[:4] for r in got.collect()) == brute_repeats(rows, window)
 
 
@@ -259,7 +270,26 @@ def test_repeated_passages_of_null_and_repeated_ids(spark):
     out = [(1, shared, "s"), *own, *own[:3], (9, own[0][1].replace(" ", "  "), "s")]
     got = repeated_passages.remove_repeats(frame(spark, out), shard_phrases=1)
     assert collections.Counter(tuple(x)[:4] for x in got.collect()) == brute_repeats(out, 50)
-    assert [x.tolist() for x in repeated_passages.occurrences([([b"a"] * 20, [])], 15)] == [[]]
+
+
+def test_places_come_from_the_automaton():
+    r = random.Random(3)
+    words = prose(r, 300, 40).encode().split()
+    own, phrases = WordHashes().of(words), [words[p : p + 6] for p in (5, 90, 91, 250)]
+    brute = [p for p in range(295) if words[p : p + 6] in phrases]
+    assert repeated_passages.Phrases(phrases).places(words).tolist() == brute
+    at, of = repeated_passages.anchors(own, 20, 6)
+    for known in (phrases, phrases[:1], [words[p : p + 6] for p in set(at.tolist())], []):
+        starts, hashes = repeated_passages.located(words, own, repeated_passages.Phrases(known), 20, 6)
+        assert starts.tolist() == [i for i, p in enumerate(at) if words[p : p + 6] in known] and len(hashes) == len(starts)
+
+    def row(shard, doc, mine):
+        return (shard, 0, doc, doc, 0, mine, True, b" ".join(words).decode())
+
+    anchored = sorted({int(x) for x in of.view(np.int64)})
+    batch = repeated_passages._seated([row(1, 7, anchored), row(1, 9, []), row(2, 9, [])])
+    out = [x for b in repeated_passages.stream([batch], 20, 6) for x in b.to_pylist()]
+    assert [x["doc"] for x in out] == [7, 9] and out[0]["windows"] == out[1]["windows"]  # shard 2 has no phrase, so nothing is found there
 
 
 # 5 ------------------------------------------------------------------------------------------

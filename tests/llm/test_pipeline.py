@@ -6,6 +6,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 
@@ -71,6 +72,18 @@ def test_empty(spark, folder):
         assert stage(spark, docs, folder).count() == 0
 
 
+def test_columns_of_clashing_names(spark, folder, tmp_path):
+    docs, names = spark.read.parquet(f"{folder}/documents.parquet").limit(60), ("_row", "row", "_copies", "_copy", "_id", "_text", "_new", "_digest", "h", "kept", "copies", "a.b")
+    for name in names:
+        docs = docs.withColumn(name, F.lit(7))
+    docs.write.parquet(f"{tmp_path}/odd")
+    docs = spark.read.parquet(f"{tmp_path}/odd")
+    for _, stage in cp.STAGES[:-1]:
+        after = stage(spark, docs, folder)
+        assert after.columns == docs.columns and {tuple(r)[5:] for r in after.collect()} == {(7,) * len(names)}
+    assert cp.packing(spark, docs, folder).count() >= 60
+
+
 def test_null_and_repeated_ids_with_different_texts(spark, folder):
     r = random.Random(12)
     prose = lambda n: [f"w{r.randrange(600)}" for _ in range(n)]
