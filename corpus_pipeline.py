@@ -7,52 +7,78 @@ so there is none for the whole; tests hold the stages against brute force.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.llm.common import keyed, labels, shared_dir
+from marquee.llm.common import delete_folder, keyed, labels, scratch
 from marquee.llm.exact_dedup import exact_dedup
 from marquee.llm.mixing import mix_documents
 from marquee.llm.ngram_join import near_duplicates
 from marquee.llm.packing import pack
 from marquee.llm.quality_model import importance_resample
 
+#: Up to so many row keys are broadcast to take their rows out; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
 
-def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose row keys are in ``kept``."""
-    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+def _without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose keys are not in ``gone`` (row), without the key."""
+    gone = gone.select(F.col("row").alias(key))
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(gone) if few else gone, key, "left_anti").drop(key)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are drawn by importance resampling towards good labelled text."""
-    rows = keyed(docs)
-    return _only(rows, importance_resample(rows, labels(spark, sf_dir), row_col="_row").filter("kept"))
+    """Documents that are drawn by importance resampling towards good labelled text.
+
+    A null or empty text has weight 1 and stays; repeated rows stay or go alike; a null
+    doc_id has no label.  An empty table gives none; columns of any name are kept.
+    """
+    rows, key = keyed(docs)
+    judged = importance_resample(rows, labels(spark, sf_dir), row_col=key)
+    return _without(rows, key, judged.filter("NOT kept").select(F.col(key).alias("row")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space the longest, then the one with the smallest doc_id; of repeated rows one."""
-    rows = keyed(docs)
-    return _only(rows, exact_dedup(rows, row_col="_row").filter("kept"))
+    """Of texts equal but for white space the longest, then the one with the smallest doc_id; of repeated rows one.
+
+    Null and empty texts are equal to each other, so one of them stays; a null doc_id loses
+    ties.  An empty table gives none; columns of any name are kept.
+    """
+    rows, key = keyed(docs)
+    return _without(rows, key, exact_dedup(rows, row_col=key).filter("NOT kept").select(F.col(key).alias("row")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by near-equal sets of five-word shingles the document with the smallest doc_id."""
-    rows = keyed(docs)
-    # Rows are linked, with or without an id; of a component the smallest id stays, a row without one only if none has one.
-    groups = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    ids = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("best")
-    return _only(rows, groups.join(ids, "_row").groupBy("component_id").agg(best).select("best._row"))
+    """Of each group linked by near-equal sets of five-word shingles the document with the smallest doc_id.
+
+    Rows are linked, with or without an id; a row without one stays only if its group has
+    none with one, and of repeated rows one stays.  Null and empty texts are linked with nothing and
+    all stay.  An empty table gives none; columns of any name are kept.
+    """
+    rows, key = keyed(docs)
+    groups = near_duplicates(rows, id_col=key).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    joined = groups.join(ids, "row")
+    best = joined.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))["row"].alias("row"))
+    return _without(rows, key, joined.select("row").join(best, "row", "left_anti"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is one of its own; a document without words is taken like the others of
+    its source.  Repeated rows and null ids are drawn one by one; an empty table gives none; columns of any
+    name are kept.
+    """
     return mix_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
+    """Pieces of documents in sequences.
+
+    A null or empty text is its end id alone; repeated rows and null ids are packed like any;
+    an empty table gives none; further columns are left out, whatever their names.
+    """
     return pack(docs)
 
 
@@ -62,9 +88,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what passes between them is written as Parquet in the shared folder."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; what passes between them is written as Parquet in the shared folder and deleted once it is read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        folder = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        if before:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return STAGES[-1][1](spark, docs, sf_dir)
