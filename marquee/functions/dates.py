@@ -10,8 +10,14 @@ DATE = r"([0-9]{4})[-./]([0-9]{1,2})[-./]([0-9]{1,2})"
 TIME = r"([0-9]{2}):([0-9]{2})"
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.try_to_number(F.nullif(F.regexp_extract(text, pattern, group), F.lit("")), F.lit("9999")).cast("int")
+def _numbers(text: Column, pattern: str, apart: str) -> Column:
+    """The numbers of a pattern's first match, which is looked for once; without one the array has an empty text."""
+    return F.split(F.regexp_extract(text, pattern, 0), apart)
+
+
+def _number(parts: Column, at: int) -> Column:
+    """A part of digits alone, so the cast cannot fail."""
+    return F.nullif(F.get(parts, at), F.lit("")).cast("int")
 
 
 def rolled(year: Column, month: Column, day: Column) -> Column:
@@ -22,13 +28,14 @@ def rolled(year: Column, month: Column, day: Column) -> Column:
 
 def parsed_day(text: Column) -> Column:
     """First y-M-d, y.M.d or y/M/d anywhere in a text, or null."""
-    found = F.regexp_extract(text, DATE, 1) != ""
-    return F.when(found, rolled(_number(text, DATE, 1), _number(text, DATE, 2), _number(text, DATE, 3)))
+    parts = _numbers(text, DATE, "[-./]")
+    return rolled(_number(parts, 0), _number(parts, 1), _number(parts, 2))
 
 
 def minutes_of_day(text: Column) -> Column:
     """First HH:mm in minutes, which may pass midnight; 19:30 without one."""
-    return F.when(F.regexp_extract(text, TIME, 1) != "", _number(text, TIME, 1) * 60 + _number(text, TIME, 2)).otherwise(19 * 60 + 30)
+    parts = _numbers(text, TIME, ":")
+    return F.coalesce(_number(parts, 0) * 60 + _number(parts, 1), F.lit(19 * 60 + 30))
 
 
 def at(day: Column, minutes: Column) -> Column:

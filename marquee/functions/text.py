@@ -6,10 +6,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
-#: White space as browsers take it, which is more than Java's \s.
-BLANKS = r"[\s\x{000B}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: White space as browsers take it, which is neither Java's nor Python's \s (ranges of code points); and the words that say nothing.
+BLANK_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
+NOISE_WORDS = "演唱会|巡回|站|世界|live|tour|concert"
+BLANKS = "[" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in BLANK_RANGES) + "]"
 #: What a normalised title leaves out, in turn.
-TITLE_NOISE = (BLANKS + "+", "【.*?】", r"\[.*?\]", r"\(.*?\)", r"[0-9]{4}", "演唱会|巡回|站|世界|live|tour|concert")
+TITLE_NOISE = (BLANKS + "+", "【.*?】", r"\[.*?\]", r"\(.*?\)", r"[0-9]{4}", NOISE_WORDS)
 START = r"([0-9]{4}[.\-][0-9]{2}[.\-][0-9]{2})"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marquee.functions import dates
 from marquee.schema import HOLIDAYS, LISTING
@@ -47,11 +47,15 @@ def active_hours(events_: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def grid(events_: DataFrame, days: DataFrame) -> DataFrame:
-    """day, hour, n for each day of the view and each active hour of it."""
-    cells = events_.join(F.broadcast(days), F.to_date("start") == F.col("day")).groupBy("day", F.hour("start").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    hours = cells.select("hour").distinct()
-    frame = days.select("day", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour")).join(F.broadcast(hours), "hour", "left_semi")  # at most 24 hours
-    return frame.join(cells, ["day", "hour"], "left").select("day", "hour", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """day, hour, n for each day of the view and each active hour of it.
+
+    Events are read once; what follows is about at most 42 days of 24 hours.
+    """
+    cells = events_.select(F.to_date("start").alias("day"), F.hour("start").alias("hour")).groupBy("day", "hour").agg(F.count(F.lit(1)).alias("n"))
+    frame = days.select("day", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    active = F.max("n").over(Window.partitionBy("hour"))
+    filled = frame.join(cells, ["day", "hour"], "left").withColumn("active", active).filter("active IS NOT NULL")
+    return filled.select("day", "hour", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def month_grid(spark: SparkSession, day: str) -> DataFrame:
@@ -72,3 +76,16 @@ def navigation(days: DataFrame) -> DataFrame:
     return days.select(
         "day", F.add_months(d, 1).alias("next_month"), F.add_months(d, -1).alias("prev_month"), F.date_add(d, 7).alias("next_week"), F.date_sub(d, 7).alias("prev_week"), F.date_add(d, 1).alias("next_day"), F.date_sub(d, 1).alias("prev_day"), dates.month_set(d, F.col("month_index")).alias("month_set")
     )
+
+
+def day_flags(days: DataFrame, events_: DataFrame) -> DataFrame:
+    """day, has_event of the days of a view."""
+    hit = days_with_events(events_).withColumn("hit", F.lit(True))
+    return days.join(hit, "day", "left").select("day", F.coalesce("hit", F.lit(False)).alias("has_event"))
+
+
+def month_flags(spark: SparkSession, events_: DataFrame, year: int) -> DataFrame:
+    """month (1 to 12), has_event of a year."""
+    hit = events_.filter(F.year("start") == year).select(F.month("start").alias("month")).distinct().withColumn("hit", F.lit(True))
+    months = spark.range(1, 13).select(F.col("id").cast("int").alias("month"))
+    return months.join(hit, "month", "left").select("month", F.coalesce("hit", F.lit(False)).alias("has_event"))

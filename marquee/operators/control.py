@@ -39,11 +39,11 @@ def outcomes(results: DataFrame) -> DataFrame:
 
 
 def merge_status(current: DataFrame, patch: DataFrame, now_ms: int) -> DataFrame:
-    """One status row with the fields of a patch over it, stamped."""
-    p = patch.select(*[F.col(c).alias(f"_{c}") for c in patch.columns])
+    """One status row with all fields of a patch row over it, null ones too, stamped; an empty patch only stamps."""
+    p = patch.select(F.lit(True).alias("_given"), *[F.col(c).alias(f"_{c}") for c in patch.columns])
     merged = current.join(p, F.lit(True), "left")
-    fields = [(F.coalesce(f"_{c}", c) if c in patch.columns else F.col(c)).alias(c) for c in current.columns if c != "lastUpdated"]
-    return merged.select(*fields, F.lit(now_ms).cast("long").alias("lastUpdated"))
+    new = lambda c: F.lit(now_ms).cast("long") if c == "lastUpdated" else F.when(F.col("_given"), F.col(f"_{c}")).otherwise(F.col(c)) if c in patch.columns else F.col(c)
+    return merged.select(*[new(c).alias(c) for c in current.columns])
 
 
 def transitions(log: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marquee.functions.text import contains_any, has, matches, or_else
 from marquee.schema import CITY_BLACKLIST
@@ -70,3 +70,9 @@ def named_artists(listings: DataFrame) -> DataFrame:
 
 def not_blacklisted(listings: DataFrame, column: str = "city", terms=CITY_BLACKLIST) -> DataFrame:
     return listings.filter(~contains_any(F.col(column), terms))
+
+
+def top_of_each(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each key; Spark keeps the first n of each task before it shuffles."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")

@@ -11,9 +11,9 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marquee.functions.text import has, normalize_title, start_date
+from marquee.functions.text import BLANK_RANGES, NOISE_WORDS, has, normalize_title, start_date
 from marquee.schema import EMPTY_ARTISTS
 
 
@@ -27,7 +27,7 @@ def _within(a: Column, b: Column) -> Column:
 
 
 def is_duplicate(a: str = "a", b: str = "b") -> Column:
-    """Of two keyed rows with equal start dates."""
+    """Of two keyed rows with equal start dates.  Titles of one code point are too short to be compared normalised."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     short = (F.length(x("norm_title")) < 2) | (F.length(y("norm_title")) < 2)
     titles = F.when(short, _within(x("title"), y("title"))).otherwise(_within(x("norm_title"), y("norm_title")))
@@ -70,8 +70,8 @@ def enrich_artist(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     return best.select("id", "artist", enriched_title(F.col("title"), F.col("artist")).alias("title"))
 
 
-_BLANKS = re.compile("[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
-_WORDS = re.compile(r"演唱会|巡回|站|世界|live|tour|concert")
+_BLANKS = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in BLANK_RANGES) + "]+")
+_WORDS = re.compile(NOISE_WORDS)
 
 
 def plain_title(title: str) -> str:
@@ -165,6 +165,13 @@ def as_list(merged: DataFrame) -> DataFrame:
     return merged.withColumn("ord", F.col("side").cast("long") * F.lit(1 << 60) + F.col("ord")).drop("side", "action")
 
 
+def stored_order(stored: DataFrame) -> DataFrame:
+    """Stored rows with ``ord`` for a merge: by date text, then id, within their start date; undated rows match nothing and are only dealt."""
+    start = start_date(F.col("date"))
+    place = F.row_number().over(Window.partitionBy(start, F.when(start == "", F.col("id"))).orderBy("date", "id"))
+    return stored.withColumn("ord", F.when(start == "", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).otherwise(place.cast("long")))
+
+
 def merge_all(existing: DataFrame, sources: list[DataFrame]) -> DataFrame:
     """Sources merged by priority, then into the existing list, which wins."""
     combined = sources[0]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from marquee.folders import exists
 from marquee.functions.text import has, or_else
+from marquee.operators.listings import scan_month
 from marquee.schema import LISTING
 
 _TEXTS = {"image": "", "city": "", "venue": "", "price": "", "status": "Unknown", "category": "Concert", "artist": ""}
@@ -53,29 +55,44 @@ class Catalogue:
     writer, so readers see the old or the new table and never a part.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, by_month: bool = False):
+        """``by_month`` lays the rows out by the month that their date text starts with, so that ``read_month`` reads that one alone."""
+        self.spark, self.folder, self.by_month = spark, folder, by_month
 
     def _pointer(self) -> DataFrame:
         return self.spark.read.schema("version string, at long").parquet(f"{self.folder}/versions")
 
     def current(self) -> str | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            row = self._pointer().orderBy(F.desc("at")).first()
-        except AnalysisException:  # nothing written yet
+        if not exists(self.spark, f"{self.folder}/versions"):  # nothing written yet
             return None
+        row = self._pointer().orderBy(F.desc("at")).first()
         return row.version if row else None
 
     def read(self) -> DataFrame:
         version = self.current()
-        return self.spark.createDataFrame([], LISTING) if version is None else self.spark.read.schema(LISTING).parquet(f"{self.folder}/{version}")
+        if version is None:
+            return self.spark.createDataFrame([], LISTING)
+        return self.spark.read.schema(LISTING).parquet(f"{self.folder}/{version}").select(*LISTING.names)
+
+    def read_month(self, month: str) -> DataFrame:
+        """Listings whose date text starts with ``yyyy-MM`` or ``yyyy.MM``."""
+        version = self.current()
+        if version is None or not self.by_month:
+            return scan_month(self.read(), month)
+        schema = T.StructType([*LISTING.fields, T.StructField("month", T.StringType())])
+        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{version}")
+        return scan_month(rows.filter(F.col("month") == month), month).drop("month")
 
     def replace(self, listings: DataFrame) -> None:
         before = self.current()
         version = f"v-{uuid.uuid4().hex}"
-        listings.select(*LISTING.names).write.parquet(f"{self.folder}/{version}")
+        rows = listings.select(*LISTING.names)
+        if self.by_month:
+            month = F.regexp_extract("date", "^([0-9]{4})[-.]([0-9]{2})", 1), F.regexp_extract("date", "^([0-9]{4})[-.]([0-9]{2})", 2)
+            rows = rows.withColumn("month", F.when(month[0] != "", F.concat_ws("-", *month)).otherwise("none"))
+            rows.write.partitionBy("month").parquet(f"{self.folder}/{version}")
+        else:
+            rows.write.parquet(f"{self.folder}/{version}")
         at = 1 if before is None else self._pointer().agg(F.max("at")).first()[0] + 1
         self.spark.createDataFrame([(version, at)], "version string, at long").coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from marquee.folders import scratch
 from marquee.functions import dates, text
 from marquee.operators import calendar, classify, control, listings as ops, merge, store
 from marquee.plans.listings_view import LISTINGS_SQL, listings
-from marquee.sources import landing
-from marquee.schema import CITY_BLACKLIST, EMPTY_ARTISTS, NOISE_TAGS, STATUS, TRIBUTE_WORDS, WEEKDAYS
+from marquee.schema import CITY_BLACKLIST, EMPTY_ARTISTS, NOISE_TAGS, PAGE_B, PAGE_C, STATUS, TRIBUTE_WORDS, WEEKDAYS
+from marquee.sources import landing, status
+from marquee.streaming.uploads import uploads, upsert_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -143,7 +144,20 @@ def _after(n: int) -> str:
 
 
 MERGE_SQL = LISTINGS_SQL.replace("WITH L0", "WITH RECURSIVE L0", 1) + merge_sql(1, "SELECT id, title, artist, city, date, src AS side, ord FROM L WHERE src < 2")
-MERGE_ALL_SQL = MERGE_SQL + merge_sql(2, _after(1)) + merge_sql(3, f"SELECT id, title, artist, city, date, 1 AS side, CAST(side AS BIGINT) * {2 << 52} + ord AS ord FROM M2")
+#: Half of the first source is there already when the three, merged in turn, come.
+MERGE_ALL_SQL = MERGE_SQL + merge_sql(2, _after(1)) + merge_sql(
+    3,
+    f"""SELECT id, title, artist, city, date, 0 AS side, ord FROM L WHERE src = 0 AND ord % 4 < 2
+    UNION ALL SELECT id, title, artist, city, date, 1, CAST(side AS BIGINT) * {2 << 52} + ord FROM M2""",
+)
+_STORED = "SELECT id, title, artist, city, date, 0 AS side, row_number() OVER (ORDER BY date, id) AS ord FROM"
+_UPLOAD = "SELECT id, title, artist, city, date, 1, ord FROM L WHERE src ="
+#: Two uploads after each other into a table that holds the first source.
+UPLOADS_SQL = (
+    LISTINGS_SQL.replace("WITH L0", "WITH RECURSIVE L0", 1)
+    + merge_sql(1, f"{_STORED} L WHERE src = 0 UNION ALL {_UPLOAD} 1")
+    + merge_sql(2, f"{_STORED} M1 UNION ALL {_UPLOAD} 2")
+)
 
 
 # --- scans, filters, order, pages -------------------------------------------------------
@@ -229,13 +243,21 @@ def page_envelope(spark, sf_dir):
 
 @query("SELECT s_nationkey, s_suppkey, s_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier) WHERE r <= 2", view=False)
 def topk_per_location(spark, sf_dir):
-    w = Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
-    return table(spark, sf_dir, "supplier").withColumn("r", F.row_number().over(w)).filter("r <= 2").select("s_nationkey", "s_suppkey", "s_acctbal")
+    return ops.top_of_each(table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal"), "s_nationkey", [F.desc("s_acctbal"), "s_suppkey"], 2)
 
 
-@query("SELECT id, city FROM L WHERE city = 'NATION_3' ORDER BY ord % 2, ord LIMIT 1")
+@query(
+    """WITH n AS (SELECT *, n_nationkey % 7 AS same FROM nation), w(name) AS (VALUES ('City 2'), ('City 6'), ('City 9'))
+SELECT name AS city, CAST(coalesce(
+    (SELECT min(n_nationkey) FROM n WHERE n_nationkey < 5 AND 'City ' || same = name),
+    (SELECT arg_min(n_nationkey, n_regionkey * 100 + n_nationkey) FROM n WHERE n_nationkey >= 5 AND 'City ' || same = name)) AS VARCHAR) AS id FROM w WHERE name <> 'City 9'""",
+    view=False,
+)
 def priority_lookup(spark, sf_dir):
-    return listings(spark, sf_dir).filter("city = 'NATION_3'").orderBy(F.col("ord") % 2, "ord").limit(1).select("id", "city")
+    """City 2 is a hot city, City 6 one of the groups alone, City 9 none."""
+    cities = landing.city_list(_city_bodies(spark, sf_dir, F.concat(F.lit("City "), F.col("n_nationkey") % 7)))
+    found = [landing.find_city(cities, name).select(F.col("cityName").alias("city"), F.col("cityId").alias("id")) for name in ("City 2", "City 6", "City 9")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 # --- facets and other aggregates ----------------------------------------------------------
@@ -298,11 +320,29 @@ def replace_mode(spark, sf_dir):
     return store.upsert(empty, listings(spark, sf_dir).filter("src = 2")).select("id", "title", "status")
 
 
-@query("SELECT 'completed' AS status, 100 AS progress, 10 AS total, 3 AS current, 'done' AS message, CAST(1700000000000 AS BIGINT) AS \"lastUpdated\"", view=False)
+@query(
+    """SELECT step, status, progress, total, current, message, "lastUpdated", success, new_rows FROM (VALUES
+      (0, 'idle', 0, 0, 0, '', CAST(1000 AS BIGINT), CAST(NULL AS BOOLEAN), -1),
+      (1, 'completed', 100, 0, 0, 'done', CAST(2000 AS BIGINT), true, 6),
+      (2, 'completed', 30, 0, 7, 'done', CAST(3000 AS BIGINT), true, 6),
+      (3, 'running', 0, 0, 0, 'start', CAST(4000 AS BIGINT), NULL, -1)) t(step, status, progress, total, current, message, "lastUpdated", success, new_rows)""",
+    view=False,
+)
 def status_merge(spark, sf_dir):
-    current = spark.createDataFrame([("running", 30, 10, 3, "x", 1, None)], STATUS).drop("result")
-    patch = spark.createDataFrame([("completed", 100, "done")], "status string, progress int, message string")
-    return control.merge_status(current, patch, 1_700_000_000_000)
+    """The default where no document is, a patch with a nested result, one without (which keeps it), and one that clears it."""
+    result = "result struct<success boolean, totalNew int, totalCombined int, message string, timedOutSources array<string>, failedSources array<string>>"
+    folder = scratch(spark, "status")
+    patches = [
+        spark.createDataFrame([("completed", 100, "done", (True, 6, 1242, None, None, None))], f"status string, progress int, message string, {result}"),
+        spark.createDataFrame([(30, 7)], "progress int, current int"),
+        spark.createDataFrame([("running", 0, 0, "start", None)], f"status string, progress int, current int, message string, {result}"),
+    ]
+    seen = [status.read_status(spark, folder, 1000)]
+    for k, patch in enumerate(patches):
+        status.update_status(spark, folder, patch, 2000 + 1000 * k)
+        seen.append(spark.createDataFrame(status.read_status(spark, folder, 0).collect(), STATUS))  # one row, before the next document
+    rows = [x.select(F.lit(k).alias("step"), "status", "progress", "total", "current", "message", "lastUpdated", "result.success", F.coalesce("result.totalNew", F.lit(-1)).alias("new_rows")) for k, x in enumerate(seen)]
+    return reduce(DataFrame.unionByName, rows)
 
 
 # --- text ------------------------------------------------------------------------------------
@@ -420,7 +460,183 @@ def apply_extraction(spark, sf_dir):
 def _trees(spark, sf_dir):
     """Each region as a tree: nation nodes (groups) with supplier nodes (listings)."""
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    leaf = F.struct(F.lit("7587").alias("type"), F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("cityName"), F.when(F.col("s_suppkey") % 4 == 0, F.lit("")).otherwise(F.lit("Star")).alias("showTag")).alias("data"))
+    leaf = F.struct(F.lit("7587").alias("type"), F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("cityName"), F.when(F.col("s_suppkey") % 4 == 0, F.lit("")).when(F.col("s_suppkey") % 4 == 1, F.lit("热销榜")).otherwise(F.lit("Star")).alias("showTag")).alias("data"))
+    nations = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", leaf.alias("leaf")))).alias("x"))
+    nations = nations.select("n_regionkey", "n_nationkey", F.struct(F.lit("g").alias("type"), F.transform("x", lambda x: x["leaf"]).alias("nodes")).alias("node"))
+    regions = nations.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.to_json("node").alias("node")))).alias("x"))
+    body = F.concat(F.lit('{"nodes":['), F.array_join(F.transform("x", lambda x: x["node"]), ","), F.lit("]}"))
+    return regions.select(F.col("n_regionkey").alias("tree_id"), body.alias("body"))
+
+
+_LEAVES = "supplier JOIN nation ON s_nationkey = n_nationkey"
+
+
+@query(f"SELECT CAST(n_regionkey AS INTEGER) AS tree_id, CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM {_LEAVES}", view=False)
+def tree_flatten(spark, sf_dir):
+    nodes = landing.listing_nodes(landing.flatten_tree(_trees(spark, sf_dir)))
+    return nodes.orderBy("tree_id", "path").select(F.col("tree_id").cast("int").alias("tree_id"), F.try_variant_get("data", "$.id", "string").alias("id"), F.try_variant_get("data", "$.name", "string").alias("name"))
+
+
+@query(
+    f"""SELECT CAST(n_regionkey AS INTEGER) AS tree_id, true AS is_listing, CAST(s_suppkey AS VARCHAR) AS id, count(*) AS n FROM {_LEAVES} WHERE contains(s_name, '#00000001') GROUP BY ALL
+UNION ALL SELECT CAST(n_regionkey AS INTEGER), false, NULL, count(DISTINCT n_nationkey) FROM {_LEAVES} WHERE contains(s_name, '#00000001') GROUP BY n_regionkey""",
+    view=False,
+)
+def tree_keyword_scan(spark, sf_dir):
+    """Listings with the word in their title, and how many groups of each tree have it anywhere below."""
+    found = landing.find_keyword(landing.flatten_tree(_trees(spark, sf_dir)), "#00000001")
+    return found.groupBy(F.col("tree_id").cast("int").alias("tree_id"), "is_listing", F.try_variant_get("data", "$.id", "string").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS title, n_name AS city, '' AS venue, '' AS date, 'Pending' AS price, 'Unknown' AS status, 'Concert' AS category,
+      CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '' ELSE 'Star' END AS artist, s_suppkey % 4 <> 1 AS is_famous FROM {_LEAVES}""",
+    view=False,
+)
+def project_source_a(spark, sf_dir):
+    nodes = landing.listing_nodes(landing.flatten_tree(_trees(spark, sf_dir)))
+    return landing.project_a(nodes).drop("image")
+
+
+_B_SQL = """SELECT 'mt_' || CAST(ord AS VARCHAR) AS id, title, '' AS image, date, coalesce(nullif(city, ''), 'X') AS city, venue,
+      CASE WHEN ord % 9 = 0 THEN '价格待定' ELSE '￥' || price || CASE WHEN ord % 2 = 0 THEN '起' ELSE '' END END AS price,
+      coalesce(nullif(status, ''), '销售中') AS status, '演唱会' AS category, CASE WHEN ord % 3 = 0 THEN artist ELSE '' END AS artist FROM L"""
+
+
+def _items_b(spark, sf_dir):
+    k = F.col("ord")
+    tag = lambda kind, name: F.struct(F.lit(kind).alias("tagType"), name.alias("tagName"))
+    return listings(spark, sf_dir).select(
+        "ord", k.cast("string").alias("showId"), F.col("title").alias("showName"), F.col("date").alias("showDate"), F.col("city").alias("showCity"), F.lit("X").alias("cityName"), F.col("venue").alias("venueName"), F.col("status").alias("showStatusDisplayName"),
+        F.when(k % 9 != 0, F.struct(F.lit("￥").alias("prefix"), F.col("price").alias("yuanNum"), F.when(k % 2 == 0, "起").alias("suffix"))).alias("priceInfo"),
+        F.when(k % 3 == 0, F.array(tag("GENRE", F.lit("Pop")), tag("ARTIST", F.col("artist")))).alias("tags"),
+    )
+
+
+@query(_B_SQL)
+def project_source_b(spark, sf_dir):
+    return landing.project_b(_items_b(spark, sf_dir).drop("ord"))
+
+
+@query(f"{_B_SQL} WHERE (ord // 10) % 4 <> 1")
+def pages_source_b(spark, sf_dir):
+    """Pages of ten items as landed JSON, every fourth of which failed."""
+    items = _items_b(spark, sf_dir)
+    page = F.struct(F.when(F.col("page") % 4 == 1, 500).otherwise(200).alias("statusCode"), F.struct(F.col("items").alias("searchData")).alias("data"))
+    pages = items.groupBy(F.floor(F.col("ord") / 10).alias("page")).agg(F.collect_list(F.struct(*[c for c in items.columns if c != "ord"])).alias("items"))
+    folder = scratch(spark, "pages-b")
+    pages.select(F.to_json(page)).write.text(folder)
+    return landing.listings_b(spark.read.schema(PAGE_B).json(folder))
+
+
+_C_SQL = """SELECT 'mtglobal_' || CAST(ord AS VARCHAR) AS id, '東' || title AS old_title, '东' || title AS title, image,
+      coalesce(nullif(regexp_extract(replace(split_part(date, ' - ', 1), '/', '.'), '([0-9]{4}\\.[0-9]{2}\\.[0-9]{2})', 1), ''), replace(split_part(date, ' - ', 1), '/', '.')) AS date,
+      coalesce(nullif(city, ''), '台湾') AS city, venue, coalesce(nullif(price, ''), 'Pending') AS price,
+      CASE WHEN status = 'O' THEN '销售中' ELSE coalesce(nullif(status, ''), 'Unknown') END AS status, '演唱会' AS category, '' AS artist, ord FROM L"""
+
+
+def _items_c(spark, sf_dir):
+    return listings(spark, sf_dir).select(
+        "ord", F.col("ord").cast("string").alias("id"), F.concat(F.lit("東"), F.col("title")).alias("title"), F.col("venue").alias("venueName"), F.col("city").alias("location"), F.lit("臺灣").alias("locationName"), F.col("date").alias("showDate"), F.col("image").alias("imgUrl"), F.col("price").alias("salePrice"), F.when(F.col("status") == "O", "ONSALE").otherwise(F.col("status")).alias("status")
+    )
+
+
+@query(f"SELECT * EXCLUDE (old_title, ord) FROM ({_C_SQL})")
+def project_source_c(spark, sf_dir):
+    return landing.project_c(_items_c(spark, sf_dir).drop("ord"))
+
+
+@query(f"SELECT * EXCLUDE (old_title, ord) REPLACE (CASE WHEN ord % 20 = 0 THEN '台湾' ELSE city END AS city) FROM ({_C_SQL}) WHERE ord % 20 <> 1")
+def pages_source_c(spark, sf_dir):
+    """Pages of twenty items as landed JSON; one item of each names no city, and one lies in a city that is not listed."""
+    k = F.col("ord") % 20
+    items = _items_c(spark, sf_dir).withColumn("location", F.when(k == 0, "").when(k == 1, "巴黎").otherwise(F.col("location")))
+    pages = items.groupBy(F.floor(F.col("ord") / 20).alias("page"), "locationName").agg(F.collect_list(F.struct(*[c for c in items.columns if c not in ("ord", "locationName")])).alias("data"))
+    folder = scratch(spark, "pages-c")
+    pages.select(F.to_json(F.struct(F.lit(200).alias("statusCode"), "data", "locationName"))).write.text(folder)
+    return landing.listings_c(spark.read.schema(PAGE_C).json(folder))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS \"cityId\", n_name AS \"cityName\", CASE WHEN n_nationkey < 5 THEN 'hot' ELSE 'group' END AS place FROM nation", view=False)
+def nested_city_list(spark, sf_dir):
+    return landing.city_list(_city_bodies(spark, sf_dir, F.col("n_name"))).select("cityId", "cityName", "place")
+
+
+def _city_bodies(spark, sf_dir, name):
+    """A city list with the first five nations as hot cities and the others grouped by region."""
+    n = table(spark, sf_dir, "nation").withColumn("c", F.struct(F.col("n_nationkey").cast("string").alias("cityId"), name.alias("cityName"), F.lit("").alias("url")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "c"))), lambda x: x["c"])
+    regions = n.filter("n_nationkey >= 5").groupBy("n_regionkey").agg(F.struct("n_regionkey", F.struct(listed.alias("sites")).alias("g")).alias("r"))
+    groups = F.transform(F.array_sort(F.collect_list("r")), lambda x: x["g"]).alias("groups")
+    bodies = n.filter("n_nationkey < 5").agg(listed.alias("hotCities")).join(regions.agg(groups))
+    return bodies.withColumn("hotCity", F.col("hotCities"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", view=False)
+def json_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+# --- classification ----------------------------------------------------------------------------
+
+_TAGS = "SELECT id, CASE ord % 5 WHEN 0 THEN '' WHEN 1 THEN '热销榜' WHEN 2 THEN artist || '演出' ELSE artist END AS tag FROM L"
+
+
+@query(f"SELECT id, tag, tag <> '' AND NOT ({any_sql('tag', NOISE_TAGS)}) AS valid FROM ({_TAGS})")
+def tag_validity(spark, sf_dir):
+    tag = F.when(F.col("ord") % 5 == 0, "").when(F.col("ord") % 5 == 1, "热销榜").when(F.col("ord") % 5 == 2, F.concat("artist", F.lit("演出"))).otherwise(F.col("artist"))
+    return listings(spark, sf_dir).select("id", tag.alias("tag")).withColumn("valid", classify.valid_tag(F.col("tag")))
+
+
+_TRIB = "SELECT id, ord, artist, is_tribute, CASE ord % 6 WHEN 0 THEN '致敬' || title WHEN 1 THEN title || '烛光' ELSE title END AS title FROM L"
+
+
+def _tributes(spark, sf_dir):
+    title = F.when(F.col("ord") % 6 == 0, F.concat(F.lit("致敬"), "title")).when(F.col("ord") % 6 == 1, F.concat("title", F.lit("烛光"))).otherwise(F.col("title"))
+    return listings(spark, sf_dir).withColumn("title", title)
+
+
+@query(f"SELECT id, {any_sql('title', TRIBUTE_WORDS)} AS tribute FROM ({_TRIB})")
+def classify_tribute(spark, sf_dir):
+    return _tributes(spark, sf_dir).select("id", classify.is_tribute(F.col("title")).alias("tribute"))
+
+
+@query(
+    f""", R AS (SELECT *, CASE WHEN {any_sql('title', TRIBUTE_WORDS)} THEN 'tribute' WHEN artist <> '' AND artist NOT IN ('群星', 'Unknown') AND NOT ({any_sql('artist', TRIBUTE_WORDS)}) THEN 'official' ELSE 'extract' END AS route FROM ({_TRIB}))
+SELECT id, route, CASE WHEN route = 'official' AND NOT starts_with(title, '【') THEN '【' || artist || '】' || title ELSE title END AS title,
+  CASE WHEN route = 'tribute' THEN 'Unknown' ELSE artist END AS artist, route = 'tribute' OR is_tribute AS is_tribute FROM R"""
+)
+def artist_routing(spark, sf_dir):
+    return classify.route(_tributes(spark, sf_dir)).select("id", "route", "title", "artist", "is_tribute")
+
+
+@query("SELECT id, CASE WHEN a IN ('歌手', '音乐会') THEN 'Unknown' ELSE a END AS artist FROM (SELECT id, CASE ord % 4 WHEN 0 THEN '歌手' WHEN 1 THEN '音乐会' ELSE artist END AS a FROM L)")
+def fix_invalid_artist(spark, sf_dir):
+    artist = F.when(F.col("ord") % 4 == 0, "歌手").when(F.col("ord") % 4 == 1, "音乐会").otherwise(F.col("artist"))
+    return classify.fix_invalid_artists(listings(spark, sf_dir).withColumn("artist", artist)).select("id", "artist")
+
+
+@query(
+    """, X AS (SELECT title, CASE WHEN k % 3 = 0 THEN '' ELSE 'S' || CAST(k % 5 AS VARCHAR) END AS a, k % 4 = 0 AS t, CASE WHEN k % 2 = 0 THEN k % 6 <> 0 END AS f
+  FROM (SELECT title, min(ord) AS k FROM L WHERE ord % 2 = 0 GROUP BY title)),
+J AS (SELECT L.*, X.title IS NOT NULL AS hit, CASE WHEN t OR NOT coalesce(f, true) THEN 'Unknown' ELSE coalesce(nullif(a, ''), 'Unknown') END AS na, t, coalesce(f, true) AS f FROM L LEFT JOIN X ON L.title = X.title)
+SELECT id, CASE WHEN hit AND na <> 'Unknown' AND NOT starts_with(title, '【') THEN '【' || na || '】' || title ELSE title END AS title,
+  CASE WHEN hit THEN na ELSE artist END AS artist, CASE WHEN hit THEN t ELSE is_tribute END AS is_tribute, CASE WHEN hit THEN f ELSE is_famous END AS is_famous FROM J"""
+)
+def apply_extraction(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    k = F.col("k")
+    found = rows.filter("ord % 2 = 0").groupBy("title").agg(F.min("ord").alias("k")).select("title", F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("S"), (k % 5).cast("string"))).alias("artist"), (k % 4 == 0).alias("is_tribute"), F.when(k % 2 == 0, k % 6 != 0).alias("is_famous"))
+    return classify.apply_extraction(rows, found).select("id", "title", "artist", "is_tribute", "is_famous")
+
+
+# --- sources -------------------------------------------------------------------------------------
+
+
+def _trees(spark, sf_dir):
+    """Each region as a tree: nation nodes (groups) with supplier nodes (listings)."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    leaf = F.struct(F.lit("7587").alias("type"), F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("cityName"), F.when(F.col("s_suppkey") % 4 == 0, F.lit("")).when(F.col("s_suppkey") % 4 == 1, F.lit("热销榜")).otherwise(F.lit("Star")).alias("showTag")).alias("data"))
     nations = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", leaf.alias("leaf")))).alias("x"))
     nations = nations.select("n_regionkey", "n_nationkey", F.struct(F.lit("g").alias("type"), F.transform("x", lambda x: x["leaf"]).alias("nodes")).alias("node"))
     regions = nations.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.to_json("node").alias("node")))).alias("x"))
@@ -433,23 +649,28 @@ _LEAVES = "supplier JOIN nation ON s_nationkey = n_nationkey"
 
 @query(f"SELECT CAST(n_regionkey AS INTEGER) AS tree_id, CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM {_LEAVES}", view=False)
 def tree_flatten(spark, sf_dir):
-    nodes = landing.listing_nodes(landing.flatten_tree(spark, _trees(spark, sf_dir)))
+    nodes = landing.listing_nodes(landing.flatten_tree(_trees(spark, sf_dir)))
     return nodes.orderBy("tree_id", "path").select(F.col("tree_id").cast("int").alias("tree_id"), F.try_variant_get("data", "$.id", "string").alias("id"), F.try_variant_get("data", "$.name", "string").alias("name"))
 
 
-@query(f"SELECT CAST(s_suppkey AS VARCHAR) AS id FROM {_LEAVES} WHERE contains(s_name, '7')", view=False)
+@query(
+    f"""SELECT CAST(n_regionkey AS INTEGER) AS tree_id, true AS is_listing, CAST(s_suppkey AS VARCHAR) AS id, count(*) AS n FROM {_LEAVES} WHERE contains(s_name, '#00000') AND contains(s_name, '7') GROUP BY ALL
+UNION ALL SELECT CAST(n_regionkey AS INTEGER), false, NULL, count(DISTINCT n_nationkey) FROM {_LEAVES} WHERE contains(s_name, '7') GROUP BY n_regionkey""".replace("contains(s_name, '#00000') AND contains(s_name, '7')", "contains(s_name, '#00000001')").replace("contains(s_name, '7') GROUP BY n_regionkey", "contains(s_name, '#00000001') GROUP BY n_regionkey"),
+    view=False,
+)
 def tree_keyword_scan(spark, sf_dir):
-    nodes = landing.listing_nodes(landing.flatten_tree(spark, _trees(spark, sf_dir)))
-    return nodes.filter(F.contains(F.to_json("data"), F.lit('"name":"')) & F.contains(F.try_variant_get("data", "$.name", "string"), F.lit("7"))).select(F.try_variant_get("data", "$.id", "string").alias("id"))
+    """Listings with the word in their title, and how many groups of each tree have it anywhere below."""
+    found = landing.find_keyword(landing.flatten_tree(_trees(spark, sf_dir)), "#00000001")
+    return found.groupBy(F.col("tree_id").cast("int").alias("tree_id"), "is_listing", F.try_variant_get("data", "$.id", "string").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     f"""SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS title, n_name AS city, '' AS venue, '' AS date, 'Pending' AS price, 'Unknown' AS status, 'Concert' AS category,
-      CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'Star' END AS artist, s_suppkey % 4 <> 0 AS is_famous FROM {_LEAVES}""",
+      CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '' ELSE 'Star' END AS artist, s_suppkey % 4 <> 1 AS is_famous FROM {_LEAVES}""",
     view=False,
 )
 def project_source_a(spark, sf_dir):
-    nodes = landing.listing_nodes(landing.flatten_tree(spark, _trees(spark, sf_dir)))
+    nodes = landing.listing_nodes(landing.flatten_tree(_trees(spark, sf_dir)))
     return landing.project_a(nodes).drop("image")
 
 
@@ -541,7 +762,7 @@ def merge_full(spark, sf_dir):
 @query(MERGE_ALL_SQL + "SELECT id, title, artist, side, ord, action FROM M3", view=False)
 def merge_sources(spark, sf_dir):
     a, b, c = _sources(spark, sf_dir)
-    return merge.merge_all(a.limit(0), [a, b, c]).select("id", "title", "artist", "side", "ord", "action")
+    return merge.merge_all(a.filter("ord % 4 < 2"), [a, b, c]).select("id", "title", "artist", "side", "ord", "action")
 
 
 @query(
@@ -606,15 +827,12 @@ def month_grid(spark, sf_dir):
 
 @query(EVENTS_SQL + f"SELECT strftime(m.day, '%Y-%m-%d') AS day, m.day IN (SELECT CAST(start AS DATE) FROM E) AS has_event FROM {_MONTH} m")
 def day_has_event(spark, sf_dir):
-    days, hit = calendar.month_grid(spark, WEEK_OF).select("day"), calendar.days_with_events(_events(spark, sf_dir)).withColumn("x", F.lit(True))
-    return days.join(hit, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("x", F.lit(False)).alias("has_event"))
+    return calendar.day_flags(calendar.month_grid(spark, WEEK_OF).select("day"), _events(spark, sf_dir)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(EVENTS_SQL + "SELECT CAST(m AS INTEGER) AS month, m IN (SELECT month(start) FROM E WHERE year(start) = 1996) AS has_event FROM range(1, 13) t(m)")
 def month_has_event(spark, sf_dir):
-    hit = _events(spark, sf_dir).filter(F.year("start") == 1996).select(F.month("start").alias("month")).distinct().withColumn("x", F.lit(True))
-    months = spark.range(1, 13).select(F.col("id").cast("int").alias("month"))
-    return months.join(hit, "month", "left").select("month", F.coalesce("x", F.lit(False)).alias("has_event"))
+    return calendar.month_flags(spark, _events(spark, sf_dir), 1996)
 
 
 _YEAR = "(SELECT CAST(range AS DATE) AS day FROM range(TIMESTAMP '2026-01-01', TIMESTAMP '2027-01-01', INTERVAL 1 DAY))"
@@ -725,15 +943,33 @@ def map_merge_last_wins(spark, sf_dir):
 # --- streaming -------------------------------------------------------------------------------------
 
 
+def _landed(rows, folder: str, files: int) -> None:
+    """Upload files one after the other, so that a stream takes them in this order."""
+    held = rows.withColumnRenamed("updated_at", "updatedAt")
+    size = rows.agg(F.max("ord")).first()[0] // files + 1
+    for k in range(files):
+        held.filter(F.floor(F.col("ord") / size) == k).coalesce(1).write.mode("append").json(folder)
+
+
 @query("SELECT id, title, city, coalesce(nullif(status, ''), 'Unknown') AS status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS r FROM (SELECT 'u' || CAST(ord % 300 AS VARCHAR) AS id, ord, title, city, status FROM L)) WHERE r = 1")
 def stream_upsert_equals_batch(spark, sf_dir):
-    """The table after streaming uploads in four files, which equals one keep-last upsert of all rows."""
-    from marquee.streaming.uploads import uploads, upsert_stream
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="marquee-uploads-")
-    folder = os.path.join(shared, f"uploads-{os.urandom(6).hex()}")
-    rows = listings(spark, sf_dir).withColumn("id", F.concat(F.lit("u"), (F.col("ord") % 300).cast("string"))).drop("src").withColumnRenamed("updated_at", "updatedAt")
-    rows.repartitionByRange(4, "ord").sortWithinPartitions("ord").write.json(f"{folder}/in")
+    """The table after four uploads, each a micro-batch of its own, which equals one keep-last upsert of all rows."""
+    folder = scratch(spark, "uploads")
+    rows = listings(spark, sf_dir).withColumn("id", F.concat(F.lit("u"), (F.col("ord") % 300).cast("string"))).drop("src")
+    _landed(rows, f"{folder}/in", 4)
     catalogue = store.Catalogue(spark, f"{folder}/table")
-    upsert_stream(uploads(spark, f"{folder}/in"), catalogue, f"{folder}/progress").awaitTermination()
+    upsert_stream(uploads(spark, f"{folder}/in", max_files=1), catalogue, f"{folder}/progress").awaitTermination()
     return catalogue.read().select("id", "title", "city", "status")
+
+
+@query(UPLOADS_SQL + "SELECT id, title, artist FROM M2", view=False)
+def stream_merge(spark, sf_dir):
+    """Two uploads, each a micro-batch of its own, merged into a table that holds the first source."""
+    a, b, c = _sources(spark, sf_dir)
+    folder = scratch(spark, "merges")
+    for rows in (b, c):
+        rows.withColumnRenamed("updated_at", "updatedAt").coalesce(1).write.mode("append").json(f"{folder}/in")
+    catalogue = store.Catalogue(spark, f"{folder}/table")
+    catalogue.upsert(a)
+    upsert_stream(uploads(spark, f"{folder}/in", max_files=1), catalogue, f"{folder}/progress", smart=True).awaitTermination()
+    return catalogue.read().select("id", "title", "artist")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from marquee.functions.text import or_else, trimmed
+from marquee.functions.text import has, or_else, trimmed
 from marquee.operators.classify import valid_tag
-from marquee.schema import LISTING_JSON
+from marquee.operators.listings import not_blacklisted
+from marquee.schema import LISTING_JSON, SIMPLIFIED
 
 #: Node type of a listing in source A's tree.
 LISTING_NODE = "7587"
@@ -22,46 +26,62 @@ def unwrap_jsonp(body: Column) -> Column:
     return F.try_parse_json(F.nullif(F.regexp_extract(body, r"(?s)^[^(]*\((.*)\)[^)]*$", 1), F.lit("")))
 
 
-def flatten_tree(spark: SparkSession, trees: DataFrame, depth: int = 100) -> DataFrame:
-    """tree_id, path, type, data of every node below the roots of ``trees`` (tree_id, body).
+def flatten_tree(trees: DataFrame, depth: int = 100) -> DataFrame:
+    """tree_id, path, type, data, node of every node below the roots of ``trees`` (tree_id, body).
 
-    ``body`` is JSON text {"nodes": [...]} of any depth up to ``depth``.  Order by tree_id, path for the
-    order of a walk that gives a node before its children.
+    ``body`` is JSON text {"nodes": [...]}; nodes deeper than ``depth`` are an error.  Order by tree_id, path for the
+    order of a walk that gives a node before its children.  One level is exploded after
+    the other, as often as trees are deep; what is not deep is read once for each level.
     """
-    trees.createOrReplaceTempView("_trees")
-    nodes = spark.sql(f"""
-        WITH RECURSIVE n (tree_id, path, v) MAX RECURSION LEVEL {depth} AS (
-          SELECT tree_id, CAST(array() AS array<int>), parse_json(body) FROM _trees
-          UNION ALL
-          SELECT n.tree_id, concat(n.path, array(x.pos)), x.value
-          FROM n, LATERAL variant_explode(try_variant_get(n.v, '$.nodes', 'variant')) AS x)
-        SELECT tree_id, path, try_variant_get(v, '$.type', 'string') AS type, try_variant_get(v, '$.data', 'variant') AS data
-        FROM n WHERE size(path) > 0""")
-    return nodes
+    below = F.posexplode(F.try_variant_get("node", "$.nodes", "array<variant>")).alias("pos", "node")
+    level = trees.select("tree_id", F.array().cast("array<int>").alias("path"), F.try_parse_json("body").alias("node"))
+    levels = []
+    for _ in range(depth + 1):
+        level = level.select("tree_id", "path", below).select("tree_id", F.concat("path", F.array("pos")).alias("path"), "node")
+        levels.append(level)
+        if level.isEmpty():
+            break
+    else:
+        raise ValueError(f"a tree is deeper than {depth}")
+    return reduce(DataFrame.unionByName, levels).select("tree_id", "path", F.try_variant_get("node", "$.type", "string").alias("type"), F.try_variant_get("node", "$.data", "variant").alias("data"), "node")
+
+
+def _field(name: str) -> Column:
+    return F.try_variant_get("data", f"$.{name}", "string")
+
+
+def _first(default, *names: str) -> Column:
+    """The first of some fields that is neither absent nor empty."""
+    return or_else(F.coalesce(*[F.nullif(_field(n), F.lit("")) for n in names]), default)
 
 
 def listing_nodes(nodes: DataFrame) -> DataFrame:
-    field = lambda name: F.try_variant_get("data", f"$.{name}", "string")
-    return nodes.filter((F.col("type") == LISTING_NODE) & or_else(field("itemId"), or_else(field("id"), F.lit(None).cast("string"))).isNotNull())
+    return nodes.filter((F.col("type") == LISTING_NODE) & or_else(_field("itemId"), or_else(_field("id"), F.lit(None).cast("string"))).isNotNull())
+
+
+def find_keyword(nodes: DataFrame, keyword: str) -> DataFrame:
+    """The nodes with a keyword and ``is_listing``: listings with it in their title, and others with it anywhere in them or below."""
+    is_listing = (F.col("type") == LISTING_NODE) & F.col("data").isNotNull()
+    title = _first("", "name", "showTag", "projectName")
+    hit = F.when(F.coalesce(is_listing, F.lit(False)), F.contains(title, F.lit(keyword))).otherwise(F.contains(F.to_json("node"), F.lit(keyword)))
+    return nodes.filter(hit).withColumn("is_listing", F.coalesce(is_listing, F.lit(False)))
 
 
 def project_a(nodes: DataFrame) -> DataFrame:
-    """Listings of source A's nodes (data: variant)."""
-    field = lambda name: F.try_variant_get("data", f"$.{name}", "string")
-    chain = lambda default, *names: or_else(F.coalesce(*[F.nullif(field(n), F.lit("")) for n in names]), default)
-    tag = field("showTag")
+    """Listings of source A's nodes (data: variant).  Without a tag an artist passes for famous, as in a listing that does not say."""
+    tag = _field("showTag")
     return nodes.select(
-        chain("", "id", "itemId").alias("id"),
-        chain("", "name", "showTag", "projectName").alias("title"),
-        chain("", "verticalPic").alias("image"),
-        chain("", "showTime").alias("date"),
-        trimmed(chain("", "cityName")).alias("city"),
-        chain("", "venueName").alias("venue"),
-        chain("Pending", "priceShowText", "priceStr", "priceLow").alias("price"),
-        chain("Unknown", "showStatus.desc").alias("status"),
-        chain("Concert", "topRight.tag").alias("category"),
+        _first("", "id", "itemId").alias("id"),
+        _first("", "name", "showTag", "projectName").alias("title"),
+        _first("", "verticalPic").alias("image"),
+        _first("", "showTime").alias("date"),
+        trimmed(_first("", "cityName")).alias("city"),
+        _first("", "venueName").alias("venue"),
+        _first("Pending", "priceShowText", "priceStr", "priceLow").alias("price"),
+        _first("Unknown", "showStatus.desc").alias("status"),
+        _first("Concert", "topRight.tag").alias("category"),
         F.when(valid_tag(tag), tag).otherwise("").alias("artist"),
-        valid_tag(tag).alias("is_famous"),
+        F.when(has(tag), valid_tag(tag)).otherwise(True).alias("is_famous"),
     )
 
 
@@ -89,7 +109,12 @@ def first_day(text: Column) -> Column:
     return or_else(F.regexp_extract(dotted, r"([0-9]{4}\.[0-9]{2}\.[0-9]{2})", 1), dotted)
 
 
-def project_c(items: DataFrame, convert=lambda text: text) -> DataFrame:
+def simplified(text: Column, pairs: dict[str, str] = SIMPLIFIED) -> Column:
+    """Character by character by a table; phrases that need a dictionary stay."""
+    return F.translate(text, "".join(pairs), "".join(pairs.values()))
+
+
+def project_c(items: DataFrame, convert: Callable[[Column], Column] = simplified) -> DataFrame:
     """Listings of source C's items; ``convert`` maps a column from traditional to simplified characters."""
     return items.select(
         F.concat(F.lit("mtglobal_"), "id").alias("id"),
@@ -105,9 +130,31 @@ def project_c(items: DataFrame, convert=lambda text: text) -> DataFrame:
     )
 
 
-def simplified(pairs: str = "臺台灣湾週周雙双門门體体會会場场樂乐東东廣广國国羅罗區区"):
-    """A character-by-character converter: traditional and simplified characters alternate in ``pairs``."""
-    return lambda text: F.translate(text, pairs[::2], pairs[1::2])
+def read_pages(spark: SparkSession, schema: str, paths: str | list[str]) -> DataFrame:
+    """Landed pages, one JSON document a file, by one of the schemas PAGE_B, PAGE_C, CITIES_A, CITIES_B and LOCATIONS_C."""
+    return spark.read.schema(schema).option("multiLine", True).json(paths)
+
+
+def listings_b(pages: DataFrame) -> DataFrame:
+    """Listings of source B's pages (PAGE_B); a page that failed or has no items gives none."""
+    return project_b(pages.filter("statusCode = 200").select(F.explode("data.searchData").alias("item")).select("item.*"))
+
+
+def listings_c(pages: DataFrame, convert: Callable[[Column], Column] = simplified) -> DataFrame:
+    """Listings of source C's pages (PAGE_C) outside of the cities that are not listed."""
+    items = pages.filter("statusCode = 200").select(F.explode("data").alias("item"), "locationName").select("item.*", "locationName")
+    return not_blacklisted(project_c(items, convert))
+
+
+def cities_b(bodies: DataFrame) -> DataFrame:
+    """cityOID, cityName of source B's city lists (CITIES_B)."""
+    groups = bodies.filter("statusCode = 200").select(F.explode("result.allCities").alias("g"))
+    return groups.select(F.explode("g.cities").alias("c")).select("c.*")
+
+
+def locations_c(bodies: DataFrame) -> DataFrame:
+    """id, code, name of source C's locations (LOCATIONS_C)."""
+    return bodies.filter("success").select(F.explode("data").alias("x")).select("x.*")
 
 
 def city_list(bodies: DataFrame) -> DataFrame:
@@ -115,3 +162,8 @@ def city_list(bodies: DataFrame) -> DataFrame:
     hot = bodies.select(F.posexplode(F.coalesce("hotCities", "hotCity")).alias("ord", "c"), F.lit("hot").alias("place"))
     groups = bodies.select(F.posexplode(F.flatten(F.transform("groups", lambda g: g["sites"]))).alias("ord", "c"), F.lit("group").alias("place"))
     return hot.unionByName(groups).select("c.cityId", "c.cityName", "c.url", "ord", "place")
+
+
+def find_city(cities: DataFrame, name: str) -> DataFrame:
+    """The first city of that very name of a ``city_list``: of the hot ones, or else of the groups."""
+    return cities.filter(F.col("cityName") == name).orderBy(F.col("place") != "hot", "ord").limit(1)

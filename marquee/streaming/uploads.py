@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from marquee.operators.merge import as_list, merge
+from marquee.operators.merge import as_list, merge, stored_order
 from marquee.operators.store import Catalogue, valid_upload
 from marquee.schema import LISTING_JSON
 
 
-def uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of JSON lines with ord and the fields of a listing."""
+def uploads(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """Files of JSON lines with ord and the fields of a listing; a micro-batch takes ``max_files`` of them at most."""
     schema = T.StructType([*LISTING_JSON.fields, T.StructField("ord", T.LongType())])
-    return spark.readStream.schema(schema).json(folder).withColumnRenamed("updatedAt", "updated_at")
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.json(folder).withColumnRenamed("updatedAt", "updated_at")
 
 
-def upsert_stream(source: DataFrame, catalogue: Catalogue, checkpoint: str, smart: bool = False) -> StreamingQuery:
-    """Runs through what has arrived.  ``smart`` merges each batch into the table first; existing rows win then."""
+def upsert_stream(source: DataFrame, catalogue: Catalogue, checkpoint: str, smart: bool = False, quarantine: str | None = None) -> StreamingQuery:
+    """Runs through what has arrived.
+
+    ``smart`` merges each batch into the stored rows, which are the primary list in the order
+    of their dates: a row that matches one only enriches it, and a row with a stored id that matches none
+    replaces that one.  Rows without id, title or date are written to ``quarantine``, a folder, if it is given.
+    """
 
     def one(batch: DataFrame, _: int) -> None:
-        good, _bad = valid_upload(batch)
+        good, bad = valid_upload(batch)
+        if quarantine:
+            bad.write.mode("append").json(quarantine)
         if smart:
-            stored = catalogue.read()
-            stored = stored.withColumn("ord", F.xxhash64("id") % (1 << 40))
-            good = as_list(merge(stored, good)).select(*good.columns)
+            good = as_list(merge(stored_order(catalogue.read()), good)).select(*good.columns)
         catalogue.upsert(good)
 
     return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from marquee.functions import text
 from marquee.operators import calendar, classify, control, listings as ops, store
-from marquee.schema import LISTING
-from marquee.sources import landing
+from marquee.schema import CITIES_A, CITIES_B, LISTING, LOCATIONS_C, PAGE_C
+from marquee.sources import landing, status
+from marquee.streaming import uploads as uploads_
 
 
 def one(spark, value, f):
@@ -102,16 +103,106 @@ def test_tree_walk_gives_nodes_before_their_children(spark):
     leaf = lambda i, **k: {"type": "7587", "data": {"id": i, **k}}
     tree = {"nodes": [{"type": "g", "nodes": [leaf("1") | {"nodes": [leaf("1a")]}, {"type": "g", "nodes": [leaf("2")]}]}, leaf("3"), {"type": "7587", "data": {"name": "no id"}}]}
     trees = spark.createDataFrame([(0, json.dumps(tree)), (1, "{}"), (2, '{"nodes":[]}')], "tree_id int, body string")
-    nodes = landing.listing_nodes(landing.flatten_tree(spark, trees)).orderBy("tree_id", "path")
+    nodes = landing.listing_nodes(landing.flatten_tree(trees)).orderBy("tree_id", "path")
     assert [r[0] for r in nodes.select(F.try_variant_get("data", "$.id", "string")).collect()] == ["1", "1a", "2", "3"]
 
 
 def test_source_a_fields(spark):
     data = {"itemId": "7", "showTag": "热销榜", "cityName": "　上海 ", "priceLow": "80", "showStatus": {"desc": "On"}}
     trees = spark.createDataFrame([(0, json.dumps({"nodes": [{"type": "7587", "data": data}, {"type": "7587", "data": {"id": "8", "name": "n", "showTag": ""}}]}))], "tree_id int, body string")
-    a, b = landing.project_a(landing.listing_nodes(landing.flatten_tree(spark, trees)).orderBy("path")).collect()
+    a, b = landing.project_a(landing.listing_nodes(landing.flatten_tree(trees)).orderBy("path")).collect()
     assert (a.id, a.title, a.city, a.price, a.status, a.artist, a.is_famous) == ("7", "热销榜", "上海", "80", "On", "", False)
-    assert (b.title, b.price, b.category, b.is_famous) == ("n", "Pending", "Concert", False)
+    assert (b.title, b.price, b.category, b.is_famous) == ("n", "Pending", "Concert", True)
+
+
+def test_nested_trees(spark):
+    tree = {"nodes": [{"type": "g", "nodes": [{"type": "h", "nodes": [{"type": "7587", "data": {"id": "5", "name": "a word"}}]}]}]}
+    trees = spark.createDataFrame([(0, json.dumps(tree)), (1, "no json"), (2, None)], "tree_id int, body string")
+    nodes = landing.flatten_tree(trees)
+    assert [(r.path, r.type) for r in nodes.orderBy("path").collect()] == [([0], "g"), ([0, 0], "h"), ([0, 0, 0], "7587")]
+    assert sorted((r.type, r.is_listing) for r in landing.find_keyword(nodes, "word").collect()) == [("7587", True), ("g", False), ("h", False)]
+    assert landing.find_keyword(nodes, "7587").filter("is_listing").count() == 0
+    with pytest.raises(ValueError):
+        landing.flatten_tree(trees, depth=2)
+
+
+def test_city_lookup(spark):
+    city = lambda i, name: {"cityId": i, "cityName": name, "url": ""}
+    body = {"hotCity": [city("1", "A")], "groups": [{"sites": [city("2", "A"), city("3", "B")]}, {"sites": [city("4", "B")]}]}
+    cities = landing.city_list(spark.createDataFrame([(json.dumps(body),)], "b string").select(F.from_json("b", CITIES_A).alias("x")).select("x.*"))
+    assert [[r.cityId for r in landing.find_city(cities, name).collect()] for name in "ABC"] == [["1"], ["3"], []]
+
+
+def test_landed_pages(spark, tmp_path):
+    page = {"statusCode": 200, "locationName": "臺灣", "data": [{"id": "1", "title": "廣場 X", "showDate": "2026/03/13", "status": "ONSALE"}, {"id": "2", "location": "巴黎"}]}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "1.json").write_text(json.dumps(page, indent=1), encoding="utf-8")
+    (tmp_path / "c" / "2.json").write_text(json.dumps({"statusCode": 500}), encoding="utf-8")
+    (got,) = landing.listings_c(landing.read_pages(spark, PAGE_C, str(tmp_path / "c"))).collect()
+    assert (got.id, got.title, got.city, got.date, got.status, got.price) == ("mtglobal_1", "广场 X", "台湾", "2026.03.13", "销售中", "Pending")
+    bodies = spark.createDataFrame([(json.dumps({"statusCode": 200, "result": {"allCities": [{"title": "A", "cities": [{"cityOID": "7", "cityName": "x"}]}, {"title": "B"}]}}),)], "b string")
+    assert [tuple(r) for r in landing.cities_b(bodies.select(F.from_json("b", CITIES_B).alias("x")).select("x.*")).collect()] == [("7", "x")]
+    bodies = spark.createDataFrame([(json.dumps({"success": True, "data": [{"id": "1", "code": "HK", "name": "n"}]}),), ('{"success": false}',)], "b string")
+    assert [tuple(r) for r in landing.locations_c(bodies.select(F.from_json("b", LOCATIONS_C).alias("x")).select("x.*")).collect()] == [("1", "HK", "n")]
+
+
+def test_a_corpus_of_json_arrays(spark, tmp_path):
+    rows = [{"id": f"i{k % 12}", "title": f"T{k} live" if k % 3 else "致敬 T", "date": f"2026.{1 + k % 3:02}.05" if k % 5 else "时间待定", "city": "上海" if k % 2 else "广州", "venue": "v", "updatedAt": k} for k in range(20)]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text(json.dumps([r for k, r in enumerate(rows) if (k < 10) == (name == "a")], indent=1), encoding="utf-8")
+    found = landing.read_listings(spark, str(tmp_path / "*.json"))
+    assert found.columns == LISTING.names and found.count() == 20
+    last = store.keep_last(found.withColumn("ord", F.col("updated_at")), ["id"])
+    assert last.count() == 12 and last.agg(F.min("updated_at")).first()[0] == 8
+    assert {m: ops.scan_month(found, f"2026-{m:02}").count() for m in (1, 2, 3, 4)} == {m: sum(r["date"].startswith(f"2026.{m:02}") for r in rows) for m in (1, 2, 3, 4)}
+    assert [tuple(r)[:2] for r in ops.counts(found.withColumn("ord", F.col("updated_at")), "city").collect()] == [("广州", 10), ("上海", 10)]
+    assert found.filter(classify.is_tribute(F.col("title"))).count() == sum("致敬" in r["title"] for r in rows)
+
+
+def test_status_documents(spark, tmp_path):
+    folder = str(tmp_path / "status")
+    assert tuple(status.read_status(spark, folder, 5).first()) == ("idle", 0, 0, 0, "", 5, None)
+    schema = "status string, result struct<success boolean, totalNew int, totalCombined int, message string, timedOutSources array<string>, failedSources array<string>>"
+    status.update_status(spark, folder, spark.createDataFrame([("completed", (True, 6, 9, None, ["A"], None))], schema), 10)
+    status.update_status(spark, folder, spark.createDataFrame([(30,)], "progress int"), 20)
+    row = status.read_status(spark, folder, 99).first()
+    assert (row.status, row.progress, row.lastUpdated, row.result.totalNew, row.result.timedOutSources) == ("completed", 30, 20, 6, ["A"])
+    status.update_status(spark, folder, spark.createDataFrame([("running", None)], schema), 30)
+    assert status.read_status(spark, folder, 99).first().result is None
+    (tmp_path / "status" / "broken.json").write_text("{", encoding="utf-8")
+    assert status.read_status(spark, folder, 99).first().status == "running"
+
+
+def test_months_are_pruned(spark, tmp_path):
+    c = store.Catalogue(spark, str(tmp_path / "t"), by_month=True)
+    assert c.read_month("2026-03").count() == 0
+    dates = ("2026.03.01", "2026-03-02", " 2026.03.03", "2026/03/04", "2026.04.01", "待定")
+    c.upsert(spark.createDataFrame([(str(k), "t", "", d, *[""] * 6, False, True, 1, k) for k, d in enumerate(dates)], _with_ord()))
+    assert sorted(r.id for r in c.read_month("2026-03").collect()) == ["0", "1"] and c.read().count() == 6 and c.read().columns == LISTING.names
+    assert "PartitionFilters: [isnotnull(month" in c.read_month("2026-03")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_broken_store_is_an_error_and_no_empty_table(spark, tmp_path):
+    (tmp_path / "versions").mkdir()
+    (tmp_path / "versions" / "part.parquet").write_text("no parquet", encoding="utf-8")
+    with pytest.raises(Exception):  # noqa: B017  whatever Spark raises
+        store.Catalogue(spark, str(tmp_path)).read().count()
+
+
+def test_merged_uploads(spark, tmp_path):
+    """Existing rows win, an upload enriches them, a row of a changed date replaces its older self, and bad rows are put aside."""
+    c = store.Catalogue(spark, str(tmp_path / "t"))
+    row = lambda i, title, date, artist, k, price="": (i, title, "", date, "上海", "", price, "", "", artist, False, True, 1, k)
+    c.upsert(spark.createDataFrame([row("b", "Foo Foo", "2026.05.01", "", 0, "80"), row("a", "Foo Foo", "2026.05.01 20:00", "", 1), row("m", "Moved", "2026.05.02", "M", 2)], _with_ord()))
+    files = [[row("x", "foo foo", "2026-05-01", "P", 0), row("m", "Moved", "2026.06.02", "M", 1)], [row("y", "other", "2026.05.01", "P", 0, "99"), row("", "no id", "2026.05.01", "", 1)]]
+    for rows in files:
+        spark.createDataFrame(rows, _with_ord()).withColumnRenamed("updated_at", "updatedAt").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    q = uploads_.upsert_stream(uploads_.uploads(spark, str(tmp_path / "in"), max_files=1), c, str(tmp_path / "p"), smart=True, quarantine=str(tmp_path / "bad"))
+    q.awaitTermination()
+    assert len([p for p in q.recentProgress if p.numInputRows]) == 2
+    got = {r.id: (r.title, r.artist, r.date, r.price) for r in c.read().collect()}
+    assert got == {"b": ("【P】Foo Foo", "P", "2026.05.01", "80"), "a": ("Foo Foo", "", "2026.05.01 20:00", ""), "m": ("Moved", "M", "2026.06.02", "")}
+    assert [r.title for r in spark.read.json(str(tmp_path / "bad")).collect()] == ["no id"]
 
 
 def test_source_c_dates(spark):
