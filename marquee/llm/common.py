@@ -7,15 +7,13 @@ the regular expressions below.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marquee.folders import scratch, shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Words whose hashes one Python worker remembers at most.
@@ -51,43 +49,6 @@ def keyed(df: DataFrame) -> tuple[DataFrame, str]:
     return written(df.withColumn(key, F.monotonically_increasing_id())), key
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session, where all is one machine, may leave it unset and gets a folder of its own.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="marquee-checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
-
-
-def _scratch_root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/marquee-{spark.sparkContext.applicationId}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in this application's own part of the shared folder."""
-    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def delete_folder(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder of any file system that Spark writes to."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes all tables that operators have written in this application; results not yet read are lost."""
-    delete_folder(spark, _scratch_root(spark))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -9,9 +9,9 @@ has room.  Nothing is shuffled, and memory holds one window.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,8 +26,6 @@ WINDOW = 1024
 END = 1
 #: Cost of a token, and of a pair of tokens of one document.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Cheapest sequences that are tried for room before a document is cut.
-TRIES = 24
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,7 +38,7 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
     """Pieces (document, start, length, sequence, offset) that cover all documents, given in descending order.
 
     Sequences fill gaplessly.  A document longer than a sequence first fills whole ones.  It
-    is cut otherwise only if none of the cheapest sequences has room for all of it.
+    is cut otherwise only if no sequence of the window has room for all of it.
     """
     out, n, parts = [], 0, []
     for k, length in enumerate(lengths):
@@ -52,26 +50,17 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
             parts.append((length - at, k, at))
     parts.sort(key=lambda p: -p[0])
     open_ = -(-sum(p[0] for p in parts) // capacity)
-    used = [0] * open_
-    heap = [(0.0, s) for s in range(open_)]
+    room, spent = np.full(open_, capacity), np.zeros(open_)
     for length, k, at in parts:
-        aside = []
-        while heap and len(aside) < TRIES and capacity - used[heap[0][1]] < length:
-            aside.append(heapq.heappop(heap))
-        if not heap or len(aside) == TRIES:
-            for x in aside:
-                heapq.heappush(heap, x)
-            aside = []
         while length:
-            spent, s = heapq.heappop(heap)
-            fits = min(length, capacity - used[s])
-            out.append((k, at, fits, n + s, used[s]))
-            used[s] += fits
-            at, length = at + fits, length - fits
-            if used[s] < capacity:
-                heapq.heappush(heap, (spent + cost(fits), s))
-        for x in aside:
-            heapq.heappush(heap, x)
+            fits = room >= length
+            # Where no sequence has room for all of it, the fullest use is made of the one with most room.
+            s = int(np.where(fits, spent, np.inf).argmin()) if fits.any() else int(room.argmax())
+            now = min(length, int(room[s]))
+            out.append((k, at, now, n + s, capacity - int(room[s])))
+            room[s] -= now
+            spent[s] += cost(now)
+            at, length = at + now, length - now
     return out
 
 
