@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.llm.common import delete_folder, keyed, labels, scratch
+from marquee.folders import delete_folder, scratch
+from marquee.llm.common import keyed, labels
 from marquee.llm.exact_dedup import exact_dedup
 from marquee.llm.mixing import mix_documents
 from marquee.llm.ngram_join import near_duplicates
