@@ -57,7 +57,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+    key = spark.conf.get("spark.marquee.pii.key", "an example, not a secret")
+    return pseudonymise(documents(spark, sf_dir), key).select("doc_id", "text", "n_entities")
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_training_order, op4_repeated_passages, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_packing, op9_mixing, op10_pii_surrogates)}

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from marquee.llm.common import WordHashes
@@ -590,7 +591,7 @@ PRIVATE = [
 
 def test_surrogates(spark):
     out = collections.defaultdict(list)
-    for x in pii.pseudonymise(frame(spark, PRIVATE)).collect():
+    for x in pii.pseudonymise(frame(spark, PRIVATE), "k").collect():
         out[x.doc_id].append((x.text, x.n_entities))
     text = lambda d: out[d][0][0]
     for secret in ("988) 555", "Bob.42", "4111", "1.2.3.4", "b7db7", "1beb5", "AKIASJ", "6789", "Schmidt", "Иван", "3704", "x@y.org"):
@@ -605,20 +606,145 @@ def test_surrogates(spark):
     assert sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(cards[0]))) % 10 == 0
     assert re.search(r"token = \"[0-9a-f]{40}\" AKIA[A-Z0-9]{16} and \d{3}-\d{2}-\d{4}$", text(3))
     names = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr\. ([а-яА-Я]+ [а-яА-Я]+) and Herr (\w+)\. DE\d\d( \d{4}){4} \d\d", text(4))
-    assert names[1] in pii.GIVEN["female"] and f"Mrs. {names[1]} {names[2]}" in text(5)
+    assert names[1] in pii.GIVEN["female"] and names[4] == names[2] and f"Mrs. {names[1]} {names[2]}" in text(5)
     assert len(out[9]) == 2 and out[9][0] == out[9][1] and out[9][0][0].count(" word") == 3000
 
 
+class Surrogates:
+    """The surrogates of a first round and their places in a text, one mention after the other in plain Python."""
+
+    def __init__(self, key):
+        self.key, self.pattern = key, regex.compile(pii.MENTION)
+        self.title = regex.compile(rf"({pii._TITLE} )(?:(\p{{L}}+) )?(\p{{L}}+)")
+
+    def numbers(self, type_, value, n):
+        hexes = "".join(hashlib.sha256(f"{self.key}|{type_}|{value}|0|{i}".encode()).hexdigest() for i in range((len(value) + 16) // 16 + 1))
+        return [int(hexes[4 * k : 4 * k + 4], 16) for k in range(n)]
+
+    def mask(self, value, type_, whole):
+        out = ""
+        for c, x in zip(value, self.numbers(type_, whole, len(value)), strict=True):
+            first, size = next(((a, n) for pattern, a, n in (("[0-9]", 48, 10), ("[A-Z]", 65, 26), ("[a-z]", 97, 26), (r"[А-Я]", 0x410, 32), (r"[а-я]", 0x430, 32)) if re.fullmatch(pattern, c)), (ord(c), 1))
+            out += chr(first + x % size)
+        return out
+
+    def part(self, type_, value):
+        n = self.numbers(type_, value, len(value) + 16)
+        pick = lambda names, i: names[n[i - 1] % len(names)]
+        sex, plain = value.split("|")[0], value.split("|")[-1]
+        if regex.search(r"\p{IsCyrillic}", plain):
+            return self.mask(plain, type_, value)
+        return pick(pii.GIVEN[sex], 1).lower() if type_ == "given" else "".join(pick(pii.SYLLABLES, i) for i in (2, 3, 4))
+
+    def plain(self, type_, mention):
+        digits = re.sub(r"\D", "", mention)
+        if type_ == "email":
+            name, host = mention.lower().split("@")
+            end = hashlib.sha256(f"{self.key}|domain|{host}".encode()).hexdigest()[:10].translate(str.maketrans("0123456789", "ghijklmnop"))
+            return f"{self.mask(name, type_, mention.lower())}@{end}.example"
+        if type_ == "ip":
+            a, b, c, d = self.numbers(type_, mention, 4)
+            return f"{a % 223 + 1}.{b % 256}.{c % 256}.{d % 254 + 1}"
+        if type_ == "ipv6":
+            low = mention.lower()
+            new = "".join(c if c == ":" else f"{x % 15 + 1:x}" for c, x in zip(low, self.numbers(type_, low, len(low)), strict=True))
+            return new.upper() if mention == mention.upper() else new
+        if type_ in ("card", "ssn", "phone"):
+            value = digits[-10:] if type_ == "phone" else digits
+            new = self.mask(value, type_, value)
+            if type_ == "card":
+                luhn = lambda s: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(s))) % 10
+                new = value[0] + new[1:]
+                new = next(new[:-1] + c for c in "0123456789" if luhn(new[:-1] + c) == 0) if luhn(value) == 0 else new
+            new = digits[: len(digits) - len(value)] + new
+            fresh = iter(new)
+            return "".join(next(fresh) if c.isdigit() else c for c in mention)
+        if type_ == "iban":
+            value = mention.replace(" ", "")
+            account = self.mask(value, type_, value)[4:]
+            number = lambda s: int("".join(str(int(c, 36)) for c in s))
+            new = next(f"{value[:2]}{k:02}{account}" for k in range(2, 99) if number(f"{account}{value[:2]}{k:02}") % 97 == 1)
+            fresh = iter(new)
+            return "".join(next(fresh) if c != " " else c for c in mention)
+        if type_ == "key":
+            return mention[:4] + self.mask(mention, type_, mention)[4:]
+        start, value = re.fullmatch(pii._SECRET[1:-1], mention).groups()
+        if re.fullmatch("[0-9a-f]+", value):
+            return start + "".join(hashlib.sha256(f"{self.key}|secret|{value}|x0|{i}".encode()).hexdigest() for i in range(len(value) // 64 + 1))[: len(value)]
+        return start + self.mask(value, type_, value)
+
+    def named(self, title, given, family, sex):
+        cased = lambda word, new: new.upper() if word == word.upper() and len(word) > 1 else new.capitalize()
+        first = f"{cased(given, self.part('given', f'{sex}|{given.lower()}'))} " if given else ""
+        return title + first + cased(family, self.part("family", family.lower()))
+
+    def rewrite(self, text):
+        known = {}
+        for m in self.pattern.finditer(text):
+            if t := self.title.fullmatch(m[0]):
+                known.setdefault((t[2] or "", t[3]), "male" if re.sub("[. ]", "", t[1]).lower() in pii._MALE else "female")
+        out, at, n = "", 0, 0
+        while at < len(text):
+            m = self.pattern.match(text, at)
+            if m:
+                t = self.title.fullmatch(m[0])
+                type_ = next((k for k, p in pii.PATTERNS.items() if k != "name" and regex.fullmatch(p, m[0])), "name")
+                out += self.named(t[1], t[2], t[3], "male" if re.sub("[. ]", "", t[1]).lower() in pii._MALE else "female") if type_ == "name" else self.plain(type_, m[0])
+                at, n = m.end(), n + 1
+                continue
+            for (given, family), sex in known.items():
+                m = regex.compile(rf"(?<!\p{{L}})(?:({given or '(?!)'}) )?{family}(?!\p{{L}})").match(text, at)
+                if m:
+                    out += self.named("", m[1] or "", family, sex)
+                    at, n = m.end(), n + 1
+                    break
+            else:
+                out, at = out + text[at], at + 1
+        return out, n
+
+
+def test_surrogates_against_brute_force(spark):
+    more = [
+        (20, "Mrs. Anna Schmidt came. Anna Schmidt and Schmidt left, not Schmidtke. Mrs. Schmidt, Frau SCHMIDT", "s"),
+        (21, "M. Dupont et Mme Claire Dupont; Dupont seul, Claire Dupont", "s"),
+        (22, "DE89370400440532013000 GB29 NWBK 6016 1331 9268 19", "s"),
+        (23, "2001:db8::1 and 2001:0DB8:0000:0000:0000:FF00:0042:8329, std::move a::b 12:30:45", "s"),
+        (24, "Schmidt alone stays", "s"),
+        (25, "Mr. Иван Петров, Петров", "s"),
+    ]
+    brute = Surrogates("k")
+    want = {d: (t, 0) if t is None else brute.rewrite(t) for d, t, _ in PRIVATE + more}
+    got = {x.doc_id: (x.text, x.n_entities) for x in pii.pseudonymise(frame(spark, PRIVATE + more), "k").collect()}
+    assert got == want
+    assert want[24] == ("Schmidt alone stays", 0) and want[23][1] == 2 and want[20][1] == 5 and want[21][1] == 4 and want[25][1] == 2
+    other = {x.doc_id: x.text for x in pii.pseudonymise(frame(spark, PRIVATE), "another key").collect()}
+    assert other[2] != got[2][0]
+
+
+def test_every_mention_has_a_hint():
+    hint = regex.compile(pii.HINT)
+    for _, text, _ in PRIVATE:
+        assert all(hint.search(m[0]) for m in regex.finditer(pii.MENTION, text or ""))
+    for text in ("AKIA" + "A" * 16, "ghp_" + "a" * 36, "Señora Paz", "Sr. Paz", "M. Paz", "Ms Paz", "Mme Paz", "Frau Paz", "Miss Paz", "Monsieur Paz", "Madame Paz", "a@b.c", "::1", "pwd: abcdef"):
+        assert hint.search(text)
+
+
+def test_surrogates_of_clashing_columns(spark):
+    docs = frame(spark, PRIVATE).selectExpr("*", "7 AS _new", "8 AS _digest", "9 AS _bare", "10 AS pattern", "11 AS n_entities", "12 AS `a.b`")
+    out = pii.pseudonymise(docs, "k")
+    assert out.columns == docs.columns and {(x._new, x._digest, x._bare, x.pattern, x["a.b"]) for x in out.collect()} == {(7, 8, 9, 10, 12)}
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     real = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", lambda t, v, attempt: F.concat(F.lit("s"), F.pmod(F.xxhash64(v, F.lit(attempt)), F.lit(7)).cast("string")) if attempt < pii.ROUNDS else real(t, v, attempt))
+    monkeypatch.setattr(pii, "surrogate", lambda t, v, attempt, key: F.concat(F.lit("s"), F.pmod(F.xxhash64(v, F.lit(attempt)), F.lit(7)).cast("string")) if attempt < pii.ROUNDS else real(t, v, attempt, key))
     entities = spark.createDataFrame([("ip", f"v{k}") for k in range(40)] + [("ip", "s3")], "type string, value string")
-    out = pii.entity_surrogates(entities).collect()
+    out = pii.entity_surrogates(entities, "k").collect()
     assert len(out) == 41 and len({x.surrogate for x in out}) == 41 and not {x.surrogate for x in out} & {x.value for x in out}
 
 
 def test_surrogates_are_native(spark):
-    plan = pii.pseudonymise(frame(spark, PRIVATE))._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymise(frame(spark, PRIVATE), "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -627,6 +753,6 @@ def test_surrogates_are_native(spark):
 
 def test_empty_tables(spark, empty, tmp_path):
     none = labels(spark)
-    for out in (x1.exact_dedup(empty), ngram_join.near_duplicates(empty), repeated_passages.remove_repeats(empty), quality_model.importance_resample(empty, none), token_counts.token_counts(empty), quality_rules.quality_rules(empty, none), packing.pack(empty), mixing.mix(empty), mixing.mix_documents(empty), pii.pseudonymise(empty)):
+    for out in (x1.exact_dedup(empty), ngram_join.near_duplicates(empty), repeated_passages.remove_repeats(empty), quality_model.importance_resample(empty, none), token_counts.token_counts(empty), quality_rules.quality_rules(empty, none), packing.pack(empty), mixing.mix(empty), mixing.mix_documents(empty), pii.pseudonymise(empty, "k")):
         assert out.count() == 0
     training_order.write_training_order(empty, str(tmp_path / "none"))
