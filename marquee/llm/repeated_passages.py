@@ -146,9 +146,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             chunks, own = [], []
             for words in split:
                 of = anchors(hashes.of(words), window, anchor)[1]
-                pairs = np.unique(np.stack([(np.arange(len(of)) // chunk).astype(np.uint64), of], 1), axis=0)
-                chunks.append(pairs[:, 0].astype(np.int32))
-                own.append(pairs[:, 1].copy().view(np.int64))
+                # Neighbouring windows mostly share their anchor, so few are left to sort.
+                parts = [np.unique(part[np.diff(part, prepend=~part[:1]) != 0]) for part in (of[k : k + chunk] for k in range(0, len(of), chunk))]
+                chunks.append(np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts]))
+                own.append(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64))
             yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64()), "h": pa.array(hs, pa.int64()), "n_words": pa.array(map(len, split), pa.int64()), "sha": pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in split], pa.string()), "chunk": pa.array(chunks, pa.list_(pa.int32())), "a": pa.array(own, pa.list_(pa.int64()))})
 
     table = materialise(held.mapInArrow(describe, "doc long, h long, n_words long, sha string, chunk array<int>, a array<long>"))
