@@ -229,6 +229,18 @@ def test_training_order_round_trip(spark, docs, rows, tmp_path):
         assert sum(len(own) for _, own in back[d]) == sum(map(len, whole))
 
 
+def test_training_order_of_null_and_repeated_ids(spark, tmp_path):
+    out = [(None, "some words", "s"), (None, None, "s"), (5, "one two three", "s"), (5, "one two three", "s"), (5, "", "s")]
+    training_order.write_training_order(frame(spark, out, 2), str(tmp_path / "o"), length=4)
+    pieces = training_order.training_pieces(spark, str(tmp_path / "o"), 4).collect()
+    assert sum(p.length for p in pieces) == sum(len(ids_of(t)) + 1 for _, t, _ in out)
+    assert collections.Counter(p.doc_id for p in pieces if p.start == 0) == {None: 2, 5: 3}
+    assert sorted({p.slot for p in pieces}) == list(range(len({p.slot for p in pieces})))
+    again = tmp_path / "again"
+    training_order.write_training_order(frame(spark, out, 2), str(again), length=4, key=9)
+    assert sum(p.length for p in training_order.training_pieces(spark, str(again), 4).collect()) == sum(p.length for p in pieces)
+
+
 def test_feistel_is_a_keyed_permutation():
     for n in (1, 2, 3, 7, 64, 1000, 4097):
         assert sorted(training_order.feistel(np.arange(n), n).tolist()) == list(range(n))
@@ -403,6 +415,12 @@ def test_pieces_and_ranks_agree_with_the_tokenizer_on_every_character():
     assert [list(encoder.ids(t)) for t in texts] == want
 
 
+def test_token_counts_of_very_long_pieces(spark):
+    out = [(1, "x" * 40_000, "s"), (2, "7" * 5_000 + " " * 5_000, "s"), (3, "é" * 9_000 + "#" * 9_000, "s"), (4, "word " * 30_000, "s")]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame(spark, out)).collect()}
+    assert got == {d: len(ids_of(t)) for d, t, _ in out}
+
+
 # 7 ------------------------------------------------------------------------------------------
 
 
