@@ -175,7 +175,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = described.filter("repeated IS NOT NULL").groupBy("owner").agg(F.sum("repeated").alias("repeated"))
     able = classes.join(repeated, "owner").filter(F.col("repeated") * 100 >= F.col("n_shingles") * percent)
     able = materialise(able.select("node", "n_shingles"))
-    held = written(held.drop("doc_id").join(able, F.col("h") == F.col("node")).select("node", "text").dropDuplicates(["node"]))
+    # Copies of a text become one in their task, before the shuffle.
+    once = held.groupBy(F.col("h").alias("node")).agg(F.first("text").alias("text"))
+    held = written(once.join(able, "node").select("node", "text"))
 
     def count(batches):
         """The task's counts of shingles."""
