@@ -17,9 +17,11 @@ from marquee.folders import scratch, shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Words whose hashes one Python worker remembers at most.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
+#: Bytes of a row group of a written table, which its writer holds.
+ROW_GROUP = 16 << 20
 #: Characters of text that a Python stage handles at once.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_500_000
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """As materialise, but a compressed table, for what holds texts; it stays until ``clear_scratch``."""
     at = scratch(df.sparkSession, "table")
-    df.write.parquet(at)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
