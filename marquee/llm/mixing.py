@@ -99,14 +99,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", row_col: str | None = None, **options) -> DataFrame:
     """The mixed documents themselves, each row as often as it is taken, with the input's columns.
 
     Rows are drawn by a key of their own, so null, repeated and clashing ids and columns of
     any name do no harm.  A document without words is taken like any other of its source; a
-    source without words is not taken.  An empty table gives none.
+    source without words is not taken.  An empty table gives none.  With ``row_col``, a key
+    of the rows that every read of them gives, no table with such a key is written.
     """
-    rows, key = keyed(docs)
+    rows, key = (docs, row_col) if row_col else keyed(docs)
     copies, copy = free_name(docs, "_copies"), free_name(docs, "_copy")
     drawn = mix(rows, id_col, row_col=key, **options).filter("copies > 0").select(F.col(key), F.col("copies").alias(copies))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
