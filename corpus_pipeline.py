@@ -7,10 +7,11 @@ so there is none for the whole; tests hold the stages against brute force.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marquee.folders import delete_folder, scratch
-from marquee.llm.common import keyed, labels
+from marquee.llm.common import free_name, keyed, labels
 from marquee.llm.exact_dedup import exact_dedup
 from marquee.llm.mixing import mix_documents
 from marquee.llm.ngram_join import near_duplicates
@@ -19,6 +20,28 @@ from marquee.llm.quality_model import importance_resample
 
 #: Up to so many row keys are broadcast to take their rows out; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Up to so many files, their numbers are broadcast.
+NUMBERED_FILES = 100_000
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, and the name of that column.
+
+    A stage's input is a Parquet table as it was read, where a row's file and its place there
+    make a key that every read gives again.  What has no such place (rows made in memory,
+    joins of tables of other formats), or very many files, is written with a key first.
+    """
+    key, path = free_name(docs, "_row"), free_name(docs, "_path")
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(key))
+    except AnalysisException:
+        return keyed(docs)
+    files = sorted(r[0] for r in placed.select(path).distinct().limit(NUMBERED_FILES + 1).collect())
+    if len(files) > NUMBERED_FILES or "_metadata" in docs.columns:
+        return keyed(docs)
+    first = free_name(docs, "_first")
+    numbers = docs.sparkSession.createDataFrame([(name, k << 40) for k, name in enumerate(files)], f"`{path}` string, `{first}` long")
+    return placed.join(F.broadcast(numbers), path).withColumn(key, F.col(first) + F.col(key)).drop(path, first), key
 
 
 def _without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
@@ -34,7 +57,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     A null or empty text has weight 1 and stays; repeated rows stay or go alike; a null
     doc_id has no label.  An empty table gives none; columns of any name are kept.
     """
-    rows, key = keyed(docs)
+    rows, key = _numbered(docs)
     judged = importance_resample(rows, labels(spark, sf_dir), row_col=key)
     return _without(rows, key, judged.filter("NOT kept").select(F.col(key).alias("row")))
 
@@ -45,7 +68,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are equal to each other, so one of them stays; a null doc_id loses
     ties.  An empty table gives none; columns of any name are kept.
     """
-    rows, key = keyed(docs)
+    rows, key = _numbered(docs)
     return _without(rows, key, exact_dedup(rows, row_col=key).filter("NOT kept").select(F.col(key).alias("row")))
 
 
@@ -56,7 +79,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     none with one, and of repeated rows one stays.  Null and empty texts are linked with nothing and
     all stay.  An empty table gives none; columns of any name are kept.
     """
-    rows, key = keyed(docs)
+    rows, key = _numbered(docs)
     groups = near_duplicates(rows, id_col=key).select(F.col("doc_id").alias("row"), "component_id")
     ids = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     joined = groups.join(ids, "row")
@@ -71,7 +94,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its source.  Repeated rows and null ids are drawn one by one; an empty table gives none; columns of any
     name are kept.
     """
-    return mix_documents(docs)
+    rows, key = _numbered(docs)
+    return mix_documents(rows, row_col=key).drop(key)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
