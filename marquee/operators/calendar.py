@@ -49,13 +49,18 @@ def active_hours(events_: DataFrame, days: DataFrame) -> DataFrame:
 def grid(events_: DataFrame, days: DataFrame) -> DataFrame:
     """day, hour, n for each day of the view and each active hour of it.
 
-    Events are read once; what follows is about at most 42 days of 24 hours.
+    Events are read and their dates parsed once: the view's cells are appended with n = 0 and added up, as a
+    join on parsed dates would make Spark parse each again in a filter that it infers.
     """
-    cells = events_.select(F.to_date("start").alias("day"), F.hour("start").alias("hour")).groupBy("day", "hour").agg(F.count(F.lit(1)).alias("n"))
-    frame = days.select("day", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
-    active = F.max("n").over(Window.partitionBy("hour"))
-    filled = frame.join(cells, ["day", "hour"], "left").withColumn("active", active).filter("active IS NOT NULL")
-    return filled.select("day", "hour", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    frame = days.select("day", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"), F.lit(0).alias("n"), F.lit(1).alias("viewed"))
+    cells = _counted(events_.select(F.to_date("start").alias("day"), F.hour("start").alias("hour"), F.lit(1).alias("n")), frame, ["day", "hour"])
+    return cells.withColumn("active", F.sum("n").over(Window.partitionBy("hour"))).filter("active > 0").select("day", "hour", "n")
+
+
+def _counted(rows: DataFrame, frame: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of ``frame`` (keys, n = 0, viewed = 1) with the summed ``n`` of ``rows`` there."""
+    both = rows.withColumn("viewed", F.lit(0)).unionByName(frame)
+    return both.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("viewed").alias("viewed")).filter("viewed = 1").drop("viewed")
 
 
 def month_grid(spark: SparkSession, day: str) -> DataFrame:
@@ -80,12 +85,12 @@ def navigation(days: DataFrame) -> DataFrame:
 
 def day_flags(days: DataFrame, events_: DataFrame) -> DataFrame:
     """day, has_event of the days of a view."""
-    hit = days_with_events(events_).withColumn("hit", F.lit(True))
-    return days.join(hit, "day", "left").select("day", F.coalesce("hit", F.lit(False)).alias("has_event"))
+    frame = days.select("day", F.lit(0).alias("n"), F.lit(1).alias("viewed")).distinct()
+    return _counted(events_.select(F.to_date("start").alias("day"), F.lit(1).alias("n")), frame, ["day"]).select("day", (F.col("n") > 0).alias("has_event"))
 
 
 def month_flags(spark: SparkSession, events_: DataFrame, year: int) -> DataFrame:
     """month (1 to 12), has_event of a year."""
-    hit = events_.filter(F.year("start") == year).select(F.month("start").alias("month")).distinct().withColumn("hit", F.lit(True))
-    months = spark.range(1, 13).select(F.col("id").cast("int").alias("month"))
-    return months.join(hit, "month", "left").select("month", F.coalesce("hit", F.lit(False)).alias("has_event"))
+    frame = spark.range(1, 13).select(F.col("id").cast("int").alias("month"), F.lit(0).alias("n"), F.lit(1).alias("viewed"))
+    months = events_.select(F.when(F.year("start") == year, F.month("start")).alias("month"), F.lit(1).alias("n"))
+    return _counted(months, frame, ["month"]).select("month", (F.col("n") > 0).alias("has_event"))

@@ -27,6 +27,8 @@ def query(sql: str | None = None, view: bool = True):
     """Registers a function under its name; its SQL starts behind the listings view unless ``view`` is off."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are called {f.__name__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLE_SQL[f.__name__] = (LISTINGS_SQL + sql) if view else sql
@@ -572,145 +574,6 @@ def _city_bodies(spark, sf_dir, name):
     return bodies.withColumn("hotCity", F.col("hotCities"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", view=False)
-def json_extract(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
-# --- classification ----------------------------------------------------------------------------
-
-_TAGS = "SELECT id, CASE ord % 5 WHEN 0 THEN '' WHEN 1 THEN '热销榜' WHEN 2 THEN artist || '演出' ELSE artist END AS tag FROM L"
-
-
-@query(f"SELECT id, tag, tag <> '' AND NOT ({any_sql('tag', NOISE_TAGS)}) AS valid FROM ({_TAGS})")
-def tag_validity(spark, sf_dir):
-    tag = F.when(F.col("ord") % 5 == 0, "").when(F.col("ord") % 5 == 1, "热销榜").when(F.col("ord") % 5 == 2, F.concat("artist", F.lit("演出"))).otherwise(F.col("artist"))
-    return listings(spark, sf_dir).select("id", tag.alias("tag")).withColumn("valid", classify.valid_tag(F.col("tag")))
-
-
-_TRIB = "SELECT id, ord, artist, is_tribute, CASE ord % 6 WHEN 0 THEN '致敬' || title WHEN 1 THEN title || '烛光' ELSE title END AS title FROM L"
-
-
-def _tributes(spark, sf_dir):
-    title = F.when(F.col("ord") % 6 == 0, F.concat(F.lit("致敬"), "title")).when(F.col("ord") % 6 == 1, F.concat("title", F.lit("烛光"))).otherwise(F.col("title"))
-    return listings(spark, sf_dir).withColumn("title", title)
-
-
-@query(f"SELECT id, {any_sql('title', TRIBUTE_WORDS)} AS tribute FROM ({_TRIB})")
-def classify_tribute(spark, sf_dir):
-    return _tributes(spark, sf_dir).select("id", classify.is_tribute(F.col("title")).alias("tribute"))
-
-
-@query(
-    f""", R AS (SELECT *, CASE WHEN {any_sql('title', TRIBUTE_WORDS)} THEN 'tribute' WHEN artist <> '' AND artist NOT IN ('群星', 'Unknown') AND NOT ({any_sql('artist', TRIBUTE_WORDS)}) THEN 'official' ELSE 'extract' END AS route FROM ({_TRIB}))
-SELECT id, route, CASE WHEN route = 'official' AND NOT starts_with(title, '【') THEN '【' || artist || '】' || title ELSE title END AS title,
-  CASE WHEN route = 'tribute' THEN 'Unknown' ELSE artist END AS artist, route = 'tribute' OR is_tribute AS is_tribute FROM R"""
-)
-def artist_routing(spark, sf_dir):
-    return classify.route(_tributes(spark, sf_dir)).select("id", "route", "title", "artist", "is_tribute")
-
-
-@query("SELECT id, CASE WHEN a IN ('歌手', '音乐会') THEN 'Unknown' ELSE a END AS artist FROM (SELECT id, CASE ord % 4 WHEN 0 THEN '歌手' WHEN 1 THEN '音乐会' ELSE artist END AS a FROM L)")
-def fix_invalid_artist(spark, sf_dir):
-    artist = F.when(F.col("ord") % 4 == 0, "歌手").when(F.col("ord") % 4 == 1, "音乐会").otherwise(F.col("artist"))
-    return classify.fix_invalid_artists(listings(spark, sf_dir).withColumn("artist", artist)).select("id", "artist")
-
-
-@query(
-    """, X AS (SELECT title, CASE WHEN k % 3 = 0 THEN '' ELSE 'S' || CAST(k % 5 AS VARCHAR) END AS a, k % 4 = 0 AS t, CASE WHEN k % 2 = 0 THEN k % 6 <> 0 END AS f
-  FROM (SELECT title, min(ord) AS k FROM L WHERE ord % 2 = 0 GROUP BY title)),
-J AS (SELECT L.*, X.title IS NOT NULL AS hit, CASE WHEN t OR NOT coalesce(f, true) THEN 'Unknown' ELSE coalesce(nullif(a, ''), 'Unknown') END AS na, t, coalesce(f, true) AS f FROM L LEFT JOIN X ON L.title = X.title)
-SELECT id, CASE WHEN hit AND na <> 'Unknown' AND NOT starts_with(title, '【') THEN '【' || na || '】' || title ELSE title END AS title,
-  CASE WHEN hit THEN na ELSE artist END AS artist, CASE WHEN hit THEN t ELSE is_tribute END AS is_tribute, CASE WHEN hit THEN f ELSE is_famous END AS is_famous FROM J"""
-)
-def apply_extraction(spark, sf_dir):
-    rows = listings(spark, sf_dir)
-    k = F.col("k")
-    found = rows.filter("ord % 2 = 0").groupBy("title").agg(F.min("ord").alias("k")).select("title", F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("S"), (k % 5).cast("string"))).alias("artist"), (k % 4 == 0).alias("is_tribute"), F.when(k % 2 == 0, k % 6 != 0).alias("is_famous"))
-    return classify.apply_extraction(rows, found).select("id", "title", "artist", "is_tribute", "is_famous")
-
-
-# --- sources -------------------------------------------------------------------------------------
-
-
-def _trees(spark, sf_dir):
-    """Each region as a tree: nation nodes (groups) with supplier nodes (listings)."""
-    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    leaf = F.struct(F.lit("7587").alias("type"), F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("cityName"), F.when(F.col("s_suppkey") % 4 == 0, F.lit("")).when(F.col("s_suppkey") % 4 == 1, F.lit("热销榜")).otherwise(F.lit("Star")).alias("showTag")).alias("data"))
-    nations = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", leaf.alias("leaf")))).alias("x"))
-    nations = nations.select("n_regionkey", "n_nationkey", F.struct(F.lit("g").alias("type"), F.transform("x", lambda x: x["leaf"]).alias("nodes")).alias("node"))
-    regions = nations.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.to_json("node").alias("node")))).alias("x"))
-    body = F.concat(F.lit('{"nodes":['), F.array_join(F.transform("x", lambda x: x["node"]), ","), F.lit("]}"))
-    return regions.select(F.col("n_regionkey").alias("tree_id"), body.alias("body"))
-
-
-_LEAVES = "supplier JOIN nation ON s_nationkey = n_nationkey"
-
-
-@query(f"SELECT CAST(n_regionkey AS INTEGER) AS tree_id, CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM {_LEAVES}", view=False)
-def tree_flatten(spark, sf_dir):
-    nodes = landing.listing_nodes(landing.flatten_tree(_trees(spark, sf_dir)))
-    return nodes.orderBy("tree_id", "path").select(F.col("tree_id").cast("int").alias("tree_id"), F.try_variant_get("data", "$.id", "string").alias("id"), F.try_variant_get("data", "$.name", "string").alias("name"))
-
-
-@query(
-    f"""SELECT CAST(n_regionkey AS INTEGER) AS tree_id, true AS is_listing, CAST(s_suppkey AS VARCHAR) AS id, count(*) AS n FROM {_LEAVES} WHERE contains(s_name, '#00000') AND contains(s_name, '7') GROUP BY ALL
-UNION ALL SELECT CAST(n_regionkey AS INTEGER), false, NULL, count(DISTINCT n_nationkey) FROM {_LEAVES} WHERE contains(s_name, '7') GROUP BY n_regionkey""".replace("contains(s_name, '#00000') AND contains(s_name, '7')", "contains(s_name, '#00000001')").replace("contains(s_name, '7') GROUP BY n_regionkey", "contains(s_name, '#00000001') GROUP BY n_regionkey"),
-    view=False,
-)
-def tree_keyword_scan(spark, sf_dir):
-    """Listings with the word in their title, and how many groups of each tree have it anywhere below."""
-    found = landing.find_keyword(landing.flatten_tree(_trees(spark, sf_dir)), "#00000001")
-    return found.groupBy(F.col("tree_id").cast("int").alias("tree_id"), "is_listing", F.try_variant_get("data", "$.id", "string").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    f"""SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS title, n_name AS city, '' AS venue, '' AS date, 'Pending' AS price, 'Unknown' AS status, 'Concert' AS category,
-      CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '' ELSE 'Star' END AS artist, s_suppkey % 4 <> 1 AS is_famous FROM {_LEAVES}""",
-    view=False,
-)
-def project_source_a(spark, sf_dir):
-    nodes = landing.listing_nodes(landing.flatten_tree(_trees(spark, sf_dir)))
-    return landing.project_a(nodes).drop("image")
-
-
-@query(
-    """SELECT 'mt_' || CAST(ord AS VARCHAR) AS id, title, '' AS image, date, coalesce(nullif(city, ''), 'X') AS city, venue,
-      CASE WHEN ord % 9 = 0 THEN '价格待定' ELSE '￥' || price || CASE WHEN ord % 2 = 0 THEN '起' ELSE '' END END AS price,
-      coalesce(nullif(status, ''), '销售中') AS status, '演唱会' AS category, CASE WHEN ord % 3 = 0 THEN artist ELSE '' END AS artist FROM L"""
-)
-def project_source_b(spark, sf_dir):
-    k = F.col("ord")
-    tag = lambda kind, name: F.struct(F.lit(kind).alias("tagType"), name.alias("tagName"))
-    items = listings(spark, sf_dir).select(
-        k.cast("string").alias("showId"), F.col("title").alias("showName"), F.col("date").alias("showDate"), F.col("city").alias("showCity"), F.lit("X").alias("cityName"), F.col("venue").alias("venueName"), F.col("status").alias("showStatusDisplayName"),
-        F.when(k % 9 != 0, F.struct(F.lit("￥").alias("prefix"), F.col("price").alias("yuanNum"), F.when(k % 2 == 0, "起").alias("suffix"))).alias("priceInfo"),
-        F.when(k % 3 == 0, F.array(tag("GENRE", F.lit("Pop")), tag("ARTIST", F.col("artist")))).alias("tags"),
-    )
-    return landing.project_b(items)
-
-
-@query(
-    """SELECT 'mtglobal_' || CAST(ord AS VARCHAR) AS id, title, image,
-      coalesce(nullif(regexp_extract(replace(split_part(date, ' - ', 1), '/', '.'), '([0-9]{4}\\.[0-9]{2}\\.[0-9]{2})', 1), ''), replace(split_part(date, ' - ', 1), '/', '.')) AS date,
-      coalesce(nullif(city, ''), 'Z') AS city, venue, coalesce(nullif(price, ''), 'Pending') AS price,
-      CASE WHEN status = 'O' THEN '销售中' ELSE coalesce(nullif(status, ''), 'Unknown') END AS status, '演唱会' AS category, '' AS artist FROM L"""
-)
-def project_source_c(spark, sf_dir):
-    items = listings(spark, sf_dir).select(
-        F.col("ord").cast("string").alias("id"), "title", F.col("venue").alias("venueName"), F.col("city").alias("location"), F.lit("Z").alias("locationName"), F.col("date").alias("showDate"), F.col("image").alias("imgUrl"), F.col("price").alias("salePrice"), F.when(F.col("status") == "O", "ONSALE").otherwise(F.col("status")).alias("status")
-    )
-    return landing.project_c(items)
-
-
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS \"cityId\", n_name AS \"cityName\", CASE WHEN n_nationkey < 5 THEN 'hot' ELSE 'group' END AS place FROM nation", view=False)
-def nested_city_list(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").withColumn("c", F.struct(F.col("n_nationkey").cast("string").alias("cityId"), F.col("n_name").alias("cityName"), F.lit("").alias("url")))
-    regions = n.filter("n_nationkey >= 5").groupBy("n_regionkey").agg(F.struct(F.collect_list("c").alias("sites")).alias("g"))
-    bodies = n.filter("n_nationkey < 5").agg(F.collect_list("c").alias("hotCities")).join(regions.agg(F.collect_list("g").alias("groups")))
-    return landing.city_list(bodies.withColumn("hotCity", F.col("hotCities"))).select("cityId", "cityName", "place")
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", view=False)
 def jsonp_parse(spark, sf_dir):
     body = F.concat(F.lit(" cb("), "props", F.lit(");"))
