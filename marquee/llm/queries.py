@@ -11,11 +11,13 @@ from marquee.llm.mixing import mix
 from marquee.llm.ngram_join import near_duplicates
 from marquee.llm.packing import pack
 from marquee.llm.pii import pseudonymise
+from marquee.llm.prefix_trie import prefix_trie
 from marquee.llm.quality_model import importance_resample
 from marquee.llm.quality_rules import quality_rules
 from marquee.llm.repeated_passages import remove_repeats
 from marquee.llm.token_counts import token_counts
 from marquee.llm.training_order import training_pieces, write_training_order
+from marquee.llm.vector_codes import vector_codes
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,33 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents(spark, sf_dir), key).select("doc_id", "text", "n_entities")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_training_order, op4_repeated_passages, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_packing, op9_mixing, op10_pii_surrogates)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_ngram_join, op3_training_order, op4_repeated_passages, op5_quality_classifier, op6_token_counts, op7_quality_rules,
+        op8_packing, op9_mixing, op10_pii_surrogates, op11_vector_codes, op13_prefix_trie,
+    )
+}
+
+
+def _round_sql(k: int) -> str:
+    """Of codebook k (B{k}) the nearest entries (A{k + 1}), and the codebook that follows."""
+    return f"""
+        A{k + 1} AS MATERIALIZED (
+          SELECT x.row, x.part, any_value(x.v) AS v, min(struct_pack(d := list_inner_product(x.v, x.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(x.v, b.v), entry := b.entry)) AS best
+          FROM x JOIN B{k} b USING (part) GROUP BY ALL),
+        B{k + 1} AS MATERIALIZED (
+          SELECT part, entry, coalesce(m, v) AS v FROM B{k} LEFT JOIN (
+            SELECT part, entry, list(m ORDER BY pos) AS m
+            FROM (SELECT part, best.entry AS entry, pos, floor(sum(v[pos]) / count(*)) AS m FROM A{k + 1}, range(1, 1025) t(pos) WHERE pos <= len(v) GROUP BY ALL) GROUP BY ALL) USING (part, entry)),"""
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -130,4 +158,37 @@ ORACLE_SQL = {
         SELECT doc_id, size, source_size, target,
                CAST(size * least(3, floor(k * rate + shift) - floor((k - 1) * rate + shift)) AS BIGINT) AS taken
         FROM r""",
+    "op11_vector_codes": f"""
+        WITH k AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS v
+          FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        x AS MATERIALIZED (SELECT row, part, v[len(v) // 4 * part + 1:len(v) // 4 * (part + 1)] AS v FROM k, range(4) p(part)),
+        B0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM x WHERE row <= 256),{"".join(map(_round_sql, range(5)))}
+        h AS (SELECT sha256(coalesce(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos), '')) AS codebooks_sha256
+              FROM (SELECT part, entry, unnest(v) AS c, unnest(range(len(v))) AS pos FROM B4)),
+        e AS (SELECT row, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM A5 GROUP BY row)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN k USING (row), h""",
+    "op13_prefix_trie": r"""
+        WITH t AS (
+          SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) || printf('%08x', length(coalesce(text, ''))) AS token
+          FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT conv_id, list(token ORDER BY turn NULLS FIRST, token) AS own FROM t GROUP BY conv_id),
+        h AS (
+          SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                   lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda y, i: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 6 AS h FROM o),
+        r AS (SELECT h.conv_id, array_to_string(list_concat(coalesce(b.own, CAST([] AS VARCHAR[]))[1:h], h.own[h + 1:]), '') AS path FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+        m AS (SELECT conv_id, path, unnest(range(0, len(path) // 40 + 1)) AS depth FROM r),
+        n AS (
+          SELECT path[1:40 * depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(path) = 40 * depth), '')) AS ends_sha256
+          FROM m GROUP BY ALL),
+        c AS (SELECT node[1:40 * (depth - 1)] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+        s AS (
+          SELECT node, depth, coalesce(n_children, 0) = 0 AS leaf,
+                 CASE WHEN depth > 0 THEN (n_convs - 1) * CAST('0x' || right(node, 8) AS BIGINT) ELSE 0 END AS saved
+          FROM n LEFT JOIN c USING (node)),
+        u AS (SELECT node[1:40 * k] AS node, count_if(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM s) GROUP BY ALL)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+               CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM n JOIN u USING (node) LEFT JOIN c USING (node) LEFT JOIN n p ON n.depth > 0 AND p.node = n.node[1:40 * (n.depth - 1)]""",
 }
