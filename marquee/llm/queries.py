@@ -14,6 +14,7 @@ from marquee.llm.pii import pseudonymise
 from marquee.llm.prefix_trie import prefix_trie
 from marquee.llm.quality_model import importance_resample
 from marquee.llm.quality_rules import quality_rules
+from marquee.llm.repeated_bytes import remove_repeated_bytes
 from marquee.llm.repeated_passages import remove_repeats
 from marquee.llm.token_counts import token_counts
 from marquee.llm.training_order import training_pieces, write_training_order
@@ -67,6 +68,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -75,7 +80,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_ngram_join, op3_training_order, op4_repeated_passages, op5_quality_classifier, op6_token_counts, op7_quality_rules,
-        op8_packing, op9_mixing, op10_pii_surrogates, op11_vector_codes, op13_prefix_trie,
+        op8_packing, op9_mixing, op10_pii_surrogates, op11_vector_codes, op12_repeated_bytes, op13_prefix_trie,
     )
 }
 
@@ -168,6 +173,18 @@ ORACLE_SQL = {
               FROM (SELECT part, entry, unnest(v) AS c, unnest(range(len(v))) AS pos FROM B4)),
         e AS (SELECT row, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM A5 GROUP BY row)
         SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN k USING (row), h""",
+    "op12_repeated_bytes": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        v AS MATERIALIZED (SELECT row, doc_id, i, md5(b[i:i + 49]) AS h FROM (SELECT *, unnest(range(1, octet_length(b) - 48)) AS i FROM d)),
+        f AS (SELECT h, min(doc_id) AS m FROM v GROUP BY h HAVING count(DISTINCT doc_id) > 1 OR count(doc_id) < count(*)),
+        g AS (SELECT row, i, i - max(i) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM v JOIN f USING (h) WHERE m < doc_id OR doc_id IS NULL AND m IS NOT NULL),
+        n AS (SELECT *, count_if(gap IS NULL OR gap > 50) OVER (PARTITION BY row ORDER BY i) AS span FROM g),
+        s AS (SELECT row, span, min(i) AS a, max(i) + 49 AS z FROM n GROUP BY ALL),
+        w AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) AS before FROM s),
+        k AS (SELECT row, string_agg(hex(b[before + 1:a - 1]), '' ORDER BY a) AS kept, max(z) AS z, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM w JOIN d USING (row) GROUP BY row)
+        SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(CASE WHEN z IS NULL THEN b ELSE unhex(kept || hex(b[z + 1:octet_length(b)])) END) AS kept_sha256
+        FROM d LEFT JOIN k USING (row)""",
     "op13_prefix_trie": r"""
         WITH t AS (
           SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) || printf('%08x', length(coalesce(text, ''))) AS token
