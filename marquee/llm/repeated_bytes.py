@@ -35,7 +35,7 @@ WINDOW, ANCHOR = 50, 30
 #: Bytes of texts in a chunk, and about so many bytes of text for each shard and for each bucket of anchors.
 CHUNK, SHARD_TEXT, BUCKET_TEXT = 512 << 10, 16 << 20, 32 << 20
 #: An anchor of more chunks is hot; its windows are dealt in so many parts.
-HOT, GROUPS = 64, 3
+HOT, GROUPS = 64, 2
 #: Windows of a chunk that are looked at together.
 BLOCK = 1 << 22
 _BITS = 22
@@ -174,7 +174,14 @@ def _shard_of(chunk: np.ndarray, shards: int) -> np.ndarray:
     return (mix(chunk.astype(np.uint64) + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
 
 
-_SEGMENT = "shard int, bytes binary, chunk long, text int, start int, doc long, hot long"
+_SEGMENT = "shard int, bytes binary, chunk long, text int, start int, doc long, hot long, seats binary"
+_KINDS = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+#: Where a hot part stands in a chunk: its text (with all bits turned where the document has no id), where it starts, and the document.
+_SEAT = np.dtype([("text", np.int32), ("start", np.int32), ("doc", np.int64)])
+#: A run of windows that go: their text, and the first and the last place at which one starts.
+_RUN = np.dtype([("text", np.int32), ("start", np.int32), ("last", np.int32)])
+#: The first document that has a window of a hot part.
+_OWNER = np.dtype([("start", np.int32), ("doc", np.int64)])
 
 
 def _segments(row: dict, chunk: Chunk, codes: np.ndarray, copies: set, window: int, anchor: int, shards: int):
@@ -201,9 +208,10 @@ def _segments(row: dict, chunk: Chunk, codes: np.ndarray, copies: set, window: i
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(some)) - 1
         for a, b, t, c in zip(low[first].tolist(), high[last].tolist(), chunk.text[some][first].tolist(), code[some][first].tolist(), strict=True):
-            out.append((c - 2, data[a:b], row["chunk"], t, a - int(chunk.begins[t]), row["docs"][t], None))
+            out.append((c - 2, data[a:b], row["chunk"], t, a - int(chunk.begins[t]), row["docs"][t], None, None))
     hot = np.flatnonzero((code == 1) & fresh)
     step = -(-(back + 1) // GROUPS)
+    parts: dict[bytes, list] = {}
     for a, t in zip(chunk.at[hot].tolist(), chunk.text[hot].tolist(), strict=True):
         begin, end = int(chunk.begins[t]), int(chunk.begins[t] + chunk.sizes[t])
         for k in range(a - back, a + 1, step):
@@ -211,7 +219,15 @@ def _segments(row: dict, chunk: Chunk, codes: np.ndarray, copies: set, window: i
             x, y = max(k, begin), min(to, end - window)
             if x <= y:
                 part = data[x : y + window]
-                out.append((xxhash.xxh3_64_intdigest(data[to : k + window], seed=k - a + back) % shards, part, row["chunk"], t, x - begin, row["docs"][t], _signed(xxhash.xxh3_64_intdigest(part))))
+                seats = parts.get((part, k - a))
+                if seats is None:
+                    core = xxhash.xxh3_64_intdigest(data[to : k + window], seed=k - a + back)
+                    seats = parts[part, k - a] = [core % shards]
+                doc = row["docs"][t]
+                seats.append((t if doc is not None else ~t, x - begin, doc or 0))
+    for (part, _), (shard, *seats) in parts.items():
+        docs = [d for t, _, d in seats if t >= 0]
+        out.append((shard, part, row["chunk"], None, 0, min(docs, default=None), _signed(xxhash.xxh3_64_intdigest(part, seed=shard)), np.array(seats, _SEAT).tobytes()))
     return out
 
 
@@ -300,38 +316,74 @@ def _sort_shard(batches, window: int, room: int):
 
 
 def _told(segments: list[tuple], begin: np.ndarray, found: list, owners: list):
-    rows: list[tuple] = []
+    """The runs of each chunk, and the owners of each hot part."""
     if found:
         own, place = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         order = np.argsort(place, kind="stable")
         own, place = own[order], place[order]
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1)])[: len(own)]
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1)])[: len(own)])
         last = np.append(first[1:], len(own))[: len(first)] - 1
-        for k, a, b in zip(own[first].tolist(), place[first].tolist(), place[last].tolist(), strict=True):
-            chunk, text, start, _, _ = segments[k]
-            shift = start - int(begin[k])
-            rows.append((chunk, text, a + shift, b + shift, None, None))
-            if len(rows) >= 5000:
-                yield _windows(rows)
-                rows = []
+        of = own[first]
+        chunk = np.array([s[0] if s[4] is None else -1 for s in segments], np.int64)[of]
+        text, shift = (np.array(x, np.int64)[of] for x in ([s[1] or 0 for s in segments], [s[2] for s in segments]))
+        runs = np.zeros(len(of), _RUN)
+        runs["text"], runs["start"], runs["last"] = text, place[first] + shift - begin[of], place[last] + shift - begin[of]
+        yield from _by(chunk, runs, "chunk")
     if owners:
         own, place, ids = (np.concatenate([o[i] for o in owners]) for i in range(3))
-        for k, p, d in zip(own.tolist(), (place - begin[own]).tolist(), ids.tolist(), strict=True):
-            rows.append((None, None, p, None, segments[k][4], d))
-            if len(rows) >= 5000:
-                yield _windows(rows)
-                rows = []
-    if rows:
-        yield _windows(rows)
+        told = np.zeros(len(own), _OWNER)
+        told["start"], told["doc"] = place - begin[own], ids
+        yield from _by(np.array([s[4] or 0 for s in segments], np.int64)[own], told, "hot")
+
+
+_WINDOWS = "chunk long, hot long, told binary"
 
 
-_WINDOWS = "chunk long, text int, start int, last int, hot long, owner long"
+def _by(key: np.ndarray, values: np.ndarray, name: str):
+    """Values of each key, packed; a key may have several rows."""
+    order = np.argsort(key, kind="stable")
+    key, values = key[order], values[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    ends = np.append(first[1:], len(key))[: len(first)]
+    for at in range(0, len(first), 1000):
+        a, b = first[at : at + 1000], ends[at : at + 1000]
+        packed = pa.array([values[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())
+        columns = {"chunk": pa.nulls(len(a), pa.int64()), "hot": pa.nulls(len(a), pa.int64()), "told": packed}
+        columns[name] = pa.array(key[a], pa.int64())
+        yield pa.RecordBatch.from_pydict(columns)
 
 
-def _windows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "text", "start", "last", "hot", "owner"])
+def _later(batches):
+    """Seats of hot parts with the owners of their windows: the runs of each seat whose document is later."""
+    for batch in batches:
+        chunks, out = [], []
+        for chunk, seats, told in zip(*(batch.column(c).to_pylist() for c in ("chunk", "seats", "told")), strict=True):
+            seats, told = np.frombuffer(seats, _SEAT), np.frombuffer(told, _OWNER)
+            for a, b in ((a, min(a + 4096, len(seats))) for a in range(0, len(seats), 4096)):
+                part = seats[a:b]
+                goes = (part["text"] < 0)[:, None] | (told["doc"][None] < part["doc"][:, None])
+                i, j = np.nonzero(goes)
+                if len(i):
+                    runs = np.zeros(len(i), _RUN)
+                    runs["text"] = np.where(part["text"] < 0, ~part["text"], part["text"])[i]
+                    runs["start"] = runs["last"] = part["start"][i] + told["start"][j]
+                    chunks.append(chunk)
+                    out.append(_merged(runs, 0).tobytes())
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int64()), "told": pa.array(out, pa.binary())})
+
+
+def _merged(runs: np.ndarray, more: int) -> np.ndarray:
+    """Runs in order, those that overlap or touch as one; two touch if ``more`` places or fewer lie between them."""
+    if not len(runs):
+        return runs
+    runs = runs[np.lexsort((runs["last"], runs["start"], runs["text"]))]
+    # The furthest end so far within the text; a text's runs begin above all those of texts before.
+    base = runs["text"].astype(np.int64) << 32
+    far = np.maximum.accumulate(base + runs["last"])
+    first = np.flatnonzero(np.concatenate([[True], base[1:] + runs["start"][1:] > far[:-1] + 1 + more]))
+    out = runs[first].copy()
+    out["last"] = (far[np.append(first[1:], len(runs)) - 1] & ((1 << 32) - 1)).astype(np.int32)
+    return out
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, shard_text: int = SHARD_TEXT, room: int = ROOM) -> DataFrame:
@@ -375,20 +427,17 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 out = _segments(row, chunk, codes, set(row["copies"] or ()), window, anchor, shards)
                 for at in range(0, len(out), 2000):
                     cols = zip(*out[at : at + 2000], strict=True)
-                    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "bytes", "chunk", "text", "start", "doc", "hot"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], [c.split()[0] for c in _SEGMENT.split(", ")])
 
     segments = written(chunks.select("chunk", "docs", "sizes", "blob", "places").join(told, "chunk").mapInArrow(cut_out, _SEGMENT))
-    # Equal parts of hot windows are one, with their smallest document; a group of copies is settled before the shuffle.
-    parts = segments.filter("hot IS NOT NULL").groupBy("shard", "hot", "bytes").agg(F.min("doc").alias("doc")).select("shard", "bytes", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("int").alias("text"), F.lit(0).alias("start"), "doc", "hot")
-    sorted_ = segments.filter("hot IS NULL").unionByName(parts).repartitionById(shards, F.col("shard"))
-    windows = materialise(sorted_.mapInArrow(lambda b: _sort_shard(b, window, room), _WINDOWS))
-    owned = windows.filter("hot IS NOT NULL").groupBy("hot", "start").agg(F.min("owner").alias("owner")).groupBy("hot").agg(F.collect_list(F.struct("start", "owner")).alias("owners"))
-    # Places of hot parts are joined by the parts' hashes; Spark splits the tasks of those that very many texts have.
-    seats = segments.filter("hot IS NOT NULL").select("hot", "chunk", "text", "start", "doc")
-    later = seats.join(owned, "hot").select("chunk", "text", F.col("start").alias("at"), "doc", F.explode("owners").alias("o")).filter("doc IS NULL OR o.owner < doc")
-    gone = windows.filter("hot IS NULL").select("chunk", "text", "start", "last").unionByName(later.select("chunk", "text", (F.col("at") + F.col("o.start")).cast("int").alias("start"), (F.col("at") + F.col("o.start")).cast("int").alias("last")))
-    gone = gone.groupBy("chunk").agg(F.collect_list(F.struct("text", "start", "last")).alias("gone"))
+    # Equal parts of hot windows are one, with their smallest document; copies are settled before the shuffle.
+    hot_parts = segments.filter("hot IS NOT NULL")
+    parts = hot_parts.groupBy("shard", "hot", "bytes").agg(F.min("doc").alias("doc")).select("shard", "bytes", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("int").alias("text"), F.lit(0).alias("start"), "doc", "hot")
+    plain = segments.filter("hot IS NULL").drop("seats").unionByName(parts).repartitionById(shards, F.col("shard"))
+    windows = materialise(plain.mapInArrow(lambda b: _sort_shard(b, window, room), _WINDOWS))
+    # Places of hot parts are joined by the parts' hashes; Spark splits the tasks of those that very many chunks have.
+    later = hot_parts.select("hot", "chunk", "seats").join(windows.filter("hot IS NOT NULL").select("hot", "told"), "hot").mapInArrow(_later, "chunk long, told binary")
+    gone = windows.filter("chunk IS NOT NULL").select("chunk", "told").unionByName(later).groupBy("chunk").agg(F.collect_list("told").alias("gone"))
     final = chunks.select("chunk", "docs", "sizes", "shas", "blob").join(gone, "chunk", "left").join(copies, "chunk", "left")
     return final.mapInArrow(lambda b: _cut(b, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
 
@@ -398,20 +447,16 @@ def _cut(batches, window: int):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
     for batch in batches:
         for row in batch.to_pylist():
-            runs: dict[int, list] = {t: [(0, n - window)] for t in row["copies"] or () for n in [row["sizes"][t]]}
-            for x in row["gone"] or ():
-                runs.setdefault(x["text"], []).append((x["start"], x["last"]))
+            whole = np.array([(t, 0, row["sizes"][t] - window) for t in row["copies"] or ()], _RUN)
+            runs: dict[int, list] = {}
+            for t, a, b in _merged(np.concatenate([whole, *[np.frombuffer(x, _RUN) for x in row["gone"] or ()]]), window - 1).tolist():
+                runs.setdefault(t, []).append((a, b + window))
             out, blob, begin = [], None, 0
             for t, (doc, size, sha) in enumerate(zip(row["docs"], row["sizes"], row["shas"], strict=True)):
                 if t in runs:
                     if blob is None:
                         blob = zstandard.decompress(row["blob"], max_output_size=sum(row["sizes"]) + 1)
-                    spans: list[list[int]] = []
-                    for a, b in sorted(runs[t]):
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], b + window)
-                        else:
-                            spans.append([a, b + window])
+                    spans = runs[t]
                     own, at, kept = blob[begin : begin + size], 0, []
                     for a, b in spans:
                         kept.append(own[at:a])
