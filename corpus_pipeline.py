@@ -22,6 +22,15 @@ from marquee.llm.quality_model import importance_resample
 BROADCAST_ROWS = 200_000
 #: Up to so many files, their numbers are broadcast.
 NUMBERED_FILES = 100_000
+#: Rows of an Arrow batch at most, as a batch of texts is held by the JVM outside of its heap and by Python again.
+ARROW_ROWS = 1_000
+
+
+def _lean(spark: SparkSession) -> None:
+    """Smaller Arrow batches in this session, for whoever runs what a stage returns."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, ARROW_ROWS)
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -57,6 +66,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     A null or empty text has weight 1 and stays; repeated rows stay or go alike; a null
     doc_id has no label.  An empty table gives none; columns of any name are kept.
     """
+    _lean(spark)
     rows, key = _numbered(docs)
     judged = importance_resample(rows, labels(spark, sf_dir), row_col=key)
     return _without(rows, key, judged.filter("NOT kept").select(F.col(key).alias("row")))
@@ -68,6 +78,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are equal to each other, so one of them stays; a null doc_id loses
     ties.  An empty table gives none; columns of any name are kept.
     """
+    _lean(spark)
     rows, key = _numbered(docs)
     return _without(rows, key, exact_dedup(rows, row_col=key).filter("NOT kept").select(F.col(key).alias("row")))
 
@@ -79,6 +90,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     none with one, and of repeated rows one stays.  Null and empty texts are linked with nothing and
     all stay.  An empty table gives none; columns of any name are kept.
     """
+    _lean(spark)
     rows, key = _numbered(docs)
     groups = near_duplicates(rows, id_col=key).select(F.col("doc_id").alias("row"), "component_id")
     ids = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
@@ -94,6 +106,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its source.  Repeated rows and null ids are drawn one by one; an empty table gives none; columns of any
     name are kept.
     """
+    _lean(spark)
     rows, key = _numbered(docs)
     return mix_documents(rows, row_col=key).drop(key)
 
@@ -104,6 +117,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end id alone; repeated rows and null ids are packed like any;
     an empty table gives none; further columns are left out, whatever their names.
     """
+    _lean(spark)
     return pack(docs)
 
 
