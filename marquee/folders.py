@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut from its lineage by a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _path(spark: SparkSession, folder: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -47,6 +54,51 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order; none if it does not exist."""
+    path, files = _path(spark, folder)
+    return sorted(x.getPath().getName() for x in files.listStatus(path)) if files.exists(path) else []
+
+
+def read_text(spark: SparkSession, file: str) -> str:
+    path, files = _path(spark, file)
+    stream = files.open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create(spark: SparkSession, file: str, text: str) -> bool:
+    """Writes a file that does not exist yet, whole or not at all; false if it exists, whoever made it.
+
+    The text is written under another name first.  That file is then linked (local files) or renamed to
+    its place, each of which fails where something is.
+    """
+    path, files = _path(spark, file)
+    jvm = spark.sparkContext._jvm
+    files.mkdirs(path.getParent())
+    draft = jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    try:
+        if files.getScheme() == "file":
+            place = lambda p: jvm.java.nio.file.Paths.get(files.makeQualified(p).toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+            try:
+                jvm.java.nio.file.Files.createLink(place(path), place(draft))
+            except Py4JJavaError as error:
+                if "FileAlreadyExistsException" in str(error.java_exception):
+                    return False
+                raise
+            return True
+        return not files.exists(path) and files.rename(draft, path)
+    finally:
+        files.delete(draft, False)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes all that this application has written to its part of the shared folder; results not yet read are lost."""
     delete_folder(spark, _root(spark))

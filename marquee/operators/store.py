@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from marquee.folders import exists
+from marquee.folders import checkpointed, create, delete_folder, names, read_text
 from marquee.functions.text import has, or_else
 from marquee.operators.listings import scan_month
 from marquee.schema import LISTING
@@ -48,53 +51,127 @@ def valid_upload(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(good), rows.filter(~good)
 
 
+class Conflict(RuntimeError):
+    """Other writers came first as often as a change was tried."""
+
+
 class Catalogue:
     """Versions of the stored table in a folder.
 
-    A write makes a new version and then one small pointer row, committed by Spark's
-    writer, so readers see the old or the new table and never a part.
+    Rows lie in buckets by their ids.  A version is a small file that names for each bucket the write that it is of, so
+    an upsert reads and writes the buckets of its ids alone; ``buckets`` is fixed by the first version
+    and should make a bucket a file or a few.  Version files are created only where none
+    is, so of two writers of one version the second finds out: it goes on from the newer version, and
+    starts again if that has other rows in what it read.  Readers see a whole version.  A version also carries
+    the last batch of each stream, so a batch that runs again changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, by_month: bool = False):
-        """``by_month`` lays the rows out by the month that their date text starts with, so that ``read_month`` reads that one alone."""
-        self.spark, self.folder, self.by_month = spark, folder, by_month
-
-    def _pointer(self) -> DataFrame:
-        return self.spark.read.schema("version string, at long").parquet(f"{self.folder}/versions")
-
-    def current(self) -> str | None:
-        if not exists(self.spark, f"{self.folder}/versions"):  # nothing written yet
-            return None
-        row = self._pointer().orderBy(F.desc("at")).first()
-        return row.version if row else None
-
-    def read(self) -> DataFrame:
-        version = self.current()
-        if version is None:
-            return self.spark.createDataFrame([], LISTING)
-        return self.spark.read.schema(LISTING).parquet(f"{self.folder}/{version}").select(*LISTING.names)
+    def __init__(self, spark: SparkSession, folder: str, by_month: bool = False, buckets: int = 16, tries: int = 20):
+        """``by_month`` lays the rows of a bucket out by the month that their date text starts with, so that ``read_month`` reads that one alone."""
+        self.spark, self.folder, self.by_month, self.buckets, self.tries = spark, folder, by_month, buckets, tries
+
+    def version(self) -> dict:
+        """The newest version: number, buckets, writes (bucket: write), streams (name: last batch)."""
+        found = names(self.spark, f"{self.folder}/versions")
+        if strange := [f for f in found if not re.fullmatch(r"[0-9]{20}[.]json|[.].*", f)]:
+            raise ValueError(f"no version: {strange[0]}")
+        numbers = [f for f in found if not f.startswith(".")]
+        if not numbers:
+            return {"number": 0, "buckets": self.buckets, "writes": {}, "streams": {}}
+        return json.loads(read_text(self.spark, f"{self.folder}/versions/{numbers[-1]}"))
+
+    def read(self, version: dict | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of a version, or of some of its buckets."""
+        return self._rows(version or self.version(), buckets).select(*LISTING.names)
+
+    def _rows(self, version: dict, buckets: list[int] | None = None) -> DataFrame:
+        held = version["writes"].items() if buckets is None else [(str(b), version["writes"][str(b)]) for b in buckets if str(b) in version["writes"]]
+        layout = [T.StructField("write", T.StringType()), T.StructField("bucket", T.IntegerType()), *([T.StructField("month", T.StringType())] if self.by_month else [])]
+        schema = T.StructType([*LISTING.fields, *layout])
+        if not held:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.folder}/data/write={w}/bucket={b}" for b, w in held]
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/data").parquet(*paths)
 
     def read_month(self, month: str) -> DataFrame:
         """Listings whose date text starts with ``yyyy-MM`` or ``yyyy.MM``."""
-        version = self.current()
-        if version is None or not self.by_month:
-            return scan_month(self.read(), month)
-        schema = T.StructType([*LISTING.fields, T.StructField("month", T.StringType())])
-        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{version}")
-        return scan_month(rows.filter(F.col("month") == month), month).drop("month")
-
-    def replace(self, listings: DataFrame) -> None:
-        before = self.current()
-        version = f"v-{uuid.uuid4().hex}"
-        rows = listings.select(*LISTING.names)
+        rows = self._rows(self.version())
+        return scan_month(rows.filter(F.col("month") == month) if self.by_month else rows, month).select(*LISTING.names)
+
+    def find(self, ids: list[str]) -> DataFrame:
+        """Rows with some ids: only their buckets are read."""
+        version = self.version()
+        wanted = self.spark.createDataFrame([(i,) for i in ids], "id string")
+        own = [r[0] for r in wanted.select(self._bucket(version["buckets"])).distinct().collect()]
+        return self.read(version, own).filter(F.col("id").isin(ids))
+
+    @staticmethod
+    def _bucket(buckets: int):
+        return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def _write(self, rows: DataFrame, buckets: int) -> dict:
+        """Rows as a new write: its name by bucket."""
+        write = uuid.uuid4().hex
+        rows = rows.select(*LISTING.names).withColumn("bucket", self._bucket(buckets))
+        layout = ["bucket"]
         if self.by_month:
             month = F.regexp_extract("date", "^([0-9]{4})[-.]([0-9]{2})", 1), F.regexp_extract("date", "^([0-9]{4})[-.]([0-9]{2})", 2)
-            rows = rows.withColumn("month", F.when(month[0] != "", F.concat_ws("-", *month)).otherwise("none"))
-            rows.write.partitionBy("month").parquet(f"{self.folder}/{version}")
-        else:
-            rows.write.parquet(f"{self.folder}/{version}")
-        at = 1 if before is None else self._pointer().agg(F.max("at")).first()[0] + 1
-        self.spark.createDataFrame([(version, at)], "version string, at long").coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
-
-    def upsert(self, incoming: DataFrame, ord_column: str = "ord") -> None:
-        self.replace(upsert(self.read(), incoming, ord_column))
+            rows, layout = rows.withColumn("month", F.when(month[0] != "", F.concat_ws("-", *month)).otherwise("none")), ["bucket", "month"]
+        folder = f"{self.folder}/data/write={write}"
+        rows.repartition(buckets, "bucket").write.partitionBy(*layout).parquet(folder)
+        return {n.removeprefix("bucket="): write for n in names(self.spark, folder) if n.startswith("bucket=")}
+
+    def _publish(self, base: dict, writes: dict, streams: dict) -> bool:
+        made = {"number": base["number"] + 1, "buckets": base["buckets"], "writes": writes, "streams": base["streams"] | streams}
+        return create(self.spark, f"{self.folder}/versions/{made['number']:020d}.json", json.dumps(made))
+
+    def replace(self, listings: DataFrame) -> None:
+        """A version of these rows alone; whoever replaces last wins."""
+        writes = self._write(listings, self.version()["buckets"])
+        for _ in range(self.tries):
+            if self._publish(self.version(), writes, {}):
+                return
+        raise Conflict(f"{self.tries} tries")
+
+    def upsert(self, incoming: DataFrame, ord_column: str = "ord", batch: tuple[str, int] | None = None) -> None:
+        """Keep-last upsert.  With ``batch`` (name of a stream, number) it is done once, however often it is asked for."""
+        self.change(lambda _: incoming, ord_column, batch, blind=True)
+
+    def change(self, make: Callable[[DataFrame], DataFrame], ord_column: str = "ord", batch: tuple[str, int] | None = None, blind: bool = False) -> None:
+        """Upserts what ``make`` makes of the stored rows.
+
+        If another writer publishes meanwhile, it is made again of the newer rows; not so if it is ``blind`` to
+        them and the other writer has touched other buckets.
+        """
+        for _ in range(self.tries):
+            base = self.version()
+            if batch and base["streams"].get(batch[0], -1) >= batch[1]:
+                return
+            streams = {batch[0]: batch[1]} if batch else {}
+            new = with_defaults(keep_last(make(self.read(base)), ["id"], ord_column))
+            # Read twice, for its buckets and its rows, so it is cut from what made it.
+            new = checkpointed(new.select(*LISTING.names))
+            own = sorted(r[0] for r in new.select(self._bucket(base["buckets"])).distinct().collect())
+            kept = self.read(base, own).join(new.select("id"), "id", "left_anti")
+            writes = self._write(kept.unionByName(new), base["buckets"]) if own else {}
+            last = base
+            while not self._publish(last, last["writes"] | writes, streams):
+                last = self.version()
+                touched = not blind or any(last["writes"].get(str(b)) != base["writes"].get(str(b)) for b in own)
+                if touched or batch and last["streams"].get(batch[0], -1) >= batch[1]:
+                    for w in set(writes.values()):
+                        delete_folder(self.spark, f"{self.folder}/data/write={w}")
+                    break
+            else:
+                return
+        raise Conflict(f"{self.tries} tries")
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Deletes all but the last versions, and the writes that none of those names; not while others write or read older ones."""
+        files = [f for f in names(self.spark, f"{self.folder}/versions") if not f.startswith(".")]
+        for f in files[:-keep]:
+            delete_folder(self.spark, f"{self.folder}/versions/{f}")
+        named = {w for f in files[-keep:] for w in json.loads(read_text(self.spark, f"{self.folder}/versions/{f}"))["writes"].values()}
+        for n in names(self.spark, f"{self.folder}/data"):
+            if n.removeprefix("write=") not in named:
+                delete_folder(self.spark, f"{self.folder}/data/{n}")

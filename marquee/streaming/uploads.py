@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from marquee.functions.text import start_date
 from marquee.operators.merge import as_list, merge, stored_order
-from marquee.operators.store import Catalogue, valid_upload
+from marquee.operators.store import Catalogue, keep_last, valid_upload, with_defaults
 from marquee.schema import LISTING_JSON
 
 
@@ -19,25 +20,38 @@ def uploads(spark: SparkSession, folder: str, max_files: int | None = None) -> D
     return reader.json(folder).withColumnRenamed("updatedAt", "updated_at")
 
 
-def upsert_stream(source: DataFrame, catalogue: Catalogue, checkpoint: str, smart: bool = False, quarantine: str | None = None) -> StreamingQuery:
+def upsert_stream(source: DataFrame, catalogue: Catalogue, checkpoint: str, smart: bool = False, quarantine: str | None = None, mode: str = "upsert") -> StreamingQuery:
     """Runs through what has arrived.
 
-    ``smart`` merges each batch into the stored rows, which are the primary list in the order
+    ``smart`` merges each batch into the stored rows of its dates, which are the primary list in the order
     of their dates: a row that matches one only enriches it, and a row with a stored id that matches none
-    replaces that one.  Rows without id, title or date are written to ``quarantine``, a folder, if it is given.
+    replaces that one; rows that the merge leaves alone are not written.  ``mode`` "replace" makes each batch the
+    whole table.  Rows without id, title or date are written to ``quarantine``, a folder, if it is given.
+    A batch that ran before, as far as to its version, changes nothing when it runs again; its bad rows replace those of then.
     """
 
-    def one(batch: DataFrame, _: int) -> None:
+    def one(batch: DataFrame, number: int) -> None:
         good, bad = valid_upload(batch)
         if quarantine:
-            bad.write.mode("append").json(quarantine)
-        if smart:
-            good = as_list(merge(stored_order(catalogue.read()), good)).select(*good.columns)
-        catalogue.upsert(good)
+            bad.write.mode("overwrite").json(f"{quarantine}/batch={number}")
+        if mode == "replace":
+            catalogue.replace(with_defaults(keep_last(good, ["id"])))
+        elif smart:
+            catalogue.change(lambda stored: merged_upload(stored, good), batch=(checkpoint, number))
+        else:
+            catalogue.upsert(good, batch=(checkpoint, number))
 
     return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merged_upload(stored: DataFrame, good: DataFrame) -> DataFrame:
+    """What an upload changes: its new rows, and the stored rows that it enriches."""
+    days = good.select(start_date(F.col("date")).alias("day")).filter("day <> ''").distinct()
+    near = stored.join(days, start_date(F.col("date")) == F.col("day"), "left_semi")
+    merged = merge(stored_order(near), good).filter("action <> 'kept'")
+    return as_list(merged).select(*good.columns)
+
+
 def first_seen(source: DataFrame, keys: list[str], at: str, late: str = "1 day") -> DataFrame:
     """The first row of each key in a stream; the watermark bounds what is remembered."""
     return source.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
