@@ -1,9 +1,13 @@
 """Fuzzy matching and the ordered merge of listings.
 
 Every match needs equal, non-empty start dates, so the start date is an exact join key;
-city and title conditions stay as residual predicates.  The merge itself depends on the
-order of rows and on its own enrichments, so it runs as a scan of each start date's
-rows, of which only the compared columns become Python values.
+city and title conditions stay as residual predicates.  On a date with very many rows (``CROWDED``) the
+pairs come from an index of grams (``containment``) or from equal artists instead of from all pairs.
+
+The merge itself depends on the order of rows and on its own enrichments, so it runs as a scan of
+rows in order, of which only the compared columns become Python values.  What is scanned together is
+a start date, and on a crowded date a component: rows that can never match, whatever the merge makes of them, need
+not see each other.
 """
 
 from __future__ import annotations
@@ -13,9 +17,15 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marquee.folders import checkpointed
 from marquee.functions.text import BLANK_RANGES, NOISE_WORDS, has, normalize_title, start_date
+from marquee.operators.components import components
+from marquee.operators.containment import contained
 from marquee.schema import EMPTY_ARTISTS
 
+#: Rows of one start date from which on its pairs and its merge go by texts instead of by the date.
+CROWDED = 2_000
+
 
 def keyed(listings: DataFrame) -> DataFrame:
     """With start_date and norm_title, computed once for each row."""
@@ -35,10 +45,64 @@ def is_duplicate(a: str = "a", b: str = "b") -> Column:
     return _within(F.coalesce(x("city"), F.lit("")), F.coalesce(y("city"), F.lit(""))) & artists
 
 
-def duplicate_pairs(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+def duplicate_pairs(primary: DataFrame, secondary: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Aliased a (primary) and b (secondary) rows that are the same event."""
-    a, b = keyed(primary).filter("start_date <> ''").alias("a"), keyed(secondary).filter("start_date <> ''").alias("b")
-    return a.join(b, (F.col("a.start_date") == F.col("b.start_date")) & is_duplicate())
+    a, b = keyed(primary).filter("start_date <> ''"), keyed(secondary).filter("start_date <> ''")
+    days = _crowded(a.select("start_date").unionByName(b.select("start_date")), crowded)
+    if days is None:
+        return _pairs_by_day(a, b)
+    few = _pairs_by_day(a.join(days, "start_date", "left_anti"), b.join(days, "start_date", "left_anti"))
+    many = _pairs_by_text(a.join(days, "start_date", "left_semi"), b.join(days, "start_date", "left_semi"))
+    # A union has no aliases, so both sides pass through it as structs.
+    packed = [x.select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b")) for x in (few, many)]
+    return packed[0].unionByName(packed[1])
+
+
+def _crowded(days: DataFrame, least: int) -> DataFrame | None:
+    """The start dates (start_date) of so many rows; None if there are none.  At most rows / least dates are."""
+    found = days.groupBy("start_date").count().filter(F.col("count") >= least).select("start_date")
+    found = checkpointed(found)
+    return None if found.isEmpty() else found
+
+
+def _pairs_by_day(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.alias("a").join(b.alias("b"), (F.col("a.start_date") == F.col("b.start_date")) & is_duplicate())
+
+
+def _short() -> Column:
+    return F.length("norm_title") < 2
+
+
+def _pairs_by_text(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The same pairs by equal artists or, where one has no artist, by texts that contain each other.
+
+    Normalised titles meet normalised ones; raw titles meet raw ones of dates with a title too short to be normalised.
+    """
+    same_artist = F.col("a.artist") == F.col("b.artist")
+    same_day = F.col("a.start_date") == F.col("b.start_date")
+    by_artist = a.filter(has("artist")).alias("a").join(b.filter(has("artist")).alias("b"), same_day & same_artist & is_duplicate())
+    raw_days = a.filter(_short()).select("start_date").unionByName(b.filter(_short()).select("start_date")).distinct()
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        plain = rows.filter(~_short()).withColumns({"kind": F.lit("plain"), "text": F.col("norm_title")})
+        raw = rows.join(raw_days, "start_date", "left_semi").withColumns({"kind": F.lit("raw"), "text": F.col("title")})
+        return plain.unionByName(raw)
+
+    x, y = texts_of(a), texts_of(b)
+    found = contained(*[x.select("start_date", "kind", "text").unionByName(y.select("start_date", "kind", "text"))] * 2, ["start_date", "kind"])
+    either = found.select("start_date", "kind", F.col("needle").alias("ta"), F.col("hay").alias("tb")).unionByName(found.filter("needle <> hay").select("start_date", "kind", F.col("hay").alias("ta"), F.col("needle").alias("tb")))
+    kind = F.when((F.length("a.norm_title") < 2) | (F.length("b.norm_title") < 2), "raw").otherwise("plain")
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        near = x.alias("a").join(either.alias("t"), (F.col("a.start_date") == F.col("t.start_date")) & (F.col("a.kind") == F.col("t.kind")) & (F.col("a.text") == F.col("t.ta")))
+        on = (F.col("t.start_date") == F.col("b.start_date")) & (F.col("t.kind") == F.col("b.kind")) & (F.col("t.tb") == F.col("b.text"))
+        return near.join(y.alias("b"), on & (F.col("t.kind") == kind) & is_duplicate())
+
+    bare, with_artist = ~has("artist"), has("artist")
+    parts = [by_artist, meet(x.filter(bare), y), meet(x.filter(with_artist), y.filter(bare))]
+    columns = lambda side, rows: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in rows.columns]).alias(side)
+    out = [p.select(columns("a", a), columns("b", b)) for p in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def first_match(primary: DataFrame, secondary: DataFrame) -> DataFrame:
@@ -47,11 +111,17 @@ def first_match(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("b.id").alias("id")).agg(F.min_by("a.id", "a.ord").alias("match_id"))
 
 
-def new_rows(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Secondary rows that match no primary row."""
-    a, b = keyed(primary).filter("start_date <> ''").alias("a"), keyed(secondary).alias("b")
+def new_rows(primary: DataFrame, secondary: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """Secondary rows that match no primary row.  Needs ``ord`` in the secondary list, unique there, for crowded dates."""
+    a, b = keyed(primary).filter("start_date <> ''"), keyed(secondary)
     same = (F.col("a.start_date") == F.col("b.start_date")) & is_duplicate()
-    return b.join(a, same, "left_anti").drop("start_date", "norm_title")
+    days = _crowded(a.select("start_date").unionByName(b.filter("start_date <> ''").select("start_date")), crowded)
+    few = (b if days is None else b.join(days, "start_date", "left_anti")).alias("b").join(a.alias("a"), same, "left_anti").drop("start_date", "norm_title")
+    if days is None:
+        return few
+    many = b.join(days, "start_date", "left_semi")
+    hit = _pairs_by_text(a.join(days, "start_date", "left_semi"), many).select(F.col("b.ord").alias("ord")).distinct()
+    return few.unionByName(many.join(hit, "ord", "left_anti").select(*few.columns))
 
 
 def named(artist: Column) -> Column:
@@ -109,34 +179,34 @@ def scan_day(rows: list[dict]) -> None:
                 match["plain"] = plain_title(match["title"])
 
 
-def _decided(days: pa.Table) -> pa.Table:
-    rows = days.select(["start_date", "side", "title", "city", "artist"]).to_pylist()
+def _decided(rows_: pa.Table) -> pa.Table:
+    rows = rows_.select(["start_date", "scan", "side", "title", "city", "artist"]).to_pylist()
     first = 0
     for k in range(1, len(rows) + 1):
-        if k == len(rows) or rows[k]["start_date"] != rows[first]["start_date"]:
+        if k == len(rows) or rows[k]["scan"] != rows[first]["scan"]:
             if rows[first]["start_date"]:
                 scan_day(rows[first:k])
             else:
                 for row in rows[first:k]:
                     row["action"] = "new" if row["side"] else "kept"
             first = k
-    new = lambda c: [r[c] if r.get("changed") else old for r, old in zip(rows, days.column(c).to_pylist(), strict=True)]
+    new = lambda c: [r[c] if r.get("changed") else old for r, old in zip(rows, rows_.column(c).to_pylist(), strict=True)]
     for c in ("artist", "title"):
-        days = days.set_column(days.column_names.index(c), c, pa.array(new(c), pa.string()))
+        rows_ = rows_.set_column(rows_.column_names.index(c), c, pa.array(new(c), pa.string()))
     actions = [r["action"] + "+enriched" * ("changed" in r) for r in rows]
-    days = days.append_column("action", pa.array(actions, pa.string()))
-    return days.filter(pa.array([a != "absorbed" for a in actions])).drop_columns(["start_date"])
+    rows_ = rows_.append_column("action", pa.array(actions, pa.string()))
+    return rows_.filter(pa.array([a != "absorbed" for a in actions])).drop_columns(["start_date", "scan"])
 
 
 def _scan(batches):
-    """Days as they stream by in order; a day that goes on in the next batch waits for its end."""
+    """What is scanned together as it streams by in order; what goes on in the next batch waits for its end."""
     held = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = rows if held is None else pa.concat_tables([held, rows])
-        dates = rows.column("start_date").to_pylist()
-        cut = len(dates)
-        while cut and dates[-1] and dates[cut - 1] == dates[-1]:
+        scans = rows.column("scan").to_pylist()
+        cut = len(scans)
+        while cut and scans[-1] and scans[cut - 1] == scans[-1]:
             cut -= 1
         if cut:
             yield from _decided(rows.slice(0, cut)).to_batches()
@@ -145,21 +215,69 @@ def _scan(batches):
         yield from _decided(held).to_batches()
 
 
-def merge(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+def merge(primary: DataFrame, secondary: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """The primary list with the secondary rows that are new, in order (side, ord), and ``action``.
 
     Rows need ``ord``, unique in each list.  Undated rows match nothing and are all kept; they
-    are dealt by ``ord``.  One shuffle brings each start date together; its rows stream by
-    sorted, and only one date's are held.
+    are dealt by ``ord``.  One shuffle brings each start date together, or each component of a crowded one; its rows stream by
+    sorted, and only one date's or component's are held.
     """
     both = primary.withColumn("side", F.lit(0)).unionByName(secondary.withColumn("side", F.lit(1)))
     both = both.withColumn("start_date", start_date(F.col("date")))
-    key = F.when(F.col("start_date") == "", F.col("ord").cast("string")).otherwise(F.col("start_date"))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name != "start_date")
-    sorted_ = both.repartition(key).sortWithinPartitions("start_date", "side", "ord")
+    days = _crowded(both.filter("start_date <> ''").select("start_date"), crowded)
+    both = both.withColumn("scan", F.col("start_date")) if days is None else _by_component(both, days)
+    key = F.when(F.col("start_date") == "", F.col("ord").cast("string")).otherwise(F.col("scan"))
+    sorted_ = both.repartition(key).sortWithinPartitions("scan", "side", "ord")
     return sorted_.mapInArrow(_scan, f"{columns}, action string")
 
 
+def _by_component(both: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows with ``scan``: their start date, and on crowded dates also the component of what they may ever match.
+
+    A row changes in the merge by an artist that it takes from a row that matches it, and then also by
+    its raw title, which becomes that artist in brackets and the title without its first brackets.  Its city and its
+    normalised title stay.  So these cover all matches to come, cities aside:
+    rows of one artist; normalised titles that contain each other; and for titles too short to be normalised, raw titles and those without
+    brackets that contain each other, and the artists that such a title may meet in the brackets of an enriched one.
+    """
+    rows = both.join(days, "start_date", "left_semi").select("start_date", "title", normalize_title(F.col("title")).alias("norm_title"), F.coalesce("artist", F.lit("")).alias("artist")).distinct()
+    own = F.when(_short(), F.concat(F.lit("raw "), "title")).otherwise(F.concat(F.lit("plain "), "norm_title"))
+    node = lambda text: F.xxhash64("start_date", text)
+    rows = checkpointed(rows.withColumns({"own": node(own), "bare": F.regexp_replace("title", "^【.*?】", "")}))
+    plain = rows.filter(~_short()).select("start_date", "own", F.lit("plain").alias("kind"), F.col("norm_title").alias("text"))
+    short = rows.filter(_short())
+    raw_days = short.select("start_date").distinct()
+    raw = rows.join(raw_days, "start_date", "left_semi")
+    raw = raw.select("start_date", "own", F.explode(F.array_distinct(F.array("title", "bare"))).alias("text")).withColumn("kind", F.lit("raw"))
+    held = plain.unionByName(raw.select(plain.columns))
+    named_ = held.select("start_date", "kind", "text").distinct()
+    # Of raw titles only the short ones' matter, on either side.
+    scarce = short.select("start_date", F.lit("raw").alias("kind"), F.explode(F.array_distinct(F.array("title", "bare"))).alias("text")).distinct()
+    keys = ["start_date", "kind"]
+    plain_named = named_.filter("kind = 'plain'")
+    inside = contained(plain_named, plain_named, keys).unionByName(contained(scarce, named_, keys)).unionByName(contained(named_.filter("kind = 'raw'"), scarce, keys))
+    of = held.select("start_date", "kind", "text", "own").distinct()
+    ends = inside.join(of.withColumnRenamed("text", "needle").withColumnRenamed("own", "a"), [*keys, "needle"]).join(of.withColumnRenamed("text", "hay").withColumnRenamed("own", "b"), [*keys, "hay"]).select("a", "b")
+    artist = lambda c: node(F.concat(F.lit("artist "), c))
+    by_artist = rows.filter(has("artist")).select(F.col("own").alias("a"), artist(F.col("artist")).alias("b"))
+    # A short title within 【P】, or one that begins with an end of 【P and goes on behind it.
+    brackets = rows.filter(has("artist")).select("start_date", F.concat(F.lit("【"), "artist", F.lit("】")).alias("text")).distinct()
+    part = F.explode(F.array_distinct(F.array("title", F.concat(F.substring_index("title", "】", 1), F.lit("】")))))
+    asked = short.select("start_date", "own", "title", part.alias("text"))
+    asked = asked.filter((F.col("text") == F.col("title")) | F.contains("title", F.lit("】")))
+    hits = contained(asked, brackets, ["start_date"]).withColumnRenamed("needle", "text").join(asked.select("start_date", "text", "own").distinct(), ["start_date", "text"])
+    in_brackets = hits.select(F.col("own").alias("a"), artist(F.substring("hay", F.lit(2), F.length("hay") - 2)).alias("b"))
+    # An artist with brackets in the name leaves no rule, so all short titles of its date go with it.
+    odd = rows.filter(F.contains("artist", F.lit("】"))).select("start_date", artist(F.col("artist")).alias("b")).distinct().join(short.select("start_date", F.col("own").alias("a")), "start_date").select("a", "b")
+    found = components(ends.unionByName(by_artist).unionByName(in_brackets).unionByName(odd))
+    norm = normalize_title(F.col("title"))
+    kept = F.when(F.length(norm) < 2, F.concat(F.lit("raw "), "title")).otherwise(F.concat(F.lit("plain "), norm))
+    crowded = both.join(days, "start_date", "left_semi").withColumn("node", node(kept))
+    crowded = crowded.join(found, "node", "left").withColumn("scan", F.concat_ws(" ", "start_date", F.coalesce("component", "node").cast("string"))).drop("node", "component")
+    return both.join(days, "start_date", "left_anti").withColumn("scan", F.col("start_date")).unionByName(crowded.select(*both.columns, "scan"))
+
+
 def as_list(merged: DataFrame) -> DataFrame:
     """A merged list as an input of the next merge: places become one order."""
     return merged.withColumn("ord", F.col("side").cast("long") * F.lit(1 << 60) + F.col("ord")).drop("side", "action")

@@ -103,3 +103,49 @@ def test_counts_on_the_order_tables(spark):
     assert m.summary(ab, a.count()).first()[:3] == (4743, 19, 9743)
     combined = ab.withColumn("ord", F.col("side").cast("long") * F.lit(1 << 52) + F.col("ord")).drop("side", "action")
     assert m.summary(m.merge(combined, c), ab.count()).first()[:3] == (4567, 34, 14310)
+
+
+TITLES = ["Alpha", "alpha tour", "Beta 2026", "【Q】Beta", "x", "Gamma", "【P】x", "】x", "P】", "【P】", "LIVE 2026", "P", "【旧】Alphabet", "Q】Beta", "ga", "Gam", "【P】Live", "阿", ""]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_equal_a_scan_of_whole_lists(spark, seed):
+    """Crowded dates, with titles that only brackets or enriched titles connect."""
+    r = random.Random(seed)
+    make = lambda n: [dict(title=r.choice(TITLES), artist=r.choice(["", "", "", "P", "Q", "Unknown", "群星", "Be】x"] if seed else ["", "P"]), city=r.choice(["上海", "上海市", "北京", ""]), date=r.choice([DAY, "2026-05-01 周五", "2026.05.02", "TBD"])) for _ in range(n)]
+    a, b = make(12), make(45)
+    out = m.merge(frame(spark, a), frame(spark, b), crowded=3).orderBy("side", "ord").collect()
+    assert [(x.title, x.artist) for x in out] == plain(a, b)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pairs_of_crowded_dates(spark, seed):
+    r = random.Random(seed)
+    make = lambda n: frame(spark, [dict(title=r.choice(TITLES), artist=r.choice(["", "", "P", "Q", "Unknown"]), city=r.choice(["上海", "上海市", "北京", ""]), date=r.choice([DAY, "2026.05.02", "2026.05.03", "TBD"])) for _ in range(n)])
+    a, b = make(40), make(40)
+    ids = lambda crowded: sorted((x.a, x.b) for x in m.duplicate_pairs(a, b, crowded).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b")).collect())
+    assert ids(15) == ids(10**9) == ids(1) and len(ids(1)) > 50
+    news = lambda crowded: sorted(x.ord for x in m.new_rows(a, b, crowded).collect())
+    assert news(1) == news(10**9)
+
+
+def test_needles_meet_few_hays(spark):
+    from marquee.operators import containment
+
+    words = [f"{a}{b}show" for a in "abcdefghijklmnop" for b in "abcdefghijklmnopqrstuvwxyz"]
+    hays = spark.createDataFrame([("d", w) for w in words], "day string, text string")
+    needles = spark.createDataFrame([("d", w) for w in ("abs", "zz", "p", "", "acshow", "acshows")], "day string, text string")
+    got = sorted((x.needle, x.hay) for x in containment.contained(needles, hays, ["day"]).collect())
+    assert got == sorted((n, w) for n in ("abs", "zz", "p", "", "acshow", "acshows") for w in words if n in w)
+    rows = containment.contained(hays, hays, ["day"])
+    assert rows.count() == len(words)
+
+
+def test_a_crowded_date_spreads(spark):
+    """Four thousand rows of one date in two thousand scans, with the rows of the scan of the whole date."""
+    a = spark.range(2000).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("show "), F.md5(F.col("id").cast("string"))).alias("title"), F.lit(DAY).alias("date"), F.lit("").alias("city"), F.lit("").alias("artist"), F.col("id").alias("ord"))
+    b = a.withColumn("id", F.concat(F.lit("b"), "id")).withColumn("artist", F.when(F.col("ord") % 3 == 0, F.concat(F.lit("P"), F.col("ord").cast("string"))).otherwise(""))
+    whole, parts = (m.merge(a, b, n) for n in (10**9, 1000))
+    assert parts.exceptAll(whole).isEmpty() and whole.exceptAll(parts).isEmpty() and parts.count() == 2000
+    both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).withColumn("start_date", F.lit(DAY))
+    assert m._by_component(both, spark.createDataFrame([(DAY,)], "start_date string")).select("scan").distinct().count() == 2000
