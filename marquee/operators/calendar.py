@@ -40,6 +40,19 @@ def week(spark: SparkSession, day: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(first, F.date_add(first, 6))).alias("day"))
 
 
+def weeks(days: DataFrame) -> DataFrame:
+    """week (its Monday), day for the seven days of each week that has any of ``days`` (day)."""
+    mondays = days.select(dates.monday(F.col("day")).alias("week")).distinct()
+    return mondays.select("week", F.explode(F.sequence(F.col("week"), F.date_add("week", 6))).alias("day"))
+
+
+def month_grids(days: DataFrame) -> DataFrame:
+    """month (its first day), day, off_range for the whole weeks around each month that has any of ``days`` (day)."""
+    months = days.select(F.trunc("day", "month").alias("month")).distinct()
+    view = F.sequence(dates.monday(F.col("month")), F.date_add(dates.monday(F.last_day("month")), 6))
+    return months.select("month", F.explode(view).alias("day")).withColumn("off_range", F.trunc("day", "month") != F.col("month"))
+
+
 def active_hours(events_: DataFrame, days: DataFrame) -> DataFrame:
     """Hours in which an event of these days starts."""
     here = events_.join(F.broadcast(days), F.to_date("start") == F.col("day"), "left_semi")  # a view has 1 to 42 days

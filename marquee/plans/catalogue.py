@@ -12,8 +12,9 @@ from marquee.functions import dates, text
 from marquee.operators import calendar, classify, control, listings as ops, merge, store
 from marquee.plans.listings_view import LISTINGS_SQL, listings
 from marquee.schema import CITY_BLACKLIST, EMPTY_ARTISTS, NOISE_TAGS, PAGE_B, PAGE_C, STATUS, TRIBUTE_WORDS, WEEKDAYS
-from marquee.sources import landing, status
-from marquee.streaming.uploads import uploads, upsert_stream
+from marquee.sources import landing, paging, status
+from marquee.streaming.transitions import transition_stream
+from marquee.streaming.uploads import first_seen, uploads, upsert_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -213,9 +214,11 @@ def facet_filter(spark, sf_dir):
     return listings(spark, sf_dir).filter(ops.facet("NATION_1", "BUILDING", "Tour")).select("id", "city", "artist")
 
 
-@query("SELECT code, name FROM (VALUES ('CN', 'a'), ('HK', 'b'), (NULL, 'c'), ('', 'd')) t(code, name) WHERE code IS DISTINCT FROM 'CN'", view=False)
+@query("SELECT c_custkey, code FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'CN' WHEN 1 THEN 'HK' WHEN 2 THEN '' END AS code FROM customer) WHERE code IS DISTINCT FROM 'CN'", view=False)
 def filter_not_equal_nullsafe(spark, sf_dir):
-    return values(spark, "('CN', 'a'), ('HK', 'b'), (NULL, 'c'), ('', 'd') AS t(code, name)").filter(~F.col("code").eqNullSafe("CN"))
+    k = F.col("c_custkey") % 4
+    code = F.when(k == 0, "CN").when(k == 1, "HK").when(k == 2, "")
+    return table(spark, sf_dir, "customer").select("c_custkey", code.alias("code")).filter(~F.col("code").eqNullSafe("CN"))
 
 
 _SPOTS = "SELECT id, CASE ord % 4 WHEN 0 THEN city || '伦敦' WHEN 1 THEN '迪拜' ELSE city END AS city FROM L"
@@ -323,20 +326,20 @@ def replace_mode(spark, sf_dir):
 
 
 @query(
-    """SELECT step, status, progress, total, current, message, "lastUpdated", success, new_rows FROM (VALUES
-      (0, 'idle', 0, 0, 0, '', CAST(1000 AS BIGINT), CAST(NULL AS BOOLEAN), -1),
-      (1, 'completed', 100, 0, 0, 'done', CAST(2000 AS BIGINT), true, 6),
-      (2, 'completed', 30, 0, 7, 'done', CAST(3000 AS BIGINT), true, 6),
-      (3, 'running', 0, 0, 0, 'start', CAST(4000 AS BIGINT), NULL, -1)) t(step, status, progress, total, current, message, "lastUpdated", success, new_rows)""",
-    view=False,
+    """, C AS (SELECT CAST(count(*) FILTER (WHERE src = 1) AS INTEGER) AS new, CAST(count(*) FILTER (WHERE src = 2) AS INTEGER) AS third FROM L)
+SELECT CAST(0 AS INTEGER) AS step, 'idle' AS status, 0 AS progress, 0 AS total, 0 AS current, '' AS message, CAST(1000 AS BIGINT) AS "lastUpdated", CAST(NULL AS BOOLEAN) AS success, -1 AS new_rows
+UNION ALL SELECT 1, 'completed', 100, 0, 0, 'done', 2000, true, new FROM C
+UNION ALL SELECT 2, 'completed', 30, 0, third, 'done', 3000, true, new FROM C
+UNION ALL SELECT 3, 'running', 0, 0, 0, 'start', 4000, NULL, -1"""
 )
 def status_merge(spark, sf_dir):
     """The default where no document is, a patch with a nested result, one without (which keeps it), and one that clears it."""
     result = "result struct<success boolean, totalNew int, totalCombined int, message string, timedOutSources array<string>, failedSources array<string>>"
     folder = scratch(spark, "status")
+    n = listings(spark, sf_dir).agg(F.count(F.lit(1)), F.count_if(F.col("src") == 1), F.count_if(F.col("src") == 2)).first()
     patches = [
-        spark.createDataFrame([("completed", 100, "done", (True, 6, 1242, None, None, None))], f"status string, progress int, message string, {result}"),
-        spark.createDataFrame([(30, 7)], "progress int, current int"),
+        spark.createDataFrame([("completed", 100, "done", (True, n[1], n[0], None, None, None))], f"status string, progress int, message string, {result}"),
+        spark.createDataFrame([(30, n[2])], "progress int, current int"),
         spark.createDataFrame([("running", 0, 0, "start", None)], f"status string, progress int, current int, message string, {result}"),
     ]
     seen = [status.read_status(spark, folder, 1000)]
@@ -574,6 +577,52 @@ def _city_bodies(spark, sf_dir, name):
     return bodies.withColumn("hotCity", F.col("hotCities"))
 
 
+_PAGES = """P AS (
+  SELECT o_custkey % 40 AS city, CAST(1 + o_orderkey // 4 % 60 AS INTEGER) AS page, list(CAST(o_orderkey % 700 AS VARCHAR)) AS ids, count(*) AS n FROM orders GROUP BY ALL),
+R AS (
+  SELECT city, page, (city + page) % 5 > 0 AND (city * 7 + page // 4) % 6 > 0 AS ok, CASE WHEN (city + page * page) % 4 = 0 THEN [] ELSE ids END AS ids, city % 13 = 5 AND page = 3 AS cancelled, city * 9 AS total FROM P)"""
+
+
+def _pages(spark, sf_dir):
+    """Orders as pages of cities: some fail, some are empty, and some cities are cancelled."""
+    k, city, page = F.col("o_orderkey"), F.col("city"), F.col("page")
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("city"), (1 + F.floor(k / 4) % 60).cast("int").alias("page"), (k % 700).cast("string").alias("id"))
+    pages = rows.groupBy("city", "page").agg(F.collect_list("id").alias("ids"))
+    none = F.array().cast("array<string>")
+    return pages.select(
+        "city", "page", (((city + page) % 5 > 0) & ((city * 7 + F.floor(page / 4)) % 6 > 0)).alias("ok"), F.when((city + page * page) % 4 == 0, none).otherwise(F.col("ids")).alias("ids"), ((city % 13 == 5) & (page == 3)).alias("cancelled"), (city * 9).alias("total")
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {_PAGES},
+K AS (
+  SELECT city, 0 AS page, CAST([] AS VARCHAR[]) AS seen, CAST([] AS VARCHAR[]) AS ids, 0 AS empties, 0 AS failures, false AS over, false AS dead FROM R GROUP BY city
+  UNION ALL
+  SELECT K.city, R.page, CASE WHEN ok THEN list_distinct(K.seen || R.ids) ELSE K.seen END, CASE WHEN ok THEN list_filter(list_distinct(R.ids), lambda x: NOT list_contains(K.seen, x)) ELSE [] END,
+    CASE WHEN NOT ok THEN K.empties WHEN len(R.ids) = 0 THEN K.empties + 1 ELSE 0 END, CASE WHEN ok THEN 0 ELSE K.failures + 1 END,
+    CASE WHEN NOT ok THEN K.failures = 2 WHEN len(R.ids) = 0 THEN K.empties = 1 ELSE len(R.ids) < 3 OR len(list_filter(R.ids, lambda x: NOT list_contains(K.seen, x))) = 0 END, K.dead OR R.cancelled
+  FROM K JOIN R ON R.city = K.city AND R.page = K.page + 1 WHERE NOT K.over AND K.page < 50)
+SELECT city, page, id FROM (SELECT city, page, unnest(ids) AS id FROM K WHERE city NOT IN (SELECT city FROM K WHERE dead))""",
+    view=False,
+)
+def paging_rules_a(spark, sf_dir):
+    return paging.pages_a(_pages(spark, sf_dir), size=3)
+
+
+@query(
+    f"""WITH RECURSIVE {_PAGES},
+K AS (
+  SELECT city, 0 AS page, CAST([] AS VARCHAR[]) AS ids, false AS over FROM R GROUP BY city
+  UNION ALL
+  SELECT K.city, R.page, CASE WHEN ok THEN R.ids ELSE [] END, NOT ok OR len(R.ids) = 0 OR R.page * 10 >= R.total FROM K JOIN R ON R.city = K.city AND R.page = K.page + 1 WHERE NOT K.over AND K.page < 20)
+SELECT city, page, unnest(ids) AS id FROM K""",
+    view=False,
+)
+def paging_rules_total(spark, sf_dir):
+    return paging.pages_total(_pages(spark, sf_dir))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", view=False)
 def jsonp_parse(spark, sf_dir):
     body = F.concat(F.lit(" cb("), "props", F.lit(");"))
@@ -594,6 +643,20 @@ def dup_pairs(spark, sf_dir):
     return merge.duplicate_pairs(a, b).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
 
+@query(PAIRS_SQL + "SELECT id_a, id_b FROM PAIRS")
+def dup_pairs_by_text(spark, sf_dir):
+    """The pairs as crowded dates find them: by artists and by grams of titles."""
+    a, b, _ = _sources(spark, sf_dir)
+    return merge.duplicate_pairs(a, b, crowded=1).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+
+
+@query(MERGE_SQL + "SELECT id, title, artist, side, ord, action FROM M1", view=False)
+def merge_by_component(spark, sf_dir):
+    """The merge as crowded dates do it."""
+    a, b, _ = _sources(spark, sf_dir)
+    return merge.merge(a, b, crowded=1).select("id", "title", "artist", "side", "ord", "action")
+
+
 @query(PAIRS_SQL + "SELECT id_b AS id, arg_min(id_a, ord_a) AS match_id FROM PAIRS GROUP BY id_b")
 def first_match(spark, sf_dir):
     a, b, _ = _sources(spark, sf_dir)
@@ -683,9 +746,16 @@ def calendar_grid(spark, sf_dir):
 _MONTH = "(SELECT CAST(range AS DATE) AS day FROM range(TIMESTAMP '1996-02-26', TIMESTAMP '1996-04-01', INTERVAL 1 DAY))"
 
 
-@query(f"SELECT strftime(day, '%Y-%m-%d') AS day, month(day) <> 3 OR year(day) <> 1996 AS off_range FROM {_MONTH}", view=False)
+@query(
+    """SELECT strftime(m, '%Y-%m') AS month, strftime(day, '%Y-%m-%d') AS day, date_trunc('month', day) <> m AS off_range
+      FROM (SELECT m, unnest(range(date_trunc('week', m), date_trunc('week', last_day(m)) + INTERVAL 7 DAY, INTERVAL 1 DAY)) AS day
+        FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m FROM orders))""",
+    view=False,
+)
 def month_grid(spark, sf_dir):
-    return calendar.month_grid(spark, WEEK_OF).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    """The grids of all months in which there are orders."""
+    grids = calendar.month_grids(table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")))
+    return grids.select(F.date_format("month", "yyyy-MM").alias("month"), F.date_format("day", "yyyy-MM-dd").alias("day"), "off_range")
 
 
 @query(EVENTS_SQL + f"SELECT strftime(m.day, '%Y-%m-%d') AS day, m.day IN (SELECT CAST(start AS DATE) FROM E) AS has_event FROM {_MONTH} m")
@@ -698,7 +768,8 @@ def month_has_event(spark, sf_dir):
     return calendar.month_flags(spark, _events(spark, sf_dir), 1996)
 
 
-_YEAR = "(SELECT CAST(range AS DATE) AS day FROM range(TIMESTAMP '2026-01-01', TIMESTAMP '2027-01-01', INTERVAL 1 DAY))"
+#: The days of orders, moved to 2026.
+_YEAR = "(SELECT DISTINCT CAST(o_orderdate + to_months(CAST(12 * (2026 - year(o_orderdate)) AS INTEGER)) AS DATE) AS day FROM orders)"
 
 
 def _special_sql() -> str:
@@ -708,23 +779,24 @@ def _special_sql() -> str:
     return f"SELECT y.day, h.type, h.name FROM {_YEAR} y LEFT JOIN (VALUES {rows}) h(a, b, type, name) ON y.day BETWEEN CAST(a AS DATE) AND CAST(b AS DATE)"
 
 
-def _year(spark):
-    return spark.sql("SELECT explode(sequence(DATE '2026-01-01', DATE '2026-12-31')) AS day")
+def _year(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").select(F.add_months(day, 12 * (2026 - F.year(day))).alias("day")).distinct()
 
 
 @query(f"SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(type, CASE WHEN dayofweek(day) IN (0, 6) THEN 'holiday' ELSE 'workday' END) AS type, name, type IS NOT NULL AS is_special FROM ({_special_sql()})", view=False)
 def holiday_status(spark, sf_dir):
-    return calendar.day_status(_year(spark), calendar.holidays(spark)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return calendar.day_status(_year(spark, sf_dir), calendar.holidays(spark)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(f"SELECT strftime(day, '%Y-%m-%d') AS day, type, coalesce(name, '') AS name FROM ({_special_sql()}) WHERE type IS NOT NULL", view=False)
 def holiday_info(spark, sf_dir):
-    return calendar.day_status(_year(spark), calendar.holidays(spark)).filter("is_special").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "type", F.coalesce("name", F.lit("")).alias("name"))
+    return calendar.day_status(_year(spark, sf_dir), calendar.holidays(spark)).filter("is_special").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "type", F.coalesce("name", F.lit("")).alias("name"))
 
 
-@query(f"SELECT strftime(day, '%Y-%m-%d') AS day FROM {_WEEK}", view=False)
+@query(f"SELECT strftime(w, '%Y-%m-%d') AS week, strftime(w + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS day FROM (SELECT DISTINCT date_trunc('week', day) AS w FROM {_YEAR}), range(7) t(i)", view=False)
 def week_days(spark, sf_dir):
-    return calendar.week(spark, WEEK_OF).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return calendar.weeks(_year(spark, sf_dir)).select(F.date_format("week", "yyyy-MM-dd").alias("week"), F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 @query(
@@ -733,7 +805,7 @@ def week_days(spark, sf_dir):
     view=False,
 )
 def date_labels(spark, sf_dir):
-    return _year(spark).select(F.date_format("day", "yyyy-MM-dd").alias("day"), dates.long_label(F.col("day")).alias("label"), F.date_format("day", "yyyy年MM月dd日").alias("padded"), F.date_format("day", "yyyy-MM").alias("month"))
+    return _year(spark, sf_dir).select(F.date_format("day", "yyyy-MM-dd").alias("day"), dates.long_label(F.col("day")).alias("label"), F.date_format("day", "yyyy年MM月dd日").alias("padded"), F.date_format("day", "yyyy-MM").alias("month"))
 
 
 _f = lambda e, n: f"strftime({e}, '%Y-%m-%d') AS {n}"
@@ -744,22 +816,25 @@ _f = lambda e, n: f"strftime({e}, '%Y-%m-%d') AS {n}"
     view=False,
 )
 def calendar_nav(spark, sf_dir):
-    moved = calendar.navigation(_year(spark).withColumn("month_index", F.lit(1)))
+    moved = calendar.navigation(_year(spark, sf_dir).withColumn("month_index", F.lit(1)))
     return moved.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) for c in moved.columns])
 
 
 # --- control ---------------------------------------------------------------------------------------
 
-_JOBS = "('running', 240000), ('running', 360000), ('completed', 3600000), ('completed', 18000000), ('error', 1000)"
+_JOBS = "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'error' END AS status, CAST(floor(o_totalprice) AS BIGINT) * CASE WHEN o_orderstatus = 'O' THEN 3 ELSE 100 END AS age_ms FROM orders"
 
 
 @query(
-    f"""SELECT status, age_ms, CASE WHEN status = 'running' AND age_ms <= 300000 THEN 'conflict' WHEN status = 'completed' AND age_ms < 14400000 THEN 'skip' ELSE 'run' END AS decision,
-      CAST(CASE WHEN status = 'completed' AND age_ms < 14400000 THEN ceil((14400000 - age_ms) / 60000.0) ELSE 0 END AS BIGINT) AS minutes_left FROM (VALUES {_JOBS}) t(status, age_ms)""",
+    f"""SELECT o_orderkey, status, age_ms, CASE WHEN status = 'running' AND age_ms <= 300000 THEN 'conflict' WHEN status = 'completed' AND age_ms < 14400000 THEN 'skip' ELSE 'run' END AS decision,
+      CAST(CASE WHEN status = 'completed' AND age_ms < 14400000 THEN ceil((14400000 - age_ms) / 60000.0) ELSE 0 END AS BIGINT) AS minutes_left FROM ({_JOBS})""",
     view=False,
 )
 def sync_gate(spark, sf_dir):
-    return control.gate(values(spark, f"{_JOBS} AS t(status, age_ms)"))
+    """Orders as runs of a job: open ones run, filled ones are completed, and the price tells how long since."""
+    running, done = F.col("o_orderstatus") == "O", F.col("o_orderstatus") == "F"
+    age = F.floor("o_totalprice").cast("long") * F.when(running, 3).otherwise(100)
+    return control.gate(table(spark, sf_dir, "orders").select("o_orderkey", F.when(running, "running").when(done, "completed").otherwise("error").alias("status"), age.alias("age_ms")))
 
 
 @query("SELECT ord, CAST(floor((ord % 101) * 0.55::DOUBLE + (ord % 71) * 0.25::DOUBLE + (ord % 51) * 0.2::DOUBLE) AS BIGINT) AS total, CAST(floor((ord % 101) * 0.9::DOUBLE) AS BIGINT) AS rescaled FROM L")
@@ -768,10 +843,11 @@ def weighted_progress(spark, sf_dir):
     return listings(spark, sf_dir).select("ord", control.progress(k % 101, k % 71, k % 51).alias("total"), F.floor((k % 101) * 0.9).cast("long").alias("rescaled"))
 
 
-@query("SELECT n AS attempt, CAST(least(2000 * 2 ** n, 16000) AS BIGINT) AS a, CAST(least(800 * 2 ** n, 6000) AS BIGINT) AS bc FROM range(5) t(n)", view=False)
+@query("SELECT l_orderkey, l_linenumber, CAST(least(2000 * 2 ** (l_linenumber % 7), 16000) AS BIGINT) AS a, CAST(least(800 * 2 ** (l_linenumber % 7), 6000) AS BIGINT) AS bc FROM lineitem", view=False)
 def backoff_schedule(spark, sf_dir):
-    n = F.col("attempt")
-    return spark.range(5).select(F.col("id").alias("attempt")).select("attempt", control.backoff(n, "a").alias("a"), control.backoff(n, "bc").alias("bc"))
+    """The waits before the attempts of each order, of which a line is one."""
+    n = F.col("l_linenumber") % 7
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", control.backoff(n, "a").alias("a"), control.backoff(n, "bc").alias("bc"))
 
 
 @query("SELECT user_id, event_id, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 5.0) AS BIGINT) AS batch FROM events", view=False)
@@ -789,12 +865,16 @@ def status_transitions(spark, sf_dir):
     return control.transitions(log, "user_id").select("user_id", F.col("seq").alias("event_id"), "before", "status")
 
 
-_RESULTS = "(0, 'A', 'A task timed out'), (1, 'B', 'HTTP 500'), (2, 'C', 'C task timed out'), (3, 'D', NULL)"
-
-
-@query("SELECT '超时: A、C | 失败: B' AS message", view=False)
+@query(
+    """SELECT '超时: ' || string_agg(n_name, '、' ORDER BY n_nationkey) FILTER (WHERE n_nationkey % 3 = 0) || ' | 失败: ' || string_agg(n_name, '、' ORDER BY n_nationkey) FILTER (WHERE n_nationkey % 3 = 1) AS message
+      FROM nation""",
+    view=False,
+)
 def source_outcomes(spark, sf_dir):
-    return control.outcomes(values(spark, f"{_RESULTS} AS t(ord, name, error)"))
+    """Nations as sources, of which one in three timed out and one failed."""
+    k = F.col("n_nationkey") % 3
+    error = F.when(k == 0, F.concat("n_name", F.lit(" task timed out"))).when(k == 1, "HTTP 500")
+    return control.outcomes(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"), error.alias("error")))
 
 
 @query("SELECT event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY event_type", view=False)
@@ -836,3 +916,50 @@ def stream_merge(spark, sf_dir):
     catalogue.upsert(a)
     upsert_stream(uploads(spark, f"{folder}/in", max_files=1), catalogue, f"{folder}/progress", smart=True).awaitTermination()
     return catalogue.read().select("id", "title", "artist")
+
+
+@query("SELECT id, CASE WHEN ord % 100 = 0 THEN title || ' (moved)' ELSE title END AS title, coalesce(nullif(status, ''), 'Unknown') AS status FROM L")
+def upsert_in_buckets(spark, sf_dir):
+    """One id in a hundred is upserted into a stored table; only the buckets of those are read and written."""
+    rows = listings(spark, sf_dir).drop("src")
+    catalogue = store.Catalogue(spark, scratch(spark, "buckets"), buckets=64)
+    catalogue.upsert(rows)
+    catalogue.upsert(rows.filter("ord % 100 = 0").withColumn("title", F.concat("title", F.lit(" (moved)"))))
+    return catalogue.read().select("id", "title", "status")
+
+
+_STATUS_SQL = "CASE event_type WHEN 'view' THEN 'idle' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'error' END"
+
+
+def _landed_events(spark, sf_dir, folder: str, files: int) -> None:
+    """Events by time in files one after the other."""
+    rows = table(spark, sf_dir, "events")
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(files):
+        a, b = low + (high - low) * k / files, low + (high - low) * (k + 1) / files
+        part = rows.filter((F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) | F.lit(k == files - 1)))
+        part.coalesce(1).write.mode("append").parquet(folder)
+
+
+@query(f"SELECT user_id, event_id, before, status FROM (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM (SELECT event_id, user_id, ts, {_STATUS_SQL} AS status FROM events)) WHERE before IS NOT NULL AND before <> status", view=False)
+def stream_transitions(spark, sf_dir):
+    """The transitions of each user as events arrive, in three micro-batches."""
+    folder = scratch(spark, "transitions")
+    _landed_events(spark, sf_dir, f"{folder}/in", 3)
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    log = events.select("user_id", F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.expr(_STATUS_SQL).alias("status"))
+    changes = transition_stream(log, "user_id")
+    changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("user_id", F.col("seq").alias("event_id"), "before", "status")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events", view=False)
+def stream_first_seen(spark, sf_dir):
+    """Each user's kinds of events once, as they arrive in three micro-batches."""
+    folder = scratch(spark, "first-seen")
+    _landed_events(spark, sf_dir, f"{folder}/in", 3)
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    source = source.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    seen = first_seen(source, ["user_id", "event_type"], "at", "3650 days").select("user_id", "event_type")
+    seen.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
