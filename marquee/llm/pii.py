@@ -79,9 +79,11 @@ def gender(title: Column) -> Column:
 
 def stream(key: str, seed: Column, n: Column) -> Column:
     """n keyed numbers below 65,536."""
-    block = F.transform(F.sequence(F.lit(0), (n / 16).cast("int")), lambda i: F.sha2(F.concat_ws("|", F.lit(key), seed, i.cast("string")), 256))
-    hexes = F.array_join(block, "")
-    return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.conv(hexes.substr(i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), (n / 16).cast("int")), lambda i: F.sha2(F.concat_ws("|", F.lit(key), seed, i.cast("string")), 256))
+    # Each digest is cut by itself, as finding a place in one long text would start from its front each time.
+    sixteen = F.sequence(F.lit(0), F.lit(15))
+    numbers = F.flatten(F.transform(blocks, lambda h: F.transform(sixteen, lambda j: F.conv(h.substr(j * 4 + 1, F.lit(4)), 16, 10).cast("int"))))
+    return F.slice(numbers, F.lit(1), F.greatest(n, F.lit(1)))
 
 
 def _char(code: Column) -> Column:
@@ -102,6 +104,13 @@ def mask(value: Column, numbers: Column) -> Column:
             .when(c.rlike(r"^[\p{IsGreek}&&\p{Lu}]$"), of(0x391, 17))
             .when(c.rlike(r"^\p{IsGreek}$"), of(0x3B1, 17))
             .when(c.rlike(r"^[\p{IsHan}]$"), of(0x4E00, 2048))
+            .when(c.rlike(r"^\p{IsHangul}$"), of(0xAC00, 2048))
+            .when(c.rlike(r"^\p{IsHiragana}$"), of(0x3042, 80))
+            .when(c.rlike(r"^\p{IsKatakana}$"), of(0x30A2, 80))
+            .when(c.rlike(r"^[\p{IsHebrew}&&\p{L}]$"), of(0x5D0, 27))
+            .when(c.rlike(r"^[\p{IsArabic}&&\p{L}]$"), of(0x628, 18))
+            .when(c.rlike(r"^[\p{IsThai}&&\p{L}]$"), of(0xE01, 46))
+            .when(c.rlike(r"^[\p{IsDevanagari}&&\p{L}]$"), of(0x915, 37))
             .when(c.rlike(r"^\p{Lu}$"), of(65, 26))
             .when(c.rlike(r"^\p{L}$"), of(97, 26))
             .otherwise(c)
@@ -143,7 +152,7 @@ def surrogate(type_: Column, value: Column, attempt: int, key: str) -> Column:
     family = F.concat(*(pick(SYLLABLES, i) for i in range(2, 5 + attempt)))
     first = F.when(sex == "male", pick([n.lower() for n in GIVEN["male"]], 1)).otherwise(pick([n.lower() for n in GIVEN["female"]], 1))
     given = F.concat(first, *(pick(SYLLABLES, i) for i in range(2, 2 + attempt)))
-    foreign = plain.rlike(r"[\p{IsCyrillic}\p{IsGreek}\p{IsHan}]")
+    foreign = plain.rlike(r"[\p{IsCyrillic}\p{IsGreek}\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}\p{IsHebrew}\p{IsArabic}\p{IsThai}\p{IsDevanagari}]")
     family, given = F.when(foreign, masked).otherwise(family), F.concat(sex, F.lit("|"), F.when(foreign, mask(plain, numbers)).otherwise(given))
     own = {"email": email, "ip": ip, "ipv6": ipv6, "card": card, "key": key_, "iban": iban, "family": family, "given": given}
     out = masked

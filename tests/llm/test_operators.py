@@ -285,6 +285,15 @@ def test_repeated_passages_of_null_and_repeated_ids(spark):
     assert collections.Counter(tuple(x)[:4] for x in got.collect()) == brute_repeats(out, 50)
 
 
+@pytest.mark.parametrize("ids", [(2**63 - 1, 1), (2**63 - 1, None), (None, 2**63 - 1, 2**63 - 2), (2**63 - 1, -(2**63), None), (2**63 - 1, 2**63 - 3, None)])
+def test_repeated_passages_of_the_largest_id(spark, ids):
+    r = random.Random(7)
+    shared = prose(r, 60)
+    out = [(d, f"{prose(r, 20)} {shared}", "s") for d in ids]
+    got = repeated_passages.remove_repeats(frame(spark, out), shard_phrases=1)
+    assert collections.Counter(tuple(x)[:4] for x in got.collect()) == brute_repeats(out, 50)
+
+
 def test_places_come_from_the_automaton():
     r = random.Random(3)
     words = prose(r, 300, 40).encode().split()
@@ -467,6 +476,14 @@ def test_rules_keep_their_risk_over_many_draws():
     assert quality_rules.binomial_tail(int(0.019 * big), big, 0.02) < 1e-6 and quality_rules.binomial_tail(int(0.021 * big), big, 0.02) == 1
 
 
+def test_a_null_stratum_is_not_an_empty_one(spark):
+    r = random.Random(2)
+    docs = spark.createDataFrame([(k, prose(r, 60 + k % 40), None if k % 2 else "") for k in range(2400)] + [(9000 + k, "# $ % " * 40, None if k % 2 else "") for k in range(20)], "doc_id long, text string, lang string")
+    marks = docs.filter("lang IS NULL AND doc_id < 9000").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).unionByName(docs.filter("lang IS NULL AND doc_id >= 9000").select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic")))
+    judged = quality_rules.quality_rules(docs, marks).join(docs.select("doc_id", "lang"), "doc_id").filter("size(reasons) > 0")
+    assert {x.lang for x in judged.select("lang").distinct().collect()} <= {None}
+
+
 def test_thresholds_against_brute_force(spark):
     r = random.Random(9)
     rows, known = [], []
@@ -739,6 +756,19 @@ def test_surrogates_against_brute_force(spark):
     assert other[2] != got[2][0]
 
 
+def test_surrogates_of_long_secrets_and_of_scripts(spark):
+    r = random.Random(1)
+    long = "".join(r.choice("abcXYZ019+/") for _ in range(100_000))
+    words = {"Hangul": "김철수와이영희", "Hebrew": "שלוםעולם", "Hiragana": "ひらがなです", "Katakana": "カタカナデス", "Arabic": "محمدعليحسن", "Thai": "กขคงจฉ", "Devanagari": "कखगघङच", "Cyrillic": "приветмир", "Greek": "αβγδεζ", "Han": "中文中文中文"}
+    texts = [f"password={long} end", *(f"token: {w} end" for w in words.values())]
+    got = [x.text for x in pii.pseudonymise(frame(spark, [(k, t, "s") for k, t in enumerate(texts)], 1), "k").orderBy("doc_id").collect()]
+    secret = got[0].removeprefix("password=").removesuffix(" end")
+    assert len(secret) == len(long) and secret != long and [c.isdigit() for c in secret] == [c.isdigit() for c in long]
+    for (script, word), text in zip(words.items(), got[1:], strict=True):
+        made = text.removeprefix("token: ").removesuffix(" end")
+        assert made != word and regex.fullmatch(rf"[\p{{Script={script}}}]{{{len(word)}}}", made), (script, made)
+
+
 def test_every_mention_has_a_hint():
     hint = regex.compile(pii.HINT)
     for _, text, _ in PRIVATE:
