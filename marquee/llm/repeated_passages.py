@@ -25,7 +25,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.llm.common import WordHashes, materialise, slices, texts, window_hashes, written
 
@@ -34,6 +34,7 @@ WINDOW, ANCHOR = 50, 15
 CHUNK, TOGETHER = 512, 16
 #: Phrases of a shard, about; chunks that one copy of its automaton streams.
 SHARD_PHRASES, SLICE = 5_000, 1_024
+_LAST = (1 << 63) - 1
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -136,8 +137,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smaller to each other; a null doc_id counts as larger than any.  An empty table gives
     none; extra columns are ignored.
     """
-    last = F.lit((1 << 63) - 1)
-    held = texts(docs, id_col, text_col).select(F.coalesce("doc_id", last).alias("doc"), F.xxhash64("text").alias("h"), "text")
+    last, rows = F.lit(_LAST), texts(docs, id_col, text_col)
+    shifted, back = _free_last(rows)
+    held = rows.select(F.coalesce(shifted, last).alias("doc"), F.xxhash64("text").alias("h"), "text")
 
     def describe(batches):
         hashes = WordHashes()
@@ -214,7 +216,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     changed = changed.groupBy("doc", "h").agg(F.first(F.struct("n_removed", "kept", "kept_text")).alias("x"))  # of repeated rows one
     changed = written(changed.select("doc", "h", "x.*"))
     return ranked.drop("chunk", "a").join(changed, ["doc", "h"], "left").select(
-        F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"),
+        F.when(F.col("doc") != last, back).alias("doc_id"),
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), F.lit(_NOTHING)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
@@ -222,6 +224,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def _free_last(rows: DataFrame) -> tuple[Column, Column]:
+    """Ids in their order without the largest one, which stands for null; and the ids of old.
+
+    Where that id is one of the rows', all ids above the last unused one become one less.
+    """
+    doc, held = F.col("doc_id"), F.col("doc")
+    if (rows.agg(F.max("doc_id")).first()[0] or 0) < _LAST:
+        return doc, held
+    ids = rows.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    below = ids.filter(doc > -_LAST - 1).select((doc - 1).alias("doc_id"))
+    gap = below.join(ids, "doc_id", "left_anti").agg(F.max("doc_id")).first()[0]
+    return F.when(doc > gap, doc - 1).otherwise(doc), F.when(held >= gap, held + 1).otherwise(held)
+
+
 def _seated(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.string())
     names = ["shard", "slice", "doc", "h", "first", "mine", "streamed", "text"]
