@@ -19,7 +19,7 @@ HEADLINE = (
     "scan_month", "search_api", "facet_filter", "blacklist_filter", "page_n", "sorted_listing", "city_stats", "artist_stats",
     "normalize_title", "artist_routing", "apply_extraction", "events_transform", "calendar_grid", "holiday_status", "dup_pairs",
     "first_match", "new_rows_anti", "enrich_artist", "merge_full", "upsert_keep_last", "dedup_keep_last", "tree_flatten",
-    "project_source_b", "status_transitions",
+    "project_source_b", "status_transitions", "upsert_in_buckets", "merge_by_component", "paging_rules_a",
 )
 
 
