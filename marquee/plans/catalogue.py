@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marquee.folders import scratch
 from marquee.functions import dates, text
-from marquee.operators import calendar, classify, control, listings as ops, merge, store
+from marquee.operators import calendar, classify, control, listings as ops, merge, pages, store
 from marquee.plans.listings_view import LISTINGS_SQL, listings
 from marquee.schema import CITY_BLACKLIST, EMPTY_ARTISTS, NOISE_TAGS, PAGE_B, PAGE_C, STATUS, TRIBUTE_WORDS, WEEKDAYS
 from marquee.sources import landing, paging, status
@@ -350,6 +350,60 @@ def status_merge(spark, sf_dir):
     return reduce(DataFrame.unionByName, rows)
 
 
+# --- the indexed table, pages far down ------------------------------------------------------
+
+_MOVED = ", M AS (SELECT id, title, venue, artist, date, CASE WHEN src = 0 AND ord % 2 = 0 THEN 'NATION_2' ELSE city END AS city FROM L)"
+
+
+def _indexed(spark, sf_dir) -> store.Catalogue:
+    """All listings, and then an upsert that moves some of them to another city."""
+    kept = store.Catalogue(spark, scratch(spark, "indexed"), buckets=8, indexed=True, cluster=("city", "artist"), file_rows=2048)
+    rows = listings(spark, sf_dir)
+    kept.upsert(rows)
+    kept.upsert(rows.filter("src = 0 AND ord % 2 = 0").withColumn("city", F.lit("NATION_2")))
+    return kept
+
+
+@query(
+    _MOVED
+    + """
+SELECT 'facet' AS asked, id, city, artist, title FROM M WHERE city = 'NATION_1' AND artist = 'BUILDING' AND contains(lower(title), 'tour 1996')
+UNION ALL SELECT 'part', id, city, artist, title FROM M WHERE contains(city, 'ION_2') AND (date LIKE '1996-03%' OR date LIKE '1996.03%')
+UNION ALL SELECT 'short', id, city, artist, title FROM M WHERE contains(venue, '4') AND city = 'NATION_3' AND artist = 'MACHINERY'"""
+)
+def stored_search(spark, sf_dir):
+    kept = _indexed(spark, sf_dir)
+    found = {
+        "facet": kept.search(city="NATION_1", artist="BUILDING", words="TOUR 1996"),
+        "part": kept.search(city_part="ION_2", month="1996-03"),
+        "short": kept.search(city="NATION_3", artist="MACHINERY", words="4").filter(F.contains("venue", F.lit("4"))),
+    }
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(k).alias("asked"), "id", "city", "artist", "title") for k, rows in found.items()))
+
+
+@query(
+    _MOVED
+    + """
+SELECT 'city' AS facet, 'all' AS month, city AS value, count(*) AS n FROM M GROUP BY city
+UNION ALL SELECT 'artist', 'all', artist, count(*) FROM M GROUP BY artist
+UNION ALL SELECT 'city', '1996-03', city, count(*) FROM M WHERE date LIKE '1996-03%' OR date LIKE '1996.03%' GROUP BY city"""
+)
+def stored_facets(spark, sf_dir):
+    kept = _indexed(spark, sf_dir)
+    asked = [("city", None), ("artist", None), ("city", "1996-03")]
+    return reduce(DataFrame.unionByName, (kept.facets(c, m).select(F.lit(c).alias("facet"), F.lit(m or "all").alias("month"), "value", "n") for c, m in asked))
+
+
+@query(f"SELECT {COLUMNS} FROM L ORDER BY {_KEY}, date, id LIMIT 20 OFFSET 1180")
+def deep_page(spark, sf_dir):
+    return _cols(pages.Ranked(spark, scratch(spark, "ranked"), range_rows=10_000).build(listings(spark, sf_dir)).page(60, 20))
+
+
+@query(f"SELECT {COLUMNS} FROM L WHERE ({_KEY}, date, id) > ('1996.03.15', '1996.03.15', 'mt_5') ORDER BY {_KEY}, date, id LIMIT 20")
+def page_after(spark, sf_dir):
+    return _cols(pages.page_after(listings(spark, sf_dir), "1996.03.15", "mt_5"))
+
+
 # --- text ------------------------------------------------------------------------------------
 
 
