@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from queue import Empty, Queue
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -31,21 +33,33 @@ def route(listings: DataFrame) -> DataFrame:
     return routed.withColumns({"title": F.when(official, with_artist(title, artist)).otherwise(title), "artist": F.when(tribute, "Unknown").otherwise(artist), "is_tribute": tribute | F.coalesce("is_tribute", F.lit(False))})
 
 
-def extract(listings: DataFrame, extractor: Callable[[list[str]], dict[str, dict]], batch: int = 50) -> DataFrame:
+def extract(listings: DataFrame, extractor: Callable[[list[str]], dict[str, dict]], batch: int = 50, seconds: float = 120) -> DataFrame:
     """title, artist, is_tribute, is_famous of the distinct titles that ``extractor`` knows.
 
     The extractor gets batches of titles and returns a map from title to a name or to the
-    fields; a batch that fails is left out, and its rows stay as they are.
+    fields; a batch that fails or takes more than ``seconds`` is left out, and its rows stay as they are.
     """
 
+    def within(titles: list[str]) -> dict[str, dict]:
+        answer: Queue = Queue()
+
+        def ask() -> None:
+            try:
+                answer.put(extractor(titles))
+            except Exception:  # noqa: BLE001  one batch must not cost the others
+                answer.put({})
+
+        Thread(target=ask, daemon=True).start()  # left behind if it hangs
+        try:
+            return answer.get(timeout=seconds) or {}
+        except Empty:
+            return {}
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             titles = frame["title"].tolist()
             for at in range(0, len(titles), batch):
-                try:
-                    found = extractor(titles[at : at + batch])
-                except Exception:  # noqa: BLE001  one batch must not cost the others
-                    continue
+                found = within(titles[at : at + batch])
                 rows = [(t, *((x, False, True) if isinstance(x, str) else (x.get("artist"), x.get("is_tribute"), x.get("is_famous")))) for t, x in found.items() if x]
                 yield pd.DataFrame(rows, columns=["title", "artist", "is_tribute", "is_famous"]).astype(object)
 

@@ -11,10 +11,10 @@ from marquee.folders import scratch
 from marquee.functions import dates, text
 from marquee.operators import calendar, classify, control, listings as ops, merge, pages, store
 from marquee.plans.listings_view import LISTINGS_SQL, listings
-from marquee.schema import CITY_BLACKLIST, EMPTY_ARTISTS, NOISE_TAGS, PAGE_B, PAGE_C, STATUS, TRIBUTE_WORDS, WEEKDAYS
+from marquee.schema import CITY_BLACKLIST, EMPTY_ARTISTS, NOISE_TAGS, LOCATIONS_C, PAGE_B, PAGE_C, STATUS, TRIBUTE_WORDS, WEEKDAYS
 from marquee.sources import landing, paging, status
 from marquee.streaming.transitions import transition_stream
-from marquee.streaming.uploads import first_seen, uploads, upsert_stream
+from marquee.streaming.uploads import first_seen, read_reports, uploads, upsert_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -517,12 +517,12 @@ def apply_extraction(spark, sf_dir):
 
 
 def _trees(spark, sf_dir):
-    """Each region as a tree: nation nodes (groups) with supplier nodes (listings)."""
+    """Each region as trees of a thousand supplier keys at most: nation nodes (groups) with supplier nodes (listings)."""
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     leaf = F.struct(F.lit("7587").alias("type"), F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("cityName"), F.when(F.col("s_suppkey") % 4 == 0, F.lit("")).when(F.col("s_suppkey") % 4 == 1, F.lit("热销榜")).otherwise(F.lit("Star")).alias("showTag")).alias("data"))
-    nations = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", leaf.alias("leaf")))).alias("x"))
-    nations = nations.select("n_regionkey", "n_nationkey", F.struct(F.lit("g").alias("type"), F.transform("x", lambda x: x["leaf"]).alias("nodes")).alias("node"))
-    regions = nations.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.to_json("node").alias("node")))).alias("x"))
+    nations = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", F.floor(F.col("s_suppkey") / 1000).alias("part"), "n_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", leaf.alias("leaf")))).alias("x"))
+    nations = nations.select("n_regionkey", "part", "n_nationkey", F.struct(F.lit("g").alias("type"), F.transform("x", lambda x: x["leaf"]).alias("nodes")).alias("node"))
+    regions = nations.groupBy("n_regionkey", "part").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.to_json("node").alias("node")))).alias("x"))
     body = F.concat(F.lit('{"nodes":['), F.array_join(F.transform("x", lambda x: x["node"]), ","), F.lit("]}"))
     return regions.select(F.col("n_regionkey").alias("tree_id"), body.alias("body"))
 
@@ -616,6 +616,47 @@ def pages_source_c(spark, sf_dir):
     return landing.listings_c(spark.read.schema(PAGE_C).json(folder))
 
 
+@query(f"SELECT * EXCLUDE (old_title, ord) FROM ({_C_SQL}) WHERE (ord // 20) % 25 % 5 <> 2")
+def pages_of_locations(spark, sf_dir):
+    """Pages of source C asked for all locations, a fifth of which belong to the mainland and are not crawled."""
+    folder = scratch(spark, "locations-c")
+    nation, key = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    place = F.struct(key.cast("string").alias("id"), F.when(key % 5 == 2, "CN").when(key % 5 < 4, F.col("n_name")).alias("code"), F.col("n_name").alias("name"))
+    nation.groupBy("n_regionkey").agg(F.collect_list(place).alias("data")).select(F.to_json(F.struct(F.lit(True).alias("success"), "data"))).write.text(f"{folder}/locations")
+    items = _items_c(spark, sf_dir)
+    page = F.floor(F.col("ord") / 20)
+    pages = items.groupBy(page.alias("page"), (page % 25).cast("string").alias("locationId"), "locationName").agg(F.collect_list(F.struct(*[c for c in items.columns if c not in ("ord", "locationName")])).alias("data"))
+    pages.select(F.to_json(F.struct(F.lit(200).alias("statusCode"), "data", "locationId", "locationName"))).write.text(f"{folder}/pages")
+    places = landing.locations_c(spark.read.schema(LOCATIONS_C).json(f"{folder}/locations"))
+    return landing.listings_c(spark.read.schema(PAGE_C).json(f"{folder}/pages"), locations=places)
+
+
+_WORDS = """SELECT n_name AS phrase, '<' || CAST(n_nationkey AS VARCHAR) || '>' AS simplified FROM nation
+  UNION ALL SELECT n_name || ' 東', 'x' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT DISTINCT 'Tour ' || substr(o_orderdate::VARCHAR, 1, 3), 'T' FROM orders"""
+
+
+@query(
+    LISTINGS_SQL.replace("WITH L0", "WITH RECURSIVE L0", 1)
+    + f""", D AS (SELECT list({{'p': phrase, 's': simplified}} ORDER BY length(phrase) DESC, phrase) AS d FROM ({_WORDS} UNION ALL SELECT * FROM (VALUES ('東', '东'), ('會', '会')))),
+K AS (
+  SELECT t, 1 AS pos, '' AS done FROM (SELECT DISTINCT title || ' 東會演' AS t FROM L)
+  UNION ALL
+  SELECT t, pos + CASE WHEN hit IS NULL THEN 1 ELSE length(hit.p) END, done || CASE WHEN hit IS NULL THEN substr(t, pos, 1) ELSE hit.s END
+  FROM (SELECT t, pos, done, list_filter(d, lambda x: starts_with(substr(t, pos), x.p))[1] AS hit FROM K, D WHERE pos <= length(t)))
+SELECT id, done AS title FROM L JOIN (SELECT t, done FROM K WHERE pos > length(t)) ON t = title || ' 東會演'""",
+    view=False,
+)
+def phrase_conversion(spark, sf_dir):
+    """Titles of source C by a dictionary made of names and years: longest phrases before short ones, and characters last."""
+    nation, orders = table(spark, sf_dir, "nation"), table(spark, sf_dir, "orders")
+    name = F.col("n_name")
+    words = nation.select(name.alias("phrase"), F.concat(F.lit("<"), F.col("n_nationkey").cast("string"), F.lit(">")).alias("simplified"))
+    words = words.unionByName(nation.filter("n_nationkey % 2 = 0").select(F.concat(name, F.lit(" 東")).alias("phrase"), F.lit("x").alias("simplified")))
+    words = words.unionByName(orders.select(F.concat(F.lit("Tour "), F.substring(F.col("o_orderdate").cast("string"), 1, 3)).alias("phrase"), F.lit("T").alias("simplified")).distinct())
+    convert = landing.phrases(words)
+    return listings(spark, sf_dir).select("id", convert(F.concat("title", F.lit(" 東會演"))).alias("title"))
+
+
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS \"cityId\", n_name AS \"cityName\", CASE WHEN n_nationkey < 5 THEN 'hot' ELSE 'group' END AS place FROM nation", view=False)
 def nested_city_list(spark, sf_dir):
     return landing.city_list(_city_bodies(spark, sf_dir, F.col("n_name"))).select("cityId", "cityName", "place")
@@ -677,6 +718,19 @@ def paging_rules_total(spark, sf_dir):
     return paging.pages_total(_pages(spark, sf_dir))
 
 
+@query(
+    f"""WITH RECURSIVE {_PAGES},
+K AS (
+  SELECT city, 0 AS page, CAST([] AS VARCHAR[]) AS ids, false AS over FROM R GROUP BY city
+  UNION ALL
+  SELECT K.city, R.page, CASE WHEN ok THEN R.ids ELSE [] END, NOT ok OR len(R.ids) < 3 FROM K JOIN R ON R.city = K.city AND R.page = K.page + 1 WHERE NOT K.over AND K.page < 6)
+SELECT city, page, unnest(ids) AS id FROM K""",
+    view=False,
+)
+def paging_rules_short(spark, sf_dir):
+    return paging.pages_short(_pages(spark, sf_dir), size=3)
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", view=False)
 def jsonp_parse(spark, sf_dir):
     body = F.concat(F.lit(" cb("), "props", F.lit(");"))
@@ -959,6 +1013,22 @@ def stream_upsert_equals_batch(spark, sf_dir):
     return catalogue.read().select("id", "title", "city", "status")
 
 
+@query(
+    """, U AS (SELECT ord // (SELECT max(ord) // 4 + 1 FROM L) AS batch, 'u' || CAST(ord % 3000 AS VARCHAR) AS id, ord % 50 = 7 AS bad FROM L),
+F AS (SELECT id, min(batch) AS batch FROM U WHERE NOT bad GROUP BY id),
+T AS (SELECT batch, count(*) AS received, count(*) FILTER (WHERE bad) AS refused, (SELECT count(*) FROM F WHERE F.batch <= U.batch) AS total, (SELECT count(*) FROM F WHERE F.batch = U.batch) AS total_new FROM U GROUP BY batch)
+SELECT batch, true AS success, 'upsert' AS mode, received, refused, total, total_new, 'Saved ' || CAST(total AS VARCHAR) || ' listings (upsert mode)' AS message FROM T"""
+)
+def upload_reports(spark, sf_dir):
+    """What four uploads report: received and refused rows, and the rows of the table after each."""
+    folder = scratch(spark, "reports")
+    rows = listings(spark, sf_dir).withColumn("id", F.concat(F.lit("u"), (F.col("ord") % 3000).cast("string"))).drop("src")
+    _landed(rows.withColumn("title", F.when(F.col("ord") % 50 == 7, "").otherwise(F.col("title"))), f"{folder}/in", 4)
+    catalogue = store.Catalogue(spark, f"{folder}/table")
+    upsert_stream(uploads(spark, f"{folder}/in", max_files=1), catalogue, f"{folder}/progress", reports=f"{folder}/reports").awaitTermination()
+    return read_reports(spark, f"{folder}/reports")
+
+
 @query(UPLOADS_SQL + "SELECT id, title, artist FROM M2", view=False)
 def stream_merge(spark, sf_dir):
     """Two uploads, each a micro-batch of its own, merged into a table that holds the first source."""

@@ -26,9 +26,9 @@ LISTING_JSON = T.StructType([T.StructField("updatedAt" if f.name == "updated_at"
 
 STATUS = "status string, progress int, total int, current int, message string, lastUpdated long, result struct<success boolean, totalNew int, totalCombined int, message string, timedOutSources array<string>, failedSources array<string>>"
 
-#: Pages of source B and C as landed (C's with the name of the location that they were asked for), and their city lists.
+#: Pages of source B and C as landed (C's with the id and name of the location that they were asked for), and their city lists.
 PAGE_B = "statusCode int, data struct<searchData array<struct<showId string, showName string, showDate string, showCity string, cityName string, venueName string, showStatusDisplayName string, priceInfo struct<prefix string, yuanNum string, suffix string>, tags array<struct<tagType string, tagName string>>>>, pagination struct<total int>>"
-PAGE_C = "statusCode int, data array<struct<id string, title string, venueName string, location string, showDate string, imgUrl string, salePrice string, status string>>, locationName string"
+PAGE_C = "statusCode int, data array<struct<id string, title string, venueName string, location string, showDate string, imgUrl string, salePrice string, status string>>, locationId string, locationName string"
 CITIES_B = "statusCode int, result struct<allCities array<struct<title string, cities array<struct<cityOID string, cityName string>>>>>"
 LOCATIONS_C = "success boolean, data array<struct<id string, code string, name string>>"
 CITIES_A = "hotCities array<struct<cityId string, cityName string, url string>>, hotCity array<struct<cityId string, cityName string, url string>>, groups array<struct<sites array<struct<cityId string, cityName string, url string>>>>"
@@ -53,6 +53,8 @@ SIMPLIFIED = {
     "臺": "台", "台": "台", "灣": "湾", "週": "周", "雙": "双", "門": "门", "體": "体", "會": "会", "場": "场",
     "樂": "乐", "東": "东", "廣": "广", "國": "国", "羅": "罗", "區": "区",
 }
+#: Code of source C's location that is not crawled.
+MAINLAND = "CN"
 #: Stored artists that are none.
 INVALID_ARTISTS = ("歌手", "音乐会")
 #: Artists that a merge may replace, and that it never takes.

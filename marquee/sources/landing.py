@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marquee.functions.text import has, or_else, trimmed
 from marquee.operators.classify import valid_tag
 from marquee.operators.listings import not_blacklisted
-from marquee.schema import LISTING_JSON, SIMPLIFIED
+from marquee.schema import LISTING_JSON, MAINLAND, SIMPLIFIED
 
 #: Node type of a listing in source A's tree.
 LISTING_NODE = "7587"
@@ -29,21 +30,29 @@ def unwrap_jsonp(body: Column) -> Column:
 def flatten_tree(trees: DataFrame, depth: int = 100) -> DataFrame:
     """tree_id, path, type, data, node of every node below the roots of ``trees`` (tree_id, body).
 
-    ``body`` is JSON text {"nodes": [...]}; nodes deeper than ``depth`` are an error.  Order by tree_id, path for the
-    order of a walk that gives a node before its children.  One level is exploded after
-    the other, as often as trees are deep; what is not deep is read once for each level.
+    ``body`` is JSON text {"nodes": [...]}; what is no such text has no nodes.  Order by tree_id, path for the
+    order of a walk that gives a node before its children.  Trees are read once, whatever their depth: each row is
+    walked level by level where it lies.  A task holds the levels of one body at a time, so land trees in parts of a
+    bounded size, which may share a tree_id.  A node deeper than ``depth`` is an error when the rows are made.
     """
-    below = F.posexplode(F.try_variant_get("node", "$.nodes", "array<variant>")).alias("pos", "node")
-    level = trees.select("tree_id", F.array().cast("array<int>").alias("path"), F.try_parse_json("body").alias("node"))
-    levels = []
-    for _ in range(depth + 1):
-        level = level.select("tree_id", "path", below).select("tree_id", F.concat("path", F.array("pos")).alias("path"), "node")
-        levels.append(level)
-        if level.isEmpty():
-            break
-    else:
-        raise ValueError(f"a tree is deeper than {depth}")
-    return reduce(DataFrame.unionByName, levels).select("tree_id", "path", F.try_variant_get("node", "$.type", "string").alias("type"), F.try_variant_get("node", "$.data", "variant").alias("data"), "node")
+    none = F.array().cast("array<struct<path: array<int>, node: variant>>")
+    start = F.struct(F.array().cast("array<int>").alias("path"), F.try_parse_json("body").alias("node"))
+
+    def children(parent: Column) -> Column:
+        nodes = F.try_variant_get(parent["node"], "$.nodes", "array<variant>")
+        return F.coalesce(F.transform(nodes, lambda n, at: F.struct(F.concat(parent["path"], F.array(at)).alias("path"), n.alias("node"))), none)
+
+    def deeper(walk: Column, _: Column) -> Column:
+        level = F.flatten(F.transform(walk["level"], children))
+        return F.when(F.size(walk["level"]) == 0, walk).otherwise(F.struct(F.concat(walk["above"], F.array(walk["level"])).alias("above"), level.alias("level")))
+
+    def all_levels(walk: Column) -> Column:
+        return F.when(F.size(walk["level"]) > 0, F.raise_error(F.lit(f"a tree is deeper than {depth}"))).otherwise(F.flatten(F.slice(walk["above"], 2, depth)))
+
+    begin = F.struct(F.array().cast("array<array<struct<path: array<int>, node: variant>>>").alias("above"), F.array(start).alias("level"))
+    found = F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(depth + 1)), begin, deeper, all_levels)).alias("x")
+    nodes = trees.select("tree_id", found).select("tree_id", "x.path", "x.node")
+    return nodes.select("tree_id", "path", F.try_variant_get("node", "$.type", "string").alias("type"), F.try_variant_get("node", "$.data", "variant").alias("data"), "node")
 
 
 def _field(name: str) -> Column:
@@ -110,10 +119,50 @@ def first_day(text: Column) -> Column:
 
 
 def simplified(text: Column, pairs: dict[str, str] = SIMPLIFIED) -> Column:
-    """Character by character by a table; phrases that need a dictionary stay."""
+    """Character by character by a table; ``phrases`` makes a converter of a dictionary."""
     return F.translate(text, "".join(pairs), "".join(pairs.values()))
 
 
+def longest_matches(pairs: dict[str, str]) -> Callable[[str], str]:
+    """Replaces, from left to right, the longest key that begins at a place, and goes on behind it; other characters stay."""
+    lengths: dict[str, list[int]] = {}
+    for size, first in sorted({(len(key), key[0]) for key in pairs}, reverse=True):
+        lengths.setdefault(first, []).append(size)
+    begins = re.compile("[" + re.escape("".join(lengths)) + "]") if lengths else re.compile(r"(?!)")
+
+    def convert(text: str) -> str:
+        out, done, at = [], 0, begins.search(text)
+        while at:
+            start = at.start()
+            key = next((text[start : start + n] for n in lengths[text[start]] if text[start : start + n] in pairs), None)
+            if key is not None:
+                out += (text[done:start], pairs[key])
+                done = start + len(key)
+            at = begins.search(text, done if key is not None else start + 1)
+        return "".join(out) + text[done:]
+
+    return convert
+
+
+def phrases(dictionary: DataFrame, characters: dict[str, str] = SIMPLIFIED, limit: int = 200_000) -> Callable[[Column], Column]:
+    """A converter for ``project_c`` that takes the longest phrase of ``dictionary`` (phrase, simplified) at each place, or else the character.
+
+    The dictionary goes to every task, so more than ``limit`` different phrases are an error.  Of entries of one phrase the least
+    conversion counts; entries with a null, and an empty phrase, count as none.  A null text stays null.
+    """
+    entries = dictionary.filter("phrase <> '' AND simplified IS NOT NULL").groupBy("phrase").agg(F.min("simplified").alias("simplified"))
+    rows = entries.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"the dictionary has more than {limit} phrases")
+    convert = longest_matches(characters | {r.phrase: r.simplified for r in rows})
+
+    @F.pandas_udf("string")
+    def by_phrase(texts: pd.Series) -> pd.Series:
+        return texts.map(convert, na_action="ignore")
+
+    return by_phrase
+
+
 def project_c(items: DataFrame, convert: Callable[[Column], Column] = simplified) -> DataFrame:
     """Listings of source C's items; ``convert`` maps a column from traditional to simplified characters."""
     return items.select(
@@ -140,9 +189,15 @@ def listings_b(pages: DataFrame) -> DataFrame:
     return project_b(pages.filter("statusCode = 200").select(F.explode("data.searchData").alias("item")).select("item.*"))
 
 
-def listings_c(pages: DataFrame, convert: Callable[[Column], Column] = simplified) -> DataFrame:
-    """Listings of source C's pages (PAGE_C) outside of the cities that are not listed."""
-    items = pages.filter("statusCode = 200").select(F.explode("data").alias("item"), "locationName").select("item.*", "locationName")
+def listings_c(pages: DataFrame, convert: Callable[[Column], Column] = simplified, locations: DataFrame | None = None) -> DataFrame:
+    """Listings of source C's pages (PAGE_C) outside of the cities that are not listed.
+
+    With ``locations`` (``locations_c``), only pages asked for one that is crawled count; a page that does not tell its location is none of them.
+    """
+    good = pages.filter("statusCode = 200")
+    if locations is not None:
+        good = good.join(crawled(locations).select(F.col("id").alias("locationId")), "locationId", "left_semi")
+    items = good.select(F.explode("data").alias("item"), "locationName").select("item.*", "locationName")
     return not_blacklisted(project_c(items, convert))
 
 
@@ -157,6 +212,11 @@ def locations_c(bodies: DataFrame) -> DataFrame:
     return bodies.filter("success").select(F.explode("data").alias("x")).select("x.*")
 
 
+def crawled(locations: DataFrame) -> DataFrame:
+    """Source C's locations but for the mainland, which the other sources have; its parts of other codes stay, and those without one."""
+    return locations.filter(~F.col("code").eqNullSafe(MAINLAND))
+
+
 def city_list(bodies: DataFrame) -> DataFrame:
     """cityId, cityName, url, ord, place of source A's city lists: the hot ones first, then the groups' sites."""
     hot = bodies.select(F.posexplode(F.coalesce("hotCities", "hotCity")).alias("ord", "c"), F.lit("hot").alias("place"))

@@ -52,3 +52,9 @@ def pages_total(pages: DataFrame, size: int = 10, limit: int = 20) -> DataFrame:
     rows = pages.filter(F.col("page").between(1, limit)).withColumn("n", F.when(F.col("ok"), F.size(F.coalesce("ids", F.array().cast("array<string>")))).otherwise(0))
     read = _up_to_stop(rows, (F.col("n") == 0) | (F.col("page") * size >= F.coalesce("total", F.lit(0))))
     return read.filter("n > 0").select("city", "page", F.explode("ids").alias("id"))
+
+
+def pages_short(pages: DataFrame, size: int = 20, limit: int = 6) -> DataFrame:
+    """city, page, id (every one) of pages as source C's: a city, here a location, ends with a page that failed or has fewer than ``size``, or with page ``limit``."""
+    rows = pages.filter(F.col("page").between(1, limit)).withColumn("n", F.when(F.col("ok"), F.size(F.coalesce("ids", F.array().cast("array<string>")))).otherwise(0))
+    return _up_to_stop(rows, F.coalesce("n", F.lit(0)) < size).filter("n > 0").select("city", "page", F.explode("ids").alias("id"))

@@ -122,8 +122,53 @@ def test_nested_trees(spark):
     assert [(r.path, r.type) for r in nodes.orderBy("path").collect()] == [([0], "g"), ([0, 0], "h"), ([0, 0, 0], "7587")]
     assert sorted((r.type, r.is_listing) for r in landing.find_keyword(nodes, "word").collect()) == [("7587", True), ("g", False), ("h", False)]
     assert landing.find_keyword(nodes, "7587").filter("is_listing").count() == 0
+    assert landing.flatten_tree(trees, depth=3).count() == 3
+    with pytest.raises(Exception, match="deeper than 2"):
+        landing.flatten_tree(trees, depth=2).collect()
+
+
+def test_trees_are_read_once_whatever_their_depth(spark, tmp_path):
+    deep = {"type": "7587", "data": {"id": "5"}}
+    for _ in range(60):
+        deep = {"type": "g", "nodes": [deep, {"type": "g", "nodes": None}]}
+    spark.createDataFrame([(0, json.dumps({"nodes": [deep]})), (0, json.dumps({"nodes": [deep]}))], "tree_id int, body string").write.parquet(str(tmp_path / "trees"))
+    context = spark.sparkContext
+    trees = spark.read.parquet(str(tmp_path / "trees"))
+    context.setJobGroup("planning of trees", "")
+    nodes = landing.flatten_tree(trees)
+    assert not context.statusTracker().getJobIdsForGroup("planning of trees")
+    context.setJobGroup("later", "")
+    assert nodes._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert nodes.count() == 2 * 121
+    assert landing.listing_nodes(nodes).select(F.size("path")).first()[0] == 61
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("頭髮後", "头发后"), ("皇后後", "皇后后"), ("髮發", "髮发"), ("a|b", "a&b"), ("a", "a"), ("", ""), (None, None), ("發財發", "发财发"), ("臺灣", "台湾"), ("ab" * 3, "ababab"), ("x" * 100_000 + "頭髮", "x" * 100_000 + "头发")],
+)
+def test_the_longest_phrase_beats_its_characters(spark, text, want):
+    words = [("頭髮", "头发"), ("頭", "头"), ("後", "后"), ("皇后", "皇后"), ("發", "发"), ("發財", "发财"), ("a|b", "a&b"), ("", "no"), (None, "no"), ("臺", None), ("頭髮", "头髮?")]
+    convert = landing.phrases(spark.createDataFrame(words, "phrase string, simplified string"))
+    assert spark.createDataFrame([(text,)], "t string").select(convert(F.col("t"))).first()[0] == want
+
+
+def test_phrases_have_a_limit_and_may_be_none(spark):
+    words = spark.createDataFrame([("a", "b"), ("c", "d")], "phrase string, simplified string")
     with pytest.raises(ValueError):
-        landing.flatten_tree(trees, depth=2)
+        landing.phrases(words, limit=1)
+    same = landing.phrases(words.limit(0), characters={})
+    assert spark.createDataFrame([("ac",)], "t string").select(same(F.col("t"))).first()[0] == "ac"
+
+
+def test_pages_of_the_mainland_are_left_out(spark):
+    places = spark.createDataFrame([("1", "CN", "China"), ("2", "HK", "Hong Kong"), ("3", None, "Macau")], "id string, code string, name string")
+    assert sorted(r.id for r in landing.crawled(places).collect()) == ["2", "3"]
+    item = [{"id": "7", "title": "t", "location": "x", "showDate": "2026/01/01"}]
+    pages = [json.dumps({"statusCode": 200, "locationId": k, "data": [item[0] | {"id": f"{k}"}]}) for k in ("1", "2", "3", None, "9")]
+    frame = spark.createDataFrame([(p,) for p in pages], "value string").select(F.from_json("value", PAGE_C).alias("p")).select("p.*")
+    assert sorted(r.id for r in landing.listings_c(frame, locations=places).collect()) == ["mtglobal_2", "mtglobal_3"]
+    assert landing.listings_c(frame).count() == 5
 
 
 def test_city_lookup(spark):
@@ -243,6 +288,19 @@ def test_extractor_batches_fail_alone(spark):
     assert [r.artist for r in classify.extract(rows, find, batch=1).collect()] == ["P"]
 
 
+def test_extractor_batches_that_hang_are_left_out(spark):
+    rows = spark.createDataFrame([("good",), ("slow",)], "title string").coalesce(1)
+
+    def find(titles):
+        import time
+
+        if "slow" in titles:
+            time.sleep(60)
+        return {t: "P" for t in titles}
+
+    assert [r.title for r in classify.extract(rows, find, batch=1, seconds=1).collect()] == ["good"]
+
+
 def test_routing(spark):
     rows = spark.createDataFrame([("致敬 x", "P", None), ("x", "P", None), ("【P】x", "P", None), ("x", "群星", None), ("x", "", None)], "title string, artist string, is_tribute boolean")
     got = [(r.route, r.title, r.artist, r.is_tribute) for r in classify.route(rows).collect()]
