@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -42,10 +43,14 @@ def matches(column: Column | str, wanted: str) -> Column:
 
 
 def normalize_title(title: Column) -> Column:
-    out = F.lower(title)
-    for noise in TITLE_NOISE:
-        out = F.regexp_replace(out, noise, "")
-    return out
+    """Lower case without ``TITLE_NOISE``; texts without an opening bracket skip the patterns of brackets."""
+
+    def without(text: Column, patterns: Iterable[str]) -> Column:
+        return reduce(lambda out, noise: F.regexp_replace(out, noise, ""), patterns, text)
+
+    plain = F.translate(F.lower(title), "".join(chr(c) for a, b in BLANK_RANGES for c in range(a, b + 1)), "")
+    bracketed = reduce(Column.__or__, [F.contains(title, F.lit(b)) for b in "【[("])
+    return without(F.when(bracketed, without(plain, TITLE_NOISE[1:4])).otherwise(plain), TITLE_NOISE[4:])
 
 
 def start_date(date: Column) -> Column:

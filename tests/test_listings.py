@@ -288,6 +288,26 @@ def test_extractor_batches_fail_alone(spark):
     assert [r.artist for r in classify.extract(rows, find, batch=1).collect()] == ["P"]
 
 
+def test_uploads_are_reported(spark, tmp_path):
+    catalogue = store.Catalogue(spark, str(tmp_path / "table"), buckets=2)
+    schema = "id string, title string, date string, ord long"
+
+    def upload(name, rows, **how):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / name / "in"))
+        uploads_.upsert_stream(uploads_.uploads(spark, str(tmp_path / name / "in")), catalogue, str(tmp_path / name / "progress"), reports=str(tmp_path / name / "reports"), **how).awaitTermination()
+        r = uploads_.read_reports(spark, str(tmp_path / name / "reports")).first()
+        return r.success, r.mode, r.received, r.refused, r.total, r.total_new
+
+    day = "2026.01.01"
+    assert upload("a", [("1", "t", day, 1), ("2", "u", day, 2), ("", "v", day, 3)]) == (True, "upsert", 3, 1, 2, 2)
+    assert upload("b", [("2", "t", day, 1), ("3", "w", day, 2)]) == (True, "upsert", 2, 0, 3, 1)
+    assert upload("c", [("9", "t", day, 1)], mode="replace") == (True, "replace", 1, 0, 1, 1)
+    assert upload("d", [("", "t", day, 1)], mode="replace") == (False, "replace", 1, 1, 1, 0)
+    assert [r.id for r in catalogue.read().collect()] == ["9"]
+    with pytest.raises(ValueError):
+        uploads_.upsert_stream(uploads_.uploads(spark, str(tmp_path / "d" / "in")), catalogue, str(tmp_path / "x"), mode="none")
+
+
 def test_extractor_batches_that_hang_are_left_out(spark):
     rows = spark.createDataFrame([("good",), ("slow",)], "title string").coalesce(1)
 
