@@ -520,6 +520,16 @@ def test_thresholds_against_brute_force(spark):
         assert np.allclose(got[stratum].cutoffs, cutoffs)
 
 
+def test_the_binomial_tail_has_no_switch_by_size():
+    n, k = quality_rules.EXACT, 19_700
+    below, above = (quality_rules.binomial_tail(k, m, 0.02) for m in (n, n + 1))
+    assert math.isclose(below, above, rel_tol=1e-3) and above < below  # Chernoff's bound would be five times that
+    lost = [19_700, 19_760, 19_800]
+    assert quality_rules.certified(n, lost, 0.05) == quality_rules.certified(n + 1, lost, 0.05) == 2
+    for k, n, p in ((3, 500, 0.02), (12, 500, 0.02), (499, 500, 0.02), (0, 217, 0.02), (2, 3, 0.9)):
+        assert math.isclose(quality_rules.binomial_tail(k, n, p), sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel_tol=1e-9)
+
+
 def test_binomial_tail():
     for n, k, p in ((10, 3, 0.2), (50, 0, 0.02), (7, 7, 0.5)):
         assert math.isclose(quality_rules.binomial_tail(k, n, p), sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
