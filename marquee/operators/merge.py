@@ -1,7 +1,8 @@
 """Fuzzy matching and the ordered merge of listings.
 
 Every match needs equal, non-empty start dates, so the start date is an exact join key;
-city and title conditions stay as residual predicates.  On a date with very many rows (``CROWDED``) the
+city and title conditions stay as residual predicates.  What is compared are kinds: rows of one start date, city, artist
+and title match alike, so rows that repeat these cost one comparison.  On a date with very many kinds (``CROWDED``) the
 pairs come from an index of grams (``containment``) or from equal artists instead of from all pairs.
 
 The merge itself depends on the order of rows and on its own enrichments, so it runs as a scan of
@@ -23,21 +24,16 @@ from marquee.operators.components import components
 from marquee.operators.containment import contained
 from marquee.schema import EMPTY_ARTISTS
 
-#: Rows of one start date from which on its pairs and its merge go by texts instead of by the date.
+#: Kinds of one start date from which on its pairs, and rows from which on its merge, go by texts instead of by the date.
 CROWDED = 2_000
 
 
-def keyed(listings: DataFrame) -> DataFrame:
-    """With start_date and norm_title, computed once for each row."""
-    return listings.withColumns({"start_date": start_date(F.col("date")), "norm_title": normalize_title(F.col("title"))})
-
-
 def _within(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a)
 
 
 def is_duplicate(a: str = "a", b: str = "b") -> Column:
-    """Of two keyed rows with equal start dates.  Titles of one code point are too short to be compared normalised."""
+    """Of two kinds with equal start dates.  Titles of one code point are too short to be compared normalised."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     short = (F.length(x("norm_title")) < 2) | (F.length(y("norm_title")) < 2)
     titles = F.when(short, _within(x("title"), y("title"))).otherwise(_within(x("norm_title"), y("norm_title")))
@@ -45,9 +41,71 @@ def is_duplicate(a: str = "a", b: str = "b") -> Column:
     return _within(F.coalesce(x("city"), F.lit("")), F.coalesce(y("city"), F.lit(""))) & artists
 
 
+#: What the predicate looks at.  Rows that agree in these match alike, so they are compared once, as a kind.
+KIND = ("start_date", "city", "artist", "title")
+#: Rows of a kind that are held together at most, where its rows are listed.
+HELD = 1_000
+
+
+def _kind(of: str = "") -> dict[str, Column]:
+    blank = lambda c: F.coalesce(F.col(of + c), F.lit(""))
+    return {"start_date": start_date(F.col(f"{of}date")), "city": blank("city"), "artist": blank("artist"), "title": F.col(f"{of}title")}
+
+
+def _kinds(rows: DataFrame, aggregates: list[Column], *more: str) -> DataFrame:
+    """The kinds of the dated rows, with aggregates of their rows."""
+    kinds = rows.withColumns(_kind()).filter("start_date <> ''").groupBy(*KIND, *more).agg(*aggregates)
+    return checkpointed(kinds.withColumn("norm_title", normalize_title(F.col("title"))))
+
+
+def _coarser(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Kinds with ``like``, what is looked at of their title: the normalised one, but on dates with one too short to be normalised the raw one."""
+    days = checkpointed(a.filter(_short()).select("start_date").unionByName(b.filter(_short()).select("start_date")).distinct())
+    if days.isEmpty():
+        return a.withColumn("like", F.col("norm_title")), b.withColumn("like", F.col("norm_title"))
+    days = days.withColumn("raw", F.lit(True))
+    each = [x.join(days, "start_date", "left").withColumn("like", F.when(F.col("raw"), F.col("title")).otherwise(F.col("norm_title"))).drop("raw") for x in (a, b)]
+    return each[0], each[1]
+
+
+def _merged(kinds: DataFrame, *aggregates: Column) -> DataFrame:
+    """Kinds whose titles are looked at alike as one."""
+    return kinds.groupBy("start_date", "city", "artist", F.col("like").alias("title"), "norm_title").agg(*aggregates)
+
+
+def _of_kind(rows: DataFrame, kinds: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows (r) joined to their kinds (k)."""
+    on = [x.eqNullSafe(F.col(f"k.{c}")) if c == "title" else x == F.col(f"k.{c}") for c, x in _kind("r.").items()]
+    return rows.alias("r").join(kinds.alias("k"), on, how)
+
+
+def _told(kinds: DataFrame, found: DataFrame) -> DataFrame:
+    """Kinds with what was found of those that their titles were merged to."""
+    on = [kinds[c] == F.col(f"f.{c}") for c in ("start_date", "city", "artist")]
+    return kinds.join(found.alias("f"), [*on, kinds["like"].eqNullSafe(F.col("f.title"))]).select(*[kinds[c] for c in KIND], *[F.col(f"f.{c}") for c in found.columns if c not in KIND])
+
+
 def duplicate_pairs(primary: DataFrame, secondary: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """Aliased a (primary) and b (secondary) rows that are the same event."""
-    a, b = keyed(primary).filter("start_date <> ''"), keyed(secondary).filter("start_date <> ''")
+    """a (primary) and b (secondary) rows that are the same event, as structs.
+
+    Kinds are compared, and carry their rows in lists of HELD or so; so give no column that is not needed.
+    """
+
+    def listed(rows: DataFrame) -> DataFrame:
+        rows = rows.select("date", "city", "artist", "title", F.struct("*").alias("row"))
+        large = checkpointed(rows.withColumns(_kind()).filter("start_date <> ''").groupBy(*KIND).count().filter(F.col("count") > HELD))
+        part = F.lit(0)
+        if not large.isEmpty():
+            rows = _of_kind(rows, large, "left").select("r.*", F.col("k.count").alias("count"))
+            part = F.coalesce(F.pmod(F.xxhash64("row"), F.ceil(F.col("count") / HELD)), F.lit(0))
+        return _kinds(rows.withColumn("part", part), [F.collect_list("row").alias("rows")], "part")
+
+    found = _pairs(*(x.drop("part") for x in (listed(primary), listed(secondary))), crowded)
+    return found.select(F.explode("a.rows").alias("a"), F.col("b.rows").alias("rows")).select("a", F.explode("rows").alias("b"))
+
+
+def _pairs(a: DataFrame, b: DataFrame, crowded: int) -> DataFrame:
+    """Aliased a and b kinds that match."""
     days = _crowded(a.select("start_date").unionByName(b.select("start_date")), crowded)
     if days is None:
         return _pairs_by_day(a, b)
@@ -105,23 +163,19 @@ def _pairs_by_text(a: DataFrame, b: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def first_match(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+def first_match(primary: DataFrame, secondary: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Of each secondary row the first primary row that it matches: id, match_id."""
-    pairs = duplicate_pairs(primary, secondary)
-    return pairs.groupBy(F.col("b.id").alias("id")).agg(F.min_by("a.id", "a.ord").alias("match_id"))
+    a, b = _coarser(_kinds(primary, [F.min_by("id", "ord").alias("id"), F.min("ord").alias("ord")]), _kinds(secondary, [F.count(F.lit(1)).alias("n")]))
+    pairs = _pairs(_merged(a, F.min_by("id", "ord").alias("id"), F.min("ord").alias("ord")), _merged(b, F.sum("n").alias("n")), crowded)
+    found = pairs.groupBy(*[F.col(f"b.{c}").alias(c) for c in KIND]).agg(F.min_by("a.id", "a.ord").alias("match_id"), F.min("a.ord").alias("match_ord"))
+    return _of_kind(secondary, _told(b, found)).groupBy(F.col("r.id").alias("id")).agg(F.min_by("k.match_id", "k.match_ord").alias("match_id"))
 
 
 def new_rows(primary: DataFrame, secondary: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """Secondary rows that match no primary row.  Needs ``ord`` in the secondary list, unique there, for crowded dates."""
-    a, b = keyed(primary).filter("start_date <> ''"), keyed(secondary)
-    same = (F.col("a.start_date") == F.col("b.start_date")) & is_duplicate()
-    days = _crowded(a.select("start_date").unionByName(b.filter("start_date <> ''").select("start_date")), crowded)
-    few = (b if days is None else b.join(days, "start_date", "left_anti")).alias("b").join(a.alias("a"), same, "left_anti").drop("start_date", "norm_title")
-    if days is None:
-        return few
-    many = b.join(days, "start_date", "left_semi")
-    hit = _pairs_by_text(a.join(days, "start_date", "left_semi"), many).select(F.col("b.ord").alias("ord")).distinct()
-    return few.unionByName(many.join(hit, "ord", "left_anti").select(*few.columns))
+    """Secondary rows that match no primary row."""
+    a, b = _coarser(*(_kinds(x, [F.count(F.lit(1)).alias("n")]) for x in (primary, secondary)))
+    hit = _pairs(_merged(a, F.sum("n").alias("n")), _merged(b, F.sum("n").alias("n")), crowded).select(*[F.col(f"b.{c}").alias(c) for c in KIND]).distinct()
+    return _of_kind(secondary, _told(b, hit), "left_anti")
 
 
 def named(artist: Column) -> Column:
@@ -133,10 +187,13 @@ def enriched_title(title: Column, artist: Column) -> Column:
     return F.when(F.contains(title, artist), title).otherwise(F.concat(F.lit("【"), artist, F.lit("】"), bare))
 
 
-def enrich_artist(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+def enrich_artist(primary: DataFrame, secondary: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Primary rows without an artist, with that of the first named row that matches: id, artist, title."""
-    pairs = duplicate_pairs(primary, secondary).filter(~has("a.artist") & named(F.col("b.artist")))
-    best = pairs.groupBy(F.col("a.id").alias("id"), F.col("a.title").alias("title")).agg(F.min_by("b.artist", "b.ord").alias("artist"))
+    bare, first = primary.filter(~has("artist")), [F.min("ord").alias("ord")]
+    a, b = _coarser(_kinds(bare, [F.count(F.lit(1)).alias("n")]), _kinds(secondary.filter(named(F.col("artist"))), first))
+    pairs = _pairs(_merged(a, F.sum("n").alias("n")), _merged(b, *first), crowded)
+    found = pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in KIND]).agg(F.min_by("b.artist", "b.ord").alias("named"), F.min("b.ord").alias("ord"))
+    best = _of_kind(bare, _told(a, found)).groupBy(F.col("r.id").alias("id"), F.col("r.title").alias("title")).agg(F.min_by("k.named", "k.ord").alias("artist"))
     return best.select("id", "artist", enriched_title(F.col("title"), F.col("artist")).alias("title"))
 
 

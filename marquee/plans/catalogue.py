@@ -747,14 +747,14 @@ def _sources(spark, sf_dir):
 
 @query(PAIRS_SQL + "SELECT id_a, id_b FROM PAIRS")
 def dup_pairs(spark, sf_dir):
-    a, b, _ = _sources(spark, sf_dir)
+    a, b, _ = (x.select("id", "date", "city", "artist", "title") for x in _sources(spark, sf_dir))
     return merge.duplicate_pairs(a, b).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
 
 @query(PAIRS_SQL + "SELECT id_a, id_b FROM PAIRS")
 def dup_pairs_by_text(spark, sf_dir):
     """The pairs as crowded dates find them: by artists and by grams of titles."""
-    a, b, _ = _sources(spark, sf_dir)
+    a, b, _ = (x.select("id", "date", "city", "artist", "title") for x in _sources(spark, sf_dir))
     return merge.duplicate_pairs(a, b, crowded=1).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
 

@@ -149,3 +149,28 @@ def test_a_crowded_date_spreads(spark):
     assert parts.exceptAll(whole).isEmpty() and whole.exceptAll(parts).isEmpty() and parts.count() == 2000
     both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).withColumn("start_date", F.lit(DAY))
     assert m._by_component(both, spark.createDataFrame([(DAY,)], "start_date string")).select("scan").distinct().count() == 2000
+
+
+def test_rows_that_repeat_are_compared_once(spark):
+    """30,000 rows of a date on either side, of a few kinds: 900 million pairs of rows, and some ten of kinds."""
+    rows = lambda side: spark.range(30_000).select(F.concat(F.lit(side), F.col("id").cast("string")).alias("id"), F.lit("Some Show").alias("title"), F.lit(DAY).alias("date"), F.when(F.col("id") % 2 == 0, "上海").alias("city"), F.when(F.col("id") % 3 == 0, side.upper()).alias("artist"), F.col("id").alias("ord"))
+    a, b = rows("a"), rows("b")
+    # Named rows of both sides differ in their artists, all others match by title.
+    first = m.first_match(a, b)
+    assert first.count() == 30_000 and {x.match_id for x in first.select("match_id").distinct().collect()} == {"a0", "a1"}
+    assert m.new_rows(a, b).isEmpty()
+    assert m.enrich_artist(a, b).groupBy("artist").count().collect() == [("B", 20_000)]
+    assert m._kinds(a, [F.count(F.lit(1)).alias("n")]).count() == 4
+
+
+def test_lists_of_a_large_kind_are_cut(spark):
+    few, many = frame(spark, [dict(artist="P")] * 3), frame(spark, [dict(artist="P")] * (2 * m.HELD + 500))
+    got = m.duplicate_pairs(few, many).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
+    assert got.distinct().count() == got.count() == 3 * (2 * m.HELD + 500)
+
+
+def test_null_titles_match_by_artist_alone(spark):
+    rows = lambda *titles: spark.createDataFrame([(f"i{k}", t, DAY, None, "P", k) for k, t in enumerate(titles)], SCHEMA)
+    a, b = rows(None), rows(None, "x", "Some Show")
+    assert sorted(x.id for x in m.first_match(a, b).collect()) == ["i0", "i1", "i2"]
+    assert m.duplicate_pairs(a, b).count() == 3 and m.new_rows(a, b).isEmpty()
