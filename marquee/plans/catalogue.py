@@ -994,12 +994,13 @@ def map_merge_last_wins(spark, sf_dir):
 # --- streaming -------------------------------------------------------------------------------------
 
 
-def _landed(rows, folder: str, files: int) -> None:
-    """Upload files one after the other, so that a stream takes them in this order."""
+def _by_uploads(rows, folder: str, files: int, run) -> None:
+    """Runs a stream over uploads that come one after the other, each in as many files as its rows are dealt to."""
     held = rows.withColumnRenamed("updated_at", "updatedAt")
     size = rows.agg(F.max("ord")).first()[0] // files + 1
     for k in range(files):
-        held.filter(F.floor(F.col("ord") / size) == k).coalesce(1).write.mode("append").json(folder)
+        held.filter(F.floor(F.col("ord") / size) == k).write.mode("append").json(folder)
+        run()
 
 
 @query("SELECT id, title, city, coalesce(nullif(status, ''), 'Unknown') AS status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS r FROM (SELECT 'u' || CAST(ord % 300 AS VARCHAR) AS id, ord, title, city, status FROM L)) WHERE r = 1")
@@ -1007,9 +1008,8 @@ def stream_upsert_equals_batch(spark, sf_dir):
     """The table after four uploads, each a micro-batch of its own, which equals one keep-last upsert of all rows."""
     folder = scratch(spark, "uploads")
     rows = listings(spark, sf_dir).withColumn("id", F.concat(F.lit("u"), (F.col("ord") % 300).cast("string"))).drop("src")
-    _landed(rows, f"{folder}/in", 4)
     catalogue = store.Catalogue(spark, f"{folder}/table")
-    upsert_stream(uploads(spark, f"{folder}/in", max_files=1), catalogue, f"{folder}/progress").awaitTermination()
+    _by_uploads(rows, f"{folder}/in", 4, lambda: upsert_stream(uploads(spark, f"{folder}/in"), catalogue, f"{folder}/progress").awaitTermination())
     return catalogue.read().select("id", "title", "city", "status")
 
 
@@ -1023,9 +1023,9 @@ def upload_reports(spark, sf_dir):
     """What four uploads report: received and refused rows, and the rows of the table after each."""
     folder = scratch(spark, "reports")
     rows = listings(spark, sf_dir).withColumn("id", F.concat(F.lit("u"), (F.col("ord") % 3000).cast("string"))).drop("src")
-    _landed(rows.withColumn("title", F.when(F.col("ord") % 50 == 7, "").otherwise(F.col("title"))), f"{folder}/in", 4)
+    rows = rows.withColumn("title", F.when(F.col("ord") % 50 == 7, "").otherwise(F.col("title")))
     catalogue = store.Catalogue(spark, f"{folder}/table")
-    upsert_stream(uploads(spark, f"{folder}/in", max_files=1), catalogue, f"{folder}/progress", reports=f"{folder}/reports").awaitTermination()
+    _by_uploads(rows, f"{folder}/in", 4, lambda: upsert_stream(uploads(spark, f"{folder}/in"), catalogue, f"{folder}/progress", reports=f"{folder}/reports").awaitTermination())
     return read_reports(spark, f"{folder}/reports")
 
 
@@ -1034,11 +1034,10 @@ def stream_merge(spark, sf_dir):
     """Two uploads, each a micro-batch of its own, merged into a table that holds the first source."""
     a, b, c = _sources(spark, sf_dir)
     folder = scratch(spark, "merges")
-    for rows in (b, c):
-        rows.withColumnRenamed("updated_at", "updatedAt").coalesce(1).write.mode("append").json(f"{folder}/in")
     catalogue = store.Catalogue(spark, f"{folder}/table")
     catalogue.upsert(a)
-    upsert_stream(uploads(spark, f"{folder}/in", max_files=1), catalogue, f"{folder}/progress", smart=True).awaitTermination()
+    for rows in (b, c):
+        _by_uploads(rows, f"{folder}/in", 1, lambda: upsert_stream(uploads(spark, f"{folder}/in"), catalogue, f"{folder}/progress", smart=True).awaitTermination())
     return catalogue.read().select("id", "title", "artist")
 
 
@@ -1055,25 +1054,29 @@ def upsert_in_buckets(spark, sf_dir):
 _STATUS_SQL = "CASE event_type WHEN 'view' THEN 'idle' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'error' END"
 
 
-def _landed_events(spark, sf_dir, folder: str, files: int) -> None:
-    """Events by time in files one after the other."""
+def _by_arrivals(spark, sf_dir, folder: str, files: int, run) -> None:
+    """Runs a stream over events that come by time in parts one after the other, each in as many files as the table is read in."""
     rows = table(spark, sf_dir, "events")
     low, high = rows.agg(F.min("ts"), F.max("ts")).first()
     for k in range(files):
         a, b = low + (high - low) * k / files, low + (high - low) * (k + 1) / files
         part = rows.filter((F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) | F.lit(k == files - 1)))
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part.write.mode("append").parquet(folder)
+        run()
 
 
 @query(f"SELECT user_id, event_id, before, status FROM (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM (SELECT event_id, user_id, ts, {_STATUS_SQL} AS status FROM events)) WHERE before IS NOT NULL AND before <> status", view=False)
 def stream_transitions(spark, sf_dir):
     """The transitions of each user as events arrive, in three micro-batches."""
     folder = scratch(spark, "transitions")
-    _landed_events(spark, sf_dir, f"{folder}/in", 3)
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    log = events.select("user_id", F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.expr(_STATUS_SQL).alias("status"))
-    changes = transition_stream(log, "user_id")
-    changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+
+    def run():
+        events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{folder}/in")
+        log = events.select("user_id", F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.expr(_STATUS_SQL).alias("status"))
+        changes = transition_stream(log, "user_id")
+        changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+
+    _by_arrivals(spark, sf_dir, f"{folder}/in", 3, run)
     return spark.read.parquet(f"{folder}/out").select("user_id", F.col("seq").alias("event_id"), "before", "status")
 
 
@@ -1081,9 +1084,12 @@ def stream_transitions(spark, sf_dir):
 def stream_first_seen(spark, sf_dir):
     """Each user's kinds of events once, as they arrive in three micro-batches."""
     folder = scratch(spark, "first-seen")
-    _landed_events(spark, sf_dir, f"{folder}/in", 3)
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    source = source.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
-    seen = first_seen(source, ["user_id", "event_type"], "at", "3650 days").select("user_id", "event_type")
-    seen.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+
+    def run():
+        source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{folder}/in")
+        source = source.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+        seen = first_seen(source, ["user_id", "event_type"], "at", "3650 days").select("user_id", "event_type")
+        seen.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+
+    _by_arrivals(spark, sf_dir, f"{folder}/in", 3, run)
     return spark.read.parquet(f"{folder}/out")

@@ -46,3 +46,14 @@ def test_a_run_that_hangs_goes_to_error(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.id, r.seq or 0, r.before, r.status) for r in spark.read.parquet(str(tmp_path / "out")).select("id", "seq", "before", "status").collect())
     assert got == [("a", 0, "running", "error"), ("a", 2, "idle", "running"), ("b", 4, "running", "completed")]
+
+
+def test_uploads_land_in_many_files_and_are_a_batch_each(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from marquee.plans import catalogue
+
+    rows = spark.range(1000).repartition(3).select(F.col("id").alias("ord"), F.lit(1).alias("updated_at"))
+    seen = []
+    catalogue._by_uploads(rows, str(tmp_path / "in"), 4, lambda: seen.append((len(list((tmp_path / "in").glob("*.json"))), spark.read.json(str(tmp_path / "in")).count())))
+    assert [n for _, n in seen] == [250, 500, 750, 1000] and seen[0][0] == 3
