@@ -16,8 +16,10 @@ BITS = 32768
 #: Lengths of letter groups.  A search takes the longest that its words have, so words of one or two letters, as Chinese ones are, are found too.
 GRAMS = (1, 2, 3)
 TEXTS = ("title", "venue", "city", "artist")
+#: Those that are also looked for as wholes.
+FACETS = ("city", "artist")
 PLACE = ("write", "bucket", "month", "file")
-KINDS = ("city", "artist", *(f"grams{n}" for n in GRAMS))
+KINDS = (*FACETS, *(f"grams{n}" for n in GRAMS))
 #: Columns of a summary but for the write.
 SUMMARY = "bucket int, month string, file string, n long, least string, greatest string, " + ", ".join(f"{k} binary" for k in KINDS)
 
@@ -40,11 +42,15 @@ def _bits(kind: str, texts: Column) -> Column:
 def summarise(rows: DataFrame) -> DataFrame:
     """A row a file of rows with write, bucket, month and file.
 
-    Bits of a file are made distinct in the tasks first, so what is shuffled has a bound by file and not by row.
+    Texts and bits of a file are made distinct in the tasks first, so what repeats within a file is neither cut nor shuffled again.
     """
-    bits = [_bits("city", F.array("city")), _bits("artist", F.array("artist"))]
-    bits += [_bits(f"grams{n}", F.concat(*(_grams(F.col(c), n) for c in TEXTS))) for n in GRAMS]
-    seen = rows.select(*PLACE, F.explode(F.concat(*bits)).alias("x")).select(*PLACE, "x.*").distinct()
+    texts = rows.select(*PLACE, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in TEXTS))).alias("t")).select(*PLACE, "t.*")
+    # A text is cut once for a file, however many of its rows and columns have it.
+    texts = texts.filter("text IS NOT NULL").groupBy(*PLACE, "text").agg(*(F.max(F.col("column") == c).alias(c) for c in FACETS))
+    facets = F.filter(F.array(*(F.when(F.col(c), F.lit(c)) for c in FACETS)), lambda kind: kind.isNotNull())
+    whole = F.transform(facets, lambda kind: F.struct(kind.alias("kind"), F.pmod(F.xxhash64("text"), F.lit(BITS)).cast("int").alias("bit")))
+    bits = [whole, *(_bits(f"grams{n}", _grams(F.col("text"), n)) for n in GRAMS)]
+    seen = texts.select(*PLACE, F.explode(F.concat(*bits)).alias("x")).select(*PLACE, "x.*").distinct()
     maps = seen.groupBy(*PLACE).agg(*(F.bitmap_construct_agg(F.when(F.col("kind") == k, F.col("bit"))).alias(k) for k in KINDS))
     zones = rows.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("least"), F.max("date").alias("greatest"))
     return zones.join(maps, list(PLACE), "left")

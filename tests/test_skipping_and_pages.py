@@ -186,3 +186,13 @@ def test_pages_after_a_row_walk_through_all(spark):
     assert "TakeOrderedAndProject" in pages.page_after(frame, None, "x", 5)._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         pages.page_after(frame, "", "x", 0)
+
+
+def test_a_text_is_cut_once_for_a_file(spark):
+    from marquee.operators import skipping
+
+    rows = spark.range(100).selectExpr("'w' AS write", "1 AS bucket", "'' AS month", "'f' AS file", "'2026.05.01' AS date", "'Some Show' AS title", "'Hall' AS venue", "'A' AS city", "'Hall' AS artist")
+    made = skipping.summarise(rows)
+    assert made.count() == 1
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert any("Aggregate [write" in line and ", text#" in line.split("]")[0] for line in plan.splitlines())
