@@ -6,16 +6,20 @@ and title match alike, so rows that repeat these cost one comparison.  On a date
 pairs come from an index of grams (``containment``) or from equal artists instead of from all pairs.
 
 The merge itself depends on the order of rows and on its own enrichments, so it runs as a scan of
-rows in order, of which only the compared columns become Python values.  What is scanned together is
+rows in order, of which only the compared columns become Python values.  A row looks for its match among kinds of kept rows, and
+the steps of several sources are taken in one scan.  What is scanned together is
 a start date, and on a crowded date a component: rows that can never match, whatever the merge makes of them, need
 not see each other.
 """
 
 from __future__ import annotations
 
+import collections
+import functools
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marquee.folders import checkpointed
@@ -24,8 +28,10 @@ from marquee.operators.components import components
 from marquee.operators.containment import contained
 from marquee.schema import EMPTY_ARTISTS
 
-#: Kinds of one start date from which on its pairs, and rows from which on its merge, go by texts instead of by the date.
+#: Kinds of one start date from which on its pairs and its merge go by texts instead of by the date.
 CROWDED = 2_000
+#: Up to so many crowded dates are broadcast to find their rows.
+BROADCAST_DAYS = 100_000
 
 
 def _within(a: Column, b: Column) -> Column:
@@ -201,6 +207,7 @@ _BLANKS = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in BLANK_RANGES
 _WORDS = re.compile(NOISE_WORDS)
 
 
+@functools.lru_cache(100_000)
 def plain_title(title: str) -> str:
     """normalize_title for the scan, where titles change on the way."""
     out = _BLANKS.sub("", title.lower())
@@ -209,67 +216,156 @@ def plain_title(title: str) -> str:
     return _WORDS.sub("", re.sub(r"[0-9]{4}", "", out))
 
 
-def _same(a: dict, b: dict) -> bool:
-    if not (a["city"] in b["city"] or b["city"] in a["city"]):
-        return False
-    if a["artist"] and b["artist"]:
-        return a["artist"] == b["artist"]
-    left, right = ("title", "title") if min(len(a["plain"]), len(b["plain"])) < 2 else ("plain", "plain")
-    return a[left] in b[right] or b[right] in a[left]
-
-
-def scan_day(rows: list[dict]) -> None:
-    """Merges the rows of one start date, given in order: sets action, artist and title of each."""
-    kept: list[dict] = []
-    for row in rows:
-        row |= {"city": row["city"] or "", "artist": row["artist"] or "", "plain": plain_title(row["title"])}
-        match = next((k for k in kept if _same(k, row)), None) if row["side"] else None
-        if match is None:
-            row["action"] = "new" if row["side"] else "kept"
-            kept.append(row)
+def _alike(a: tuple[str, str], b: tuple[str, str]) -> bool:
+    """Of two texts (normalised title, title).  Titles of one code point are too short to be compared normalised."""
+    k = 1 if min(len(a[0]), len(b[0])) < 2 else 0
+    return a[k] in b[k] or b[k] in a[k]
+
+
+class _Kept:
+    """Kept rows by what the predicate looks at, so that a row finds the first that it matches without a look at each.
+
+    Rows with an artist never change: the first of each artist and city, and of each text and city, is all that can be found.
+    Those without queue by text and city; the first of a queue leaves it as it gets an artist.
+    """
+
+    def __init__(self):
+        self.by_artist: dict = collections.defaultdict(dict)
+        self.named: dict = collections.defaultdict(dict)
+        self.bare: dict = collections.defaultdict(dict)
+        self.texts: dict = {}
+        self.order: list = []
+        self.seen: dict = {}
+
+    def add(self, at: int, city: str, artist: str, text: tuple | None) -> None:
+        if text is not None and text not in self.texts:
+            self.texts[text] = None
+            self.order.append(text)
+        if not artist:
+            self.bare[text].setdefault(city, collections.deque()).append(at)
+            return
+        for first in (self.by_artist[artist], self.named[text]):
+            if first.get(city, at) >= at:
+                first[city] = at
+
+    def name(self, at: int, city: str, artist: str, text: tuple, new: tuple) -> None:
+        """The row at the front of its queue gets an artist, and with it a title."""
+        queue = self.bare[text][city]
+        assert queue.popleft() == at
+        if not queue:
+            del self.bare[text][city]
+        self.add(at, city, artist, new)
+
+    def _texts_like(self, text: tuple) -> list:
+        upto, found = self.seen.get(text, (0, []))
+        if upto < len(self.order):
+            found.extend(t for t in self.order[upto:] if _alike(text, t))
+            self.seen[text] = (len(self.order), found)
+        return found
+
+    def first(self, city: str, artist: str, text: tuple | None) -> int | None:
+        best = None
+        if artist and artist in self.by_artist:
+            for c, at in self.by_artist[artist].items():
+                if (best is None or at < best) and (c in city or city in c):
+                    best = at
+        for like in self._texts_like(text) if text is not None else ():
+            if like in self.bare:
+                for c, queue in self.bare[like].items():
+                    if (best is None or queue[0] < best) and (c in city or city in c):
+                        best = queue[0]
+            if not artist and like in self.named:
+                for c, at in self.named[like].items():
+                    if (best is None or at < best) and (c in city or city in c):
+                        best = at
+        return best
+
+
+class _Scan:
+    """The rows of one scan: their compared values, which change in the merge."""
+
+    def __init__(self, cities: list, artists: list, titles: list):
+        self.city, self.artist, self.title = ([x or "" for x in cities], [x or "" for x in artists], titles)
+        # A normalised title stays as a row gets an artist, but for artists with a closing bracket; so it stands for the title unless titles are compared raw.
+        plains = [plain_title(t) for t in set(titles) if t is not None]
+        self.raw = any(len(p) < 2 for p in plains) or any("】" in a for a in set(self.artist))
+        self.text = [self._text(t) for t in titles]
+
+    def _text(self, title: str | None) -> tuple | None:
+        return None if title is None else (plain_title(title), title if self.raw else "")
+
+    def merge(self, primary: list[int], secondary: list[int]) -> tuple[list[int], set[int]]:
+        """The rows that stay, in order, and those that took an artist from one that does not."""
+        kept, stay, changed = _Kept(), [], set()
+        for row in primary:
+            kept.add(len(stay), self.city[row], self.artist[row], self.text[row])
+            stay.append(row)
+        for row in secondary:
+            city, artist, text = self.city[row], self.artist[row], self.text[row]
+            at = kept.first(city, artist, text)
+            if at is None:
+                kept.add(len(stay), city, artist, text)
+                stay.append(row)
+                continue
+            match = stay[at]
+            # One that has an artist, even one that says nothing, is matched by rows of that artist or of none.
+            if artist and artist not in EMPTY_ARTISTS and not self.artist[match]:
+                before = self.text[match]
+                if artist not in self.title[match]:
+                    self.title[match] = f"【{artist}】" + re.sub("^【.*?】", "", self.title[match])
+                    self.text[match] = self._text(self.title[match])
+                self.artist[match] = artist
+                changed.add(match)
+                kept.name(at, self.city[match], artist, before, self.text[match])
+        return stay, changed
+
+
+def _decided(rows: pa.Table) -> pa.Table:
+    """Whole scans, in order of ``scan``, ``place`` and ``ord``: the rows that stay, as they are then.
+
+    Lists from the second on (``place``) are merged into the first of them; what stays is merged into the existing list (place 0).
+    """
+    scans, places, cities, artists, titles = (rows.column(c).to_pylist() for c in ("scan", "place", "city", "artist", "title"))
+    stays, actions, first = [], [], 0
+    for end in range(1, len(scans) + 1):
+        if end < len(scans) and scans[end] == scans[first]:
             continue
-        row["action"] = "absorbed"
-        if (not match["artist"] or match["artist"] in EMPTY_ARTISTS) and row["artist"] and row["artist"] not in EMPTY_ARTISTS:
-            match["artist"], match["changed"] = row["artist"], True
-            if row["artist"] not in match["title"]:
-                match["title"] = f"【{row['artist']}】" + re.sub("^【.*?】", "", match["title"])
-                match["plain"] = plain_title(match["title"])
-
-
-def _decided(rows_: pa.Table) -> pa.Table:
-    rows = rows_.select(["start_date", "scan", "side", "title", "city", "artist"]).to_pylist()
-    first = 0
-    for k in range(1, len(rows) + 1):
-        if k == len(rows) or rows[k]["scan"] != rows[first]["scan"]:
-            if rows[first]["start_date"]:
-                scan_day(rows[first:k])
-            else:
-                for row in rows[first:k]:
-                    row["action"] = "new" if row["side"] else "kept"
-            first = k
-    new = lambda c: [r[c] if r.get("changed") else old for r, old in zip(rows, rows_.column(c).to_pylist(), strict=True)]
-    for c in ("artist", "title"):
-        rows_ = rows_.set_column(rows_.column_names.index(c), c, pa.array(new(c), pa.string()))
-    actions = [r["action"] + "+enriched" * ("changed" in r) for r in rows]
-    rows_ = rows_.append_column("action", pa.array(actions, pa.string()))
-    return rows_.filter(pa.array([a != "absorbed" for a in actions])).drop_columns(["start_date", "scan"])
+        of, marked = range(first, end), set()
+        if scans[first]:
+            scan = _Scan(cities[first:end], artists[first:end], list(titles[first:end]))
+            lists = [[k for k, place in enumerate(places[first:end]) if low <= place <= high] for low, high in ((0, 0), (1, 1), (2, 1 << 30))]
+            combined, took = scan.merge(lists[1], lists[2]) if lists[2] else (lists[1], set())
+            own, marked = scan.merge(lists[0], combined)
+            for k in took | marked:
+                artists[first + k], titles[first + k] = scan.artist[k], scan.title[k]
+            of, marked = sorted(first + k for k in own), {first + k for k in marked}
+        stays.extend(of)
+        actions.extend(("new" if places[k] else "kept") + "+enriched" * (k in marked) for k in of)
+        first = end
+    for c, values in (("artist", artists), ("title", titles)):
+        rows = rows.set_column(rows.column_names.index(c), c, pa.array(values, pa.string()))
+    return rows.drop_columns(["scan", "place"]).take(pa.array(stays, pa.int64())).append_column("action", pa.array(actions, pa.string()))
 
 
 def _scan(batches):
     """What is scanned together as it streams by in order; what goes on in the next batch waits for its end."""
-    held = None
+    held: list[pa.Table] = []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         rows = pa.Table.from_batches([batch])
-        rows = rows if held is None else pa.concat_tables([held, rows])
-        scans = rows.column("scan").to_pylist()
-        cut = len(scans)
-        while cut and scans[-1] and scans[cut - 1] == scans[-1]:
-            cut -= 1
-        if cut:
+        scans = rows.column("scan")
+        last = scans[-1].as_py()
+        cut = pc.index(scans, scans[-1]).as_py() if last else len(scans)
+        if held and (cut or held[0].column("scan")[0].as_py() != last):
+            yield from _decided(pa.concat_tables([*held, rows.slice(0, cut)])).to_batches()
+            held = []
+        elif cut:
             yield from _decided(rows.slice(0, cut)).to_batches()
-        held = rows.slice(cut)
-    if held is not None and held.num_rows:
-        yield from _decided(held).to_batches()
+        if cut < len(scans):
+            held.append(rows.slice(cut))
+    if held:
+        yield from _decided(pa.concat_tables(held)).to_batches()
 
 
 def merge(primary: DataFrame, secondary: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -277,16 +373,17 @@ def merge(primary: DataFrame, secondary: DataFrame, crowded: int = CROWDED) -> D
 
     Rows need ``ord``, unique in each list.  Undated rows match nothing and are all kept; they
     are dealt by ``ord``.  One shuffle brings each start date together, or each component of a crowded one; its rows stream by
-    sorted, and only one date's or component's are held.
+    sorted, and only one date's or component's are held.  All columns go through Python, so give none that is not needed.
     """
-    both = primary.withColumn("side", F.lit(0)).unionByName(secondary.withColumn("side", F.lit(1)))
-    both = both.withColumn("start_date", start_date(F.col("date")))
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name != "start_date")
-    days = _crowded(both.filter("start_date <> ''").select("start_date"), crowded)
-    both = both.withColumn("scan", F.col("start_date")) if days is None else _by_component(both, days)
-    key = F.when(F.col("start_date") == "", F.col("ord").cast("string")).otherwise(F.col("scan"))
-    sorted_ = both.repartition(key).sortWithinPartitions("scan", "side", "ord")
-    return sorted_.mapInArrow(_scan, f"{columns}, action string")
+    return merge_all(primary, [secondary], crowded)
+
+
+def _spread(rows: DataFrame, crowded: int) -> DataFrame | None:
+    """The start dates that go by components: of some ``crowded`` kinds, by which the work of a scan grows, or 100 times as many rows, which it holds."""
+    kinds = F.approx_count_distinct(F.xxhash64("city", "artist", "title"))
+    found = rows.filter("start_date <> ''").groupBy("start_date").agg(kinds.alias("kinds"), F.count(F.lit(1)).alias("n"))
+    found = checkpointed(found.filter((F.col("kinds") >= crowded) | (F.col("n") >= 100 * crowded)).select("start_date"))
+    return None if found.isEmpty() else found
 
 
 def _by_component(both: DataFrame, days: DataFrame) -> DataFrame:
@@ -298,7 +395,9 @@ def _by_component(both: DataFrame, days: DataFrame) -> DataFrame:
     rows of one artist; normalised titles that contain each other; and for titles too short to be normalised, raw titles and those without
     brackets that contain each other, and the artists that such a title may meet in the brackets of an enriched one.
     """
-    rows = both.join(days, "start_date", "left_semi").select("start_date", "title", normalize_title(F.col("title")).alias("norm_title"), F.coalesce("artist", F.lit("")).alias("artist")).distinct()
+    days = F.broadcast(days) if days.limit(BROADCAST_DAYS + 1).count() <= BROADCAST_DAYS else days
+    rows = both.join(days, "start_date", "left_semi").select("start_date", "title", F.coalesce("artist", F.lit("")).alias("artist")).distinct()
+    rows = rows.withColumn("norm_title", normalize_title(F.col("title")))
     own = F.when(_short(), F.concat(F.lit("raw "), "title")).otherwise(F.concat(F.lit("plain "), "norm_title"))
     node = lambda text: F.xxhash64("start_date", text)
     rows = checkpointed(rows.withColumns({"own": node(own), "bare": F.regexp_replace("title", "^【.*?】", "")}))
@@ -328,11 +427,13 @@ def _by_component(both: DataFrame, days: DataFrame) -> DataFrame:
     # An artist with brackets in the name leaves no rule, so all short titles of its date go with it.
     odd = rows.filter(F.contains("artist", F.lit("】"))).select("start_date", artist(F.col("artist")).alias("b")).distinct().join(short.select("start_date", F.col("own").alias("a")), "start_date").select("a", "b")
     found = components(ends.unionByName(by_artist).unionByName(in_brackets).unionByName(odd))
-    norm = normalize_title(F.col("title"))
-    kept = F.when(F.length(norm) < 2, F.concat(F.lit("raw "), "title")).otherwise(F.concat(F.lit("plain "), norm))
-    crowded = both.join(days, "start_date", "left_semi").withColumn("node", node(kept))
-    crowded = crowded.join(found, "node", "left").withColumn("scan", F.concat_ws(" ", "start_date", F.coalesce("component", "node").cast("string"))).drop("node", "component")
-    return both.join(days, "start_date", "left_anti").withColumn("scan", F.col("start_date")).unionByName(crowded.select(*both.columns, "scan"))
+    parts = rows.select("start_date", "title", "own").distinct().join(found, F.col("own") == F.col("node"), "left")
+    parts = parts.select(F.col("start_date").alias("day"), F.col("title").alias("of"), F.coalesce("component", "own").cast("string").alias("part"))
+    marked = both.join(days.withColumn("many", F.lit(True)), "start_date", "left")
+    # Rows of other dates have no part; they look for it under keys of their own, so that they do not meet in one task.
+    day = F.when(F.col("many"), F.col("start_date")).otherwise(F.concat(F.lit("#"), F.col("ord").cast("string")))
+    marked = marked.withColumn("asked", day).join(parts, (F.col("asked") == F.col("day")) & F.col("title").eqNullSafe(F.col("of")), "left")
+    return marked.select(*both.columns, F.concat_ws(" ", "start_date", "part").alias("scan"))
 
 
 def as_list(merged: DataFrame) -> DataFrame:
@@ -347,19 +448,32 @@ def stored_order(stored: DataFrame) -> DataFrame:
     return stored.withColumn("ord", F.when(start == "", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).otherwise(place.cast("long")))
 
 
-def merge_all(existing: DataFrame, sources: list[DataFrame]) -> DataFrame:
-    """Sources merged by priority, then into the existing list, which wins."""
-    combined = sources[0]
-    for step, source in enumerate(sources[1:], 1):
-        merged = merge(combined, source)
-        combined = merged.withColumn("ord", F.col("side").cast("long") * F.lit(step << 52) + F.col("ord")).drop("side", "action")
-    return merge(existing, combined)
+def merge_all(existing: DataFrame, sources: list[DataFrame], crowded: int = CROWDED) -> DataFrame:
+    """Sources merged by priority, then into the existing list, which wins.
+
+    Start dates never meet, so all steps of one are taken in the scan that has its rows, after one shuffle.
+    """
+    both = existing.withColumns({"side": F.lit(0), "place": F.lit(0)})
+    for k, source in enumerate(sources):
+        place = F.col("ord") + F.lit(k << 52) if k else F.col("ord")
+        both = both.unionByName(source.withColumns({"ord": place, "side": F.lit(1), "place": F.lit(k + 1)}))
+    both = both.withColumn("start_date", F.coalesce(start_date(F.col("date")), F.lit("")))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name not in ("start_date", "place"))
+    days = _spread(both, crowded)
+    both = both.withColumn("scan", F.col("start_date")) if days is None else _by_component(both, days)
+    key = F.when(F.col("start_date") == "", F.col("ord").cast("string")).otherwise(F.col("scan"))
+    sorted_ = both.repartition(key).drop("start_date").sortWithinPartitions("scan", "place", "ord")
+    return sorted_.mapInArrow(_scan, f"{columns}, action string")
+
 
+def summary(merged: DataFrame, before: int | None = None) -> DataFrame:
+    """n_new, n_enriched, total_combined, total_new: counted before the store drops repeated ids.
 
-def summary(merged: DataFrame, before: int) -> DataFrame:
-    """n_new, n_enriched, total_combined, total_new: counted before the store drops repeated ids."""
+    ``before``: the rows of the primary list, all of which the merge keeps, so they need no count of their own.
+    """
     return merged.agg(
         F.count_if(F.col("action").startswith("new")).alias("n_new"),
         F.count_if(F.col("action").endswith("+enriched")).alias("n_enriched"),
         F.count(F.lit(1)).alias("total_combined"),
-    ).withColumn("total_new", F.col("total_combined") - before)
+        F.count_if(F.col("side") == 1).alias("added"),
+    ).select("n_new", "n_enriched", "total_combined", (F.col("added") if before is None else F.col("total_combined") - before).alias("total_new"))

@@ -745,6 +745,10 @@ def _sources(spark, sf_dir):
     return [rows.filter(F.col("src") == k).drop("src") for k in range(3)]
 
 
+def _to_merge(spark, sf_dir):
+    return [x.select("id", "ord", "title", "date", "city", "artist") for x in _sources(spark, sf_dir)]
+
+
 @query(PAIRS_SQL + "SELECT id_a, id_b FROM PAIRS")
 def dup_pairs(spark, sf_dir):
     a, b, _ = (x.select("id", "date", "city", "artist", "title") for x in _sources(spark, sf_dir))
@@ -761,7 +765,7 @@ def dup_pairs_by_text(spark, sf_dir):
 @query(MERGE_SQL + "SELECT id, title, artist, side, ord, action FROM M1", view=False)
 def merge_by_component(spark, sf_dir):
     """The merge as crowded dates do it."""
-    a, b, _ = _sources(spark, sf_dir)
+    a, b, _ = _to_merge(spark, sf_dir)
     return merge.merge(a, b, crowded=1).select("id", "title", "artist", "side", "ord", "action")
 
 
@@ -789,13 +793,13 @@ def enrich_artist(spark, sf_dir):
 
 @query(MERGE_SQL + "SELECT id, title, artist, side, ord, action FROM M1", view=False)
 def merge_full(spark, sf_dir):
-    a, b, _ = _sources(spark, sf_dir)
+    a, b, _ = _to_merge(spark, sf_dir)
     return merge.merge(a, b).select("id", "title", "artist", "side", "ord", "action")
 
 
 @query(MERGE_ALL_SQL + "SELECT id, title, artist, side, ord, action FROM M3", view=False)
 def merge_sources(spark, sf_dir):
-    a, b, c = _sources(spark, sf_dir)
+    a, b, c = _to_merge(spark, sf_dir)
     return merge.merge_all(a.filter("ord % 4 < 2"), [a, b, c]).select("id", "title", "artist", "side", "ord", "action")
 
 
@@ -806,8 +810,8 @@ def merge_sources(spark, sf_dir):
     view=False,
 )
 def merge_summary(spark, sf_dir):
-    a, b, _ = _sources(spark, sf_dir)
-    return merge.summary(merge.merge(a, b), a.count())
+    a, b, _ = _to_merge(spark, sf_dir)
+    return merge.summary(merge.merge(a, b))
 
 
 # --- calendar --------------------------------------------------------------------------------------

@@ -174,3 +174,43 @@ def test_null_titles_match_by_artist_alone(spark):
     a, b = rows(None), rows(None, "x", "Some Show")
     assert sorted(x.id for x in m.first_match(a, b).collect()) == ["i0", "i1", "i2"]
     assert m.duplicate_pairs(a, b).count() == 3 and m.new_rows(a, b).isEmpty()
+
+
+@pytest.mark.parametrize(("seed", "crowded"), [(0, 10**9), (1, 10**9), (2, 3)])
+def test_all_sources_are_merged_in_one_scan(spark, seed, crowded):
+    """Three sources and the existing list, against a merge a step; there is one pass over the rows."""
+    r = random.Random(seed)
+    make = lambda n: frame(spark, [dict(title=r.choice(TITLES), artist=r.choice(["", "", "", "P", "Q", "Unknown", "群星", "Be】x"]), city=r.choice(["上海", "上海市", "北京", ""]), date=r.choice([DAY, "2026-05-01 周五", "2026.05.02", "TBD"])) for _ in range(n)])
+    existing, a, b, c = make(10), make(12), make(25), make(25)
+    out = m.merge_all(existing, [a, b, c], crowded)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    combined = a
+    for step, source in enumerate([b, c], 1):
+        combined = m.merge(combined, source, 10**9).withColumn("ord", F.col("side").cast("long") * F.lit(step << 52) + F.col("ord")).drop("side", "action")
+    wanted = m.merge(existing, combined, 10**9)
+    rows = lambda x: [tuple(r) for r in x.select("id", "title", "artist", "side", "ord", "action").orderBy("side", "ord").collect()]
+    assert rows(out) == rows(wanted)
+
+
+def test_a_row_looks_at_kinds_and_not_at_rows(spark, monkeypatch):
+    """20,000 rows on either side of a date: 400 million pairs of rows, and a few texts."""
+    looks = []
+    alike = m._alike
+    monkeypatch.setattr(m, "_alike", lambda a, b: looks.append(1) or alike(a, b))
+    n = 20_000
+    scan = m._Scan(["上海"] * 2 * n, [""] * n + ["P", "Q"] * (n // 2), ["Some Show"] * n + ["Some Show", "Other Event"] * (n // 2))
+    stay, changed = scan.merge(list(range(n)), list(range(n, 2 * n)))
+    # The first row takes P and absorbs all of P; rows of Q are of another text, and one of them stays.
+    assert stay == [*range(n), n + 1] and changed == {0} and scan.artist[0] == "P" and len(looks) <= 10
+
+
+def test_a_null_title_and_a_null_date(spark):
+    rows = spark.createDataFrame([("a", None, DAY, None, "P", 0), ("b", "x", None, None, "", 1), ("c", None, DAY, None, "", 2)], SCHEMA)
+    out = m.merge(rows, rows.withColumn("ord", F.col("ord") + 10)).orderBy("side", "ord").collect()
+    assert [(x.id, x.title, x.action) for x in out] == [("a", None, "kept"), ("b", "x", "kept"), ("c", None, "kept"), ("b", "x", "new"), ("c", None, "new")]
+
+
+def test_a_summary_needs_no_count_of_the_primary_list(spark):
+    a, b = frame(spark, [dict(title="foo foo"), dict(title="bar bar")]), frame(spark, [dict(title="foo foo", artist="P"), dict(title="new one")])
+    merged = m.merge(a, b)
+    assert m.summary(merged).collect() == m.summary(merged, 2).collect() and m.summary(merged).first().total_new == 1
