@@ -146,9 +146,10 @@ def run_lengths(text: np.ndarray, places: np.ndarray, cap: int) -> np.ndarray:
 
 def _ranked(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order by some keys, the first before the others, and if each row in order differs from the one before."""
-    order = np.lexsort(keys[::-1])
+    keys = [k for k in keys if len(k) and k.min() != k.max()] or keys[:1]
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    new[1:] = np.any([x[1:] != x[:-1] for x in (k[order] for k in keys)], axis=0)
     return order, new
 
 
@@ -196,7 +197,7 @@ def doubled(names: np.ndarray, depth: int) -> np.ndarray:
         behind = np.zeros(len(rank), np.int64)
         behind[: len(rank) - reach] = rank[reach:]
         both = (rank << 32) | behind
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)  # equal ones may come in any order
         if 2 * reach >= depth:
             return order
         new = np.concatenate([[1], (np.diff(both[order]) != 0).astype(np.int64)])

@@ -23,6 +23,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -38,6 +39,8 @@ CHUNK, SHARD_TEXT, BUCKET_TEXT = 512 << 10, 16 << 20, 32 << 20
 HOT, GROUPS = 64, 2
 #: Windows of a chunk that are looked at together.
 BLOCK = 1 << 22
+#: Pairs of a hot part's place and an owner that are looked at together.
+PAIRS = 1 << 20
 _BITS = 22
 _NONE = hashlib.sha256(b"").hexdigest()
 
@@ -353,23 +356,40 @@ def _by(key: np.ndarray, values: np.ndarray, name: str):
         yield pa.RecordBatch.from_pydict(columns)
 
 
+def _flat(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Packed values of all rows, and how many each has."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind), pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
+
+
 def _later(batches):
-    """Seats of hot parts with the owners of their windows: the runs of each seat whose document is later."""
+    """Seats of hot parts with the owners of their windows: the runs of each seat whose document is later, together for each chunk of a batch."""
     for batch in batches:
-        chunks, out = [], []
-        for chunk, seats, told in zip(*(batch.column(c).to_pylist() for c in ("chunk", "seats", "told")), strict=True):
-            seats, told = np.frombuffer(seats, _SEAT), np.frombuffer(told, _OWNER)
-            for a, b in ((a, min(a + 4096, len(seats))) for a in range(0, len(seats), 4096)):
-                part = seats[a:b]
-                goes = (part["text"] < 0)[:, None] | (told["doc"][None] < part["doc"][:, None])
-                i, j = np.nonzero(goes)
-                if len(i):
-                    runs = np.zeros(len(i), _RUN)
-                    runs["text"] = np.where(part["text"] < 0, ~part["text"], part["text"])[i]
-                    runs["start"] = runs["last"] = part["start"][i] + told["start"][j]
-                    chunks.append(chunk)
-                    out.append(_merged(runs, 0).tobytes())
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int64()), "told": pa.array(out, pa.binary())})
+        chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
+        (seats, n_seats), (told, n_told) = _flat(batch.column("seats"), _SEAT), _flat(batch.column("told"), _OWNER)
+        row = np.repeat(np.arange(len(chunk)), n_seats)
+        pairs, begin = n_told[row], (np.cumsum(n_told) - n_told)[row]
+        ends, at = np.cumsum(pairs), 0
+        while at < len(seats):
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] - pairs[at] + PAIRS, "right")))
+            n = pairs[at:upto]
+            i = np.repeat(np.arange(at, upto), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + begin[i]
+            at = upto
+            goes = np.flatnonzero((seats["text"][i] < 0) | (told["doc"][j] < seats["doc"][i]))
+            if not len(goes):
+                continue
+            i, j = i[goes], j[goes]
+            text, start, of = seats["text"][i], seats["start"][i] + told["start"][j], chunk[row[i]]
+            text = np.where(text < 0, ~text, text)
+            order = np.lexsort((start, text, of))
+            text, start, of = text[order], start[order], of[order]
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (text[1:] != text[:-1]) | (start[1:] > start[:-1] + 1)
+            first = np.flatnonzero(new)
+            runs = np.zeros(len(first), _RUN)
+            runs["text"], runs["start"], runs["last"] = text[first], start[first], start[np.append(first[1:], len(of)) - 1]
+            for packed in _by(of[first], runs, "chunk"):
+                yield packed.select(["chunk", "told"])
 
 
 def _merged(runs: np.ndarray, more: int) -> np.ndarray:

@@ -129,3 +129,28 @@ def test_repeated_bytes(spark, rows, chunk, options, monkeypatch):
 
 def test_repeated_bytes_of_an_empty_table(spark):
     assert rb.remove_repeated_bytes(frame(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+def test_places_of_hot_parts_are_told_by_chunk_and_not_by_row():
+    """3,000 rows of three chunks, against a loop; each chunk's runs come packed, and not a row for each part."""
+    import numpy as np
+    import pyarrow as pa
+
+    from marquee.llm import repeated_bytes as rb
+
+    r, rows, want = np.random.default_rng(5), [], set()
+    for k in range(3000):
+        seats, told = np.zeros(int(r.integers(1, 4)), rb._SEAT), np.zeros(int(r.integers(1, 5)), rb._OWNER)
+        text = r.integers(0, 30, len(seats))
+        seats["text"], seats["start"], seats["doc"] = np.where(r.random(len(seats)) < 0.2, ~text, text), r.integers(0, 5000, len(seats)), r.integers(0, 50, len(seats))
+        told["start"], told["doc"] = r.integers(0, 11, len(told)), r.integers(0, 50, len(told))
+        rows.append((k % 3, seats.tobytes(), told.tobytes()))
+        want |= {(k % 3, t if t >= 0 else ~t, s + x) for t, s, d in seats.tolist() for x, o in told.tolist() if t < 0 or o < d}
+    batch = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "seats", "told"])
+    for pairs in (rb.PAIRS, 7):
+        kept, rb.PAIRS = rb.PAIRS, pairs
+        out = [x for b in rb._later([batch]) for x in b.to_pylist()]
+        rb.PAIRS = kept
+        got = [(x["chunk"], t, s) for x in out for t, a, b in np.frombuffer(x["told"], rb._RUN).tolist() for s in range(a, b + 1)]
+        assert set(got) == want
+        assert pairs < 10 or len(out) == 3 and len(got) == len(want)
