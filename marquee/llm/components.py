@@ -52,14 +52,16 @@ def _are_stars(pairs: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("centre").alias("centre")).filter("child > 1 OR child = 1 AND centre = 1").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, contracted: bool = False) -> DataFrame:
     """node, component (the smallest node it reaches) for the nodes of ``edges`` (a, b: long).
 
     Tasks contract the edges that they have; then alternating large-star and small-star
     rounds, contracted again, until the edges are stars.  A node with very many edges
     contributes a minimum, which is taken before the shuffle, and Spark may split its join.
+    With ``contracted``, the edges come from ``contract`` in the task's own Python worker,
+    which a second step in the same task would double.
     """
-    pairs = _contracted(edges.filter("a <> b"))
+    pairs = materialise(edges.select("a", "b").distinct()) if contracted else _contracted(edges.filter("a <> b"))
     while not _are_stars(pairs):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

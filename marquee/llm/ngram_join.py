@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return contract(meet(batches))
 
     shared = held.mapInArrow(candidates, packed).repartitionById(buckets, F.col("bucket")).mapInArrow(shared_keys, "a long, b long")
-    near = components(shared).withColumnRenamed("component", "near")
+    near = components(shared, contracted=True).withColumnRenamed("component", "near")
 
     sized = materialise(near.join(able, "node"))
     # Where the sets of each size of a component lie among its bytes, by size; sets of one size are dealt evenly to the blocks there.

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import functions as F
 
 from marquee.llm.common import WordHashes
-from marquee.llm import exact_dedup as x1, mixing, ngram_join, packing, pii, quality_model, quality_rules, repeated_passages, token_counts, tokens, training_order
+from marquee.llm import components, exact_dedup as x1, mixing, ngram_join, packing, pii, quality_model, quality_rules, repeated_passages, token_counts, tokens, training_order
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 LOW = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
@@ -133,6 +133,22 @@ def test_ngram_join(docs, rows, width, percent, block):
     assert got == brute_components(rows, width, percent)
 
 
+def test_ngram_join_holds_one_python_worker_a_task(docs, rows, monkeypatch):
+    """Two Python steps without a shuffle between them take two workers a task, and an executor keeps all of them."""
+    plans, plain = [], ngram_join.materialise
+
+    def materialise(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    for module in (ngram_join, components):
+        monkeypatch.setattr(module, "materialise", materialise)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect() if r.doc_id is not None}
+    assert got == brute_components(rows, 5, 80)
+    assert sum("MapInArrow" in p for p in plans) >= 3
+    assert not [p for p in plans if re.search("MapInArrow((?!Exchange|Scan).)*MapInArrow", p, re.DOTALL)]
+
+
 def test_ngram_join_many_edited_copies(spark):
     r = random.Random(3)
     out, words = [], prose(r, 150).split()
