@@ -7,6 +7,7 @@ so there is none for the whole; tests hold the stages against brute force.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -49,7 +50,8 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     if len(files) > NUMBERED_FILES or "_metadata" in docs.columns:
         return keyed(docs)
     first = free_name(docs, "_first")
-    numbers = docs.sparkSession.createDataFrame([(name, k << 40) for k, name in enumerate(files)], f"`{path}` string, `{first}` long")
+    # As an Arrow table, which no Python worker has to read: rows of a list would be, in further workers that every executor keeps.
+    numbers = docs.sparkSession.createDataFrame(pa.table({path: pa.array(files, pa.string()), first: pa.array([k << 40 for k in range(len(files))], pa.int64())}))
     return placed.join(F.broadcast(numbers), path).withColumn(key, F.col(first) + F.col(key)).drop(path, first), key
 
 

@@ -72,6 +72,15 @@ def test_empty(spark, folder):
         assert stage(spark, docs, folder).count() == 0
 
 
+def test_row_keys_take_no_python_worker(spark, folder):
+    """The numbers of files are a local table; an RDD of Python rows is read by Python workers that executors keep."""
+    rows, key = cp._numbered(spark.read.parquet(f"{folder}/documents.parquet"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    keys = [r[0] for r in rows.select(key).collect()]
+    assert len(keys) == len(set(keys)) == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
 def test_columns_of_clashing_names(spark, folder, tmp_path):
     docs, names = spark.read.parquet(f"{folder}/documents.parquet").limit(60), ("_row", "row", "_copies", "_copy", "_id", "_text", "_new", "_digest", "h", "kept", "copies", "a.b")
     for name in names:
